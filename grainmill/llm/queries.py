@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import decontaminate, line_dedup, media, packing, url_filter, warc
+from . import decontaminate, line_dedup, media, packing, quality, url_filter, warc
 
 
 def queries() -> dict:
     return {
         "op1_decontamination": decontaminate.op1_decontamination,
         "op2_warc": warc.op2_warc,
+        "op3_quality": quality.op3_quality,
         "op4_url_filter": url_filter.op4_url_filter,
         "op8_media": media.op8_media,
         "op9_packing": packing.op9_packing,
