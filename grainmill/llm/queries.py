@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, line_dedup, media, packing, quality, substring_dedup, url_filter, warc
+from . import decontaminate, jaccard, line_dedup, media, packing, quality, substring_dedup, url_filter, warc
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op2_warc": warc.op2_warc,
         "op3_quality": quality.op3_quality,
         "op4_url_filter": url_filter.op4_url_filter,
+        "op5_jaccard": jaccard.op5_jaccard,
         "op6_substring_dedup": substring_dedup.op6_substring_dedup,
         "op8_media": media.op8_media,
         "op9_packing": packing.op9_packing,
@@ -22,6 +23,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op1_decontamination": decontaminate.OP1_SQL,
         "op2_warc": warc.OP2_SQL,
+        "op5_jaccard": jaccard.OP5_SQL,
         "op6_substring_dedup": substring_dedup.OP6_SQL,
         "op10_line_dedup": line_dedup.OP10_SQL,
     }
