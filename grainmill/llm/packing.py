@@ -31,6 +31,10 @@ GROUP = 32
 REMEMBERED = 300_000
 
 
+#: Below this every Unicode version has the same letters and digits.
+SETTLED = "\u0250"
+
+
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     import public_tokenizers
 
@@ -45,18 +49,44 @@ class Ids(dict):
     texts with two spaces in a row are tokenized as a whole.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, ranks: str | None = None):
         from tokenizers import Tokenizer
 
         super().__init__()
+        self.fast = _by_ranks(ranks) if ranks else None
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
 
+        vocabulary = self.tokenizer.get_vocab()
+        self.opens = np.zeros(max(vocabulary.values()) + 1, bool)  # tokens that begin with a space
+        self.opens[[i for token, i in vocabulary.items() if token.startswith("\u0120")]] = True
+
     def encode(self, texts: list[str]) -> list[bytes]:
         out = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(x.ids, "<u4").tobytes() for x in out]
 
+    def encode_pieces(self, pieces: list[str], at_once: int = 1000) -> list[bytes]:
+        """Pieces that follow a space, with it. They are encoded as one text, which
+        costs far less than one by one, and parted where tokens open with a space."""
+        out: list[bytes] = []
+        for i in range(0, len(pieces), at_once):
+            part = pieces[i : i + at_once]
+            if "" not in part:
+                ids = self._together(" " + " ".join(part))
+                cuts = np.flatnonzero(self.opens[ids])
+                if len(cuts) == len(part) and cuts[0] == 0:
+                    raw, edges = ids.tobytes(), [*(4 * cuts).tolist(), 4 * len(ids)]
+                    out += [raw[a:b] for a, b in zip(edges, edges[1:], strict=False)]
+                    continue
+            out += self.encode([" " + p for p in part])
+        return out
+
+    def _together(self, text: str) -> np.ndarray:
+        if self.fast and "<|" not in text and max(text) < SETTLED:
+            return np.array(self.fast.encode_ordinary(text), "<u4")
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+
     def of(self, texts: list[str]) -> list[bytes]:
         if len(self) > REMEMBERED:
             self.clear()
@@ -65,12 +95,31 @@ class Ids(dict):
         split = {i: t.split(" ") for i, t in enumerate(texts) if i not in found}
         for parts in split.values():  # a text's first piece has no space before it; its key has one, as no other key has
             parts[0] = " " + parts[0]
-        unknown = list({p for parts in split.values() for p in parts}.difference(self))
-        self.update(zip(unknown, self.encode([p[1:] if p[:1] == " " else " " + p for p in unknown]), strict=True))
+        unknown = {p for parts in split.values() for p in parts}.difference(self)
+        first = [p for p in unknown if p[:1] == " "]
+        self.update(zip(first, self.encode([p[1:] for p in first]), strict=True))
+        if "" in unknown:
+            self[""] = self.encode([" "])[0]
+        rest = unknown.difference(self)
+        odd = {p for p in rest if not p.isascii() and max(p) >= SETTLED}
+        for pieces in (list(rest - odd), list(odd)):
+            self.update(zip(pieces, self.encode_pieces(pieces), strict=True))
         get = self.__getitem__
         return [found[i] if i in found else b"".join(map(get, split[i])) for i in range(len(texts))]
 
 
+def _by_ranks(path: str):
+    """The same vocabulary in an encoder that is three times as fast."""
+    import base64
+
+    import public_tokenizers
+    import tiktoken
+
+    with open(path, "rb") as lines:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+    return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
 def differencing(sizes: list[int], k: int) -> list[list[int]]:
     """k near-equal groups of indices. Ties go by the order of entry, so equal
     input gives equal output. A partial partition is kept as its non-empty
@@ -103,18 +152,23 @@ def pack_group(sizes: list[int], capacity: int = CAPACITY) -> list[list[int]]:
         k += max(1, k // 64)
 
 
-def pack(docs: DataFrame, tokenizer: str | None = None, end_id: int = 1, capacity: int = CAPACITY, piece: int = PIECE, group: int = GROUP) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str | None = None, ranks: str | None = None, end_id: int = 1, capacity: int = CAPACITY, piece: int = PIECE, group: int = GROUP) -> DataFrame:
     """A row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id,
     offset. A null text is an empty one, so it is its end id alone; a very long one
     fills windows of its own and leaves a rest. Repeated rows are packed each on
     its own, in rows that carry the same doc_id. sequence_id is unique, and its
     upper bits are the task's number. An empty table gives an empty result.
+
+    tokenizer is a tokenizers file, ranks a rank file of the same vocabulary and
+    pattern (both of the production vocabulary by default); it serves text of
+    settled characters, the other file the rest.
     """
     ship(docs.sparkSession)
-    path = tokenizer or tokenizer_path()
+    if tokenizer is None:
+        tokenizer, ranks = tokenizer_path(), tokenizer_path("byte_bpe_50k.tiktoken")
 
     def run(batches):
-        ids_of = worker_cache(f"ids-{path}", lambda: Ids(path))
+        ids_of = worker_cache(f"ids-{tokenizer}-{ranks}", lambda: Ids(tokenizer, ranks))
         sequence = TaskContext.get().partitionId() << 40
         done, rest, held = [], [], 0
 
