@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, jaccard, line_dedup, media, packing, quality, substring_dedup, url_filter, warc
+from . import decontaminate, jaccard, line_dedup, media, packing, quality, substring_dedup, suffix_dedup, url_filter, warc
 
 
 def queries() -> dict:
@@ -13,6 +13,7 @@ def queries() -> dict:
         "op4_url_filter": url_filter.op4_url_filter,
         "op5_jaccard": jaccard.op5_jaccard,
         "op6_substring_dedup": substring_dedup.op6_substring_dedup,
+        "op7_suffix_dedup": suffix_dedup.op7_suffix_dedup,
         "op8_media": media.op8_media,
         "op9_packing": packing.op9_packing,
         "op10_line_dedup": line_dedup.op10_line_dedup,
