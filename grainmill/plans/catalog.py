@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import text
+from . import blending, text
 
-MODULES = [text]
+MODULES = [text, blending]
 
 
 def queries() -> dict:

@@ -138,14 +138,13 @@ def token_budget_files(spark, d):
 
 @R.add("""WITH f AS (SELECT CAST(substr(source, 4) AS BIGINT) AS file_id, sum(length(text))::BIGINT // 129 AS n_samples FROM documents GROUP BY 1),
 r AS (SELECT *, coalesce(sum(n_samples) OVER (ORDER BY file_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM f),
-i AS (SELECT unnest(range(0, 3000, 7)) AS sample_id)
+i AS (SELECT unnest(range(0, (SELECT sum(n_samples) FROM f)::BIGINT)) AS sample_id)
 SELECT sample_id, file_id, (sample_id - start)::BIGINT AS file_sample FROM i JOIN r ON start <= sample_id AND sample_id < start + n_samples""")
 def join_bisect_file(spark, d):
     """Global sample ids to files by cumulative lengths: each file yields its ids."""
     files = table(spark, d, "documents").groupBy(F.substring("source", 4, 9).cast("long").alias("file_id")).agg(F.floor(F.sum(T.char_count(F.col("text"))) / 129).cast("long").alias("n_samples"))
     ranged = running_sum(files, "file_id", F.col("n_samples"), "start")
-    first, last = T.ceil_div(F.col("start"), 7) * 7, F.least(F.col("start") + F.col("n_samples") - 1, F.lit(2999))
-    ids = ranged.withColumns({"a": first, "b": last}).where("a <= b").select("file_id", "start", F.explode(F.sequence("a", "b", F.lit(7).cast("long"))).alias("sample_id"))
+    ids = ranged.where("n_samples > 0").select("file_id", "start", F.explode(F.sequence(F.col("start"), F.col("start") + F.col("n_samples") - 1)).alias("sample_id"))
     return ids.select("sample_id", "file_id", (F.col("sample_id") - F.col("start")).alias("file_sample"))
 
 
@@ -241,10 +240,12 @@ def ordinal_counter(spark, d):
     return position(table(spark, d, "documents").select("doc_id", "source"), "doc_id", "ordinal", within=["source"])
 
 
-@R.add("SELECT doc_id, pos::BIGINT AS pos, (pos - coalesce(max(CASE WHEN text[pos] = chr(10) THEN pos END) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) - 1)::BIGINT AS position_id FROM (SELECT doc_id, substr(text, 1, 400) AS text, unnest(range(1, least(length(text), 400) + 1)) AS pos FROM documents)")
+@R.add("""WITH l AS (SELECT doc_id, sum(length(x) * (length(x) + 1) // 2 - CASE WHEN last THEN length(x) ELSE 0 END)::BIGINT AS position_sum, sum(length(x) + (NOT last)::INT)::BIGINT AS n_tokens, max(length(x) - last::INT)::BIGINT AS highest
+  FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) = len(string_split(text, chr(10))) AS last FROM documents WHERE text <> '') GROUP BY doc_id)
+SELECT doc_id, n_tokens, position_sum, highest FROM l""")
 def position_ids(spark, d):
-    """Token positions that restart after every line of a text's first context of 400."""
-    lines = table(spark, d, "documents").select("doc_id", F.split(F.substring("text", 1, 400), "\n").alias("l")).select("doc_id", F.posexplode("l").alias("i", "line"), F.size("l").alias("n"))
-    kept = lines.select("doc_id", "i", (F.length("line") + (F.col("i") < F.col("n") - 1).cast("int")).alias("k"))
-    starts = running_sum(kept.withColumn("key", F.col("i").cast("long")), "key", F.col("k"), "at", within=["doc_id"]).where("k > 0")
-    return starts.select("doc_id", "at", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("p")).select("doc_id", (F.col("at") + F.col("p") + 1).alias("pos"), F.col("p").cast("long").alias("position_id"))
+    """Token positions that restart after every line: how many, their sum and the highest."""
+    lines = table(spark, d, "documents").where("text != ''").select("doc_id", F.split("text", "\n").alias("l")).select("doc_id", F.posexplode("l").alias("i", "line"), F.size("l").alias("n"))
+    ids = lines.select("doc_id", F.sequence(F.lit(0), F.length("line") + F.when(F.col("i") < F.col("n") - 1, 0).otherwise(-1)).alias("p"), (F.length("line") + (F.col("i") < F.col("n") - 1).cast("int")).alias("k"))
+    each = ids.select("doc_id", F.explode(F.when(F.col("k") > 0, F.col("p"))).alias("position_id"))
+    return each.groupBy("doc_id").agg(F.count("*").alias("n_tokens"), F.sum("position_id").alias("position_sum"), F.max("position_id").cast("long").alias("highest"))
