@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import blending, text
+from . import blending, text, training
 
-MODULES = [text, blending]
+MODULES = [text, blending, training]
 
 
 def queries() -> dict:
