@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import blending, text, training
+from . import blending, measure, text, training
 
-MODULES = [text, blending, training]
+MODULES = [text, blending, training, measure]
 
 
 def queries() -> dict:
