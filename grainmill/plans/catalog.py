@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import blending, measure, text, training
+from . import blending, files, measure, text, training
 
-MODULES = [text, blending, training, measure]
+MODULES = [text, blending, training, measure, files]
 
 
 def queries() -> dict:

@@ -145,14 +145,14 @@ def size_format(spark, d):
 
 
 @R.add("""WITH f AS (SELECT l_orderkey, l_linenumber, l_linestatus, l_suppkey + 1 AS fan_in, l_partkey + 1 AS fan_out FROM lineitem)
-SELECT l_orderkey, l_linenumber::BIGINT AS l_linenumber, round(CASE l_linestatus WHEN 'O' THEN 0.001 * fan_out * 4 / fan_in ELSE 0.001 * fan_out / (fan_in * 4) END, 9)::DOUBLE AS lr,
-round(0.02 / sqrt(fan_in) * least(1.0, sqrt(fan_out / fan_in)), 9)::DOUBLE AS std FROM f""")
+SELECT l_orderkey, l_linenumber::BIGINT AS l_linenumber, round(CASE l_linestatus WHEN 'O' THEN 0.001 * fan_out * 4 / fan_in ELSE 0.001 * fan_out / (fan_in * 4) END, 13)::DOUBLE AS lr,
+round(0.02 / sqrt(fan_in) * least(1.0, sqrt(fan_out / fan_in)), 13)::DOUBLE AS std FROM f""")
 def mup_lr(spark, d):
     """Spectral rates and deviations of layers with such fan-ins and fan-outs."""
     kind = F.when(F.col("l_linestatus") == "O", "column").otherwise("row")
     fan_in, fan_out = F.col("l_suppkey") + 1, F.col("l_partkey") + 1
     rate, std = Q.mup_rate(0.001, kind, fan_in, fan_out, 4), Q.spectral_std(0.02, fan_in, fan_out)
-    return table(spark, d, "lineitem").select("l_orderkey", F.col("l_linenumber").cast("long").alias("l_linenumber"), F.round(rate, 9).alias("lr"), F.round(std, 9).alias("std"))
+    return table(spark, d, "lineitem").select("l_orderkey", F.col("l_linenumber").cast("long").alias("l_linenumber"), F.round(rate, 13).alias("lr"), F.round(std, 13).alias("std"))
 
 
 @R.add("SELECT method, layers, round(CASE method WHEN 'NUM_LAYERS' THEN sqrt(2.0 * layers) ELSE 1.0 END, 9)::DOUBLE AS scale FROM (SELECT unnest(['NONE', 'NUM_LAYERS']) AS method), (SELECT unnest(range(1, 100)) AS layers)")
