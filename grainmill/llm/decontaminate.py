@@ -83,8 +83,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
     character offsets of the hit words in the original text. A null text or one
     without words has none. An item of fewer words than a window, but not none, is
     one window. Repeated items and rows change nothing for others. Empty tables
-    give empty results, or documents without hits. docs must have no columns of
-    the added names.
+    give empty results, or documents without hits. Columns of docs that have one of
+    the added names are replaced.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -112,7 +112,7 @@ def _scan(docs: DataFrame, patterns, tag: str) -> DataFrame:
 
     def run(batches):
         automaton = worker_latest("automaton", tag, lambda: _automaton(patterns.value)) if patterns.value else None
-        for batch in small_batches(batches, 256):
+        for batch in small_batches(batches, 64):
             texts = [t or "" for t in batch.column(text_at).to_pylist()]
             kept, places, starts = normalised(texts)
             space = kept == 32
