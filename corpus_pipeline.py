@@ -30,30 +30,39 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    out = dedup_lines(docs)
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    out = dedup_lines(_carried(docs))
+    chars = F.when(F.col("n_dropped") > 0, F.length("text")).otherwise(F.col("carried.n_chars")) if "n_chars" in docs.columns else None
+    return _restored(out, docs, {} if chars is None else {"n_chars": chars.cast(docs.schema["n_chars"].dataType)})
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     of = similar_components(docs)
     kept = of.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    named = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    nameless = of.where("doc_id is null and component_id is null").isEmpty()
-    if nameless:
-        return named.select(*docs.columns)
-    return named.select(*docs.columns).unionByName(docs.where("doc_id is null"))
+    named = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+    if of.where("doc_id is null and component_id is null").isEmpty():
+        return named
+    return named.unionByName(docs.where("doc_id is null"))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return contamination(docs, table(spark, sf_dir, "benchmark")).where(~F.col("contaminated")).select(*docs.columns)
+    return _restored(contamination(_carried(docs), table(spark, sf_dir, "benchmark")).where(~F.col("contaminated")), docs, {})
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return pack(docs)
 
 
+def _carried(docs: DataFrame) -> DataFrame:
+    """The id, the text, and all else in one column, so that no name clashes."""
+    rest = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
+    return docs.select("doc_id", "text", F.struct(F.lit(0).alias("_"), *rest).alias("carried"))
+
+
+def _restored(out: DataFrame, docs: DataFrame, changed: dict) -> DataFrame:
+    own = {"doc_id": F.col("doc_id"), "text": F.col("text")} | changed
+    return out.select(*(own.get(c, F.col(f"carried.`{c}`")).alias(c) for c in docs.columns))
+
+
 STAGES = [("quality", quality), ("line_dedup", line_dedup), ("near_duplicates", near_duplicates), ("decontamination", decontamination), ("packing", packing)]
 
 #: A classifier can't be expressed in SQL; tests compare with a brute-force version.
