@@ -28,7 +28,7 @@ PIECE = 512
 #: Windows that a group fills.
 GROUP = 32
 #: Word pieces that a worker remembers the ids of.
-REMEMBERED = 300_000
+REMEMBERED = 150_000
 
 
 #: Below this every Unicode version has the same letters and digits.

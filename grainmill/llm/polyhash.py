@@ -34,7 +34,7 @@ class PolyHash:
 
     def _grow(self, n: int) -> None:
         if len(self.up) <= n:
-            size = max(n + 1, 2 * len(self.up))
+            size = n + 65536
             for name, base in (("up", self.base), ("down", self.inverse)):
                 powers = np.full(size, np.uint64(base & (2**64 - 1)))
                 powers[0] = _ONE
