@@ -55,8 +55,13 @@ def _windows(text: bytes, n: int, at: np.ndarray | None, lanes: int):
     return places, out
 
 
+def _cover_places(n: int, period: int, cover: tuple[int, ...]) -> np.ndarray:
+    return (np.arange(0, n, period)[:, None] + np.array(sorted(cover))[None, :]).ravel()
+
+
 def anchors(docs: DataFrame, window: int = WINDOW, period: int = PERIOD, cover: tuple[int, ...] = COVER) -> DataFrame:
-    """(hash, cls, pos) of each text's short windows at cover positions."""
+    """(hash, cls, pos) of each text's distinct short windows at cover positions,
+    with the first place of each: a text that repeats itself gives no more rows."""
     short = window - period + 1
 
     def run(batches):
@@ -66,8 +71,9 @@ def anchors(docs: DataFrame, window: int = WINDOW, period: int = PERIOD, cover:
                 joined = b" ".join(text.split())
                 n = joined.count(b" ") + 1
                 if n >= window and joined:
-                    base = np.arange(0, n, period)[:, None] + np.array(sorted(cover))[None, :]
-                    places, (hashes,) = _windows(joined, short, base.ravel(), 1)
+                    places, (hashes,) = _windows(joined, short, _cover_places(n, period, cover), 1)
+                    hashes, first = np.unique(hashes, return_index=True)
+                    places = places[first]
                     h.append(hashes)
                     pos.append(places.astype(np.int32))
                     cls.append(np.full(len(places), class_of(joined)))
@@ -77,6 +83,12 @@ def anchors(docs: DataFrame, window: int = WINDOW, period: int = PERIOD, cover:
     return docs.select("text").mapInArrow(run, "hash long, cls long, pos int")
 
 
+def _all_like(words: bytes, n: int, at: np.ndarray, places: np.ndarray | None) -> np.ndarray:
+    """All places (among those given) whose n words equal those at a place of at."""
+    places, (hashes,) = _windows(words, n, places, 1)
+    return places[np.isin(hashes, hashes[np.isin(places, at)])]
+
+
 def dedup_substrings(docs: DataFrame, window: int = WINDOW, period: int = PERIOD, cover: tuple[int, ...] = COVER) -> DataFrame:
     """doc_id, n_words, n_removed, kept: a row per row of docs.
 
@@ -123,11 +135,12 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, period: int = PERIOD
             for doc, words, at in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 n = words.count(b" ") + 1
                 near = np.zeros(n + 1, np.int32)  # windows that hold a shared anchor
-                at = np.array(at)
+                at = _all_like(words, short, np.array(at), _cover_places(n, period, cover))
                 np.add.at(near, np.maximum(at - (window - short), 0), 1)
                 np.add.at(near, np.minimum(at + 1, n), -1)
                 starts, hashes = _windows(words, window, np.flatnonzero(np.cumsum(near[:-1]) > 0), 2)
-                out.append((hashes[0], hashes[1], np.full(len(starts), doc), starts.astype(np.int32)))
+                _, first = np.unique(hashes[0], return_index=True)
+                out.append((hashes[0][first], hashes[1][first], np.full(len(first), doc), starts[first].astype(np.int32)))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["h1", "h2", "doc", "pos"])
 
@@ -166,8 +179,9 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, period: int = PERIOD
                     shas.append(hashlib.sha256(b"").hexdigest())
                 elif doc == rep and at:
                     depth = np.zeros(n + 1, np.int32)
-                    np.add.at(depth, np.array(at), 1)
-                    np.add.at(depth, np.array(at) + window, -1)
+                    at = _all_like(words, window, np.array(at), None)
+                    np.add.at(depth, at, 1)
+                    np.add.at(depth, at + window, -1)
                     keep = np.cumsum(depth[:-1]) == 0
                     parts = words.split(b" ")
                     removed.append(int(n - keep.sum()))
