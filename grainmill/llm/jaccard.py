@@ -37,8 +37,10 @@ SHINGLE, PERCENT = 5, 80
 COSTLY = 20_000
 #: Comparisons with one text in a task's group.
 PER_TEXT = 256
+#: Groups that a pair of the first round shares at least; the second takes the rest.
+LIKELY = 3
 #: Classes that a task remembers, to index a text once.
-REMEMBERED = 500_000
+REMEMBERED = 100_000
 
 _NORMAL, _DELETED, _WHOLE = 1, 2, 3
 
@@ -90,6 +92,12 @@ class Bands:
     def __init__(self, percent: int):
         self.percent, self.limits = percent, band_limits(2**31, percent)
 
+    def slack(self, band: int) -> int:
+        return segments(int(self.limits[band]), self.percent)[1]
+
+    def slack_column(self, band):
+        return F.element_at(F.array(*(F.lit(self.slack(i)) for i in range(len(self.limits)))), band + 1)
+
     def of(self, size: int) -> list[int]:
         """The bands a set of this size is indexed in."""
         own = int(np.searchsorted(self.limits, size))
@@ -147,7 +155,7 @@ def similar_components(docs: DataFrame, percent: int = PERCENT, n: int = SHINGLE
 
     def keys(batches):
         seen: set[int] = set()
-        for batch in small_batches(batches, 256):
+        for batch in small_batches(batches, 128):
             out = []
             for joined in _lowered(batch.column(0)):
                 cls = text_class(joined)
@@ -156,30 +164,33 @@ def similar_components(docs: DataFrame, percent: int = PERCENT, n: int = SHINGLE
                     if len(seen) < REMEMBERED:
                         seen.add(cls)
                     for band in bands.of(len(tokens)):
-                        k, _ = bands.normal(tokens, band)
-                        out.append((k, np.full(len(k), cls), np.full(len(k), band, np.int16)))
+                        k, empty = bands.normal(tokens, band)
+                        tag = band << 10 | min(empty, 1023)
+                        tags = np.full(len(k), tag, np.int32)
+                        if empty > bands.slack(band):  # a note that the set is heavy here
+                            k, tags = np.append(k, cls), np.append(tags, np.int32(-1 - tag))
+                        out.append((k, np.full(len(k), cls), tags))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["key", "cls", "band"])
+                yield _rows_of(out)
 
-    rows = docs.select("text").mapInArrow(keys, "key long, cls long, band short")
-    components, crowded = _joined(spark, rows, None, docs, reps, percent, n, costly)
-    heavy = _heavy(crowded, docs, bands, n)
+    rows = docs.select("text").mapInArrow(keys, ROWS)
+    components, heavy = _joined(spark, rows, None, docs, reps, bands, n, costly)
     if not heavy.isEmpty():
         def deleted(batches):
-            for batch in small_batches(batches, 256):
+            for batch in small_batches(batches, 128):
                 out = []
                 for words, of in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                     joined = zlib.decompress(words)
                     tokens, cls = shingles(joined, n), text_class(joined)
                     for band in of:
                         k = bands.deleted(tokens, band)
-                        out.append((k, np.full(len(k), cls), np.full(len(k), band, np.int16)))
+                        out.append((k, np.full(len(k), cls), np.full(len(k), band << 10 | 1023, np.int32)))
                 if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["key", "cls", "band"])
+                    yield _rows_of(out)
 
         texts = _texts(spark, heavy, docs, reps, n)
-        rows = texts.join(heavy, "cls").select("cls", "words", "bands").mapInArrow(deleted, "key long, cls long, band short")
-        components, _ = _joined(spark, rows, components, docs, reps, percent, n, None)
+        rows = texts.join(heavy, "cls").select("cls", "words", "bands").mapInArrow(deleted, ROWS)
+        components, _ = _joined(spark, rows, components, docs, reps, bands, n, None)
     roots = reps.join(components, "cls", "left").withColumn("component", F.coalesce("component", "cls"))
     lowest = roots.groupBy("component").agg(F.min("rep").alias("component_id"))
     of_class = roots.join(lowest, "component").select("cls", "component_id")
@@ -199,60 +210,81 @@ def _merged(components: DataFrame | None, links: DataFrame) -> DataFrame:
     return materialize(old.unionByName(new), "components")
 
 
-def _joined(spark: SparkSession, rows: DataFrame, components: DataFrame | None, docs: DataFrame, reps: DataFrame, percent: int, n: int, costly: int | None):
-    """Components after both rounds over the groups of equal keys, and what was too costly."""
+ROWS = "key long, cls long, tag int"
+
+
+def _rows_of(parts: list[tuple]):
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*parts, strict=True)], ["key", "cls", "tag"])
+
+
+def _joined(spark: SparkSession, rows: DataFrame, components: DataFrame | None, docs: DataFrame, reps: DataFrame, bands: Bands, n: int, costly: int | None):
+    """Components after both rounds over the groups of equal keys, and the heavy
+    sets: (cls, bands) where these have more empty and costly contents than the slack."""
     pairs, shared = _first_round(rows)
-    components = _merged(components, _verified(spark, pairs, docs, reps, percent, n))
-    more, crowded = _second_round(shared, pairs, components, costly)
+    groups = shared.where("tag >= 0")
+    few = pairs.where(F.col("n") >= LIKELY).select("a", "b")
+    components = _merged(components, _verified(spark, few, docs, reps, bands.percent, n))
+    more, crowded = _second_round(groups, pairs, components, bands, costly)
     if not more.isEmpty():
-        components = _merged(components, _verified(spark, more, docs, reps, percent, n))
-    return components, crowded
+        components = _merged(components, _verified(spark, more, docs, reps, bands.percent, n))
+    if costly is None:
+        return components, None
+    slack = bands.slack_column(F.shiftright("tag", 10))
+    noted = shared.where("tag < 0").select("cls", (-1 - F.col("tag")).alias("tag"))
+    noted = noted.union(crowded.where(F.col("n") + F.col("tag").bitwiseAND(1023) > slack).select("cls", "tag"))
+    heavy = noted.groupBy("cls").agg(F.collect_set(F.shiftright("tag", 10)).alias("bands"))
+    return components, materialize(heavy, "heavy")
 
 
 def _first_round(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Rows of the groups of equal keys that have two texts or more, and the pairs
-    of each text with the smallest of its group."""
+    """Rows of the groups of equal keys that have two texts or more (and notes), and
+    the pairs of each text with the smallest of its groups, with how many groups."""
     def grouped(batches):
         for columns, flags, first in shared_flags(batches, 1):
+            flags = flags | (columns[2] < 0)
             if flags.any():
-                yield pa.RecordBatch.from_arrays([pa.array(c[flags]) for c in (*columns, first)], ["key", "cls", "band", "hub"])
+                yield pa.RecordBatch.from_arrays([pa.array(c[flags]) for c in (*columns, first)], ["key", "cls", "tag", "hub"])
 
-    shared = rows.repartition("key").sortWithinPartitions("key", "cls").mapInArrow(grouped, "key long, cls long, band short, hub long")
+    shared = rows.repartition("key").sortWithinPartitions("key", "cls").mapInArrow(grouped, ROWS + ", hub long")
     shared = materialize(shared, "shared")
-    pairs = materialize(shared.where("hub != cls").select(F.col("hub").alias("a"), F.col("cls").alias("b")).distinct(), "pairs")
-    return pairs, shared
+    pairs = shared.where("hub != cls and tag >= 0").groupBy(F.col("hub").alias("a"), F.col("cls").alias("b")).agg(F.count(F.lit(1)).alias("n"))
+    return materialize(pairs, "pairs"), shared
 
 
-def _second_round(shared: DataFrame, pairs: DataFrame, components: DataFrame, costly: int | None):
+def _second_round(shared: DataFrame, pairs: DataFrame, components: DataFrame, bands: Bands, costly: int | None):
     """Pairs across components in the groups that the first round left divided.
-    With a limit, groups that would give more pairs are returned as (cls, band, n)."""
-    comp = components
-    of = lambda side: comp.toDF(side, f"{side}_component")
+
+    Similar sets agree in slack + 1 segments, less those that are empty or costly
+    in both, so pairs that share fewer groups of a band go. With a limit, groups that
+    would give more pairs are only counted: (cls, tag, n)."""
+    of = lambda side: components.toDF(side, f"{side}_component")
     same = F.coalesce("a_component", "a") == F.coalesce("b_component", "b")
     open_pairs = materialize(pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").where(~same).select(F.xxhash64("a", "b").alias("pair"), F.col("a").alias("hub"), F.col("b").alias("cls")), "open")
     near = _holding(shared.withColumn("pair", F.xxhash64("hub", "cls")), "pair", open_pairs, open_pairs.count())
     open_keys = materialize(near.join(open_pairs.select("hub", "cls"), ["hub", "cls"], "left_semi").select("key").distinct(), "keys")
-    rows = _holding(shared.select("key", "cls", "band"), "key", open_keys, open_keys.count()).join(open_keys, "key", "left_semi").distinct()
-    rows = rows.join(comp, "cls", "left").select("key", F.coalesce("component", "cls").alias("component"), "cls", "band")
+    rows = _holding(shared.select("key", "cls", "tag"), "key", open_keys, open_keys.count()).join(open_keys, "key", "left_semi").distinct()
+    rows = rows.join(components, "cls", "left").select("key", F.coalesce("component", "cls").alias("component"), "cls", "tag")
 
     def across(batches):
         parts: list[list[np.ndarray]] = []
 
         def finish():
-            component, cls, band = (np.concatenate(c) for c in zip(*parts, strict=True))
+            component, cls, tag = (np.concatenate(c) for c in zip(*parts, strict=True))
             parts.clear()
             start = np.flatnonzero(np.concatenate(([True], component[1:] != component[:-1])))
             size = np.diff(np.concatenate((start, [len(cls)])))
             if len(start) == 1:
                 return
             if costly is not None and (len(cls) ** 2 - (size.astype(float) ** 2).sum()) / 2 > costly:
-                yield _three(cls, cls, band)
+                yield [cls, cls, tag, tag]
                 return
             end = np.repeat(start + size, size)  # each row meets those of later components
             for i in range(len(cls)):
-                rest = cls[end[i] :]
-                if len(rest):
-                    yield _three(np.minimum(cls[i], rest), np.maximum(cls[i], rest), np.full(len(rest), -1, np.int16))
+                theirs = cls[end[i] :]
+                if len(theirs):
+                    swap = theirs < cls[i]
+                    other = tag[end[i] :]
+                    yield [np.minimum(theirs, cls[i]), np.maximum(theirs, cls[i]), np.where(swap, other, tag[i]), np.where(swap, tag[i], other)]
 
         def whole():
             for columns, group, head in group_blocks(batches, 1):
@@ -269,27 +301,27 @@ def _second_round(shared: DataFrame, pairs: DataFrame, components: DataFrame, co
 
         yield from _gathered(whole())
 
-    found = materialize(rows.repartition("key").sortWithinPartitions("key", "component", "cls").mapInArrow(across, "a long, b long, band short").distinct() if costly is None else
-                        rows.repartition("key").sortWithinPartitions("key", "component", "cls").mapInArrow(across, "a long, b long, band short").groupBy("a", "b", "band").agg(F.count(F.lit(1)).alias("n")), "across")
-    crowded = None if costly is None else found.where("band >= 0").select(F.col("a").alias("cls"), "band", "n")
-    return found.where("band < 0").select("a", "b"), crowded
-
-
-def _three(a, b, c):
-    return [a, b, c]
+    found = rows.repartition("key").sortWithinPartitions("key", "component", "cls").mapInArrow(across, "a long, b long, a_tag int, b_tag int")
+    found = materialize(found.groupBy("a", "b", "a_tag", "b_tag").agg(F.count(F.lit(1)).alias("n")), "across")
+    crowded = materialize(found.where("a = b").select(F.col("a").alias("cls"), F.col("a_tag").alias("tag"), "n"), "crowded")
+    lost = lambda side: crowded.select(F.col("cls").alias(side), F.col("tag").alias(f"{side}_tag"), F.col("n").alias(f"{side}_costly"))
+    pairs = found.where("a != b").join(lost("a"), ["a", "a_tag"], "left").join(lost("b"), ["b", "b_tag"], "left")
+    bad = lambda side: F.col(f"{side}_tag").bitwiseAND(1023) + F.coalesce(F.col(f"{side}_costly"), F.lit(0))
+    enough = bands.slack_column(F.shiftright("a_tag", 10)) + 1 - F.least(bad("a"), bad("b"))
+    return pairs.where(F.col("n") >= enough).select("a", "b").distinct(), crowded
 
 
 def _gathered(blocks, rows: int = 50_000):
-    """Small blocks of three arrays as larger record batches."""
+    """Small blocks of arrays as larger record batches."""
     held, n = [], 0
     for block in blocks:
         held.append(block)
         n += len(block[0])
         if n >= rows:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*held, strict=True)], ["a", "b", "band"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*held, strict=True)], ["a", "b", "a_tag", "b_tag"])
             held, n = [], 0
     if held:
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*held, strict=True)], ["a", "b", "band"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*held, strict=True)], ["a", "b", "a_tag", "b_tag"])
 
 
 def _holding(df: DataFrame, column: str, ids: DataFrame, n: int) -> DataFrame:
@@ -304,28 +336,6 @@ def _holding(df: DataFrame, column: str, ids: DataFrame, n: int) -> DataFrame:
     return df.mapInArrow(run, df.schema)
 
 
-def _heavy(crowded: DataFrame, docs: DataFrame, bands: Bands, n: int) -> DataFrame:
-    """(cls, bands) of the sets with more empty and costly contents than the slack."""
-    def empties(batches):
-        seen: set[int] = set()
-        for batch in small_batches(batches, 256):
-            out = []
-            for joined in _lowered(batch.column(0)):
-                cls = text_class(joined)
-                tokens = shingles(joined, n) if cls not in seen else ()
-                if len(tokens):
-                    if len(seen) < REMEMBERED:
-                        seen.add(cls)
-                    for band in bands.of(len(tokens)):
-                        slack = segments(int(bands.limits[band]), bands.percent)[1]
-                        out.append((cls, band, bands.normal(tokens, band)[1], slack))
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate((pa.int64(), pa.int16(), pa.int32(), pa.int32()))], ["cls", "band", "empty", "slack"])
-
-    rows = docs.select("text").mapInArrow(empties, "cls long, band short, empty int, slack int").dropDuplicates(["cls", "band"])
-    heavy = rows.join(crowded, ["cls", "band"], "left").where("empty + coalesce(n, 0) > slack")
-    return materialize(heavy.groupBy("cls").agg(F.collect_set("band").alias("bands")), "heavy")
-
-
 def _texts(spark: SparkSession, wanted: DataFrame, docs: DataFrame, reps: DataFrame, n: int) -> DataFrame:
     """(cls, words) of wanted classes, each from the rows of its smallest doc_id."""
     ids = materialize(wanted.select("cls").join(reps, "cls").select(F.coalesce("rep", F.lit(2**63 - 1)).alias("rep"), "cls"), "wanted")
