@@ -95,7 +95,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
     out = docs.withColumns({"n_words": F.lit(None).cast("long"), "hits": F.array().cast(HITS), "items": F.array().cast("array<string>")})
     for i in range(n_slices):
         rows = grouped if n_slices == 1 else grouped.where(F.pmod(F.xxhash64("pattern"), F.lit(n_slices)) == i)
-        patterns = sorted((r.pattern, r["items"]) for r in rows.toLocalIterator())  # about slice_chars
+        patterns = sorted((r.pattern, r["items"]) for r in rows.collect())  # about slice_chars
         out = _scan(out, spark.sparkContext.broadcast(patterns), uuid.uuid4().hex)
         if n_slices > 1:  # one automaton at a time in a worker's memory
             out = materialize(out, "scanned")

@@ -112,7 +112,7 @@ def repeated_filter(docs: DataFrame, bits: int, min_chars: int = 1) -> np.ndarra
     parts = docs.select("text").mapInArrow(of_part, "shard int, once binary, twice binary")
     whole = parts.repartition("shard").sortWithinPartitions("shard").mapInArrow(merged, "shard int, twice binary")
     out = np.zeros((shards, n_bytes), np.uint8)
-    for row in whole.toLocalIterator():  # bounded: 2**MOST_BITS bits in all
+    for row in whole.collect():  # bounded: 2**MOST_BITS bits in all
         out[row.shard] = np.frombuffer(zlib.decompress(row.twice), np.uint8)
     return out
 

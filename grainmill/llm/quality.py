@@ -150,7 +150,7 @@ def _summed(rows: DataFrame, f, width: int) -> tuple[np.ndarray, ...]:
 
     sums = rows.select("x", "y").mapInArrow(part, "slot long, sums binary").repartition(SUMS, "slot").mapInArrow(whole, "slot long, sums binary")
     total = None
-    for row in sums.toLocalIterator():
+    for row in sums.collect():  # a few rows
         one = _arrays(row.sums)
         total = one if total is None else [a + b for a, b in zip(total, one, strict=True)]
     return tuple(total) if total is not None else ()

@@ -117,7 +117,7 @@ def id_set(df: DataFrame, column: str, expected: int) -> IdSet:
 
     rows = df.select(F.col(column).cast("long")).where(F.col(column).isNotNull()).mapInArrow(part, "slot int, bits binary")
     packed = np.zeros(n, np.uint8)
-    for row in rows.repartition(slots, "slot").mapInArrow(whole, "slot int, bits binary").toLocalIterator():
+    for row in rows.repartition(slots, "slot").mapInArrow(whole, "slot int, bits binary").collect():  # a few rows
         packed |= np.frombuffer(zlib.decompress(row.bits), np.uint8)
     return IdSet(bits, packed)
 
