@@ -278,3 +278,137 @@ def suffixes(path: str, kind: str, folder: str, cap: int = 0, in_memory: int = I
             previous = i
     for i, shared, _ in _induce(text, _rows(seeds.close(), 2), folder, cap, in_memory):
         yield i, shared
+
+
+class _Buckets:
+    """A priority queue by first symbol, held as blocks: what enters a bucket comes
+    out in order of entry, each suffix with its common prefix with the one that
+    entered before it."""
+
+    def __init__(self):
+        self.held: list[list[tuple]] = [[] for _ in range(256)]
+        self.least = np.zeros(256, np.uint8)  # since a bucket was last entered
+        self.entered = np.zeros(256, bool)
+
+    def take(self, c: int) -> tuple[np.ndarray, np.ndarray]:
+        blocks, self.held[c] = self.held[c], []
+        if len(blocks) == 1:
+            return blocks[0]
+        return np.concatenate([b[0] for b in blocks]), np.concatenate([b[1] for b in blocks])
+
+    def process(self, shared: np.ndarray, induces: np.ndarray, at: np.ndarray, symbols: np.ndarray, cap: int) -> None:
+        """A block of suffixes was processed, with these common prefixes to the one
+        before; those at `induces` put suffix `at` in the bucket of its symbol."""
+        order = np.argsort(symbols, kind="stable")
+        rows, at, symbols = induces[order], at[order], symbols[order]
+        low = np.minimum.accumulate(shared)
+        after = np.append(np.minimum.accumulate(shared[::-1])[::-1][1:], 255).astype(np.uint8)
+        new = np.ones(len(rows), bool)
+        new[1:] = symbols[1:] != symbols[:-1]
+        starts = np.flatnonzero(new)
+        own = symbols[starts]
+        between = np.zeros(len(rows), np.uint8)
+        if len(rows):
+            between[1:] = _range_minima(shared, rows[:-1] + 1, rows[1:] + 1, ~new[1:])
+            between[starts] = np.where(self.entered[own], np.minimum(self.least[own], low[rows[starts]]), 255)
+        value = np.where(between == 255, 0, np.minimum(between.astype(np.int16) + 1, cap)).astype(np.uint8)
+        self.least = np.minimum(self.least, low[-1])
+        ends = np.append(starts[1:], len(rows)) - 1 if len(starts) else starts
+        self.least[own] = after[rows[ends]]
+        self.entered[own] = True
+        for c, a, b in zip(own.tolist(), starts.tolist(), (ends + 1).tolist(), strict=True):
+            self.held[c].append((at[a:b], value[a:b]))
+
+
+def _range_minima(values: np.ndarray, start: np.ndarray, stop: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Least of values[start:stop] for each wanted pair, by minima over powers of two."""
+    out = np.zeros(len(start), np.uint8)
+    which = np.flatnonzero(wanted)
+    if not len(which):
+        return out
+    lo, hi = start[which], stop[which]
+    level = np.frexp((hi - lo).astype(np.float64))[1] - 1
+    table, k = values, 0
+    top = level.max()
+    while True:
+        of = level == k
+        if of.any():
+            out[which[of]] = np.minimum(table[lo[of]], table[hi[of] - (1 << k)])
+        if k == top:
+            return out
+        table = np.minimum(table[: -(1 << k)], table[1 << k :])
+        k += 1
+
+
+def suffix_blocks(text: bytes, cap: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The suffixes of a text that fits in memory, in falling order as far as their
+    first cap (below 255) bytes tell, with the common prefix with the one before.
+
+    The same two inductions on blocks of suffixes instead of single ones. Seeds are
+    ordered by comparing them to the cap, where the other form recurses."""
+    n = len(text)
+    if not n:
+        return
+    t = np.frombuffer(text, np.uint8)
+    places = left_most_s(memoryview(text).cast("B")).astype(np.int32)
+    padded = np.concatenate((t, np.zeros(cap, np.uint8)))
+    windows = np.lib.stride_tricks.sliding_window_view(padded, cap)
+    order = np.argsort(np.ascontiguousarray(windows[places]).view(f"S{cap}").ravel(), kind="stable") if len(places) else places
+    seeds = places[order]
+    seed_shared = np.zeros(len(seeds), np.uint8)
+    for a in range(1, len(seeds), 1 << 15):
+        b = min(a + (1 << 15), len(seeds))
+        keys = windows[seeds[a - 1 : b]]
+        differ = keys[1:] != keys[:-1]
+        seed_shared[a:b] = np.where(differ.any(axis=1), differ.argmax(axis=1), cap)
+    bounds = np.searchsorted(t[seeds], np.arange(257))
+    view = memoryview(text)
+
+    queue = _Buckets()
+    queue.held[t[n - 1]].append((np.array([n - 1], np.int32), np.zeros(1, np.uint8)))
+    queue.entered[t[n - 1]] = True
+    falls: list[list[tuple]] = [[] for _ in range(256)]
+    for c in range(256):
+        first = True
+        last = -1
+        while queue.held[c]:
+            at, shared = queue.take(c)
+            if first:
+                shared = shared.copy()
+                shared[0], first = 0, False
+            falls[c].append((at, shared))
+            last = int(at[-1])
+            before = at - 1
+            symbol = t[before]
+            go = np.flatnonzero((at > 0) & (symbol >= c))
+            queue.process(shared, go, before[go], symbol[go], cap)
+        a, b = bounds[c], bounds[c + 1]
+        if a < b:
+            at, shared = seeds[a:b], seed_shared[a:b].copy()
+            shared[0] = _common(view, last, int(at[0]), cap) if last >= 0 else 0
+            before = at - 1
+            queue.process(shared, np.arange(len(at)), before, t[before], cap)
+    queue = _Buckets()
+    for c in range(255, -1, -1):
+        last = -1
+        while queue.held[c]:
+            at, shared = queue.take(c)
+            if last < 0:
+                shared = shared.copy()
+                shared[0] = 0
+            yield at, shared
+            last = int(at[-1])
+            before = at - 1
+            symbol = t[before]
+            go = np.flatnonzero((at > 0) & (symbol <= c))
+            queue.process(shared, go, before[go], symbol[go], cap)
+        if falls[c]:
+            at = np.concatenate([x[0] for x in falls[c]])[::-1]
+            below = np.concatenate([x[1] for x in falls[c]])[::-1]
+            falls[c] = []
+            shared = np.append(np.uint8(_common(view, last, int(at[0]), cap) if last >= 0 else 0), below[:-1]).astype(np.uint8)
+            yield at, shared
+            before = at - 1
+            symbol = t[before]
+            go = np.flatnonzero((at > 0) & (symbol < c))
+            queue.process(shared, go, before[go], symbol[go], cap)

@@ -15,6 +15,8 @@ import hashlib
 import os
 import tempfile
 import zlib
+from bisect import bisect_right
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -22,12 +24,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import materialize, ship, small_batches, table, text_bytes, worker_cache
-from .induced_sort import IN_MEMORY, suffixes
+from .induced_sort import IN_MEMORY, suffix_blocks, suffixes
 from .polyhash import PolyHash
 from .streams import id_set, shared_flags
 from .substring_dedup import text_class
 
 LENGTH, SEED = 50, 20
+#: Bytes of a part of a shard that is sorted at once, and of one that is sorted in
+#: blocks in memory; a larger one (a single minimizer's) is sorted on disk.
+PART, IN_BLOCKS = 1 << 20, 4 << 20
 #: No byte of UTF-8: it ends a segment in a shard's text.
 END = 0xFF
 
@@ -54,14 +59,15 @@ def segments_of(text: bytes, length: int = LENGTH, seed: int = SEED) -> tuple[np
     return low[first].view(np.int64), first, end
 
 
-def dedup_suffixes(docs: DataFrame, length: int = LENGTH, seed: int = SEED, in_memory: int = IN_MEMORY) -> DataFrame:
+def dedup_suffixes(docs: DataFrame, length: int = LENGTH, seed: int = SEED, in_memory: int = IN_MEMORY, in_blocks: int = IN_BLOCKS) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256: a row per row of docs.
 
     A byte goes when a string of `length` bytes over it also starts in a document of
     smaller doc_id. Texts are UTF-8 bytes, a null text is an empty one; shorter texts
     keep all. Rows of one doc_id never remove each other's bytes. A null doc_id counts
     as larger than all others, and as one document. An empty table gives an empty
-    result. in_memory bounds the tuples that a sort holds in memory.
+    result. in_memory bounds the tuples that a sort on disk holds in memory, in_blocks
+    the bytes of text that are sorted without it.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -114,7 +120,7 @@ def dedup_suffixes(docs: DataFrame, length: int = LENGTH, seed: int = SEED, in_m
     segments = segments.mapInArrow(cut, "hash long, digest long, doc long, start int, bytes binary")
 
     def sort_shard(batches):
-        yield from _repeats(batches, length, in_memory)
+        yield from _repeats(batches, length, in_memory, in_blocks)
 
     gone = segments.repartition("hash").sortWithinPartitions("hash", "digest", "doc").mapInArrow(sort_shard, "rep long, start int, stop int")
     gone = materialize(gone.groupBy("rep").agg(F.collect_set(F.struct("start", "stop")).alias("at")), "repeated")
@@ -154,42 +160,83 @@ def dedup_suffixes(docs: DataFrame, length: int = LENGTH, seed: int = SEED, in_m
     return out.select(F.when(~F.col("no_id"), F.col("doc_id")).alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
-def _repeats(batches, length: int, in_memory: int):
+def _repeats(batches, length: int, in_memory: int, in_blocks: int):
     """(doc, start, stop) of repeated bytes in a shard, from its segments sorted by
-    hash, digest and doc."""
+    hash, digest and doc. The shard is sorted in parts that end where a hash ends."""
     def batch_of(doc, start, stop):
         return pa.RecordBatch.from_arrays([pa.array(np.asarray(doc, np.int64)), pa.array(np.asarray(start, np.int32)), pa.array(np.asarray(stop, np.int32))], ["rep", "start", "stop"])
 
+    def sort_part(size: int):
+        """Sort what was written so far and begin anew."""
+        for f in files:
+            f.flush()
+        if size:
+            rows = np.fromfile(path + ".rows", np.int64).reshape(-1, 4)
+            repeats = np.fromfile(path + ".again", np.int64).reshape(-1, 4)
+            for doc, start, stop in _string_groups(path, folder, rows, length, in_memory, size <= in_blocks):
+                yield batch_of(doc, start, stop)
+                if len(repeats):
+                    yield batch_of(*_moved(doc, start, stop, repeats))
+        for f in files:
+            f.seek(0)
+            f.truncate()
+
     with tempfile.TemporaryDirectory(prefix="suffix-") as folder:
         path = os.path.join(folder, "shard")
-        at = 0
-        digest_before, owner = None, None
-        with open(path, "wb") as text, open(path + ".rows", "wb") as places:
-            for columns, mixed, _ in shared_flags(batches, 1):
-                covered = []
-                for h, d, doc, start, own, flag in zip(*(c.tolist() for c in columns), mixed.tolist(), strict=True):
-                    if (h, d) != digest_before:
-                        digest_before, owner = (h, d), doc
-                    if doc > owner:  # all of it is the owner's as well
-                        covered.append((doc, start, start + len(own)))
-                    elif flag:  # the minimizer has other segments
-                        text.write(own + bytes([END]))
-                        places.write(np.array([at, doc, start, len(own)], np.int64).tobytes())
-                        at += len(own) + 1
-                if covered:
-                    yield batch_of(*zip(*covered, strict=True))
-        if not at:
-            return
-        rows = np.memmap(path + ".rows", np.int64, "r").reshape(-1, 4)
-        for block in _string_groups(path, folder, rows, length, in_memory):
-            yield batch_of(*block)
-
-
-def _string_groups(path: str, folder: str, rows: np.ndarray, length: int, in_memory: int, block: int = 1 << 16):
+        files = [open(path + suffix, "wb") for suffix in ("", ".rows", ".again")]  # noqa: SIM115
+        text, places, again = files
+        at, digest_before, owner, first = 0, (None, None), None, 0
+        for columns, mixed, _ in shared_flags(batches, 1):
+            covered = []
+            for h, d, doc, start, own, flag in zip(*(c.tolist() for c in columns), mixed.tolist(), strict=True):
+                if h != digest_before[0] and at >= PART:
+                    yield from sort_part(at)
+                    at = 0
+                if new := (h, d) != digest_before:
+                    digest_before, owner, first = (h, d), doc, start
+                if doc > owner:  # all of it is the owner's as well
+                    covered.append((doc, start, start + len(own)))
+                elif flag and new:  # the minimizer has other segments
+                    text.write(own + bytes([END]))
+                    places.write(np.array([at, doc, start, len(own)], np.int64).tobytes())
+                    at += len(own) + 1
+                elif flag:  # its text repeats the segment
+                    again.write(np.array([doc, first, start, len(own)], np.int64).tobytes())
+            if covered:
+                yield batch_of(*zip(*covered, strict=True))
+        yield from sort_part(at)
+        for f in files:
+            f.close()
+
+
+def _blocks_of(items, size: int):
+    while part := list(islice(items, size)):
+        positions, shared = zip(*part, strict=True)
+        yield np.array(positions), np.array(shared)
+
+
+def _moved(doc: np.ndarray, start: np.ndarray, stop: np.ndarray, repeats: np.ndarray):
+    """What was found in a segment, at the other places where its text has it.
+    The runs are sorted; those that meet a repeated segment are cut to it."""
+    order = np.lexsort((stop, doc))
+    runs = list(zip(doc[order].tolist(), stop[order].tolist(), start[order].tolist(), strict=True))
+    out = []
+    for d, first, there, n in repeats.tolist():
+        i = bisect_right(runs, (d, first, 2**62))
+        while i < len(runs) and runs[i][0] == d:
+            _, right, left = runs[i]
+            lo, hi = max(left, first), min(right, first + n)
+            if hi > lo:
+                out.append((d, there + lo - first, there + hi - first))
+            i += 1
+            if left >= first + n:
+                break
+    return zip(*out, strict=True) if out else ([], [], [])
+
+
+def _string_groups(path: str, folder: str, rows: np.ndarray, length: int, in_memory: int, small: bool, block: int = 1 << 16):
     """Occurrences of shared strings whose doc isn't the smallest, block by block."""
     offsets = rows[:, 0]
-    where, group = [], []
-    number = 0
     out_doc, out_start = [], []
 
     def settle(positions: np.ndarray, groups: np.ndarray):
@@ -205,16 +252,25 @@ def _string_groups(path: str, folder: str, rows: np.ndarray, length: int, in_mem
             out_doc.append(doc[gone])
             out_start.append((rows[k, 2] + into)[gone])
 
-    for i, shared in suffixes(path, "B", folder, length, in_memory):
-        if shared < length:
-            if len(where) >= block:
-                settle(np.array(where), np.array(group))
-                where.clear()
-                group.clear()
-            number += 1
-        where.append(i)
-        group.append(number)
-    settle(np.array(where, np.int64), np.array(group, np.int64))
+    if small:
+        with open(path, "rb") as f:
+            blocks = suffix_blocks(f.read(), length)
+    else:
+        blocks = _blocks_of(suffixes(path, "B", folder, length, in_memory), block)
+    where, group, number = [], [], 0
+    for positions, shared in blocks:
+        own = number + np.cumsum(shared < length)  # a fall below the length begins a group
+        cut = int(np.searchsorted(own, own[-1]))  # where the last one begins, which may go on
+        if cut:
+            where.append(positions[:cut])
+            group.append(own[:cut])
+            settle(np.concatenate(where), np.concatenate(group))
+            where, group = [], []
+        where.append(positions[cut:])
+        group.append(own[cut:])
+        number = int(own[-1])
+    if where:
+        settle(np.concatenate(where), np.concatenate(group))
     if not out_doc:
         return
     doc, start = np.concatenate(out_doc), np.concatenate(out_start)

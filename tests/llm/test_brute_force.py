@@ -43,12 +43,12 @@ def test_substrings(docs, prose, empty):
         substring_dedup.dedup_substrings(docs, cover=(1, 2))
 
 
-@pytest.mark.parametrize("in_memory", [50, 400_000])
-def test_suffixes(docs, prose, empty, in_memory):
+@pytest.mark.parametrize("in_memory,in_blocks", [(50, 0), (400_000, 0), (400_000, 4 << 20)])
+def test_suffixes(docs, prose, empty, in_memory, in_blocks):
     texts = {i: (t or "").encode() for i, t in prose}
     gone = gone_by_window(texts, 50)
     spans = {i: int((g & ~np.append(False, g[:-1])).sum()) if len(g) else 0 for i, g in gone.items()}
-    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.dedup_suffixes(docs, in_memory=in_memory).collect()}
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.dedup_suffixes(docs, in_memory=in_memory, in_blocks=in_blocks).collect()}
     assert got == {i: (len(t), int(gone[i].sum()), spans[i], sha(bytes(np.frombuffer(t, np.uint8)[~gone[i]]))) for i, t in texts.items()}
     assert suffix_dedup.dedup_suffixes(empty).collect() == []
 

@@ -28,6 +28,17 @@ def test_induced_sort(text, in_memory):
     assert got == list(zip(order, shared, strict=True))
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.binary(min_size=1, max_size=60) | st.text("ab", min_size=1, max_size=60).map(str.encode), st.sampled_from([2, 5, 20]))
+def test_suffix_blocks(text, cap):
+    text = text.replace(b"\0", b"\1").replace(b"\xff", b"\1") + b"\xff"
+    got = [(int(i), int(n)) for at, shared in induced_sort.suffix_blocks(text, cap) for i, n in zip(at, shared, strict=True)]
+    assert sorted(i for i, _ in got) == list(range(len(text)))
+    for (i, _), (j, n) in zip(got, got[1:], strict=False):
+        a, b = text[i : i + cap], text[j : j + cap]
+        assert a >= b and n == len(os.path.commonprefix([a, b]))
+
+
 def test_shared_flags():
     rng = random.Random(1)
     for _ in range(300):
