@@ -15,7 +15,6 @@ import hashlib
 import os
 import tempfile
 import zlib
-from bisect import bisect_right
 from itertools import islice
 
 import numpy as np
@@ -172,11 +171,11 @@ def _repeats(batches, length: int, in_memory: int, in_blocks: int):
             f.flush()
         if size:
             rows = np.fromfile(path + ".rows", np.int64).reshape(-1, 4)
-            repeats = np.fromfile(path + ".again", np.int64).reshape(-1, 4)
-            for doc, start, stop in _string_groups(path, folder, rows, length, in_memory, size <= in_blocks):
-                yield batch_of(doc, start, stop)
-                if len(repeats):
-                    yield batch_of(*_moved(doc, start, stop, repeats))
+            repeats = np.fromfile(path + ".again", np.int64).reshape(-1, 2)
+            segment, into = _string_groups(path, folder, rows, length, in_memory, size <= in_blocks)
+            for number, start in ((segment, rows[segment, 2] + into), *_moved(segment, into, repeats)):
+                if len(number):
+                    yield batch_of(*_spans(rows[number, 1], start, length))
         for f in files:
             f.seek(0)
             f.truncate()
@@ -185,23 +184,23 @@ def _repeats(batches, length: int, in_memory: int, in_blocks: int):
         path = os.path.join(folder, "shard")
         files = [open(path + suffix, "wb") for suffix in ("", ".rows", ".again")]  # noqa: SIM115
         text, places, again = files
-        at, digest_before, owner, first = 0, (None, None), None, 0
+        at, n_written, digest_before, owner = 0, 0, (None, None), None
         for columns, mixed, _ in shared_flags(batches, 1):
             covered = []
             for h, d, doc, start, own, flag in zip(*(c.tolist() for c in columns), mixed.tolist(), strict=True):
                 if h != digest_before[0] and at >= PART:
                     yield from sort_part(at)
-                    at = 0
+                    at, n_written = 0, 0
                 if new := (h, d) != digest_before:
-                    digest_before, owner, first = (h, d), doc, start
+                    digest_before, owner = (h, d), doc
                 if doc > owner:  # all of it is the owner's as well
                     covered.append((doc, start, start + len(own)))
                 elif flag and new:  # the minimizer has other segments
                     text.write(own + bytes([END]))
                     places.write(np.array([at, doc, start, len(own)], np.int64).tobytes())
-                    at += len(own) + 1
+                    at, n_written = at + len(own) + 1, n_written + 1
                 elif flag:  # its text repeats the segment
-                    again.write(np.array([doc, first, start, len(own)], np.int64).tobytes())
+                    again.write(np.array([n_written - 1, start], np.int64).tobytes())
             if covered:
                 yield batch_of(*zip(*covered, strict=True))
         yield from sort_part(at)
@@ -215,29 +214,32 @@ def _blocks_of(items, size: int):
         yield np.array(positions), np.array(shared)
 
 
-def _moved(doc: np.ndarray, start: np.ndarray, stop: np.ndarray, repeats: np.ndarray):
-    """What was found in a segment, at the other places where its text has it.
-    The runs are sorted; those that meet a repeated segment are cut to it."""
-    order = np.lexsort((stop, doc))
-    runs = list(zip(doc[order].tolist(), stop[order].tolist(), start[order].tolist(), strict=True))
-    out = []
-    for d, first, there, n in repeats.tolist():
-        i = bisect_right(runs, (d, first, 2**62))
-        while i < len(runs) and runs[i][0] == d:
-            _, right, left = runs[i]
-            lo, hi = max(left, first), min(right, first + n)
-            if hi > lo:
-                out.append((d, there + lo - first, there + hi - first))
-            i += 1
-            if left >= first + n:
-                break
-    return zip(*out, strict=True) if out else ([], [], [])
+def _moved(segment: np.ndarray, into: np.ndarray, repeats: np.ndarray, block: int = 1 << 16):
+    """Where strings found in a segment start at the other places of its text that
+    have it: (segment, start), block by block of the places (segment, start)."""
+    for at in range(0, len(repeats), block):
+        number, there = repeats[at : at + block].T
+        low = np.searchsorted(segment, number)
+        n = np.searchsorted(segment, number, "right") - low
+        found = np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())
+        yield segment[found], np.repeat(there, n) + into[found]
+
+
+def _spans(doc: np.ndarray, start: np.ndarray, length: int):
+    """(doc, start, stop) of the bytes that strings of a length at these places cover."""
+    order = np.lexsort((start, doc))
+    doc, start = doc[order], start[order]
+    new = np.concatenate(([True], (doc[1:] != doc[:-1]) | (start[1:] > start[:-1] + 1)))
+    cuts = np.flatnonzero(new)
+    last = np.append(cuts[1:] - 1, len(doc) - 1)
+    return doc[cuts], start[cuts], start[last] + length
 
 
 def _string_groups(path: str, folder: str, rows: np.ndarray, length: int, in_memory: int, small: bool, block: int = 1 << 16):
-    """Occurrences of shared strings whose doc isn't the smallest, block by block."""
+    """Segment and place in it, in order, of the occurrences of shared strings whose
+    doc isn't the smallest."""
     offsets = rows[:, 0]
-    out_doc, out_start = [], []
+    out_segment, out_into = [], []
 
     def settle(positions: np.ndarray, groups: np.ndarray):
         k = np.searchsorted(offsets, positions, "right") - 1
@@ -249,8 +251,8 @@ def _string_groups(path: str, folder: str, rows: np.ndarray, length: int, in_mem
             cuts = np.flatnonzero(np.concatenate(([True], groups[1:] != groups[:-1])))
             least = np.repeat(np.minimum.reduceat(doc, cuts), np.diff(np.append(cuts, len(doc))))
             gone = doc > least
-            out_doc.append(doc[gone])
-            out_start.append((rows[k, 2] + into)[gone])
+            out_segment.append(k[gone])
+            out_into.append(into[gone])
 
     if small:
         with open(path, "rb") as f:
@@ -271,15 +273,11 @@ def _string_groups(path: str, folder: str, rows: np.ndarray, length: int, in_mem
         number = int(own[-1])
     if where:
         settle(np.concatenate(where), np.concatenate(group))
-    if not out_doc:
-        return
-    doc, start = np.concatenate(out_doc), np.concatenate(out_start)
-    order = np.lexsort((start, doc))
-    doc, start = doc[order], start[order]
-    new = np.concatenate(([True], (doc[1:] != doc[:-1]) | (start[1:] > start[:-1] + 1)))
-    cuts = np.flatnonzero(new)
-    last = np.append(cuts[1:] - 1, len(doc) - 1)
-    yield doc[cuts], start[cuts], start[last] + length
+    if not out_segment:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    segment, into = np.concatenate(out_segment), np.concatenate(out_into)
+    order = np.lexsort((into, segment))
+    return segment[order], into[order]
 
 
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -53,6 +53,22 @@ def test_suffixes(docs, prose, empty, in_memory, in_blocks):
     assert suffix_dedup.dedup_suffixes(empty).collect() == []
 
 
+@pytest.mark.parametrize("in_blocks", [0, 4 << 20])
+def test_suffixes_before_a_repeat(spark, in_blocks):
+    """P1 R P2 R, where a smaller document has the end of P1 with the start of R: the second R stays."""
+    rng = np.random.default_rng(7)
+    some = lambda n: bytes(rng.integers(97, 123, n, dtype=np.uint8))
+    texts = {}
+    for i in range(60):
+        p1, r, p2 = some(120), some(200), some(90)
+        texts[i], texts[100 + i] = some(60) + p1[-30:] + r[:40] + some(60), p1 + r + p2 + r
+    gone = gone_by_window(texts, 50)
+    assert all(70 <= gone[100 + i].sum() < 80 for i in range(60))
+    table = spark.createDataFrame([(i, t.decode()) for i, t in texts.items()], "doc_id long, text string")
+    got = {r.doc_id: (r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.dedup_suffixes(table, in_blocks=in_blocks).collect()}
+    assert got == {i: (int(gone[i].sum()), int(gone[i].any()), sha(bytes(np.frombuffer(t, np.uint8)[~gone[i]]))) for i, t in texts.items()}
+
+
 @pytest.mark.parametrize("costly", [jaccard.COSTLY, 1])
 def test_components(docs, prose, empty, costly):
     sets = {}
