@@ -132,7 +132,7 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, period: int = PERIOD
     def full(batches):
         for batch in small_batches(batches, 256):
             out = []
-            for doc, words, at in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for doc, cls, words, at in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 n = words.count(b" ") + 1
                 near = np.zeros(n + 1, np.int32)  # windows that hold a shared anchor
                 at = _all_like(words, short, np.array(at), _cover_places(n, period, cover))
@@ -140,20 +140,20 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, period: int = PERIOD
                 np.add.at(near, np.minimum(at + 1, n), -1)
                 starts, hashes = _windows(words, window, np.flatnonzero(np.cumsum(near[:-1]) > 0), 2)
                 _, first = np.unique(hashes[0], return_index=True)
-                out.append((hashes[0][first], hashes[1][first], np.full(len(first), doc), starts[first].astype(np.int32)))
+                out.append((hashes[0][first], hashes[1][first], np.full(len(first), doc), starts[first].astype(np.int32), np.full(len(first), cls)))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["h1", "h2", "doc", "pos"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["h1", "h2", "doc", "pos", "cls"])
 
     def repeated(batches):
         for columns, _, first in shared_flags(batches, 2):
             flags = columns[2] > first
             if flags.any():
-                yield pa.RecordBatch.from_arrays([pa.array(columns[2][flags]), pa.array(columns[3][flags])], ["rep", "pos"])
+                yield pa.RecordBatch.from_arrays([pa.array(c[flags]) for c in columns[2:]], ["rep", "pos", "cls"])
 
-    windows = docs.select("doc_id", "text").mapInArrow(texts, "rep long, cls long, words binary").join(places, ["rep", "cls"]).select("rep", "words", "at")
-    windows = windows.mapInArrow(full, "h1 long, h2 long, doc long, pos int")
-    gone = windows.repartition("h1", "h2").sortWithinPartitions("h1", "h2", "doc").mapInArrow(repeated, "rep long, pos int")
-    gone = materialize(gone.groupBy("rep").agg(F.collect_set("pos").alias("at")), "repeated")
+    windows = docs.select("doc_id", "text").mapInArrow(texts, "rep long, cls long, words binary").join(places, ["rep", "cls"]).select("rep", "cls", "words", "at")
+    windows = windows.mapInArrow(full, "h1 long, h2 long, doc long, pos int, cls long")
+    gone = windows.repartition("h1", "h2").sortWithinPartitions("h1", "h2", "doc").mapInArrow(repeated, "rep long, pos int, cls long")
+    gone = materialize(gone.groupBy("rep", "cls").agg(F.collect_set("pos").alias("at")), "repeated")
     n_gone = gone.count()
     cut = spark.sparkContext.broadcast(id_set(gone, "rep", n_gone))
 
@@ -167,7 +167,7 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, period: int = PERIOD
             full = pa.array([hashlib.sha256(w).hexdigest() for w in words.to_pylist()], pa.string())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), classes, pa.array(n_words, pa.int64()), kept, full], ["doc_id", "no_id", "cls", "n_words", "words", "full_sha256"])
 
-    info = reps.join(gone, "rep", "left")
+    info = reps.join(gone, ["rep", "cls"], "left")
     judged = docs.mapInArrow(rows, "doc_id long, no_id boolean, cls long, n_words long, words binary, full_sha256 string").join(info, "cls", "left")
 
     def finish(batches):

@@ -15,7 +15,7 @@ import hashlib
 import os
 import tempfile
 import zlib
-from itertools import islice
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -106,23 +106,23 @@ def dedup_suffixes(docs: DataFrame, length: int = LENGTH, seed: int = SEED, in_m
     def cut(batches):
         for batch in small_batches(batches, 64):
             out = []
-            for doc, packed, hashes in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for doc, cls, packed, hashes in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 text = zlib.decompress(packed)
                 h, start, end = segments_of(text, length, seed)
                 for i in np.flatnonzero(np.isin(h, np.array(hashes))).tolist():
                     own = text[start[i] : end[i]]
-                    out.append((h[i], text_class(own), doc, start[i], own))
+                    out.append((h[i], text_class(own), doc, cls, start[i], own))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()), strict=True)], ["hash", "digest", "doc", "start", "bytes"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()), strict=True)], ["hash", "digest", "doc", "cls", "start", "bytes"])
 
-    segments = docs.select("doc_id", "text").mapInArrow(texts, "rep long, cls long, packed binary").join(places, ["rep", "cls"]).select("rep", "packed", "hashes")
-    segments = segments.mapInArrow(cut, "hash long, digest long, doc long, start int, bytes binary")
+    segments = docs.select("doc_id", "text").mapInArrow(texts, "rep long, cls long, packed binary").join(places, ["rep", "cls"]).select("rep", "cls", "packed", "hashes")
+    segments = segments.mapInArrow(cut, "hash long, digest long, doc long, cls long, start int, bytes binary")
 
     def sort_shard(batches):
         yield from _repeats(batches, length, in_memory, in_blocks)
 
-    gone = segments.repartition("hash").sortWithinPartitions("hash", "digest", "doc").mapInArrow(sort_shard, "rep long, start int, stop int")
-    gone = materialize(gone.groupBy("rep").agg(F.collect_set(F.struct("start", "stop")).alias("at")), "repeated")
+    gone = segments.repartition("hash").sortWithinPartitions("hash", "digest", "doc").mapInArrow(sort_shard, "rep long, cls long, start int, stop int")
+    gone = materialize(gone.groupBy("rep", "cls").agg(F.collect_set(F.struct("start", "stop")).alias("at")), "repeated")
     touched = spark.sparkContext.broadcast(id_set(gone, "rep", gone.count()))
 
     def rows(batches):
@@ -134,7 +134,7 @@ def dedup_suffixes(docs: DataFrame, length: int = LENGTH, seed: int = SEED, in_m
                 pa.array([zlib.compress(t, 1) if f else None for t, f in zip(own, flags, strict=True)], pa.binary()), pa.array([hashlib.sha256(t).hexdigest() for t in own], pa.string()),
             ], ["doc_id", "no_id", "cls", "n_bytes", "packed", "full_sha256"])
 
-    info = reps.join(gone, "rep", "left")
+    info = reps.join(gone, ["rep", "cls"], "left")
     judged = docs.mapInArrow(rows, "doc_id long, no_id boolean, cls long, n_bytes long, packed binary, full_sha256 string").join(info, "cls", "left")
 
     def finish(batches):
@@ -160,22 +160,23 @@ def dedup_suffixes(docs: DataFrame, length: int = LENGTH, seed: int = SEED, in_m
 
 
 def _repeats(batches, length: int, in_memory: int, in_blocks: int):
-    """(doc, start, stop) of repeated bytes in a shard, from its segments sorted by
-    hash, digest and doc. The shard is sorted in parts that end where a hash ends."""
-    def batch_of(doc, start, stop):
-        return pa.RecordBatch.from_arrays([pa.array(np.asarray(doc, np.int64)), pa.array(np.asarray(start, np.int32)), pa.array(np.asarray(stop, np.int32))], ["rep", "start", "stop"])
+    """(doc, class, start, stop) of repeated bytes in a shard, from its segments sorted
+    by hash, digest and doc; a doc's texts are told apart by their classes. The shard
+    is sorted in parts that end where a hash ends."""
+    def batch_of(doc, cls, start, stop):
+        return pa.RecordBatch.from_arrays([pa.array(np.asarray(x, kind)) for x, kind in ((doc, np.int64), (cls, np.int64), (start, np.int32), (stop, np.int32))], ["rep", "cls", "start", "stop"])
 
     def sort_part(size: int):
         """Sort what was written so far and begin anew."""
         for f in files:
             f.flush()
         if size:
-            rows = np.fromfile(path + ".rows", np.int64).reshape(-1, 4)
-            repeats = np.fromfile(path + ".again", np.int64).reshape(-1, 2)
+            rows = np.fromfile(path + ".rows", np.int64).reshape(-1, 5)
+            repeats = np.fromfile(path + ".again", np.int64).reshape(-1, 3)
             segment, into = _string_groups(path, folder, rows, length, in_memory, size <= in_blocks)
-            for number, start in ((segment, rows[segment, 2] + into), *_moved(segment, into, repeats)):
+            for number, cls, start in chain([(segment, rows[segment, 4], rows[segment, 2] + into)], _moved(segment, into, repeats)):
                 if len(number):
-                    yield batch_of(*_spans(rows[number, 1], start, length))
+                    yield batch_of(*_spans(rows[number, 1], cls, start, length))
         for f in files:
             f.seek(0)
             f.truncate()
@@ -187,20 +188,20 @@ def _repeats(batches, length: int, in_memory: int, in_blocks: int):
         at, n_written, digest_before, owner = 0, 0, (None, None), None
         for columns, mixed, _ in shared_flags(batches, 1):
             covered = []
-            for h, d, doc, start, own, flag in zip(*(c.tolist() for c in columns), mixed.tolist(), strict=True):
+            for h, d, doc, cls, start, own, flag in zip(*(c.tolist() for c in columns), mixed.tolist(), strict=True):
                 if h != digest_before[0] and at >= PART:
                     yield from sort_part(at)
                     at, n_written = 0, 0
                 if new := (h, d) != digest_before:
                     digest_before, owner = (h, d), doc
                 if doc > owner:  # all of it is the owner's as well
-                    covered.append((doc, start, start + len(own)))
+                    covered.append((doc, cls, start, start + len(own)))
                 elif flag and new:  # the minimizer has other segments
                     text.write(own + bytes([END]))
-                    places.write(np.array([at, doc, start, len(own)], np.int64).tobytes())
+                    places.write(np.array([at, doc, start, len(own), cls], np.int64).tobytes())
                     at, n_written = at + len(own) + 1, n_written + 1
-                elif flag:  # its text repeats the segment
-                    again.write(np.array([n_written - 1, start], np.int64).tobytes())
+                elif flag:  # its text, or another of its doc, repeats the segment
+                    again.write(np.array([n_written - 1, cls, start], np.int64).tobytes())
             if covered:
                 yield batch_of(*zip(*covered, strict=True))
         yield from sort_part(at)
@@ -215,24 +216,24 @@ def _blocks_of(items, size: int):
 
 
 def _moved(segment: np.ndarray, into: np.ndarray, repeats: np.ndarray, block: int = 1 << 16):
-    """Where strings found in a segment start at the other places of its text that
-    have it: (segment, start), block by block of the places (segment, start)."""
+    """Where strings found in a segment start at the other places of its doc that have
+    it: (segment, class, start), block by block of the places (segment, class, start)."""
     for at in range(0, len(repeats), block):
-        number, there = repeats[at : at + block].T
+        number, cls, there = repeats[at : at + block].T
         low = np.searchsorted(segment, number)
         n = np.searchsorted(segment, number, "right") - low
         found = np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())
-        yield segment[found], np.repeat(there, n) + into[found]
+        yield segment[found], np.repeat(cls, n), np.repeat(there, n) + into[found]
 
 
-def _spans(doc: np.ndarray, start: np.ndarray, length: int):
-    """(doc, start, stop) of the bytes that strings of a length at these places cover."""
-    order = np.lexsort((start, doc))
-    doc, start = doc[order], start[order]
-    new = np.concatenate(([True], (doc[1:] != doc[:-1]) | (start[1:] > start[:-1] + 1)))
+def _spans(doc: np.ndarray, cls: np.ndarray, start: np.ndarray, length: int):
+    """(doc, class, start, stop) of the bytes that strings of a length at these places cover."""
+    order = np.lexsort((start, cls, doc))
+    doc, cls, start = doc[order], cls[order], start[order]
+    new = np.concatenate(([True], (doc[1:] != doc[:-1]) | (cls[1:] != cls[:-1]) | (start[1:] > start[:-1] + 1)))
     cuts = np.flatnonzero(new)
     last = np.append(cuts[1:] - 1, len(doc) - 1)
-    return doc[cuts], start[cuts], start[last] + length
+    return doc[cuts], cls[cuts], start[cuts], start[last] + length
 
 
 def _string_groups(path: str, folder: str, rows: np.ndarray, length: int, in_memory: int, small: bool, block: int = 1 << 16):

@@ -69,6 +69,49 @@ def test_suffixes_before_a_repeat(spark, in_blocks):
     assert got == {i: (int(gone[i].sum()), int(gone[i].any()), sha(bytes(np.frombuffer(t, np.uint8)[~gone[i]]))) for i, t in texts.items()}
 
 
+def odd_ids():
+    """Rows without an id and with one id and different texts, of which some share passages: (doc_id, text)."""
+    rng = np.random.default_rng(8)
+    some = lambda n: " ".join("".join(map(chr, rng.integers(97, 123, 4))) for _ in range(n))
+    passage, other, own = some(70), some(60), some(150)
+    return [
+        (5, f"{some(10)} {passage} {some(9)}"), (3, f"{some(20)} {other}"), (None, f"{some(80)} {passage} {some(3)}"), (None, some(200)), (None, some(52)), (None, f"{other} {some(8)}"), (None, "short"),
+        (8, f"{some(100)} {passage}"), (8, some(190)), (8, f"{own} {some(4)}"), (8, f"{some(5)} {own} {other}"), (9, f"{some(2)} {own}"), (None, own), (8, own), (None, None),
+        (None, f"{passage} {some(70)} {passage}"), (None, f"{some(1)} {passage} {some(70)} {passage}"),
+    ]
+
+
+def gone_by_row(rows, n):
+    """As gone_by_window, of rows (doc_id, units): no id is the largest, rows of one id are one document."""
+    windows = [[tuple(u[i : i + n]) for i in range(len(u) - n + 1)] for _, u in rows]
+    ids = [2**63 if i is None else i for i, _ in rows]
+    first = {}
+    for i, own in zip(ids, windows, strict=True):
+        for w in own:
+            first[w] = min(i, first.get(w, i))
+    out = [np.zeros(len(u), bool) for _, u in rows]
+    for i, own, flags in zip(ids, windows, out, strict=True):
+        for at, w in enumerate(own):
+            if first[w] < i:
+                flags[at : at + n] = True
+    return out
+
+
+def test_substrings_odd_ids(spark):
+    rows = [(i, (t or "").encode().split()) for i, t in odd_ids()]
+    want = [(i, len(w), int(g.sum()), sha(b" ".join(x for x, f in zip(w, g, strict=True) if not f))) for (i, w), g in zip(rows, gone_by_row(rows, 50), strict=True)]
+    got = substring_dedup.dedup_substrings(spark.createDataFrame(odd_ids(), "doc_id long, text string")).collect()
+    assert sorted(map(repr, want)) == sorted(repr((r.doc_id, r.n_words, r.n_removed, r.kept_sha256)) for r in got)
+
+
+@pytest.mark.parametrize("in_blocks", [0, 4 << 20])
+def test_suffixes_odd_ids(spark, in_blocks):
+    rows = [(i, (t or "").encode()) for i, t in odd_ids()]
+    want = [(i, len(t), int(g.sum()), sha(bytes(np.frombuffer(t, np.uint8)[~g]))) for (i, t), g in zip(rows, gone_by_row(rows, 50), strict=True)]
+    got = suffix_dedup.dedup_suffixes(spark.createDataFrame(odd_ids(), "doc_id long, text string"), in_blocks=in_blocks).collect()
+    assert sorted(map(repr, want)) == sorted(repr((r.doc_id, r.n_bytes, r.n_removed, r.kept_sha256)) for r in got)
+
+
 @pytest.mark.parametrize("costly", [jaccard.COSTLY, 1])
 def test_components(docs, prose, empty, costly):
     sets = {}
