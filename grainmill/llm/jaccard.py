@@ -4,17 +4,22 @@ Sets of 80 % similarity differ in at most two ninths of the larger one's size H.
 The universe of shingles is hashed into m = H + 1 + slack segments, where m goes by
 a band of set sizes; by the pigeonhole principle similar sets agree in at least
 slack + 1 segments. A set is indexed by the contents of its segments in its own
-band and in the next, where it may meet larger sets.
-
-Contents are allocated by cost: empty ones and those whose group would give too
-many pairs get nothing, which a set can bear as long as it has no more of these
-than the slack. Two sets that both have more meet through one-deletion
-neighbourhoods of their segments, and the few that even those don't cover through
-all contents. Every candidate is verified on its words.
-
-Only links that can join components are looked at: in each group all texts are
-first compared to the smallest, then those in different components with each
-other. So a large group of near copies costs a few comparisons a document.
+band and in the next, where it may meet larger sets. Sets that share too few
+contents with any other go at once.
+
+Contents are allocated by cost. First the sets of each content are compared to the
+set that shares most (as a rule the original of its near copies), so a large group
+of copies costs a few comparisons a document. Of the contents that components are
+then still divided over, those that would give more than `costly` pairs a row get
+nothing, which a set can bear as long as it has no more of these, and of empty
+segments, than the slack. Sets that have more meet through one-deletion
+neighbourhoods of their segments. Where even a neighbourhood is costly, its sets are
+written as differences from its hub: two of them that don't link to it can link only
+if these differences overlap, by at least what their sizes tell. So no group's pairs
+are ever listed, and every candidate is verified on its words.
+
+Classes of equal texts are 64-bit digests; `clashes` finds those that two texts
+share by 128 bits, and these get others.
 """
 
 from __future__ import annotations
@@ -26,23 +31,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, ship, small_batches, table, text_bytes, worker_cache
+from .classes import Classes, described_class
+from .common import discard, materialize, ship, small_batches, table, text_bytes, worker_cache
 from .components import connected_components
 from .polyhash import PolyHash, joined_words, mix
 from .streams import group_blocks, id_set, shared_flags
-from .substring_dedup import text_class
 
 SHINGLE, PERCENT = 5, 80
-#: Pairs that a group of equal contents may give before it is costly.
-COSTLY = 20_000
+#: Pairs a row that a group of equal contents may give before it is costly, and the
+#: rows of a group that one task may take.
+COSTLY, GATHERED = 8, 4096
 #: Comparisons with one text in a task's group.
 PER_TEXT = 256
-#: Groups that a pair of the first round shares at least; the second takes the rest.
-LIKELY = 3
 #: Classes that a task remembers, to index a text once.
 REMEMBERED = 100_000
 
-_NORMAL, _DELETED, _WHOLE = 1, 2, 3
+_NORMAL, _DELETED, _TOKEN = 1, 2, 3
 
 
 def shingles(joined: bytes, n: int = SHINGLE) -> np.ndarray:
@@ -68,7 +72,7 @@ def band_limits(most: int, percent: int) -> np.ndarray:
 def segments(limit: int, percent: int) -> tuple[int, int, int]:
     """H, slack and the number of segments of a band of sets up to limit."""
     h = 2 * limit * (100 - percent) // (100 + percent)
-    slack = 0 if h == 0 else 1 + -(-h // 10)
+    slack = 0 if h == 0 else 1 + -(-h // 4)
     return h, slack, h + 1 + slack
 
 
@@ -112,14 +116,14 @@ class Bands:
 
     def deleted(self, tokens: np.ndarray, band: int) -> np.ndarray:
         """Keys of non-empty contents and of those less one token; with too few of
-        these for the pigeonhole, also of all contents, empty ones too."""
+        these for the pigeonhole, also of each token."""
         h, _, m = segments(int(self.limits[band]), self.percent)
         of, size, total = contents(tokens, band, m)
         full = np.flatnonzero(size)
         less = size[of] >= 2
         keys = [_key(_DELETED, band, full, total[full]), _key(_DELETED, band, of[less], total[of[less]] - mix(tokens[less] + np.uint64(0xA5A5A5A5)))]
         if np.minimum(size, 2).sum() < h + 1:
-            keys.append(_key(_WHOLE, band, np.arange(m), total))
+            keys.append(_key(_TOKEN, band, np.zeros(len(tokens), np.int64), mix(tokens)))
         return np.unique(np.concatenate(keys))
 
 
@@ -136,155 +140,313 @@ def similar_components(docs: DataFrame, percent: int = PERCENT, n: int = SHINGLE
     smallest doc_id within reach. A null text, or one without words, has an empty
     set and is its own component. Rows of one doc_id link by any of their texts. A
     null doc_id links as others do but is never a component_id; a component of
-    nothing else has a null one. Other columns are ignored; an empty table gives an
-    empty result.
+    nothing else has a null one. Very long texts are cut into shingles as a whole, in
+    one task. Other columns are ignored; an empty table gives an empty result.
     """
+    own, roots = linked_classes(docs, percent, n, costly)
+    lowest = roots.groupBy("component").agg(F.min("rep").alias("component_id"))
+    of_class = roots.join(lowest, "component").select("cls", "component_id")
+    out = own.join(of_class, "cls", "left")
+    return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+
+
+def linked_classes(docs: DataFrame, percent: int = PERCENT, n: int = SHINGLE, costly: int = COSTLY) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, cls, n_shingles) of each row, and (cls, rep, size, component) of each
+    class of rows with equal words: its smallest doc_id, its set's size and the least
+    class within reach."""
     spark = docs.sparkSession
     ship(spark)
     bands = Bands(percent)
     docs = docs.select("doc_id", "text")
-
-    def described(batches):
-        for batch in small_batches(batches, 512):
-            joined = _lowered(batch.column(1))
-            sizes = [len(shingles(j, n)) for j in joined]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([text_class(j) for j in joined], pa.int64()), pa.array(sizes, pa.int64())], ["doc_id", "cls", "n_shingles"])
-
-    own = materialize(docs.mapInArrow(described, "doc_id long, cls long, n_shingles long"), "described")
-    reps = materialize(own.where("n_shingles > 0").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").cast("int").alias("size")), "classes")
+    own, reps, classes = _described(docs, n)
+    work = _Work(spark, docs, reps, classes, bands, n)
 
     def keys(batches):
         seen: set[int] = set()
         for batch in small_batches(batches, 128):
             out = []
             for joined in _lowered(batch.column(0)):
-                cls = text_class(joined)
+                cls = classes.of(joined)
                 tokens = shingles(joined, n) if cls not in seen else ()
                 if len(tokens):
                     if len(seen) < REMEMBERED:
                         seen.add(cls)
                     for band in bands.of(len(tokens)):
                         k, empty = bands.normal(tokens, band)
-                        tag = band << 10 | min(empty, 1023)
-                        tags = np.full(len(k), tag, np.int32)
+                        tag = band << 32 | empty
+                        tags = np.full(len(k), tag)
                         if empty > bands.slack(band):  # a note that the set is heavy here
-                            k, tags = np.append(k, cls), np.append(tags, np.int32(-1 - tag))
+                            k, tags = np.append(k, cls), np.append(tags, -1 - tag)
                         out.append((k, np.full(len(k), cls), tags))
             if out:
                 yield _rows_of(out)
 
-    rows = docs.select("text").mapInArrow(keys, ROWS)
-    components, heavy = _joined(spark, rows, None, docs, reps, bands, n, costly)
+    heavy = work.by_contents(docs.select("text").mapInArrow(keys, ROWS), costly)
     if not heavy.isEmpty():
+        work.by_deletions(heavy, costly)
+    discard(heavy)
+    roots = reps.join(work.components, "cls", "left").withColumn("component", F.coalesce("component", "cls"))
+    return own, roots
+
+
+ROWS = "key long, cls long, tag long"
+
+
+def _rows_of(parts: list[tuple], names=("key", "cls", "tag")):
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*parts, strict=True)], list(names))
+
+
+def _described(docs: DataFrame, n: int) -> tuple[DataFrame, DataFrame, Classes]:
+    """Rows with their class and set size, the classes, and how classes are told."""
+    def run(classes: Classes):
+        def described(batches):
+            for batch in small_batches(batches, 512):
+                joined = _lowered(batch.column(1))
+                ids, checks = described_class(joined, classes)
+                yield pa.RecordBatch.from_arrays([batch.column(0), ids, checks, pa.array([len(shingles(j, n)) for j in joined], pa.int64())], ["doc_id", "cls", "check", "n_shingles"])
+
+        own = materialize(docs.mapInArrow(described, "doc_id long, cls long, check long, n_shingles long"), "described")
+        reps = own.where("n_shingles > 0").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("size"), F.min("check").alias("low"), F.max("check").alias("high"))
+        return own, materialize(reps, "classes")
+
+    classes = Classes()
+    own, reps = run(classes)
+    if clashing := classes.clashes(reps):
+        discard(own)
+        discard(reps)
+        classes = Classes(clashing)
+        own, reps = run(classes)
+    return own.drop("check"), reps.drop("low", "high"), classes
+
+
+class _Work:
+    """The joins of one run, and the components (cls, component) found so far."""
+
+    def __init__(self, spark: SparkSession, docs: DataFrame, reps: DataFrame, classes: Classes, bands: Bands, n: int):
+        self.spark, self.docs, self.reps, self.classes, self.bands, self.n = spark, docs, reps, classes, bands, n
+        self.components: DataFrame | None = None
+        self.texts: DataFrame | None = None
+
+    def needed(self, tag: str = "tag"):
+        """Segments, less the empty ones, that a set shares with any that it links to."""
+        return self.bands.slack_column(F.shiftright(tag, 32).cast("int")) + 1 - F.col(tag).bitwiseAND(2**32 - 1)
+
+    def rooted(self, rows: DataFrame) -> DataFrame:
+        """With the component of column cls."""
+        return rows.join(self.components, "cls", "left").withColumn("component", F.coalesce("component", "cls"))
+
+    def by_contents(self, rows: DataFrame, costly: int) -> DataFrame:
+        """Links of sets of which one is not heavy; (cls, bands) of the heavy ones."""
+        shared = _shared(rows)
+        notes = shared.where("tag < 0").select("cls", (-1 - F.col("tag")).alias("tag"))
+        sets = shared.where("tag >= 0").groupBy("cls", "tag").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= self.needed())
+        likely = materialize(shared.join(sets, ["cls", "tag"]), "likely")
+        self.texts = self._texts(likely.select("cls").union(notes.select("cls")).distinct())
+
+        # each set with the one of its group that shares most of its contents
+        weight = F.struct((F.col("n") / F.shiftright("tag", 32)).alias("n"), "cls")
+        hubs = likely.groupBy("key").agg(F.max(weight)["cls"].alias("hub"), F.min("cls").alias("low"), F.max("cls").alias("high")).where("low < high").select("key", "hub")
+        grouped = materialize(likely.join(hubs, "key").select("key", "cls", "tag", "hub"), "grouped")
+        pairs = grouped.where("hub != cls").groupBy("hub", "cls", "tag").agg(F.count(F.lit(1)).alias("n")).where(2 * F.col("n") >= self.needed())
+        self.link(pairs.select(F.col("hub").alias("a"), F.col("cls").alias("b")).distinct())
+        discard(likely)
+
+        spread = _costs(self.rooted(grouped.select("key", "cls", "tag")), costly)
+        enough = spread.groupBy("cls", "tag").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("costly").cast("int")).alias("lost")).where(F.col("n") >= self.needed())
+        open_rows = materialize(spread.join(enough, ["cls", "tag"]).select("key", "component", "cls", "tag", "costly", "lost"), "open")
+        discard(grouped)
+        found = _across(open_rows.where("not costly"), ("cls", "tag", "lost")).groupBy("a_cls", "b_cls", "a_tag", "b_tag", "a_lost", "b_lost").agg(F.count(F.lit(1)).alias("n"))
+        enough = F.greatest(self.needed("a_tag") - F.col("a_lost"), self.needed("b_tag") - F.col("b_lost"))
+        self.link(found.where(F.col("n") >= enough).select(F.col("a_cls").alias("a"), F.col("b_cls").alias("b")).distinct())
+        heavy = open_rows.where(self.needed() <= F.col("lost")).select("cls", "tag").union(notes)
+        heavy = materialize(heavy.groupBy("cls").agg(F.collect_set(F.shiftright("tag", 32).cast("int")).alias("bands")), "heavy")
+        discard(open_rows)
+        discard(shared)
+        return heavy
+
+    def by_deletions(self, heavy: DataFrame, costly: int) -> None:
+        """Links between heavy sets."""
+        bands, classes, n = self.bands, self.classes, self.n
+
         def deleted(batches):
             for batch in small_batches(batches, 128):
                 out = []
-                for words, of in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                for words, of in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                     joined = zlib.decompress(words)
-                    tokens, cls = shingles(joined, n), text_class(joined)
+                    tokens, cls = shingles(joined, n), classes.of(joined)
                     for band in of:
                         k = bands.deleted(tokens, band)
-                        out.append((k, np.full(len(k), cls), np.full(len(k), band << 10 | 1023, np.int32)))
+                        out.append((k, np.full(len(k), cls), np.full(len(k), band)))
                 if out:
                     yield _rows_of(out)
 
-        texts = _texts(spark, heavy, docs, reps, n)
-        rows = texts.join(heavy, "cls").select("cls", "words", "bands").mapInArrow(deleted, ROWS)
-        components, _ = _joined(spark, rows, components, docs, reps, bands, n, None)
-    roots = reps.join(components, "cls", "left").withColumn("component", F.coalesce("component", "cls"))
-    lowest = roots.groupBy("component").agg(F.min("rep").alias("component_id"))
-    of_class = roots.join(lowest, "component").select("cls", "component_id")
-    out = own.join(of_class, "cls", "left")
-    return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
-
-
-def _merged(components: DataFrame | None, links: DataFrame) -> DataFrame:
-    """(cls, component) of the linked classes, from earlier components and new links."""
-    if components is None:
-        return materialize(connected_components(links).withColumnRenamed("node", "cls"), "components")
-    root = lambda side: components.select(F.col("cls").alias(side), F.col("component").alias(f"{side}_root"))
-    lifted = links.join(root("a"), "a", "left").join(root("b"), "b", "left").select(F.coalesce("a_root", "a").alias("a"), F.coalesce("b_root", "b").alias("b"))
-    above = connected_components(lifted).toDF("component", "top")
-    old = components.join(above, "component", "left").select("cls", F.coalesce("top", "component").alias("component"))
-    new = above.toDF("cls", "component").join(components, "cls", "left_anti")
-    return materialize(old.unionByName(new), "components")
-
-
-ROWS = "key long, cls long, tag int"
-
-
-def _rows_of(parts: list[tuple]):
-    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*parts, strict=True)], ["key", "cls", "tag"])
-
+        shared = _shared(self.texts.join(heavy, "cls").select("words", "bands").mapInArrow(deleted, ROWS))
+        spread = materialize(_costs(self.rooted(shared), costly), "open")
+        discard(shared)
+        found = _across(spread.where("not costly"), ("cls",))
+        self.link(found.select(F.col("a_cls").alias("a"), F.col("b_cls").alias("b")).distinct())
+        dear = materialize(self.rooted(spread.where("costly").select("key", "cls")), "costly")
+        discard(spread)
+        if not dear.isEmpty():
+            self.by_differences(dear)
+        discard(dear)
+
+    def by_differences(self, dear: DataFrame) -> None:
+        """Links between sets that share a key: (key, cls, component).
+
+        With M the symmetric difference of a set from a hub and v = (100 + percent) |M| -
+        (100 - percent) |set|, two sets link just if 2 (100 + percent) times the size of
+        their M's intersection is at least the sum of their v. That sum is above 0 unless
+        both are in the hub's component."""
+        most = dear.groupBy("cls").agg(F.count(F.lit(1)).alias("n"))
+        hubs = dear.join(most, "cls").groupBy("key").agg(F.max(F.struct("n", "cls"))["cls"].alias("hub"), F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
+        members = materialize(dear.join(hubs, "key").where("hub != cls").select("hub", "cls").distinct(), "members")
+        apart = materialize(self._compared(members.select(F.col("hub").alias("a"), F.col("cls").alias("b")), differences=True), "differences")
+        self.link(apart.where("linked").select("a", "b"), verified=True)
+        discard(members)
+
+        rows = self.rooted(apart.select(F.col("a").alias("hub"), F.col("b").alias("cls"), "v", F.explode("apart").alias("token")))
+        rows = materialize(rows, "tokens")
+        double = 2 * (100 + self.bands.percent)
+        mixed = rows.groupBy("hub", "token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("hub", "token")
+        least = rows.groupBy("hub").agg(F.min("v").alias("least"))
+        rows = materialize(rows.join(mixed, ["hub", "token"]), "mixed")
+        overlap = rows.groupBy("hub", "cls", "v").agg(F.count(F.lit(1)).alias("n")).join(least, "hub").where(F.col("v") + F.col("least") <= double * F.col("n"))
+        rows = rows.join(overlap.select("hub", "cls", (double * F.col("n") - F.col("v")).alias("reach")), ["hub", "cls"])
+        rows = rows.select(F.xxhash64("hub", "token").alias("key"), "component", "cls", "hub", "v", "reach")
+        found = _across(rows, ("cls", "hub", "v", "reach"), within=True).where("a_hub = b_hub").groupBy("a_hub", "a_cls", "b_cls", "a_v", "b_v").agg(F.count(F.lit(1)).alias("n"))
+        self.link(found.where(F.col("a_v") + F.col("b_v") <= double * F.col("n")).select(F.col("a_cls").alias("a"), F.col("b_cls").alias("b")).distinct())
+        discard(apart)
+
+    def link(self, pairs: DataFrame, verified: bool = False) -> None:
+        """Join the components of the pairs (a, b) that link."""
+        links = pairs if verified else self._compared(pairs).where("linked").select("a", "b")
+        if self.components is None:
+            self.components = materialize(connected_components(links).withColumnRenamed("node", "cls"), "components")
+            return
+        before = self.components
+        root = lambda side: before.select(F.col("cls").alias(side), F.col("component").alias(f"{side}_root"))
+        lifted = links.join(root("a"), "a", "left").join(root("b"), "b", "left").select(F.coalesce("a_root", "a").alias("a"), F.coalesce("b_root", "b").alias("b"))
+        above = materialize(connected_components(lifted).toDF("component", "top"), "above")
+        old = before.join(above, "component", "left").select("cls", F.coalesce("top", "component").alias("component"))
+        new = above.toDF("cls", "component").join(before, "cls", "left_anti")
+        self.components = materialize(old.unionByName(new), "components")
+        discard(before)
+        discard(above)
+
+    def _texts(self, wanted: DataFrame) -> DataFrame:
+        """(cls, size, words) of wanted classes, each from the rows of its smallest doc_id."""
+        ids = materialize(wanted.join(self.reps, "cls").select(F.coalesce("rep", F.lit(2**63 - 1)).alias("rep"), "cls", "size"), "wanted")
+        held, classes = self.spark.sparkContext.broadcast(id_set(ids, "rep", ids.count())), self.classes
+
+        def run(batches):
+            for batch in small_batches(batches):
+                part = batch.filter(pa.array(held.value.holds(np.asarray(batch.column(0)))))
+                joined = _lowered(part.column(1))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([classes.of(j) for j in joined], pa.int64()), pa.array([zlib.compress(j, 1) for j in joined], pa.binary())], ["rep", "cls", "words"])
+
+        rows = self.docs.select(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("rep"), "text").mapInArrow(run, "rep long, cls long, words binary")
+        out = materialize(rows.join(ids, ["rep", "cls"]).dropDuplicates(["rep", "cls"]).select("cls", "size", "words"), "words")
+        discard(ids)
+        return out
+
+    def _compared(self, pairs: DataFrame, differences: bool = False) -> DataFrame:
+        """Of the pairs (a, b) of classes: whether they link; with differences also v and
+        the tokens of the one or the other. Else pairs that no sizes allow are left out.
+
+        The words of b are brought to a, whose words are repeated for every PER_TEXT
+        comparisons, so that no text's many partners meet in one task."""
+        percent, n = self.bands.percent, self.n
+        if not differences:
+            size = lambda side: self.reps.select(F.col("cls").alias(side), F.col("size").alias(f"{side}_size"))
+            fit = F.least("a_size", "b_size") * 100 >= F.greatest("a_size", "b_size") * percent
+            pairs = pairs.join(size("a"), "a").join(size("b"), "b").where(fit).select("a", "b")
+        pairs = materialize(pairs, "pairs")
+        parts = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / PER_TEXT).cast("long").alias("parts"))
+        texts = self.texts.select("cls", "words")
+        hubs = texts.join(parts.withColumnRenamed("a", "cls"), "cls").select(F.col("cls").alias("a"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.lit(None).cast("long").alias("b"), "words")
+        dealt = pairs.join(parts, "a").select("a", F.pmod(F.xxhash64("b"), "parts").alias("part"), "b")
+        others = dealt.join(texts.withColumnRenamed("cls", "b"), "b").select("a", "part", "b", "words")
+
+        def compare(batches):
+            mine, tokens = None, None
+            for batch in small_batches(batches, 256):
+                out, apart = [], []
+                for a, part, b, words in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    own = shingles(zlib.decompress(words), n)
+                    if b is None:
+                        mine, tokens = (a, part), own
+                        continue
+                    if mine != (a, part):
+                        raise ValueError("words of a pair are missing")
+                    both = len(np.intersect1d(tokens, own, assume_unique=True))
+                    off = len(tokens) + len(own) - 2 * both
+                    linked = 100 * both >= percent * (both + off)
+                    if differences or linked:
+                        out.append((a, b, linked, (100 + percent) * off - (100 - percent) * len(own)))
+                        apart.append(np.setxor1d(tokens, own, assume_unique=True) if differences else tokens[:0])
+                if out:
+                    a, b, linked, v = zip(*out, strict=True)
+                    ends = np.cumsum([0, *map(len, apart)])
+                    tokens_apart = pa.LargeListArray.from_arrays(pa.array(ends, pa.int64()), pa.array(np.concatenate(apart).view(np.int64))).cast(pa.list_(pa.int64()))
+                    yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(linked, pa.bool_()), pa.array(v, pa.int64()), tokens_apart], ["a", "b", "linked", "v", "apart"])
 
-def _joined(spark: SparkSession, rows: DataFrame, components: DataFrame | None, docs: DataFrame, reps: DataFrame, bands: Bands, n: int, costly: int | None):
-    """Components after both rounds over the groups of equal keys, and the heavy
-    sets: (cls, bands) where these have more empty and costly contents than the slack."""
-    pairs, shared = _first_round(rows)
-    groups = shared.where("tag >= 0")
-    few = pairs.where(F.col("n") >= LIKELY).select("a", "b")
-    components = _merged(components, _verified(spark, few, docs, reps, bands.percent, n))
-    more, crowded = _second_round(groups, pairs, components, bands, costly)
-    if not more.isEmpty():
-        components = _merged(components, _verified(spark, more, docs, reps, bands.percent, n))
-    if costly is None:
-        return components, None
-    slack = bands.slack_column(F.shiftright("tag", 10))
-    noted = shared.where("tag < 0").select("cls", (-1 - F.col("tag")).alias("tag"))
-    noted = noted.union(crowded.where(F.col("n") + F.col("tag").bitwiseAND(1023) > slack).select("cls", "tag"))
-    heavy = noted.groupBy("cls").agg(F.collect_set(F.shiftright("tag", 10)).alias("bands"))
-    return components, materialize(heavy, "heavy")
+        together = hubs.unionByName(others).repartition("a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first())
+        return together.mapInArrow(compare, "a long, b long, linked boolean, v long, apart array<long>")
 
 
-def _first_round(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Rows of the groups of equal keys that have two texts or more (and notes), and
-    the pairs of each text with the smallest of its groups, with how many groups."""
+def _shared(rows: DataFrame) -> DataFrame:
+    """Distinct rows of the groups of equal keys that have two sets or more, and notes."""
     def grouped(batches):
-        for columns, flags, first in shared_flags(batches, 1):
-            flags = flags | (columns[2] < 0)
+        last = None
+        for columns, flags, _ in shared_flags(batches, 1):
+            new = np.concatenate(([last != [c[0] for c in columns]], np.logical_or.reduce([c[1:] != c[:-1] for c in columns])))
+            last = [c[-1] for c in columns]
+            flags = new & (flags | (columns[2] < 0))
             if flags.any():
-                yield pa.RecordBatch.from_arrays([pa.array(c[flags]) for c in (*columns, first)], ["key", "cls", "tag", "hub"])
-
-    shared = rows.repartition("key").sortWithinPartitions("key", "cls").mapInArrow(grouped, ROWS + ", hub long")
-    shared = materialize(shared, "shared")
-    pairs = shared.where("hub != cls and tag >= 0").groupBy(F.col("hub").alias("a"), F.col("cls").alias("b")).agg(F.count(F.lit(1)).alias("n"))
-    return materialize(pairs, "pairs"), shared
-
-
-def _second_round(shared: DataFrame, pairs: DataFrame, components: DataFrame, bands: Bands, costly: int | None):
-    """Pairs across components in the groups that the first round left divided.
+                yield pa.RecordBatch.from_arrays([pa.array(c[flags]) for c in columns], ["key", "cls", "tag"])
+
+    return materialize(rows.repartition("key").sortWithinPartitions("key", "cls", "tag").mapInArrow(grouped, ROWS), "shared")
+
+
+def _costs(rows: DataFrame, costly: int) -> DataFrame:
+    """Rows of groups with two components or more, and whether their group's pairs
+    across components would be more than `costly` a row, or its rows too many."""
+    parts = rows.groupBy("key", "component").agg(F.count(F.lit(1)).cast("double").alias("n"))
+    groups = parts.groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("within"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
+    pairs = (F.col("n") * F.col("n") - F.col("within")) / 2
+    return rows.join(groups.select("key", ((pairs > costly * F.col("n")) | (F.col("n") > GATHERED)).alias("costly")), "key")
+
+
+def _across(rows: DataFrame, held: tuple[str, ...], within: bool = False) -> DataFrame:
+    """Pairs of rows of one key and different components: the held columns of each,
+    as a_ and b_, where a has the smaller cls. With `within` only those of which
+    each one's v is at most the other's reach."""
+    names = [f"{side}_{c}" for side in "ab" for c in held]
+    schema = ", ".join(f"{c} long" for c in names)
+
+    def pairs(component, cls, *rest):
+        order = np.argsort(-rest[-1], kind="stable") if within else np.arange(len(cls))
+        component, columns = component[order], [c[order] for c in (cls, *rest)]
+        for i in range(len(cls) - 1):
+            top = len(cls)
+            if within:  # by falling reach, so the partners that reach are a prefix
+                top = int(np.searchsorted(-columns[-1], -columns[-2][i], "right"))
+            other = component[i + 1 : top] != component[i]
+            if within:
+                other &= columns[-2][i + 1 : top] <= columns[-1][i]
+            at = np.flatnonzero(other) + i + 1
+            if len(at):
+                swap = columns[0][at] < columns[0][i]
+                yield [np.where(swap, c[at], c[i]) for c in columns] + [np.where(swap, c[i], c[at]) for c in columns]
 
-    Similar sets agree in slack + 1 segments, less those that are empty or costly
-    in both, so pairs that share fewer groups of a band go. With a limit, groups that
-    would give more pairs are only counted: (cls, tag, n)."""
-    of = lambda side: components.toDF(side, f"{side}_component")
-    same = F.coalesce("a_component", "a") == F.coalesce("b_component", "b")
-    open_pairs = materialize(pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").where(~same).select(F.xxhash64("a", "b").alias("pair"), F.col("a").alias("hub"), F.col("b").alias("cls")), "open")
-    near = _holding(shared.withColumn("pair", F.xxhash64("hub", "cls")), "pair", open_pairs, open_pairs.count())
-    open_keys = materialize(near.join(open_pairs.select("hub", "cls"), ["hub", "cls"], "left_semi").select("key").distinct(), "keys")
-    rows = _holding(shared.select("key", "cls", "tag"), "key", open_keys, open_keys.count()).join(open_keys, "key", "left_semi").distinct()
-    rows = rows.join(components, "cls", "left").select("key", F.coalesce("component", "cls").alias("component"), "cls", "tag")
-
-    def across(batches):
+    def run(batches):
         parts: list[list[np.ndarray]] = []
 
         def finish():
-            component, cls, tag = (np.concatenate(c) for c in zip(*parts, strict=True))
+            columns = [np.concatenate(c) for c in zip(*parts, strict=True)]
             parts.clear()
-            start = np.flatnonzero(np.concatenate(([True], component[1:] != component[:-1])))
-            size = np.diff(np.concatenate((start, [len(cls)])))
-            if len(start) == 1:
-                return
-            if costly is not None and (len(cls) ** 2 - (size.astype(float) ** 2).sum()) / 2 > costly:
-                yield [cls, cls, tag, tag]
-                return
-            end = np.repeat(start + size, size)  # each row meets those of later components
-            for i in range(len(cls)):
-                theirs = cls[end[i] :]
-                if len(theirs):
-                    swap = theirs < cls[i]
-                    other = tag[end[i] :]
-                    yield [np.minimum(theirs, cls[i]), np.maximum(theirs, cls[i]), np.where(swap, other, tag[i]), np.where(swap, tag[i], other)]
+            return pairs(*columns)
 
         def whole():
             for columns, group, head in group_blocks(batches, 1):
@@ -299,93 +461,23 @@ def _second_round(shared: DataFrame, pairs: DataFrame, components: DataFrame, ba
             if parts:
                 yield from finish()
 
-        yield from _gathered(whole())
+        return _gathered(whole(), names)
 
-    found = rows.repartition("key").sortWithinPartitions("key", "component", "cls").mapInArrow(across, "a long, b long, a_tag int, b_tag int")
-    found = materialize(found.groupBy("a", "b", "a_tag", "b_tag").agg(F.count(F.lit(1)).alias("n")), "across")
-    crowded = materialize(found.where("a = b").select(F.col("a").alias("cls"), F.col("a_tag").alias("tag"), "n"), "crowded")
-    lost = lambda side: crowded.select(F.col("cls").alias(side), F.col("tag").alias(f"{side}_tag"), F.col("n").alias(f"{side}_costly"))
-    pairs = found.where("a != b").join(lost("a"), ["a", "a_tag"], "left").join(lost("b"), ["b", "b_tag"], "left")
-    bad = lambda side: F.col(f"{side}_tag").bitwiseAND(1023) + F.coalesce(F.col(f"{side}_costly"), F.lit(0))
-    enough = bands.slack_column(F.shiftright("a_tag", 10)) + 1 - F.least(bad("a"), bad("b"))
-    return pairs.where(F.col("n") >= enough).select("a", "b").distinct(), crowded
+    rows = rows.select("key", "component", *(F.col(c).cast("long").alias(c) for c in held))
+    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(run, schema)
 
 
-def _gathered(blocks, rows: int = 50_000):
+def _gathered(blocks, names: list[str], rows: int = 50_000):
     """Small blocks of arrays as larger record batches."""
     held, n = [], 0
     for block in blocks:
         held.append(block)
         n += len(block[0])
         if n >= rows:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*held, strict=True)], ["a", "b", "a_tag", "b_tag"])
+            yield _rows_of(held, names)
             held, n = [], 0
     if held:
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*held, strict=True)], ["a", "b", "a_tag", "b_tag"])
-
-
-def _holding(df: DataFrame, column: str, ids: DataFrame, n: int) -> DataFrame:
-    """Rows whose column is among ids, and a few others: what a join need not move."""
-    wanted = df.sparkSession.sparkContext.broadcast(id_set(ids, ids.columns[0], n))
-    at = df.columns.index(column)
-
-    def run(batches):
-        for batch in batches:
-            yield batch.filter(pa.array(wanted.value.holds(np.asarray(batch.column(at)))))
-
-    return df.mapInArrow(run, df.schema)
-
-
-def _texts(spark: SparkSession, wanted: DataFrame, docs: DataFrame, reps: DataFrame, n: int) -> DataFrame:
-    """(cls, words) of wanted classes, each from the rows of its smallest doc_id."""
-    ids = materialize(wanted.select("cls").join(reps, "cls").select(F.coalesce("rep", F.lit(2**63 - 1)).alias("rep"), "cls"), "wanted")
-    held = spark.sparkContext.broadcast(id_set(ids, "rep", ids.count()))
-
-    def run(batches):
-        for batch in small_batches(batches):
-            part = batch.filter(pa.array(held.value.holds(np.asarray(batch.column(0)))))
-            joined = _lowered(part.column(1))
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([text_class(j) for j in joined], pa.int64()), pa.array([zlib.compress(j, 1) for j in joined], pa.binary())], ["rep", "cls", "words"])
-
-    rows = docs.select(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("rep"), "text").mapInArrow(run, "rep long, cls long, words binary")
-    return rows.join(ids, ["rep", "cls"], "left_semi").dropDuplicates(["rep", "cls"]).select("cls", "words")
-
-
-def _verified(spark: SparkSession, pairs: DataFrame, docs: DataFrame, reps: DataFrame, percent: int, n: int) -> DataFrame:
-    """The pairs (a, b) of classes that link.
-
-    Pairs that no sizes allow go first. The words of b are brought to a, whose words
-    are repeated for every PER_TEXT comparisons, so that no text's many partners
-    meet in one task."""
-    size = lambda side: reps.select(F.col("cls").alias(side), F.col("size").alias(f"{side}_size"))
-    fit = F.least("a_size", "b_size") * 100 >= F.greatest("a_size", "b_size") * percent
-    pairs = materialize(pairs.join(size("a"), "a").join(size("b"), "b").where(fit).select("a", "b"), "pairs")
-    parts = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / PER_TEXT).cast("long").alias("parts"))
-    texts = _texts(spark, pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct(), docs, reps, n)
-    texts = materialize(texts, "words")
-    hubs = texts.join(parts.withColumnRenamed("a", "cls"), "cls").select(F.col("cls").alias("a"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.lit(None).cast("long").alias("b"), "words")
-    dealt = pairs.join(parts, "a").select("a", F.pmod(F.xxhash64("b"), "parts").alias("part"), "b")
-    others = dealt.join(texts.withColumnRenamed("cls", "b"), "b").select("a", "part", "b", "words")
-
-    def compare(batches):
-        mine, tokens = None, None
-        for batch in small_batches(batches, 256):
-            out = []
-            for a, part, b, words in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                own = shingles(zlib.decompress(words), n)
-                if b is None:
-                    mine, tokens = (a, part), own
-                elif mine != (a, part):
-                    raise ValueError("words of a pair are missing")
-                else:
-                    both = len(np.intersect1d(tokens, own, assume_unique=True))
-                    if 100 * both >= percent * (len(tokens) + len(own) - both):
-                        out.append((a, b))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["a", "b"])
-
-    together = hubs.unionByName(others).repartition("a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first())
-    return together.mapInArrow(compare, "a long, b long")
+        yield _rows_of(held, names)
 
 
 def op5_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

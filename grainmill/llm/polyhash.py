@@ -21,6 +21,12 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
+def mix_one(x: int, y: int) -> int:
+    """Two signed 64-bit integers as one."""
+    pair = np.array([x, y], np.int64).view(np.uint64)
+    return int((mix(pair[:1]) + pair[1:]).view(np.int64)[0])
+
+
 class PolyHash:
     """One lane. Powers are kept and grown as longer buffers come."""
 
