@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import hashlib
 
-import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .polyhash import mix_one
@@ -38,8 +37,3 @@ class Classes:
     def clashes(self, reps: DataFrame) -> frozenset[int]:
         """Ids that have more than one check (low, high); at 10**11 texts some hundreds."""
         return frozenset(r.cls for r in reps.where("low < high").select("cls").collect())
-
-
-def described_class(texts: list[bytes], classes: Classes):
-    both = [classes.both(t) for t in texts]
-    return pa.array([a for a, _ in both], pa.int64()), pa.array([b for _, b in both], pa.int64())

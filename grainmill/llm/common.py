@@ -38,6 +38,8 @@ def scratch_root(spark: SparkSession) -> str:
     the cluster names it, or a folder of our own where it is unset (tests)."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         root = getattr(spark.sparkContext, "_grainmill_scratch", None)
         if root is None:
             root = spark.sparkContext._grainmill_scratch = "file://" + tempfile.mkdtemp(prefix="grainmill-scratch-")

@@ -31,11 +31,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .classes import Classes, described_class
+from .classes import Classes
 from .common import discard, materialize, ship, small_batches, table, text_bytes, worker_cache
 from .components import connected_components
-from .polyhash import PolyHash, joined_words, mix
-from .streams import group_blocks, id_set, shared_flags
+from .polyhash import PolyHash, canonical, mix, word_ends
+from .streams import id_set, mixed_flags, whole_groups
 
 SHINGLE, PERCENT = 5, 80
 #: Pairs a row that a group of equal contents may give before it is costly, and the
@@ -52,13 +52,32 @@ _NORMAL, _DELETED, _TOKEN = 1, 2, 3
 def shingles(joined: bytes, n: int = SHINGLE) -> np.ndarray:
     """Sorted distinct hashes of the n-word shingles of lower-cased joined words;
     of fewer words, the hash of all."""
-    _, start, end = joined_words(joined)
-    if not len(start):
-        return np.zeros(0, np.uint64)
+    return shingle_sets([joined], n)[0]
+
+
+def shingle_sets(texts: list[bytes], n: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+    """shingles() of all texts in a row, and how many each has."""
+    sizes = np.zeros(len(texts), np.int64)
+    which = [i for i, t in enumerate(texts) if t]
+    if not which:
+        return np.zeros(0, np.uint64), sizes
+    start, end = word_ends(buffer := b" ".join(texts[i] for i in which))
     hasher = worker_cache("jaccard-hash", lambda: PolyHash(31))
-    k = min(n, len(start))
-    prefix = hasher.prefix(np.frombuffer(joined, np.uint8))
-    return np.unique(hasher.ranges(prefix, start[: len(start) - k + 1], end[k - 1 :]))
+    words = np.array([texts[i].count(b" ") + 1 for i in which])
+    per = np.maximum(words - n + 1, 1)
+    stop = np.cumsum(per)
+    at = np.arange(stop[-1]) + np.repeat(np.cumsum(words) - words - stop + per, per)
+    found = hasher.ranges(hasher.prefix(np.frombuffer(buffer, np.uint8)), start[at], end[at + np.repeat(np.minimum(words, n), per) - 1])
+    for i, j in zip((stop - per).tolist(), stop.tolist(), strict=True):
+        found[i:j].sort()
+    new = np.concatenate(([True], found[1:] != found[:-1]))
+    new[stop[:-1]] = True
+    sizes[which] = np.add.reduceat(new, stop - per)
+    return found[new], sizes
+
+
+def lowered(texts: list[bytes]) -> list[bytes]:
+    return [canonical(t.lower()) for t in texts]
 
 
 def band_limits(most: int, percent: int) -> np.ndarray:
@@ -72,7 +91,7 @@ def band_limits(most: int, percent: int) -> np.ndarray:
 def segments(limit: int, percent: int) -> tuple[int, int, int]:
     """H, slack and the number of segments of a band of sets up to limit."""
     h = 2 * limit * (100 - percent) // (100 + percent)
-    slack = 0 if h == 0 else 1 + -(-h // 4)
+    slack = 0 if h == 0 else 1 + -(-h // 5)
     return h, slack, h + 1 + slack
 
 
@@ -87,21 +106,19 @@ def contents(tokens: np.ndarray, band: int, m: int) -> tuple[np.ndarray, np.ndar
     return of, size, total
 
 
-def _key(space: int, band: int, segment: np.ndarray, total: np.ndarray) -> np.ndarray:
-    salt = np.uint64(((space << 16) + band) * 0x9E3779B1 & (2**64 - 1))
+def _key(space: int, band, segment: np.ndarray, total: np.ndarray) -> np.ndarray:
+    salt = np.asarray((space << 16) + band).astype(np.uint64) * np.uint64(0x9E3779B1)
     return mix(total + mix(segment.astype(np.uint64) + (salt << np.uint64(24)))).view(np.int64)
 
 
 class Bands:
     def __init__(self, percent: int):
         self.percent, self.limits = percent, band_limits(2**31, percent)
+        self.m = np.array([segments(int(x), percent)[2] for x in self.limits])
 
     def slack(self, band: int) -> int:
         return segments(int(self.limits[band]), self.percent)[1]
 
-    def slack_column(self, band):
-        return F.element_at(F.array(*(F.lit(self.slack(i)) for i in range(len(self.limits)))), band + 1)
-
     def of(self, size: int) -> list[int]:
         """The bands a set of this size is indexed in."""
         own = int(np.searchsorted(self.limits, size))
@@ -109,10 +126,26 @@ class Bands:
 
     def normal(self, tokens: np.ndarray, band: int) -> tuple[np.ndarray, int]:
         """Keys of the non-empty segments, and how many are empty."""
-        _, _, m = segments(int(self.limits[band]), self.percent)
-        _, size, total = contents(tokens, band, m)
+        keys, n = self.normal_sets(tokens, np.array([len(tokens)]), np.array([band]))
+        return keys, segments(int(self.limits[band]), self.percent)[2] - int(n[0])
+
+    def normal_sets(self, tokens: np.ndarray, sizes: np.ndarray, bands: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Keys of the non-empty segments of sets in a row, and how many each has."""
+        own = np.repeat(np.arange(len(sizes)), sizes)
+        m = self.m[bands]
+        first = np.cumsum(m) - m
+        of = first[own] + (mix(tokens ^ (np.uint64(0x51ED27) * (bands + 1).astype(np.uint64))[own]) % m[own].astype(np.uint64)).astype(np.int64)
+        size, total = np.bincount(of, minlength=int(m.sum())), np.zeros(int(m.sum()), np.uint64)
+        np.add.at(total, of, mix(tokens + np.uint64(0xA5A5A5A5)))
         full = np.flatnonzero(size)
-        return _key(_NORMAL, band, full, total[full]), m - len(full)
+        own = np.searchsorted(first, full, "right") - 1
+        return _key(_NORMAL, bands[own], full - first[own], total[full]), np.bincount(own, minlength=len(sizes))
+
+    def needed(self, size: int, band: int, filled: int) -> int:
+        """Non-empty segments that a set shares with any that it links to: those that
+        remain when each token by which the larger partner may differ spoils one."""
+        partner = min(int(self.limits[band]), size * 100 // self.percent)
+        return filled - (size + partner) * (100 - self.percent) // (100 + self.percent)
 
     def deleted(self, tokens: np.ndarray, band: int) -> np.ndarray:
         """Keys of non-empty contents and of those less one token; with too few of
@@ -127,10 +160,6 @@ class Bands:
         return np.unique(np.concatenate(keys))
 
 
-def _lowered(column) -> list[bytes]:
-    return [b" ".join(t.lower().split()) for t in text_bytes(column)]
-
-
 def similar_components(docs: DataFrame, percent: int = PERCENT, n: int = SHINGLE, costly: int = COSTLY) -> DataFrame:
     """doc_id, n_shingles and component_id, a row per row of docs.
 
@@ -158,30 +187,22 @@ def linked_classes(docs: DataFrame, percent: int = PERCENT, n: int = SHINGLE, co
     ship(spark)
     bands = Bands(percent)
     docs = docs.select("doc_id", "text")
-    own, reps, classes = _described(docs, n)
+    classes = Classes()
+    while True:
+        shared = _shared(docs, classes, bands, n)
+        noted = lambda kind: shared.where((F.col("tag") < 0) & (F.pmod(-1 - F.col("tag"), F.lit(3)) == kind))  # noqa: E731, B023
+        value = F.floor((-1 - F.col("tag")) / 3).cast("long")
+        own = noted(_ROW).select(F.when(value % 2 == 0, F.col("key")).alias("doc_id"), "cls", F.floor(value / 2).cast("long").alias("n_shingles"))
+        reps = own.where("n_shingles > 0").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("size"))
+        checks = noted(_CHECK).groupBy("cls").agg(F.min("key").alias("low"), F.max("key").alias("high"))
+        if not (clashing := classes.clashes(checks)):
+            break
+        discard(shared)
+        classes = Classes(clashing, classes.bits)
+    own, reps = materialize(own, "rows"), materialize(reps, "classes")
     work = _Work(spark, docs, reps, classes, bands, n)
-
-    def keys(batches):
-        seen: set[int] = set()
-        for batch in small_batches(batches, 128):
-            out = []
-            for joined in _lowered(batch.column(0)):
-                cls = classes.of(joined)
-                tokens = shingles(joined, n) if cls not in seen else ()
-                if len(tokens):
-                    if len(seen) < REMEMBERED:
-                        seen.add(cls)
-                    for band in bands.of(len(tokens)):
-                        k, empty = bands.normal(tokens, band)
-                        tag = band << 32 | empty
-                        tags = np.full(len(k), tag)
-                        if empty > bands.slack(band):  # a note that the set is heavy here
-                            k, tags = np.append(k, cls), np.append(tags, -1 - tag)
-                        out.append((k, np.full(len(k), cls), tags))
-            if out:
-                yield _rows_of(out)
-
-    heavy = work.by_contents(docs.select("text").mapInArrow(keys, ROWS), costly)
+    heavy = work.by_contents(shared.where("tag >= 0"), noted(_HEAVY).select("cls", value.alias("tag")), costly)
+    discard(shared)
     if not heavy.isEmpty():
         work.by_deletions(heavy, costly)
     discard(heavy)
@@ -190,33 +211,64 @@ def linked_classes(docs: DataFrame, percent: int = PERCENT, n: int = SHINGLE, co
 
 
 ROWS = "key long, cls long, tag long"
+#: Kinds of notes among the rows, whose tag is -1 - (3 * value + kind): a row of docs with
+#: its doc_id as key, a class's check as key, a set that has too few contents in a band.
+_ROW, _CHECK, _HEAVY = 0, 1, 2
 
 
 def _rows_of(parts: list[tuple], names=("key", "cls", "tag")):
     return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*parts, strict=True)], list(names))
 
 
-def _described(docs: DataFrame, n: int) -> tuple[DataFrame, DataFrame, Classes]:
-    """Rows with their class and set size, the classes, and how classes are told."""
-    def run(classes: Classes):
-        def described(batches):
-            for batch in small_batches(batches, 512):
-                joined = _lowered(batch.column(1))
-                ids, checks = described_class(joined, classes)
-                yield pa.RecordBatch.from_arrays([batch.column(0), ids, checks, pa.array([len(shingles(j, n)) for j in joined], pa.int64())], ["doc_id", "cls", "check", "n_shingles"])
-
-        own = materialize(docs.mapInArrow(described, "doc_id long, cls long, check long, n_shingles long"), "described")
-        reps = own.where("n_shingles > 0").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("size"), F.min("check").alias("low"), F.max("check").alias("high"))
-        return own, materialize(reps, "classes")
+def _shared(docs: DataFrame, classes: Classes, bands: Bands, n: int) -> DataFrame:
+    """Keys of all sets in their bands that two sets or more have, with notes of all rows
+    and classes. A tag holds the band and how many contents a set needs to share."""
+    def keys(batches):
+        seen: dict[int, int] = {}
+        for batch in small_batches(batches, 128):
+            texts = lowered(text_bytes(batch.column(1)))
+            both = [classes.both(t) for t in texts]
+            cls = np.array([c for c, _ in both])
+            new = [i for i, (c, _) in enumerate(both) if c not in seen]
+            tokens, sizes = shingle_sets([texts[i] for i in new], n)
+            if len(seen) < REMEMBERED:
+                seen.update(zip(cls[new].tolist(), sizes.tolist(), strict=True))
+            size = np.array([seen[c] if c in seen else -1 for c in cls.tolist()])
+            size[new] = sizes
+            ids = batch.column(0)
+            nothing = np.asarray(ids.is_null())
+            out = [(np.asarray(ids.fill_null(0)), cls, -1 - (3 * (2 * size + nothing) + _ROW))]
+            out.append((np.array([both[i][1] for i in new], np.int64), cls[new], np.full(len(new), -1 - _CHECK)))
+            out += _set_rows(bands, cls[new], tokens, sizes)
+            yield _rows_of(out)
 
-    classes = Classes()
-    own, reps = run(classes)
-    if clashing := classes.clashes(reps):
-        discard(own)
-        discard(reps)
-        classes = Classes(clashing)
-        own, reps = run(classes)
-    return own.drop("check"), reps.drop("low", "high"), classes
+    def grouped(batches):
+        for columns, flags in mixed_flags(batches, 1):
+            flags |= columns[2] < 0
+            if flags.any():
+                key, cls, tag = (c[flags] for c in columns)
+                order = np.lexsort((cls, key))  # copies of a text come from several tasks
+                key, cls, tag = key[order], cls[order], tag[order]
+                once = np.concatenate(([True], (key[1:] != key[:-1]) | (cls[1:] != cls[:-1]))) | (tag < 0)
+                yield _rows_of([(key[once], cls[once], tag[once])])
+
+    rows = docs.mapInArrow(keys, ROWS).repartition("key").sortWithinPartitions("key")
+    return materialize(rows.mapInArrow(grouped, ROWS), "shared")
+
+
+def _set_rows(bands: Bands, cls: np.ndarray, tokens: np.ndarray, sizes: np.ndarray) -> list[tuple]:
+    """(key, class, tag) of sets in a row, in each of their bands, and notes of heavy ones."""
+    ends = np.cumsum(sizes)
+    of = [(i, band) for i, size in enumerate(sizes.tolist()) if size for band in bands.of(size)]
+    if not of:
+        return []
+    which, band = (np.array(x) for x in zip(*of, strict=True))
+    again = np.concatenate([tokens[ends[i] - sizes[i] : ends[i]] for i in which])
+    keys, filled = bands.normal_sets(again, sizes[which], band)
+    needed = np.array([bands.needed(s, b, f) for s, b, f in zip(sizes[which].tolist(), band.tolist(), filled.tolist(), strict=True)])
+    tag = band << 32 | np.maximum(needed, 0)
+    heavy = needed <= 0
+    return [(keys, np.repeat(cls[which], filled), np.repeat(tag, filled)), (cls[which][heavy], cls[which][heavy], -1 - (3 * tag[heavy] + _HEAVY))]
 
 
 class _Work:
@@ -227,41 +279,33 @@ class _Work:
         self.components: DataFrame | None = None
         self.texts: DataFrame | None = None
 
-    def needed(self, tag: str = "tag"):
-        """Segments, less the empty ones, that a set shares with any that it links to."""
-        return self.bands.slack_column(F.shiftright(tag, 32).cast("int")) + 1 - F.col(tag).bitwiseAND(2**32 - 1)
-
     def rooted(self, rows: DataFrame) -> DataFrame:
         """With the component of column cls."""
         return rows.join(self.components, "cls", "left").withColumn("component", F.coalesce("component", "cls"))
 
-    def by_contents(self, rows: DataFrame, costly: int) -> DataFrame:
+    def by_contents(self, shared: DataFrame, notes: DataFrame, costly: int) -> DataFrame:
         """Links of sets of which one is not heavy; (cls, bands) of the heavy ones."""
-        shared = _shared(rows)
-        notes = shared.where("tag < 0").select("cls", (-1 - F.col("tag")).alias("tag"))
-        sets = shared.where("tag >= 0").groupBy("cls", "tag").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= self.needed())
+        sets = shared.groupBy("cls", "tag").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= _needed())
         likely = materialize(shared.join(sets, ["cls", "tag"]), "likely")
         self.texts = self._texts(likely.select("cls").union(notes.select("cls")).distinct())
 
         # each set with the one of its group that shares most of its contents
-        weight = F.struct((F.col("n") / F.shiftright("tag", 32)).alias("n"), "cls")
-        hubs = likely.groupBy("key").agg(F.max(weight)["cls"].alias("hub"), F.min("cls").alias("low"), F.max("cls").alias("high")).where("low < high").select("key", "hub")
+        hubs = likely.groupBy("key").agg(F.max(F.struct("n", "cls"))["cls"].alias("hub"), F.min("cls").alias("low"), F.max("cls").alias("high")).where("low < high").select("key", "hub")
         grouped = materialize(likely.join(hubs, "key").select("key", "cls", "tag", "hub"), "grouped")
-        pairs = grouped.where("hub != cls").groupBy("hub", "cls", "tag").agg(F.count(F.lit(1)).alias("n")).where(2 * F.col("n") >= self.needed())
+        pairs = grouped.where("hub != cls").groupBy("hub", "cls", "tag").agg(F.count(F.lit(1)).alias("n")).where(2 * F.col("n") >= _needed())
         self.link(pairs.select(F.col("hub").alias("a"), F.col("cls").alias("b")).distinct())
         discard(likely)
 
         spread = _costs(self.rooted(grouped.select("key", "cls", "tag")), costly)
-        enough = spread.groupBy("cls", "tag").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("costly").cast("int")).alias("lost")).where(F.col("n") >= self.needed())
+        enough = spread.groupBy("cls", "tag").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("costly").cast("int")).alias("lost")).where(F.col("n") >= _needed())
         open_rows = materialize(spread.join(enough, ["cls", "tag"]).select("key", "component", "cls", "tag", "costly", "lost"), "open")
         discard(grouped)
         found = _across(open_rows.where("not costly"), ("cls", "tag", "lost")).groupBy("a_cls", "b_cls", "a_tag", "b_tag", "a_lost", "b_lost").agg(F.count(F.lit(1)).alias("n"))
-        enough = F.greatest(self.needed("a_tag") - F.col("a_lost"), self.needed("b_tag") - F.col("b_lost"))
+        enough = F.greatest(_needed("a_tag") - F.col("a_lost"), _needed("b_tag") - F.col("b_lost"))
         self.link(found.where(F.col("n") >= enough).select(F.col("a_cls").alias("a"), F.col("b_cls").alias("b")).distinct())
-        heavy = open_rows.where(self.needed() <= F.col("lost")).select("cls", "tag").union(notes)
+        heavy = open_rows.where(_needed() <= F.col("lost")).select("cls", "tag").union(notes)
         heavy = materialize(heavy.groupBy("cls").agg(F.collect_set(F.shiftright("tag", 32).cast("int")).alias("bands")), "heavy")
         discard(open_rows)
-        discard(shared)
         return heavy
 
     def by_deletions(self, heavy: DataFrame, costly: int) -> None:
@@ -280,7 +324,13 @@ class _Work:
                 if out:
                     yield _rows_of(out)
 
-        shared = _shared(self.texts.join(heavy, "cls").select("words", "bands").mapInArrow(deleted, ROWS))
+        def grouped(batches):
+            for columns, flags in mixed_flags(batches, 1):
+                if flags.any():
+                    yield _rows_of([tuple(c[flags] for c in columns)])
+
+        rows = self.texts.join(heavy, "cls").select("words", "bands").mapInArrow(deleted, ROWS)
+        shared = materialize(rows.repartition("key").sortWithinPartitions("key").mapInArrow(grouped, ROWS), "shared")
         spread = materialize(_costs(self.rooted(shared), costly), "open")
         discard(shared)
         found = _across(spread.where("not costly"), ("cls",))
@@ -342,7 +392,7 @@ class _Work:
         def run(batches):
             for batch in small_batches(batches):
                 part = batch.filter(pa.array(held.value.holds(np.asarray(batch.column(0)))))
-                joined = _lowered(part.column(1))
+                joined = lowered(text_bytes(part.column(1)))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([classes.of(j) for j in joined], pa.int64()), pa.array([zlib.compress(j, 1) for j in joined], pa.binary())], ["rep", "cls", "words"])
 
         rows = self.docs.select(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("rep"), "text").mapInArrow(run, "rep long, cls long, words binary")
@@ -395,18 +445,8 @@ class _Work:
         return together.mapInArrow(compare, "a long, b long, linked boolean, v long, apart array<long>")
 
 
-def _shared(rows: DataFrame) -> DataFrame:
-    """Distinct rows of the groups of equal keys that have two sets or more, and notes."""
-    def grouped(batches):
-        last = None
-        for columns, flags, _ in shared_flags(batches, 1):
-            new = np.concatenate(([last != [c[0] for c in columns]], np.logical_or.reduce([c[1:] != c[:-1] for c in columns])))
-            last = [c[-1] for c in columns]
-            flags = new & (flags | (columns[2] < 0))
-            if flags.any():
-                yield pa.RecordBatch.from_arrays([pa.array(c[flags]) for c in columns], ["key", "cls", "tag"])
-
-    return materialize(rows.repartition("key").sortWithinPartitions("key", "cls", "tag").mapInArrow(grouped, ROWS), "shared")
+def _needed(tag: str = "tag"):
+    return F.col(tag).bitwiseAND(2**32 - 1)
 
 
 def _costs(rows: DataFrame, costly: int) -> DataFrame:
@@ -421,63 +461,47 @@ def _costs(rows: DataFrame, costly: int) -> DataFrame:
 def _across(rows: DataFrame, held: tuple[str, ...], within: bool = False) -> DataFrame:
     """Pairs of rows of one key and different components: the held columns of each,
     as a_ and b_, where a has the smaller cls. With `within` only those of which
-    each one's v is at most the other's reach."""
+    each one's v is at most the other's reach (the last two held)."""
     names = [f"{side}_{c}" for side in "ab" for c in held]
-    schema = ", ".join(f"{c} long" for c in names)
-
-    def pairs(component, cls, *rest):
-        order = np.argsort(-rest[-1], kind="stable") if within else np.arange(len(cls))
-        component, columns = component[order], [c[order] for c in (cls, *rest)]
-        for i in range(len(cls) - 1):
-            top = len(cls)
-            if within:  # by falling reach, so the partners that reach are a prefix
-                top = int(np.searchsorted(-columns[-1], -columns[-2][i], "right"))
-            other = component[i + 1 : top] != component[i]
+
+    def pairs(columns):
+        key, component, cls, *rest = columns
+        start = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+        size = np.diff(np.append(start, len(key)))
+        top = np.repeat(start + size, size)  # a row meets those behind it, up to here
+        if within:  # by falling reach, so those that reach a row are the first of its group
+            v, reach = rest[-2:]
+            for a, n in zip(start[size > 64].tolist(), size[size > 64].tolist(), strict=True):
+                top[a : a + n] = a + np.searchsorted(-reach[a : a + n], -v[a : a + n], "right")
+        later = np.maximum(top - np.arange(len(key)) - 1, 0)
+        for a, b in _cuts(later, 1 << 20):
+            i = np.repeat(np.arange(a, b), later[a:b])
+            j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(later[a:b]) - later[a:b], later[a:b])
+            good = component[i] != component[j]
             if within:
-                other &= columns[-2][i + 1 : top] <= columns[-1][i]
-            at = np.flatnonzero(other) + i + 1
-            if len(at):
-                swap = columns[0][at] < columns[0][i]
-                yield [np.where(swap, c[at], c[i]) for c in columns] + [np.where(swap, c[i], c[at]) for c in columns]
+                good &= (v[j] <= reach[i]) & (v[i] <= reach[j])
+            i, j = i[good], j[good]
+            if len(i):
+                i, j = np.where(cls[i] < cls[j], i, j), np.where(cls[i] < cls[j], j, i)
+                yield _rows_of([tuple(c[k] for k in (i, j) for c in (cls, *rest))], names)
 
     def run(batches):
-        parts: list[list[np.ndarray]] = []
-
-        def finish():
-            columns = [np.concatenate(c) for c in zip(*parts, strict=True)]
-            parts.clear()
-            return pairs(*columns)
-
-        def whole():
-            for columns, group, head in group_blocks(batches, 1):
-                if parts and not head:
-                    yield from finish()
-                cuts = np.flatnonzero(np.diff(group)) + 1
-                blocks = list(zip(*(np.split(c, cuts) for c in columns[1:]), strict=True))
-                for i, block in enumerate(blocks):
-                    parts.append(list(block))
-                    if i < len(blocks) - 1:
-                        yield from finish()
-            if parts:
-                yield from finish()
-
-        return _gathered(whole(), names)
+        for columns in whole_groups(batches):
+            yield from pairs(columns)
 
+    order = ["key", F.desc("reach")] if within else ["key"]
     rows = rows.select("key", "component", *(F.col(c).cast("long").alias(c) for c in held))
-    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(run, schema)
-
-
-def _gathered(blocks, names: list[str], rows: int = 50_000):
-    """Small blocks of arrays as larger record batches."""
-    held, n = [], 0
-    for block in blocks:
-        held.append(block)
-        n += len(block[0])
-        if n >= rows:
-            yield _rows_of(held, names)
-            held, n = [], 0
-    if held:
-        yield _rows_of(held, names)
+    return rows.repartition("key").sortWithinPartitions(*order).mapInArrow(run, ", ".join(f"{c} long" for c in names))
+
+
+def _cuts(weights: np.ndarray, most: int):
+    """Ranges of rows whose weights sum up to some `most`."""
+    total = np.cumsum(weights)
+    a = 0
+    while a < len(weights):
+        b = max(a + 1, int(np.searchsorted(total, (total[a - 1] if a else 0) + most, "right")))
+        yield a, b
+        a = b
 
 
 def op5_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

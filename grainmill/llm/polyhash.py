@@ -70,11 +70,25 @@ def words_of(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def joined_words(text: bytes) -> tuple[bytes, np.ndarray, np.ndarray]:
     """Words joined by single spaces, and their starts and ends in that."""
-    words = text.split()
-    joined = b" ".join(words)
-    data = np.frombuffer(joined, np.uint8)
-    gaps = np.flatnonzero(data == 32)
-    if not words:
+    joined = canonical(text)
+    return joined, *word_ends(joined)
+
+
+def canonical(text: bytes) -> bytes:
+    """The words of a text joined by single spaces."""
+    data = np.frombuffer(text, np.uint8)
+    space = (data == 32) | ((data >= 9) & (data <= 13))
+    keep = ~space
+    keep[1:] |= ~space[:-1]
+    out = data[keep]
+    out[space[keep]] = 32
+    return out.tobytes().rstrip(b" ")
+
+
+def word_ends(joined: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of words that are joined by single spaces."""
+    if not joined:
         none = np.zeros(0, np.int64)
-        return joined, none, none
-    return joined, np.concatenate(([0], gaps + 1)), np.concatenate((gaps, [len(joined)]))
+        return none, none
+    gaps = np.flatnonzero(np.frombuffer(joined, np.uint8) == 32)
+    return np.concatenate(([0], gaps + 1)), np.concatenate((gaps, [len(joined)]))

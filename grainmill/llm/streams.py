@@ -75,6 +75,54 @@ def shared_flags(batches, n_keys: int):
         yield held, np.full(len(held[0]), False), np.full(len(held[0]), first)
 
 
+def mixed_flags(batches, n_keys: int):
+    """From batches sorted by n_keys columns, followed by a member column in any order,
+    yield for each row whether its group has another member: (columns, flags). Of a
+    group that may go on and has had one member only, one row is held back; its other
+    rows, copies of that, are left out."""
+    held = None
+    mixed = False
+    for columns, group, head in group_blocks(batches, n_keys):
+        member = columns[n_keys]
+        starts = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))
+        firsts = member[starts].copy()
+        if held is not None and head:
+            firsts[0] = held[n_keys][0]
+        many = np.logical_or.reduceat(member != firsts[group], starts)
+        if head:
+            many[0] |= mixed
+        if held is not None and (not head or many[0] or len(starts) > 1):
+            yield held, np.array([bool(head and many[0])])
+            held = None
+        mixed = bool(many[-1])
+        at = len(member) if mixed else int(starts[-1])
+        if at:
+            yield [c[:at] for c in columns], many[group[:at]]
+        if not mixed and held is None:
+            held = [c[at : at + 1] for c in columns]
+    if held is not None:
+        yield held, np.array([False])
+
+
+def whole_groups(batches):
+    """Blocks of whole groups, as lists of arrays, from batches sorted by the first column."""
+    parts: list[list[np.ndarray]] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = [np.asarray(c) for c in batch.columns]
+        key = columns[0]
+        cut = int(np.searchsorted(key, key[-1]))  # where the last group begins
+        if parts and (cut or parts[-1][0][-1] != key[0]):
+            yield [np.concatenate(c) for c in zip(*parts, [c[:cut] for c in columns], strict=True)]
+            parts = []
+        elif cut:
+            yield [c[:cut] for c in columns]
+        parts.append([c[cut:] for c in columns])
+    if parts:
+        yield [np.concatenate(c) for c in zip(*parts, strict=True)]
+
+
 #: log2 of the bits of an id set, bounds; 16 MB at most.
 LEAST, MOST = 16, 27
 
