@@ -1,29 +1,43 @@
 """Global running sums without a single-partition sort of all rows.
 
-Keys are dealt in blocks of equal width; a window runs inside each block, and only
-the blocks' totals (one row per block) are summed in one place.
+The range of the keys, whatever it is, is dealt in a fixed number of blocks of equal
+width; a window runs inside each block, and only the blocks' totals (one row a block)
+are summed in one place. Both the window and the totals stand on one exchange.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Blocks of the range of the keys: more than a large cluster's cores, few for one window.
+BLOCKS = 4096
+
 
-def running_sum(df: DataFrame, key: str, value: Column, out: str, width: int = 65536, within: list[str] | None = None) -> DataFrame:
+def running_sum(df: DataFrame, key: str, value: Column, out: str, within: list[str] | None = None, blocks: int = BLOCKS) -> DataFrame:
     """df with the sum of value over all rows of smaller key (ties in no order; keys
-    should be unique) as a bigint column. key is an integer column; within: columns
-    whose groups are summed each on their own."""
+    should be unique) as a bigint column. key is an integer column, whose nulls come
+    first; a null value counts as 0; within: columns whose groups, also those of
+    nulls, are summed each on their own. Carry no wide columns through it: sum over
+    keys and sizes and join the result."""
     groups = within or []
-    staged = df.withColumns({"_block": F.floor(F.col(key) / width).cast("long"), "_value": value.cast("long")})
-    before = Window.partitionBy(*groups, "_block").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
+    ends = df.agg(F.struct(F.min(key).cast("double").alias("low"), F.max(key).cast("double").alias("high")).alias("ends")).scalar()
+    width = F.greatest(F.floor((ends["high"] - ends["low"]) / blocks) + 1, F.lit(1.0))
+    block = F.coalesce(F.floor((F.col(key).cast("double") - ends["low"]) / width), F.lit(-1)).cast("long")
+    staged = df.withColumns({"_block": block, "_value": F.coalesce(value.cast("long"), F.lit(0))}).repartition(*groups, "_block")
+    before = Window.partitionBy(*groups, "_block").orderBy(F.col(key).asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
     local = staged.withColumn("_local", F.coalesce(F.sum("_value").over(before), F.lit(0)))
     totals = staged.groupBy(*groups, "_block").agg(F.sum("_value").alias("_total"))
-    blocks = Window.partitionBy(*(groups or [F.lit(0)])).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.withColumn("_offset", F.coalesce(F.sum("_total").over(blocks), F.lit(0))).drop("_total")
-    return local.join(offsets, [*groups, "_block"]).withColumn(out, (F.col("_local") + F.col("_offset")).cast("long")).drop("_block", "_value", "_local", "_offset")
+    all_blocks = Window.partitionBy(*(groups or [F.lit(0)])).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.withColumn("_offset", F.coalesce(F.sum("_total").over(all_blocks), F.lit(0))).drop("_total")
+    names = {c: f"_of_{i}" for i, c in enumerate([*groups, "_block"])}
+    offsets = offsets.withColumnsRenamed(names)
+    same = reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(F.col(n)) for c, n in names.items()))
+    return local.join(offsets, same).withColumn(out, (F.col("_local") + F.col("_offset")).cast("long")).drop("_value", "_local", "_offset", "_block", *names.values())
 
 
-def position(df: DataFrame, key: str, out: str = "pos", width: int = 65536, within: list[str] | None = None) -> DataFrame:
+def position(df: DataFrame, key: str, out: str = "pos", within: list[str] | None = None, blocks: int = BLOCKS) -> DataFrame:
     """df with the 0-based position of each row by key."""
-    return running_sum(df, key, F.lit(1), out, width, within)
+    return running_sum(df, key, F.lit(1), out, within, blocks)

@@ -75,7 +75,9 @@ def spectral_std(std: float, fan_in: Column, fan_out: Column) -> Column:
 
 
 def init_scale(method: Column, layers: Column) -> Column:
-    return F.when(method == "NUM_LAYERS", F.sqrt(2.0 * layers)).when(method == "NONE", F.lit(1.0))
+    """By name; scaling by a layer's index or the model's size is planned, not defined."""
+    undefined = F.raise_error(F.concat(F.lit("no init scale is defined for "), method)).cast("double")
+    return F.when(method == "NUM_LAYERS", F.sqrt(2.0 * layers)).when(method == "NONE", F.lit(1.0)).otherwise(undefined)
 
 
 def fp8_scale(amax: Column, scale: Column, most: float, margin: float = 0.0) -> Column:
@@ -104,3 +106,13 @@ def erf(x: Column) -> Column:
     t = 1 / (1 + 0.3275911 * F.abs(x))
     poly = t * (0.254829592 + t * (-0.284496736 + t * (1.421413741 + t * (-1.453152027 + t * 1.061405429))))
     return F.signum(x) * (1 - poly * F.exp(-x * x))
+
+
+def gbps(n_bytes: Column, seconds: Column) -> Column:
+    return n_bytes * 8 / seconds / 1e9
+
+
+def throughput(sequences: Column, length: int, seconds: Column, devices: int, steps_left: Column) -> dict[str, Column]:
+    """Rates of a step of so many sequences, and the time that the steps left take."""
+    rate = sequences * length / seconds
+    return {"tokens_per_s": rate, "per_gpu": rate / devices, "eta_s": steps_left * seconds}

@@ -22,19 +22,6 @@ def greedy_pattern(weights: list[int], n: int) -> list[int]:
     return out
 
 
-def greedy_pattern_float(weights: list[float], n: int) -> list[int]:
-    """The same in float64 with weights divided by their sum, as an engine that
-    compares floats decides ties."""
-    w = np.asarray(weights, np.float64)
-    w = w / w.sum()
-    counts, out = np.zeros(len(w)), []
-    for i in range(n):
-        best = int(np.argmax(w * max(i, 1) - counts))
-        counts[best] += 1
-        out.append(best)
-    return out
-
-
 def integer_weights(weights: list[float]) -> list[int]:
     """Smallest integers in the same proportion as decimal weights."""
     exact = [Fraction(str(w)) for w in weights]
@@ -106,6 +93,35 @@ def shuffled_position(df: DataFrame, key: Column, out: str, group: list[str] | N
     return staged.withColumn("_r", own).join(offsets, [*group, "_b"]).withColumn(out, (F.col("_r") - 1 + F.col("_o")).cast("long")).drop("_k", "_b", "_r", "_o")
 
 
+def domain_slots(counts: DataFrame, total: int, key: str = "key", weight: str = "weight") -> DataFrame:
+    """counts with n_samples: each domain's part of a batch of `total`, by largest
+    remainders, at least one; what that takes too much comes off the largest, down to
+    one, then off the next. The domains are few, a row each; a batch has room for all."""
+    own = largest_remainder(counts, total, weight, key).withColumn("n_samples", F.greatest("n_samples", F.lit(1)))
+    over = F.sum("n_samples").over(Window.partitionBy(F.lit(0))) - total
+    larger = Window.partitionBy(F.lit(0)).orderBy(F.col("n_samples").desc(), key).rowsBetween(Window.unboundedPreceding, -1)
+    spare = F.col("n_samples") - 1
+    taken = F.greatest(F.least(over - F.coalesce(F.sum(spare).over(larger), F.lit(0)), spare), F.lit(0))
+    return own.withColumn("n_samples", (F.col("n_samples") - taken).cast("long"))
+
+
+def domain_batches(docs: DataFrame, slots: DataFrame, domain: str, micro: int, ranks: int, n_micro: int) -> DataFrame:
+    """(doc_id, domain, step, rank, micro_batch, slot): every step takes each domain's
+    next documents, the domains in a row, cut by rank and then by micro-batch; all stop
+    when the first domain has run out. slots: domain, n_samples (a row per domain)."""
+    from ..functions.prefix import position
+
+    earlier = slots.select(F.col(domain).alias("_d"), F.col("n_samples").alias("_before"))
+    offsets = slots.join(F.broadcast(earlier), F.col("_d") < F.col(domain), "left").groupBy(domain, "n_samples").agg(F.coalesce(F.sum("_before"), F.lit(0)).alias("_offset"), F.count("_d").alias("domain_idx"))
+    sizes = offsets.join(docs.groupBy(domain).agg(F.count(F.lit(1)).alias("_n")), domain)
+    steps = sizes.agg(F.min(F.floor(F.col("_n") / F.col("n_samples")))).scalar()
+    numbered = position(docs.select("doc_id", domain), "doc_id", "_k", within=[domain]).join(sizes, domain)
+    at = F.col("_offset") + F.col("_k") % F.col("n_samples")
+    own = numbered.withColumns({"step": F.floor(F.col("_k") / F.col("n_samples")).cast("long"), "_at": at}).where(F.col("step") < steps)
+    per_rank = micro * n_micro
+    return own.select("doc_id", domain, "domain_idx", "step", F.floor(F.col("_at") / per_rank).cast("long").alias("rank"), F.floor(F.col("_at") % per_rank / micro).cast("long").alias("micro_batch"), (F.col("_at") % micro).cast("long").alias("slot")).where(F.col("rank") < ranks)
+
+
 def legacy_permutation(n: int, seed: int) -> np.ndarray:
     """numpy's frozen legacy shuffle, for runs that must repeat such an order."""
     order = np.arange(n)

@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.prefix import running_sum
-from ..functions.tokens import ceil_div, char_count, floor_div
+from ..functions.tokens import ceil_div, char_count, floor_div, fraction_of, shuffle_key
 
 
 def spans(docs: DataFrame, count=None, key: str = "doc_id", within: list[str] | None = None) -> DataFrame:
-    """docs with the half-open token range [start, stop) in their concatenation."""
+    """(key, within, n_tokens, start, stop): each document's half-open token range in
+    their concatenation. Texts stay behind: only keys and sizes are moved."""
     n = char_count(F.col("text")) if count is None else count
-    return running_sum(docs.withColumn("n_tokens", n), key, F.col("n_tokens"), "start", within=within).withColumn("stop", F.col("start") + F.col("n_tokens"))
+    sized = docs.select(key, *(within or []), n.alias("n_tokens"))
+    return running_sum(sized, key, F.col("n_tokens"), "start", within=within).withColumn("stop", F.col("start") + F.col("n_tokens"))
 
 
 def sample_index(docs: DataFrame, length: int, extra: int = 1) -> DataFrame:
@@ -22,27 +24,32 @@ def sample_index(docs: DataFrame, length: int, extra: int = 1) -> DataFrame:
     Each document yields the sample ids that start in it, so no range join is
     needed; with extra=0 a start on a boundary counts to the document before."""
     ranged = spans(docs.select("doc_id", "text")).where("n_tokens > 0")
-    total = ranged.agg(F.sum("n_tokens").alias("total"))
+    total = ranged.agg(F.sum("n_tokens")).scalar()
     shift = 0 if extra else 1
     first = F.greatest(ceil_div(F.col("start") + shift, length), F.lit(0))
     first = F.when((F.col("start") == 0), F.lit(0)).otherwise(first).cast("long")
-    last = F.least(floor_div(F.col("stop") - 1 + shift, length), floor_div(F.col("total") - extra, length))
-    held = ranged.join(F.broadcast(total)).withColumns({"first": first, "last": last}).where("first <= last")
+    last = F.least(floor_div(F.col("stop") - 1 + shift, length), floor_div(total - extra, length))
+    held = ranged.withColumns({"first": first, "last": last}).where("first <= last")
     ids = held.select("doc_id", "start", F.explode(F.sequence("first", "last")).alias("sample_id"))
     return ids.select("sample_id", "doc_id", (F.col("sample_id") * length - F.col("start")).alias("doc_offset"))
 
 
-def pieces(ranged: DataFrame, length: int, overlap: int, limit: str) -> DataFrame:
-    """Cuts of each document for every chunk [k * length, k * length + length + overlap)
-    that it meets; chunks k < limit (a column). Adds chunk_id, at and piece."""
-    first = F.greatest(ceil_div(F.col("start") - (length + overlap - 1), length), F.lit(0).cast("long"))
-    last = F.least(floor_div(F.col("stop") - 1, length), F.col(limit) - 1)
-    held = ranged.withColumns({"_first": first, "_last": last}).where("n_tokens > 0 and _first <= _last")
-    each = held.withColumn("chunk_id", F.explode(F.sequence("_first", "_last")))
-    begin = F.greatest(F.col("start"), F.col("chunk_id") * length)
-    end = F.least(F.col("stop"), F.col("chunk_id") * length + (length + overlap))
-    each = each.withColumns({"at": begin, "piece": F.substring(F.col("text"), (begin - F.col("start") + 1).cast("int"), (end - begin).cast("int"))})
-    return each.where(end > begin).drop("_first", "_last")
+def pieces(ranged: DataFrame, length: int, overlap: int, limit: str, keys: list[str]) -> DataFrame:
+    """(keys, chunk_id, at, piece): cuts of each document for every chunk
+    [k * length, k * length + length + overlap) that it meets; chunks k < limit (a
+    column). A text is cut in one pass, its head up to the next chunk apart; the
+    first tokens of a chunk are given to the one before as well."""
+    head = F.pmod(-F.col("start"), F.lit(length)).cast("int")
+    body = F.expr(f"regexp_extract_all(substring(text, _head + 1), '(?s).{{1,{length}}}', 0)")
+    cuts = F.when(F.col("_head") > 0, F.concat(F.array(F.substring(F.col("text"), F.lit(1), F.col("_head"))), body)).otherwise(body)
+    first = floor_div(F.col("start"), length)
+    each = ranged.where("n_tokens > 0").withColumn("_head", head).select(*keys, "start", limit, first.alias("_first"), F.posexplode(cuts).alias("_i", "piece"))
+    each = each.where("piece != ''").withColumn("chunk_id", F.col("_first") + F.col("_i")).withColumn("at", F.when(F.col("_i") == 0, F.col("start")).otherwise(F.col("chunk_id") * length))
+    own = F.struct("chunk_id", "at", "piece")
+    shared = F.lit(overlap) - (F.col("at") - F.col("chunk_id") * length)
+    before = F.struct((F.col("chunk_id") - 1).alias("chunk_id"), "at", F.substring(F.col("piece"), F.lit(1), shared.cast("int")).alias("piece"))
+    both = F.when((shared > 0) & (F.col("chunk_id") > 0), F.array(own, before)).otherwise(F.array(own)) if overlap else F.array(own)
+    return each.select(*keys, limit, F.inline(both)).where(F.col("chunk_id") < F.col(limit)).drop(limit)
 
 
 def joined(cut: DataFrame, keys: list[str]) -> DataFrame:
@@ -59,7 +66,8 @@ def clm_chunks(docs: DataFrame, length: int, batch: int, drop_last_chunk: bool =
     batched = docs.select("doc_id", "text").withColumn("batch_id", floor_div(F.col("doc_id"), batch))
     counts = chunk_counts(docs, length, batch, drop_last_chunk)
     ranged = spans(batched, within=["batch_id"]).join(counts.select("batch_id", "n_chunks"), "batch_id")
-    return joined(pieces(ranged, length, 1, "n_chunks"), ["batch_id", "chunk_id"])
+    cut = pieces(docs.select("doc_id", "text").join(ranged, "doc_id"), length, 1, "n_chunks", ["batch_id"])
+    return joined(cut, ["batch_id", "chunk_id"])
 
 
 def chunk_counts(docs: DataFrame, length: int, batch: int, drop_last_chunk: bool = True) -> DataFrame:
@@ -69,17 +77,20 @@ def chunk_counts(docs: DataFrame, length: int, batch: int, drop_last_chunk: bool
 
 def fixed_chunks(docs: DataFrame, length: int) -> DataFrame:
     """(chunk_id, tokens): non-overlapping chunks of length + 1 tokens, the rest dropped."""
+    return joined(_cut(docs, length + 1, 0), ["chunk_id"])
+
+
+def _cut(docs: DataFrame, length: int, overlap: int) -> DataFrame:
+    """Pieces of all whole chunks of all documents."""
     ranged = spans(docs.select("doc_id", "text"))
-    total = ranged.agg(floor_div(F.sum("n_tokens"), length + 1).alias("n_chunks"))
-    return joined(pieces(ranged.join(F.broadcast(total)), length + 1, 0, "n_chunks"), ["chunk_id"])
+    whole = floor_div(ranged.agg(F.sum("n_tokens")).scalar() - overlap, length)
+    return pieces(docs.select("doc_id", "text").join(ranged.withColumn("n_chunks", whole), "doc_id"), length, overlap, "n_chunks", [])
 
 
 def samples(docs: DataFrame, length: int, extra: int = 1) -> DataFrame:
     """(sample_id, tokens): materialised samples of one epoch, each with the first
     token of the next."""
-    ranged = spans(docs.select("doc_id", "text"))
-    total = ranged.agg(floor_div(F.sum("n_tokens") - extra, length).alias("n_chunks"))
-    return joined(pieces(ranged.join(F.broadcast(total)), length, extra, "n_chunks"), ["chunk_id"]).withColumnRenamed("chunk_id", "sample_id")
+    return joined(_cut(docs, length, extra), ["chunk_id"]).withColumnRenamed("chunk_id", "sample_id")
 
 
 def token_budget(files: DataFrame, max_tokens: int, skip_tokens: int) -> DataFrame:
@@ -120,11 +131,27 @@ def sentence_blocks(sentences: DataFrame, target, min_sentences: int, longest: i
     return blocks.select("doc_id", F.col("block_id").cast("long").alias("block_id"), F.col("b.start").cast("long").alias("start"), F.col("b.stop").cast("long").alias("stop"), F.col("b.n_tokens").alias("n_tokens"))
 
 
+def block_samples(blocks: DataFrame, n: int, most: int, seed: str) -> DataFrame:
+    """n blocks repeated for whole epochs until there are `most`, in a shuffled order."""
+    from .blend import shuffled_position
+
+    epochs = max(1, -(-most // max(n, 1)))
+    each = blocks.withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(epochs - 1).cast("long"))))
+    key = shuffle_key(F.concat_ws("/", "epoch", "doc_id", "block_id"), seed)
+    return shuffled_position(each, key, "pos").select("pos", "epoch", "doc_id", "block_id", "start", "stop")
+
+
+def wrapped(samples: DataFrame, key: str, epochs: float) -> DataFrame:
+    """samples (key from 0 on) read for that many epochs: position i is sample i mod n."""
+    n = samples.agg(F.count(F.lit(1))).scalar()
+    top = F.floor(n * F.lit(float(epochs))).cast("long") - 1
+    each = samples.withColumn("pos", F.explode(F.sequence(F.col(key), F.greatest(top, F.col(key)), n))).where(F.col("pos") <= top)
+    return each.withColumn("epoch", floor_div(F.col("pos"), n)).select("pos", "epoch", *samples.columns)
+
+
 def fim(docs: DataFrame, psm: bool, rate: int = 50, seed: str = "fim", skip_prefix: str | None = None) -> DataFrame:
     """Fill-in-the-middle permutation of text at two hash-derived cuts, for rate
     percent of the documents: prefix, suffix, middle with marks, or suffix first."""
-    from ..functions.tokens import fraction_of
-
     n = F.length("text") + 1
     a, b = F.pmod(fraction_of(F.col("doc_id"), seed + "a"), n), F.pmod(fraction_of(F.col("doc_id"), seed + "b"), n)
     cut = docs.withColumns({"lo": F.least(a, b).cast("int"), "hi": F.greatest(a, b).cast("int"), "hit": F.pmod(fraction_of(F.col("doc_id"), seed + "r"), F.lit(100)) < rate})
@@ -135,15 +162,34 @@ def fim(docs: DataFrame, psm: bool, rate: int = 50, seed: str = "fim", skip_pref
     return cut.select("doc_id", F.when(F.col("hit"), mixed).otherwise(F.col("text")).alias("text"))
 
 
-def fim_segments(docs: DataFrame, psm: bool = True, end: str = "\n", **options) -> DataFrame:
-    """fim() of every non-empty fragment between end marks, joined again and cut or
-    padded with blanks to the text's length."""
-    parts = docs.select("doc_id", F.length("text").alias("_n"), F.posexplode(F.split("text", end)).alias("_i", "text"))
-    keyed = parts.withColumn("_key", F.concat_ws("/", "doc_id", "_i"))
-    changed = fim(keyed.where("text != ''").select(F.col("_key").alias("doc_id"), "text"), psm, **options).toDF("_key", "_new")
-    back = keyed.join(changed, "_key", "left").groupBy("doc_id", "_n").agg(F.array_sort(F.collect_list(F.struct("_i", F.coalesce("_new", "text").alias("t")))).alias("p"))
-    whole = F.array_join(F.transform("p", lambda x: x["t"]), end)
-    return back.select("doc_id", F.rpad(F.substring(whole, F.lit(1), F.col("_n")), F.col("_n"), F.lit(" ")).alias("text"))
+def fim_documents(docs: DataFrame, split: str, end: str = "\n", rate: int = 50, fragment_rate: int = 50, seed: str = "fim", pad: str = " ") -> DataFrame:
+    """Samples (doc_id, text) of documents that end with `end` and of files that end with
+    `split`, permuted in place. Each non-empty document is permuted as a whole if it
+    holds no split mark, with a chance of `rate`; else, with that chance, each of its
+    non-empty files is, with a chance of `fragment_rate`. What follows the last mark is
+    always taken; empty parts go with their mark. The result is cut or padded to the
+    sample's length. All draws go by hashes, and nothing leaves its row."""
+    def permuted(part, key, percent):
+        n = F.length(part) + 1
+        a, b = fraction_of(key, seed + "a") % n, fraction_of(key, seed + "b") % n
+        lo, hi = F.least(a, b).cast("int"), F.greatest(a, b).cast("int")
+        mixed = F.concat(F.lit("<P>"), F.substring(part, F.lit(1), lo), F.lit("<S>"), F.substring(part, hi + 1, F.length(part)), F.lit("<M>"), F.substring(part, lo + 1, hi - lo))
+        return F.when(fraction_of(key, seed + "r") % 100 < percent, mixed).otherwise(part)
+
+    def marked(parts, mark, use):
+        """use(part, number) of all parts but empty ones before the last, each but the last with its mark."""
+        last = F.size(parts) - 1
+        return F.array_join(F.transform(parts, lambda p, i: F.when((p == "") & (i < last), F.lit("")).otherwise(F.concat(use(p, i), F.when(i < last, F.lit(mark)).otherwise(F.lit(""))))), "")
+
+    def document(part, i):
+        key = F.concat_ws("/", "doc_id", i)
+        files = F.split(part, f"[{split}]")
+        by_file = marked(files, split, lambda f, j: permuted(f, F.concat_ws("/", "doc_id", i, j), fragment_rate))
+        return F.when(~F.contains(part, F.lit(split)), permuted(part, key, rate)).when(fraction_of(key, seed + "d") % 100 < rate, by_file).otherwise(part)
+
+    text = marked(F.split("text", f"[{end}]"), end, document)
+    n = F.length("text")
+    return docs.select("doc_id", F.rpad(F.substring(text, F.lit(1), n), n, F.lit(pad)).alias("text"))
 
 
 def split_bounds(weights: list[float], n: int) -> list[int]:
@@ -155,8 +201,3 @@ def split_bounds(weights: list[float], n: int) -> list[int]:
         bounds.append(bounds[-1] + round(w * n))
     over = bounds[-1] - n
     return [0, *(b - over for b in bounds[1:])]
-
-
-def positions_in_document(tokens: DataFrame) -> DataFrame:
-    w = Window.partitionBy("doc_id").orderBy("pos")
-    return tokens.withColumn("position_id", (F.row_number().over(w) - 1).cast("long"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -10,12 +10,20 @@ def total(x: Column) -> Column:
     return F.aggregate(x, F.lit(0.0), lambda a, b: a + b)
 
 
-def exps(logits: Column) -> Column:
-    return F.transform(logits, lambda x: F.exp(x - F.array_max(logits)))
+def _held(value, use, **columns) -> Column:
+    """use(struct of columns) where each column is evaluated once a row: inside a
+    lambda a column would be evaluated anew for every element."""
+    return F.element_at(F.transform(F.array(F.struct(value.alias("x"), *(c.alias(k) for k, c in columns.items()))), use), 1)
 
 
-def softmax(logits: Column) -> Column:
-    return F.transform(exps(logits), lambda e: e / total(exps(logits)))
+def exps(logits: Column, temperature: float = 1.0) -> Column:
+    scaled = logits if temperature == 1.0 else F.transform(logits, lambda x: x / temperature)
+    return _held(scaled, lambda s: F.transform(s["x"], lambda x: F.exp(x - s["top"])), top=F.array_max(scaled))
+
+
+def softmax(logits: Column, temperature: float = 1.0) -> Column:
+    """Probabilities in time linear in the vocabulary."""
+    return _held(exps(logits, temperature), lambda s: _held(s["x"], lambda t: F.transform(t["x"], lambda e: e / t["sum"]), sum=total(s["x"])))
 
 
 def target_rank(logits: Column, target: Column) -> Column:
@@ -48,10 +56,31 @@ def nucleus(probs: Column, p: float, at_least: int = 1) -> Column:
     """Structs (value, idx) of the likeliest tokens: in rising order those whose
     running sum stays within 1 - p go, but the last at_least never."""
     order = F.array_sort(F.transform(probs, lambda x, i: F.struct(x.alias("value"), i.alias("idx"))))
-    n = F.size(probs)
-    # the running sum of a suffix is one less the rest
-    sums = F.transform(order, lambda s, i: F.struct(s["value"].alias("value"), s["idx"].alias("idx"), F.round(total(F.transform(F.slice(order, F.lit(1), i + 1), lambda y: y["value"])), 9).alias("cum"), i.alias("at")))
-    return F.filter(sums, lambda s: (s["cum"] > round(1 - p, 9)) | (s["at"] >= n - at_least))
+    step = lambda a, y: F.struct((a["sum"] + y["value"]).alias("sum"), (a["n"] + (F.round(a["sum"] + y["value"], 9) <= round(1 - p, 9)).cast("int")).alias("n"))
+    below = lambda s: F.aggregate(s["x"], F.struct(F.lit(0.0).alias("sum"), F.lit(0).alias("n")), step)["n"]
+    return _held(order, lambda s: F.slice(s["x"], F.greatest(F.least(below(s), F.size(s["x"]) - at_least), F.lit(0)) + 1, F.size(s["x"])))
+
+
+def chosen(candidates: Column, u: Column) -> Column:
+    """The idx at which the running sum of the candidates' values, taken to a sum of
+    1, reaches u; candidates are structs (value, idx)."""
+    values = F.transform(candidates, lambda s: s["value"])
+    at = _held(values, lambda s: draw(s["x"], u * s["sum"]), sum=total(values))
+    return F.element_at(candidates, (at + 1).cast("int"))["idx"].cast("long")
+
+
+def tempered(candidates: Column, temperature: float) -> Column:
+    """Candidates (value, idx) with softmax probabilities of their values."""
+    probs = softmax(F.transform(candidates, lambda s: s["value"]), temperature)
+    return F.zip_with(candidates, probs, lambda s, p: F.struct(p.alias("value"), s["idx"].alias("idx")))
+
+
+def sharded_top(shards: DataFrame, key: str, width: int, k: int) -> DataFrame:
+    """(key, top): the k best of all shards (key, shard, part: array of logits) as structs
+    (value, idx) from the best on, out of the k best of each; idx counts over all shards."""
+    local = F.transform(ranked(F.col("part"), k), lambda s: F.struct((-s["value"]).alias("n"), (s["idx"] + F.col("shard") * width).cast("long").alias("idx"), s["value"].alias("value")))
+    best = F.slice(F.array_sort(F.flatten(F.collect_list("local"))), 1, k)
+    return shards.select(key, local.alias("local")).groupBy(key).agg(F.transform(best, lambda s: F.struct(s["value"].alias("value"), s["idx"].alias("idx"))).alias("top"))
 
 
 def draw(probs: Column, u: Column) -> Column:

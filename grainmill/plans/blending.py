@@ -9,6 +9,7 @@ from ..functions.prefix import position, running_sum
 from ..functions.tokens import fraction_of, shuffle_key
 from ..operators import blend as B
 from ..operators import shard as H
+from ..sources import ship
 from .base import Registry, table
 
 R = Registry()
@@ -106,9 +107,23 @@ def shuffle_idx(spark, d):
 
 @R.add()
 def numpy_shuffle(spark, d):
-    """The same order as numpy's legacy shuffle with seed 1234."""
-    order = B.legacy_permutation(1000, 1234)
-    return spark.createDataFrame([(i, int(x)) for i, x in enumerate(order)], "pos long, doc_id long")
+    """All documents in the order of numpy's legacy shuffle with seed 1234. That
+    generator is sequential, so one task draws the order, at 8 bytes a document."""
+    import pandas as pd
+
+    docs = position(_docs(spark, d).select("doc_id"), "doc_id", "rank")
+
+    def drawn(batches):
+        for batch in batches:
+            for n in batch["n"]:
+                order = B.legacy_permutation(int(n), 1234)
+                for at in range(0, len(order), 100_000):
+                    part = order[at : at + 100_000]
+                    yield pd.DataFrame({"pos": range(at, at + len(part)), "rank": part})
+
+    ship(spark)
+    order = docs.agg(F.count(F.lit(1)).alias("n")).mapInPandas(drawn, "pos long, rank long")
+    return order.join(docs, "rank").select("pos", "doc_id")
 
 
 @R.add("SELECT source, row_number() OVER (ORDER BY md5('files-' || source)) - 1 AS pos FROM (SELECT DISTINCT source FROM documents)")
@@ -235,7 +250,7 @@ _DOM = "w AS (SELECT lang, count(*) AS c FROM documents GROUP BY lang), q AS (SE
 def domain_batch_sizes(spark, d):
     """Slots of each domain in a batch of 64, by largest remainders, at least one."""
     counts = _docs(spark, d).groupBy("lang").agg(F.count("*").alias("c"))
-    return B.largest_remainder(counts, 64, "c", "lang").select("lang", F.greatest("n_samples", F.lit(1)).alias("size"))
+    return B.domain_slots(counts, 64, "lang", "c").select("lang", F.col("n_samples").alias("size"))
 
 
 @R.add(f"""WITH {_DOM}, s AS (SELECT doc_id, d.lang, greatest(size, 1) AS size, row_number() OVER (PARTITION BY d.lang ORDER BY doc_id) - 1 AS k FROM documents d JOIN z USING (lang)),
@@ -383,17 +398,33 @@ def semi_prior(spark, d):
     return _docs(spark, d).join(good, "doc_id", "left_semi").select("doc_id", "lang")
 
 
-@R.add()
+def _drawn_sql(seed, n, most):
+    return f"list_transform(range(0, {n}), lambda j: ('0x' || substr(md5('{seed}-' || i || '/' || j), 1, 7))::BIGINT % {most})"
+
+
+def _drawn(seed, n, most):
+    return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda j: fraction_of(F.concat_ws("/", F.col("id"), j), seed) % most)
+
+
+@R.add(f"""WITH r AS (SELECT unnest(range(0, 64)) AS i) SELECT i AS sample_id, {_drawn_sql('dummy', 32, 1000)} AS input_ids, {_drawn_sql('label', 32, 1000)} AS label_ids, list_transform(range(0, 32), lambda j: true) AS label_mask,
+CASE WHEN i % 4 = 0 THEN list_transform(range(0, 32), lambda j: j - CASE WHEN j < 4 THEN 0 WHEN j < 10 THEN 4 ELSE 10 END) ELSE range(0, 32) END AS position_ids FROM r""")
 def dummy_batches(spark, d):
-    """Made-up batches: hashed ids, positions that restart at 4, 6 and S - 10."""
+    """Made-up micro-batches of four: drawn ids and labels, nothing masked; the first of
+    each holds documents of 4, 6 and S - 10 tokens, the others one."""
     s = 32
-    ids = F.transform(F.sequence(F.lit(0), F.lit(s - 1)), lambda i: F.pmod(F.xxhash64(F.col("id"), i), F.lit(1000)))
-    starts = F.array(F.lit(0), F.lit(4), F.lit(6), F.lit(s - 10))
-    positions = F.transform(F.sequence(F.lit(0), F.lit(s - 1)), lambda i: i - F.array_max(F.filter(starts, lambda x: x <= i)))
-    return spark.range(64).select(F.col("id").alias("sample_id"), ids.alias("input_ids"), positions.alias("position_ids"))
+    at = F.sequence(F.lit(0).cast("long"), F.lit(s - 1).cast("long"))
+    packed = F.transform(at, lambda j: j - F.when(j < 4, 0).when(j < 10, 4).otherwise(10))
+    ids = spark.range(64).withColumns({"input_ids": _drawn("dummy", s, 1000), "label_ids": _drawn("label", s, 1000), "label_mask": F.array_repeat(F.lit(True), s)})
+    return ids.select(F.col("id").alias("sample_id"), "input_ids", "label_ids", "label_mask", F.when(F.col("id") % 4 == 0, packed).otherwise(at).alias("position_ids"))
 
 
 @R.add("SELECT i AS sample_id, ('0x' || substr(md5('noise-' || i), 1, 7))::BIGINT % 1000 AS token FROM (SELECT unnest(range(0, 5000)) AS i)")
 def random_tokens(spark, d):
     """Hash-drawn token ids in place of a random generator."""
     return spark.range(5000).select(F.col("id").alias("sample_id"), (fraction_of(F.col("id"), "noise") % 1000).alias("token"))
+
+
+@R.add(f"WITH r AS (SELECT unnest(range(0, 320)) AS i) SELECT i AS sample_id, {_drawn_sql('noise', 33, 1000)} AS ids FROM r")
+def random_samples(spark, d):
+    """Samples of S + 1 drawn ids for 10 steps of a batch of 32."""
+    return spark.range(320).select(F.col("id").alias("sample_id"), _drawn("noise", 33, 1000).alias("ids"))

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import blending, files, measure, text, training
+from . import blending, composed, files, measure, text, training
 
-MODULES = [text, blending, training, measure, files]
+MODULES = [text, blending, training, measure, files, composed]
 
 
 def queries() -> dict:

@@ -2,29 +2,20 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from ..functions.tokens import char_ids
 from ..sources import register
 from ..streaming import consumption as C
-from .base import Registry, table
+from .base import Registry, scratch, table
 
 R = Registry()
 
 
-def _scratch(spark, name):
-    """A new place in the shared folder, or in a temporary one where none is named."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="grainmill-")
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 @R.add("SELECT doc_id, text FROM documents")
 def scan_jsonl_roundtrip(spark, d):
     """Documents to JSON lines and back, by a file pattern and a text column."""
-    path = _scratch(spark, "jsonl")
+    path = scratch(spark, "jsonl")
     table(spark, d, "documents").select("doc_id", "text").write.json(path)
     return spark.read.schema("doc_id long, text string").json(path, pathGlobFilter="*.json")
 
@@ -33,7 +24,7 @@ def scan_jsonl_roundtrip(spark, d):
 def ds_roundtrip(spark, d):
     """Documents to token files with an end mark each, and their tokens back."""
     register(spark)
-    path = _scratch(spark, "ds")
+    path = scratch(spark, "ds")
     ids = F.transform(char_ids(F.col("text")), lambda x: x % 65536)
     table(spark, d, "documents").select(ids.alias("input_ids")).write.format("ds").option("token_size", 2).option("eos", 0).mode("append").save(path)
     read = spark.read.format("ds").option("sequence_length", 0).load(path)
@@ -44,7 +35,7 @@ def ds_roundtrip(spark, d):
 def ds_folder_scan(spark, d):
     """Samples of 129 tokens from a folder under a skip and a budget of tokens."""
     register(spark)
-    path = _scratch(spark, "ds")
+    path = scratch(spark, "ds")
     table(spark, d, "documents").repartition(4, "doc_id").sortWithinPartitions("doc_id").select(char_ids(F.col("text")).alias("input_ids")).write.format("ds").option("token_size", 4).mode("append").save(path)
     read = spark.read.format("ds").option("sequence_length", 128).option("skip_tokens", 1000).option("max_tokens", 1_000_000).load(path)
     return read.select(F.substring("file", 1, 5).alias("file"), "sample_idx", F.size("input_ids").alias("n"), F.md5(F.array_join("input_ids", ",")).alias("ids_md5"))
@@ -54,7 +45,7 @@ def ds_folder_scan(spark, d):
 def mmidx_roundtrip(spark, d):
     """Documents to indexed token data and back."""
     register(spark)
-    path = _scratch(spark, "mmidx")
+    path = scratch(spark, "mmidx")
     table(spark, d, "documents").select(char_ids(F.col("text")).alias("tokens")).write.format("mmidx").mode("append").save(path)
     read = spark.read.format("mmidx").load(path)
     return read.agg(F.count("*").alias("sequences"), F.sum("size").alias("tokens"), F.sum(F.aggregate("tokens", F.lit(0).cast("long"), lambda a, x: a + x)).alias("id_sum"))
@@ -63,7 +54,7 @@ def mmidx_roundtrip(spark, d):
 @R.add("SELECT lang, n, run FROM (SELECT lang, count(*) AS n FROM documents GROUP BY lang), (SELECT unnest([1, 2]) AS run)")
 def bench_csv_append(spark, d):
     """Results of two runs appended to one CSV."""
-    path = _scratch(spark, "csv")
+    path = scratch(spark, "csv")
     per = table(spark, d, "documents").groupBy("lang").agg(F.count("*").alias("n"))
     for run in (1, 2):
         per.withColumn("run", F.lit(run)).write.mode("append").option("header", True).csv(path)
@@ -73,7 +64,7 @@ def bench_csv_append(spark, d):
 @R.add("SELECT 'step' || k AS checkpoint, lang AS task, round(avg(n_chars) + k, 4)::DOUBLE AS acc FROM documents, (SELECT unnest([10, 9, 100]) AS k) WHERE k <> 9 GROUP BY k, lang")
 def eval_rollup_json(spark, d):
     """Nested result files by checkpoint folder; folders with more than one file are skipped."""
-    path = _scratch(spark, "eval")
+    path = scratch(spark, "eval")
     per = table(spark, d, "documents").groupBy("lang").agg(F.avg("n_chars").alias("a"))
     for step, files in ((10, 1), (9, 2), (100, 1)):
         entries = F.map_from_entries(F.collect_list(F.struct("lang", F.create_map(F.lit("acc"), F.round(F.col("a") + step, 4)))))
@@ -91,4 +82,4 @@ def streaming_consumption(spark, d):
     """Tokens per source from a replayed file stream, equal to the batch result."""
     schema = table(spark, d, "documents").schema
     stream = C.document_stream(spark, d, schema, glob="documents.parquet")
-    return C.drained(C.running_consumption(stream), _scratch(spark, "stream"))
+    return C.drained(C.running_consumption(stream), scratch(spark, "stream"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import tokens as T
 from ..functions.prefix import position, running_sum
 from ..operators import packing as P
+from ..operators.blend import shuffled_position
 from .base import Registry, table
 
 R = Registry()
@@ -36,23 +37,8 @@ def mix_head_fraction(spark, d):
     docs = table(spark, d, "documents").select("doc_id", "source").where(F.col("source").isin(list(fractions)))
     ranked = position(docs, "doc_id", "rn", within=["source"]).join(docs.groupBy("source").agg(F.count("*").alias("n")), "source")
     share = F.create_map(*(F.lit(x) for kv in fractions.items() for x in kv))[F.col("source")]
-    kept = ranked.where(F.col("rn") < F.floor(share * F.col("n"))).withColumn("k", T.shuffle_key(F.col("doc_id"), "mix-42"))
-    return _shuffled(kept, "k", "mix_pos").select("doc_id", "source", "mix_pos")
-
-
-def _shuffled(df, key, out):
-    """Position by an md5 key: the key's leading digits place it in a block."""
-    from pyspark.sql import Window
-
-    block = F.substring(key, 1, 3)
-    sizes = df.groupBy(block.alias("_b")).agg(F.count("*").alias("_c"))
-    before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.withColumn("_o", F.coalesce(F.sum("_c").over(before), F.lit(0))).drop("_c")
-    w = Window.partitionBy("_b").orderBy(key)
-    return df.withColumn("_b", block).withColumn("_r", F.row_number().over(w) - 1).join(offsets, "_b").withColumn(out, (F.col("_r") + F.col("_o")).cast("long")).drop("_b", "_r", "_o")
-
-
-shuffled = _shuffled
+    kept = ranked.where(F.col("rn") < F.floor(share * F.col("n")))
+    return shuffled_position(kept, T.shuffle_key(F.col("doc_id"), "mix-42"), "mix_pos").select("doc_id", "source", "mix_pos")
 
 
 @R.add(r"SELECT doc_id, len(string_split_regex(text, '\s+'))::BIGINT AS n_tokens, md5(array_to_string(string_split_regex(text, '\s+'), ' ')) AS tokens_md5 FROM documents")
@@ -112,6 +98,19 @@ def sample_index_exact(spark, d):
     return P.sample_index(table(spark, d, "documents"), S, extra=0)
 
 
+@R.add("SELECT doc_id, (length(text) + 1)::BIGINT AS n_tokens, coalesce(unicode(nullif(text, '')), 0)::BIGINT AS first_id FROM documents")
+def append_eos_all(spark, d):
+    """The end id after every document; an empty one is that alone."""
+    docs = table(spark, d, "documents").select("doc_id", T.with_eos(T.char_ids(F.col("text")), 0).alias("ids"))
+    return docs.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.element_at("ids", 1).alias("first_id"))
+
+
+@R.add(f"WITH c AS ({_pieces_sql('chunk_id', S + 1, 0)}), n AS (SELECT count(*) AS n FROM c) SELECT i AS pos, i // n AS epoch, chunk_id, md5(tokens) AS tokens_md5 FROM (SELECT n, unnest(range(0, n * 5 // 2)) AS i FROM n) JOIN c ON i % n = chunk_id")
+def ds_chunks_wrapped(spark, d):
+    """Two and a half passes over the chunks: positions wrap at their number."""
+    return P.wrapped(P.fixed_chunks(table(spark, d, "documents"), S).select("chunk_id", F.md5("tokens").alias("tokens_md5")), "chunk_id", 2.5)
+
+
 join_asof_sample_doc = R.queries["join_asof_sample_doc"] = sample_index
 R.sql["join_asof_sample_doc"] = R.sql["sample_index"]
 
@@ -183,9 +182,27 @@ def fim_spm(spark, d):
     return P.fim(table(spark, d, "documents"), psm=False)
 
 
-@R.add()
+def _marked_sql(parts, mark, use):
+    """The parts joined again as the operator does: use(p, i) is SQL of a part p numbered i."""
+    return f"array_to_string(list_transform({parts}, lambda p, i: CASE WHEN p = '' AND i < len({parts}) THEN '' ELSE {use} || CASE WHEN i < len({parts}) THEN {mark} ELSE '' END END), '')"
+
+
+def _permuted_sql(part, key, percent):
+    draw = lambda x: f"('0x' || substr(md5('fim{x}-' || {key}), 1, 7))::BIGINT"
+    a, b = (f"({draw(x)} % (length({part}) + 1))" for x in "ab")
+    lo, hi = f"least({a}, {b})::INT", f"greatest({a}, {b})::INT"
+    return f"CASE WHEN {draw('r')} % 100 < {percent} THEN '<P>' || substr({part}, 1, {lo}) || '<S>' || substr({part}, {hi} + 1) || '<M>' || substr({part}, {lo} + 1, {hi} - {lo}) ELSE {part} END"
+
+
+_FILES = _marked_sql("string_split(x, '.')", "'.'", _permuted_sql("p", "doc_id || '/' || k || '/' || (i - 1)", 50))
+
+
+@R.add(f"""WITH s AS (SELECT doc_id, text, string_split(text, chr(10)) AS s FROM documents), x AS (SELECT doc_id, length(text) AS n, unnest(s) AS x, generate_subscripts(s, 1) - 1 AS k, len(s) - 1 AS last FROM s),
+y AS (SELECT doc_id, n, k, CASE WHEN x = '' AND k < last THEN '' ELSE CASE WHEN NOT contains(x, '.') THEN {_permuted_sql("x", "doc_id || '/' || k", 50)} WHEN ('0x' || substr(md5('fimd-' || doc_id || '/' || k), 1, 7))::BIGINT % 100 < 50 THEN {_FILES} ELSE x END || CASE WHEN k < last THEN chr(10) ELSE '' END END AS y FROM x)
+SELECT doc_id, rpad(left(string_agg(y, '' ORDER BY k), n), n::INT, ' ') AS text FROM y GROUP BY doc_id, n""")
 def fim_segments(spark, d):
-    return P.fim_segments(table(spark, d, "documents"))
+    """Lines as documents, sentences as their files, permuted on both levels."""
+    return P.fim_documents(table(spark, d, "documents"), ".")
 
 
 def _sentences(spark, d):
@@ -193,29 +210,46 @@ def _sentences(spark, d):
     return table(spark, d, "documents").select("doc_id", sizes.alias("sizes"), F.pmod("doc_id", F.lit(13)).alias("title"))
 
 
-@R.add(r"""WITH RECURSIVE q AS (SELECT doc_id, list_filter(string_split_regex(text, '\.'), lambda s: trim(s, chr(32)) <> '') AS s FROM documents),
+def _blocks_sql(target: str) -> str:
+    """Blocks by recursion over a document's sentences; target may use doc_id."""
+    ends = f"(f.tokens + sizes[i + 1] >= {target} AND n - i - 1 > 1 AND k + 1 >= 2) OR i = n - 1"
+    return rf"""WITH RECURSIVE q AS (SELECT doc_id, list_filter(string_split_regex(text, '\.'), lambda s: trim(s, chr(32)) <> '') AS s FROM documents),
 z AS (SELECT doc_id, list_transform(s, lambda x: len(string_split_regex(trim(x, chr(32)), '\s+'))) AS sizes FROM q),
 g AS (SELECT doc_id, sizes, len(sizes) AS n FROM z WHERE len(sizes) >= 2 AND list_max(sizes) <= 512),
 f(doc_id, i, start, k, tokens, block_id, closed, c_start, c_tokens) AS (
   SELECT doc_id, 0, 0, 0, 0::BIGINT, 0, false, 0, 0::BIGINT FROM g
   UNION ALL
-  SELECT f.doc_id, i + 1,
-    CASE WHEN (f.tokens + sizes[i + 1] >= 64 AND n - i - 1 > 1 AND k + 1 >= 2) OR i = n - 1 THEN i + 1 ELSE f.start END,
-    CASE WHEN (f.tokens + sizes[i + 1] >= 64 AND n - i - 1 > 1 AND k + 1 >= 2) OR i = n - 1 THEN 0 ELSE k + 1 END,
-    CASE WHEN (f.tokens + sizes[i + 1] >= 64 AND n - i - 1 > 1 AND k + 1 >= 2) OR i = n - 1 THEN 0 ELSE f.tokens + sizes[i + 1] END,
-    block_id + closed::INT, (f.tokens + sizes[i + 1] >= 64 AND n - i - 1 > 1 AND k + 1 >= 2) OR i = n - 1, f.start, f.tokens + sizes[i + 1]
-  FROM f JOIN g ON f.doc_id = g.doc_id WHERE i < n)
-SELECT doc_id, block_id::BIGINT AS block_id, c_start::BIGINT AS start, i::BIGINT AS stop, c_tokens::BIGINT AS n_tokens FROM f WHERE closed""")
+  SELECT f.doc_id, i + 1, CASE WHEN {ends} THEN i + 1 ELSE f.start END, CASE WHEN {ends} THEN 0 ELSE k + 1 END, CASE WHEN {ends} THEN 0 ELSE f.tokens + sizes[i + 1] END, block_id + closed::INT, {ends}, f.start, f.tokens + sizes[i + 1]
+  FROM f JOIN g ON f.doc_id = g.doc_id WHERE i < n),
+b AS (SELECT doc_id, block_id::BIGINT AS block_id, c_start::BIGINT AS start, i::BIGINT AS stop, c_tokens::BIGINT AS n_tokens FROM f WHERE closed)"""
+
+
+@R.add(_blocks_sql("64") + " SELECT * FROM b")
 def sentence_blocks_full(spark, d):
     return P.sentence_blocks(_sentences(spark, d), F.lit(64), 2)
 
 
-@R.add()
+@R.add(_blocks_sql("(64 - f.doc_id % 13)") + " SELECT * FROM b")
 def sentence_blocks_title(spark, d):
     """The title's tokens come off a block's target."""
     return P.sentence_blocks(_sentences(spark, d), 64 - F.col("title"), 2, end_at_least=True)
 
 
+_SHORT = "(CASE WHEN ('0x' || substr(md5('short-' || f.doc_id), 1, 7))::BIGINT % 10 = 0 THEN 2 + ('0x' || substr(md5('length-' || f.doc_id), 1, 7))::BIGINT % 63 ELSE 64 END)"
+
+
+@R.add(_blocks_sql(_SHORT) + """, n AS (SELECT count(*) AS n, count(*) * 3 // 2 AS most FROM b), e AS (SELECT unnest(range(0, ceil(most / n)::BIGINT)) AS epoch FROM n)
+SELECT row_number() OVER (ORDER BY md5('blocks-' || epoch || '/' || doc_id || '/' || block_id)) - 1 AS pos, epoch, doc_id, block_id, start, stop FROM b, e""")
+def sentence_block_samples(spark, d):
+    """Blocks, a tenth of the documents with shorter ones, over whole epochs until there
+    are one and a half times as many, in a shuffled order."""
+    draw = lambda seed: T.fraction_of(F.col("doc_id"), seed)
+    target = F.when(draw("short") % 10 == 0, 2 + draw("length") % 63).otherwise(F.lit(64))
+    blocks = P.sentence_blocks(_sentences(spark, d), target, 2)
+    n = blocks.count()
+    return P.block_samples(blocks, n, n * 3 // 2, "blocks")
+
+
 @R.add("""SELECT doc_id, CASE WHEN ('0x' || substr(md5('short-' || doc_id), 1, 7))::BIGINT % 10 = 0 THEN 2 + ('0x' || substr(md5('length-' || doc_id), 1, 7))::BIGINT % 511 ELSE 512 END AS target FROM documents""")
 def short_targets(spark, d):
     """A tenth of the documents get a shorter target length."""

@@ -9,13 +9,16 @@ def store(path: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
 
 
-def listed(path: str, suffix: str, pattern: str | None = None, recursive: bool = True) -> list[tuple[str, int]]:
-    """(path, size) of the files below path that end in suffix and match a pattern
-    in full by their relative name, in order. None at all is an error."""
+def listed(path: str, suffix: str, pattern: str | None = None, recursive: bool = True, depth: int | None = None) -> list[tuple[str, int]]:
+    """(path, size) of the files below path, at most `depth` folders down, that end in
+    suffix and match a pattern in full by their relative name, in order. None at all is
+    an error."""
     import re
 
     filesystem, root = store(path)
     found = [f for f in filesystem.get_file_info(fs.FileSelector(root, recursive=recursive)) if f.type == fs.FileType.File and f.path.endswith(suffix)]
+    if depth is not None:
+        found = [f for f in found if f.path[len(root) :].strip("/").count("/") <= depth]
     if pattern:
         found = [f for f in found if re.fullmatch(pattern, f.path[len(root) :].lstrip("/"))]
     if not found:
@@ -26,3 +29,11 @@ def listed(path: str, suffix: str, pattern: str | None = None, recursive: bool =
 def read_range(filesystem: fs.FileSystem, path: str, start: int, size: int) -> bytes:
     with filesystem.open_input_file(path) as f:
         return f.read_at(size, start)
+
+
+def require(path: str, names: list[str]) -> None:
+    """All of these files must be below path."""
+    filesystem, root = store(path)
+    found = filesystem.get_file_info([f"{root.rstrip('/')}/{n}" for n in names])
+    if missing := [f.path for f in found if f.type != fs.FileType.File]:
+        raise FileNotFoundError(", ".join(missing))

@@ -1,5 +1,8 @@
 """Indexed token data: a .bin file of tokens and an .idx file that describes it.
 
+Rows are written from `tokens` (a document of one sequence) or `sequences` (a document
+of several); read with offset and length, of each sequence only that slice.
+
 The index holds a mark, a version, a type code, counts, then sizes (int32),
 byte pointers (int64) and document bounds (int64), all little-endian.
 """
@@ -49,6 +52,14 @@ def build_index(code: int, sizes: list[int], documents: list[int]) -> bytes:
     return MARK + struct.pack("<QBQQ", 1, code, len(sizes), len(documents)) + sizes.tobytes() + pointers.astype("<i8").tobytes() + np.array(documents, "<i8").tobytes()
 
 
+def merged_index(first: Index, second: Index) -> bytes:
+    """The index of two data files in a row: all sequences of both, the documents of the
+    first alone, as builders of this format write it."""
+    if first.code != second.code:
+        raise ValueError("different types")
+    return build_index(first.code, [*first.sizes.tolist(), *second.sizes.tolist()], first.documents.tolist())
+
+
 @dataclass
 class Part(InputPartition):
     path: str
@@ -79,6 +90,7 @@ class IndexedSource(DataSource):
 class IndexedReader(DataSourceReader):
     def __init__(self, options):
         self.path, self.block = options["path"], int(options.get("partition_sequences", 100_000))
+        self.offset, self.length = int(options.get("offset", 0)), int(options.get("length", 2**31))
 
     def partitions(self):
         out = []
@@ -96,8 +108,11 @@ class IndexedReader(DataSourceReader):
         sizes, pointers = index.sizes[part.first : part.stop], index.pointers[part.first : part.stop]
         dtype = np.dtype(CODES[index.code])
         raw = read_range(filesystem, part.path[:-4] + ".bin", int(pointers[0]), int(sizes.sum()) * dtype.itemsize)
-        tokens = pa.array(np.frombuffer(raw, dtype).astype(np.int64))
-        offsets = pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32))
+        begin = np.concatenate(([0], np.cumsum(sizes, dtype=np.int64)))
+        held = np.clip(sizes.astype(np.int64) - self.offset, 0, self.length)
+        at = np.repeat(begin[:-1] + self.offset - np.concatenate(([0], np.cumsum(held)))[:-1], held) + np.arange(held.sum())
+        tokens = pa.array(np.frombuffer(raw, dtype).astype(np.int64)[at])
+        offsets = pa.array(np.concatenate(([0], np.cumsum(held))).astype(np.int32))
         numbers = np.arange(part.first, part.stop)
         docs = np.searchsorted(index.documents, numbers, "right") - 1
         name = part.path.rsplit("/", 1)[-1]
@@ -105,7 +120,7 @@ class IndexedReader(DataSourceReader):
 
 
 class IndexedWriter(DataSourceArrowWriter):
-    """Rows with a tokens array; each row ends a document."""
+    """Each row ends a document."""
 
     def __init__(self, options):
         self.path = options["path"]
@@ -119,14 +134,17 @@ class IndexedWriter(DataSourceArrowWriter):
         filesystem.create_dir(root, recursive=True)
         task = TaskContext.get()
         stem = f"{root}/{task.partitionId():05d}-{task.taskAttemptId()}"
-        sizes = []
+        sizes, documents = [], [0]
         with filesystem.open_output_stream(stem + ".bin") as f:
             for batch in iterator:
-                for ids in batch.column(batch.schema.get_field_index("tokens")).to_pylist():
-                    f.write(np.array(ids or [], np.int64).astype(CODES[self.code]).tobytes())
-                    sizes.append(len(ids or []))
+                several = "sequences" in batch.schema.names
+                for row in batch.column(batch.schema.get_field_index("sequences" if several else "tokens")).to_pylist():
+                    for ids in (row or []) if several else [row]:
+                        f.write(np.array(ids or [], np.int64).astype(CODES[self.code]).tobytes())
+                        sizes.append(len(ids or []))
+                    documents.append(len(sizes))
         with filesystem.open_output_stream(stem + ".idx") as f:
-            f.write(build_index(self.code, sizes, list(range(len(sizes) + 1))))
+            f.write(build_index(self.code, sizes, documents))
         return Done(stem)
 
     def commit(self, messages):

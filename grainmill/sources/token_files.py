@@ -5,7 +5,9 @@ Read as fixed samples of sequence_length + 1 tokens, partitioned by byte ranges
 that begin on samples; written with one file per task.
 
 Options: path, sequence_length (read), token_size (2 or 4), pattern, max_tokens and
-skip_tokens (a running budget over the files in order), partition_tokens, tokenizer.
+skip_tokens (a running budget over the files in order), file_seed (the files in the
+order of numpy's generator of that seed), with_folder (names relative to path),
+partition_tokens; written: eos, max_file_tokens (a task begins another file there).
 """
 
 from __future__ import annotations
@@ -29,7 +31,7 @@ class Range(InputPartition):
 
 @dataclass
 class Written(WriterCommitMessage):
-    path: str
+    paths: list[str]
     tokens: int
 
 
@@ -61,6 +63,7 @@ class TokenFileReader(DataSourceReader):
         self.dtype = token_type(int(options.get("token_size", self._stated_size(options))))
         self.pattern = options.get("pattern")
         self.budget, self.skip = int(options.get("max_tokens", 2**62)), int(options.get("skip_tokens", 0))
+        self.seed, self.with_folder = options.get("file_seed"), options.get("with_folder", "false").lower() == "true"
         self.block = max(1, int(options.get("partition_tokens", 4_000_000)) // self.length)
 
     @staticmethod
@@ -78,7 +81,10 @@ class TokenFileReader(DataSourceReader):
 
     def partitions(self):
         out, before, left = [], self.skip, self.budget
-        for path, size in listed(self.path, ".ds", self.pattern):
+        files = listed(self.path, ".ds", self.pattern)
+        if self.seed is not None:
+            files = [files[i] for i in np.random.default_rng(int(self.seed)).permutation(len(files))]
+        for path, size in files:
             tokens = size // self.dtype.itemsize
             skipped = min(before, tokens)
             before -= skipped
@@ -92,13 +98,14 @@ class TokenFileReader(DataSourceReader):
     def read(self, part):
         if not part.samples:
             return
-        filesystem, _ = store(self.path)
+        filesystem, root = store(self.path)
+        name = part.path[len(root) :].lstrip("/") if self.with_folder else part.path.rsplit("/", 1)[-1]
         size = self.dtype.itemsize
         raw = read_range(filesystem, part.path, part.start * size, part.samples * self.length * size)
         ids = np.frombuffer(raw, self.dtype).astype(np.int64)
         offsets = pa.array(np.arange(part.samples + 1, dtype=np.int32) * self.length)
         numbers = pa.array(np.arange(part.first_sample, part.first_sample + part.samples))
-        yield pa.RecordBatch.from_arrays([pa.array([part.path.rsplit("/", 1)[-1]] * part.samples), numbers, pa.ListArray.from_arrays(offsets, pa.array(ids))], ["file", "sample_idx", "input_ids"])
+        yield pa.RecordBatch.from_arrays([pa.array([name] * part.samples), numbers, pa.ListArray.from_arrays(offsets, pa.array(ids))], ["file", "sample_idx", "input_ids"])
 
 
 class TokenFileWriter(DataSourceArrowWriter):
@@ -110,6 +117,7 @@ class TokenFileWriter(DataSourceArrowWriter):
         self.tokenizer = options.get("tokenizer", "none")
         eos = options.get("eos")
         self.eos = [int(eos)] if eos is not None else []
+        self.most = int(options.get("max_file_tokens", 10**9))
 
     def write(self, iterator):
         from pyspark import TaskContext
@@ -117,29 +125,38 @@ class TokenFileWriter(DataSourceArrowWriter):
         filesystem, root = store(self.path)
         filesystem.create_dir(root, recursive=True)
         task = TaskContext.get()
-        target = f"{root}/{task.partitionId():05d}-{task.taskAttemptId()}.ds"
-        ends, total = [], 0
-        with filesystem.open_output_stream(target) as f:
-            for batch in iterator:
-                for ids in batch.column(batch.schema.get_field_index("input_ids")).to_pylist():
-                    tokens = np.array([*(ids or []), *self.eos], np.int64)
-                    if len(tokens) and (tokens.min() < 0 or tokens.max() > np.iinfo(self.dtype).max):
-                        raise ValueError("token id out of range")
-                    f.write(tokens.astype(self.dtype).tobytes())
-                    total += len(tokens)
-                    ends.append(total)
-        with filesystem.open_output_stream(target + ".index") as f:
-            f.write(np.array(ends, "<u8").tobytes())
-        with filesystem.open_output_stream(target + ".metadata") as f:
-            f.write(f"{self.tokenizer}|{self.dtype.itemsize}\n{total}\n".encode())
-        return Written(target, total)
+        rows = self._documents(iterator)
+        tokens, paths, total = next(rows, None), [], 0
+        while tokens is not None or not paths:
+            target = f"{root}/{task.partitionId():05d}-{task.taskAttemptId()}-{len(paths):04d}.ds"
+            ends, n = [], 0
+            with filesystem.open_output_stream(target) as f:
+                while tokens is not None and (not n or n + len(tokens) <= self.most):
+                    f.write(tokens.tobytes())
+                    n += len(tokens)
+                    ends.append(n)
+                    tokens = next(rows, None)
+            with filesystem.open_output_stream(target + ".index") as f:
+                f.write(np.array(ends, "<u8").tobytes())
+            with filesystem.open_output_stream(target + ".metadata") as f:
+                f.write(f"{self.tokenizer}|{self.dtype.itemsize}\n{n}\n".encode())
+            paths.append(target)
+            total += n
+        return Written(paths, total)
+
+    def _documents(self, iterator):
+        for batch in iterator:
+            for ids in batch.column(batch.schema.get_field_index("input_ids")).to_pylist():
+                tokens = np.array([*(ids or []), *self.eos], np.int64)
+                if len(tokens) and (tokens.min() < 0 or tokens.max() > np.iinfo(self.dtype).max):
+                    raise ValueError("token id out of range")
+                yield tokens.astype(self.dtype)
 
     def commit(self, messages):
         pass
 
     def abort(self, messages):
-        for m in messages:
-            if m is not None:
-                filesystem, _ = store(self.path)
-                for suffix in ("", ".index", ".metadata"):
-                    filesystem.delete_file(m.path + suffix)
+        filesystem, _ = store(self.path)
+        for path in (p for m in messages if m is not None for p in m.paths):
+            for suffix in ("", ".index", ".metadata"):
+                filesystem.delete_file(path + suffix)

@@ -24,8 +24,15 @@ def running_consumption(docs: DataFrame) -> DataFrame:
 
 def hourly_events(events: DataFrame, late: str = "2 hours") -> DataFrame:
     """Hourly counts by type; rows later than the watermark are left out."""
-    w = events.withWatermark("ts", late).groupBy(F.window("ts", "1 hour").alias("w"), "event_type")
-    return w.agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), "event_type", "n")
+    timed = events.withColumn("ts", F.col("ts").cast("timestamp"))
+    w = timed.withWatermark("ts", late).groupBy(F.window("ts", "1 hour").alias("w"), "event_type")
+    return w.agg(F.count("*").alias("n")).select(F.col("w.start").cast("timestamp_ntz").alias("start"), "event_type", "n")
+
+
+def endless(spark: SparkSession, samples: int, per_second: int) -> DataFrame:
+    """(epoch, sample_id) of an unending pass over a number of samples, at a rate."""
+    rate = spark.readStream.format("rate").option("rowsPerSecond", per_second).load()
+    return rate.select(F.floor(F.col("value") / samples).alias("epoch"), (F.col("value") % samples).alias("sample_id"))
 
 
 def drained(stream: DataFrame, checkpoint: str, mode: str = "complete") -> DataFrame:
