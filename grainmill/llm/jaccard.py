@@ -13,10 +13,10 @@ of copies costs a few comparisons a document. Of the contents that components ar
 then still divided over, those that would give more than `costly` pairs a row get
 nothing, which a set can bear as long as it has no more of these, and of empty
 segments, than the slack. Sets that have more meet through one-deletion
-neighbourhoods of their segments. Where even a neighbourhood is costly, its sets are
-written as differences from its hub: two of them that don't link to it can link only
-if these differences overlap, by at least what their sizes tell. So no group's pairs
-are ever listed, and every candidate is verified on its words.
+neighbourhoods of their segments. What even these leave in costly groups is first
+thinned out by tokens that no other component has, then compared group by group in
+blocks of bounded size, each an index of tokens that all of its group's sets pass.
+So no group's pairs are ever listed, and every link is verified on its shingles.
 
 Classes of equal texts are 64-bit digests; `clashes` finds those that two texts
 share by 128 bits, and these get others.
@@ -30,6 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from .classes import Classes
 from .common import discard, materialize, ship, small_batches, table, text_bytes, worker_cache
@@ -41,6 +42,8 @@ SHINGLE, PERCENT = 5, 80
 #: Pairs a row that a group of equal contents may give before it is costly, and the
 #: rows of a group that one task may take.
 COSTLY, GATHERED = 8, 4096
+#: Tokens of a block of sets that others pass.
+BLOCK = 1 << 20
 #: Comparisons with one text in a task's group.
 PER_TEXT = 256
 #: Classes that a task remembers, to index a text once.
@@ -172,17 +175,17 @@ def similar_components(docs: DataFrame, percent: int = PERCENT, n: int = SHINGLE
     nothing else has a null one. Very long texts are cut into shingles as a whole, in
     one task. Other columns are ignored; an empty table gives an empty result.
     """
-    own, roots = linked_classes(docs, percent, n, costly)
+    own, roots, _ = linked_classes(docs, percent, n, costly)
     lowest = roots.groupBy("component").agg(F.min("rep").alias("component_id"))
     of_class = roots.join(lowest, "component").select("cls", "component_id")
     out = own.join(of_class, "cls", "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
-def linked_classes(docs: DataFrame, percent: int = PERCENT, n: int = SHINGLE, costly: int = COSTLY) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, cls, n_shingles) of each row, and (cls, rep, size, component) of each
-    class of rows with equal words: its smallest doc_id, its set's size and the least
-    class within reach."""
+def linked_classes(docs: DataFrame, percent: int = PERCENT, n: int = SHINGLE, costly: int = COSTLY) -> tuple[DataFrame, DataFrame, Classes]:
+    """(doc_id, cls, n_shingles) of each row; (cls, rep, size, component) of each class
+    of rows with equal words: its smallest doc_id, its set's size and the least class
+    within reach; and how classes are told."""
     spark = docs.sparkSession
     ship(spark)
     bands = Bands(percent)
@@ -198,22 +201,25 @@ def linked_classes(docs: DataFrame, percent: int = PERCENT, n: int = SHINGLE, co
         if not (clashing := classes.clashes(checks)):
             break
         discard(shared)
-        classes = Classes(clashing, classes.bits)
+        classes = Classes(clashing)
     own, reps = materialize(own, "rows"), materialize(reps, "classes")
     work = _Work(spark, docs, reps, classes, bands, n)
-    heavy = work.by_contents(shared.where("tag >= 0"), noted(_HEAVY).select("cls", value.alias("tag")), costly)
+    sets = noted(_SET).select(F.col("key").alias("set"), "cls", value.alias("tag")).distinct()
+    heavy = work.by_contents(shared.where("tag >= 0").select("key", F.col("cls").alias("set")), sets, costly)
     discard(shared)
     if not heavy.isEmpty():
         work.by_deletions(heavy, costly)
     discard(heavy)
+    discard(work.texts)
     roots = reps.join(work.components, "cls", "left").withColumn("component", F.coalesce("component", "cls"))
-    return own, roots
+    return own, roots, classes
 
 
 ROWS = "key long, cls long, tag long"
 #: Kinds of notes among the rows, whose tag is -1 - (3 * value + kind): a row of docs with
-#: its doc_id as key, a class's check as key, a set that has too few contents in a band.
-_ROW, _CHECK, _HEAVY = 0, 1, 2
+#: its doc_id as key, a class's check as key, a set (a class in a band) with its id as key.
+#: The other rows, which are many, have a tag of 0 and the set's id in place of the class.
+_ROW, _CHECK, _SET = 0, 1, 2
 
 
 def _rows_of(parts: list[tuple], names=("key", "cls", "tag")):
@@ -256,8 +262,18 @@ def _shared(docs: DataFrame, classes: Classes, bands: Bands, n: int) -> DataFram
     return materialize(rows.mapInArrow(grouped, ROWS), "shared")
 
 
+#: A tag: band, contents that a set needs to share, size of the set; the last two have
+#: this many bits and are held down to them, which lets more pairs through.
+BITS = 24
+
+
+def _tag(band, needed, size):
+    most = (1 << BITS) - 1
+    return band << 2 * BITS | np.minimum(needed, most) << BITS | np.minimum(size, most)
+
+
 def _set_rows(bands: Bands, cls: np.ndarray, tokens: np.ndarray, sizes: np.ndarray) -> list[tuple]:
-    """(key, class, tag) of sets in a row, in each of their bands, and notes of heavy ones."""
+    """(key, set, 0) of sets in a row, in each of their bands, and a note of each set."""
     ends = np.cumsum(sizes)
     of = [(i, band) for i, size in enumerate(sizes.tolist()) if size for band in bands.of(size)]
     if not of:
@@ -266,9 +282,9 @@ def _set_rows(bands: Bands, cls: np.ndarray, tokens: np.ndarray, sizes: np.ndarr
     again = np.concatenate([tokens[ends[i] - sizes[i] : ends[i]] for i in which])
     keys, filled = bands.normal_sets(again, sizes[which], band)
     needed = np.array([bands.needed(s, b, f) for s, b, f in zip(sizes[which].tolist(), band.tolist(), filled.tolist(), strict=True)])
-    tag = band << 32 | np.maximum(needed, 0)
-    heavy = needed <= 0
-    return [(keys, np.repeat(cls[which], filled), np.repeat(tag, filled)), (cls[which][heavy], cls[which][heavy], -1 - (3 * tag[heavy] + _HEAVY))]
+    tag = _tag(band, np.maximum(needed, 0), sizes[which])
+    ids = mix(cls[which].view(np.uint64) + np.uint64(0x9E3779B97F4A7C15) * (band + 1).astype(np.uint64)).view(np.int64)
+    return [(keys, np.repeat(ids, filled), np.zeros(len(keys), np.int64)), (ids, cls[which], -1 - (3 * tag + _SET))]
 
 
 class _Work:
@@ -283,16 +299,21 @@ class _Work:
         """With the component of column cls."""
         return rows.join(self.components, "cls", "left").withColumn("component", F.coalesce("component", "cls"))
 
-    def by_contents(self, shared: DataFrame, notes: DataFrame, costly: int) -> DataFrame:
+    def by_contents(self, shared: DataFrame, sets: DataFrame, costly: int) -> DataFrame:
         """Links of sets of which one is not heavy; (cls, bands) of the heavy ones."""
-        sets = shared.groupBy("cls", "tag").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= _needed())
-        likely = materialize(shared.join(sets, ["cls", "tag"]), "likely")
+        counts = shared.groupBy("set").agg(F.count(F.lit(1)).cast("int").alias("n"))
+        enough = sets.join(counts, "set").where(F.col("n") >= _needed())
+        likely = materialize(shared.join(enough, "set").drop("set"), "likely")
+        notes = sets.where(_needed() == 0).select("cls", "tag")
         self.texts = self._texts(likely.select("cls").union(notes.select("cls")).distinct())
 
         # each set with the one of its group that shares most of its contents
-        hubs = likely.groupBy("key").agg(F.max(F.struct("n", "cls"))["cls"].alias("hub"), F.min("cls").alias("low"), F.max("cls").alias("high")).where("low < high").select("key", "hub")
-        grouped = materialize(likely.join(hubs, "key").select("key", "cls", "tag", "hub"), "grouped")
-        pairs = grouped.where("hub != cls").groupBy("hub", "cls", "tag").agg(F.count(F.lit(1)).alias("n")).where(2 * F.col("n") >= _needed())
+        size = F.col("tag").bitwiseAND((1 << BITS) - 1).cast("int").alias("size")
+        hubs = likely.groupBy("key").agg(F.max(F.struct("n", "cls", size)).alias("hub"), F.count(F.lit(1)).alias("rows")).where("rows > 1")
+        hubs = hubs.select("key", F.col("hub.cls").alias("hub"), F.col("hub.size").cast("long").alias("hub_tag"))
+        grouped = materialize(likely.join(hubs, "key").select("key", "cls", "tag", "hub", "hub_tag"), "grouped")
+        near = grouped.where((F.col("hub") != F.col("cls")) & _fit("tag", "hub_tag", self.bands.percent))
+        pairs = near.groupBy("hub", "cls", "tag").agg(F.count(F.lit(1)).alias("n")).where(2 * F.col("n") >= _needed())
         self.link(pairs.select(F.col("hub").alias("a"), F.col("cls").alias("b")).distinct())
         discard(likely)
 
@@ -302,9 +323,9 @@ class _Work:
         discard(grouped)
         found = _across(open_rows.where("not costly"), ("cls", "tag", "lost")).groupBy("a_cls", "b_cls", "a_tag", "b_tag", "a_lost", "b_lost").agg(F.count(F.lit(1)).alias("n"))
         enough = F.greatest(_needed("a_tag") - F.col("a_lost"), _needed("b_tag") - F.col("b_lost"))
-        self.link(found.where(F.col("n") >= enough).select(F.col("a_cls").alias("a"), F.col("b_cls").alias("b")).distinct())
+        self.link(found.where((F.col("n") >= enough) & _fit("a_tag", "b_tag", self.bands.percent)).select(F.col("a_cls").alias("a"), F.col("b_cls").alias("b")).distinct())
         heavy = open_rows.where(_needed() <= F.col("lost")).select("cls", "tag").union(notes)
-        heavy = materialize(heavy.groupBy("cls").agg(F.collect_set(F.shiftright("tag", 32).cast("int")).alias("bands")), "heavy")
+        heavy = materialize(heavy.groupBy("cls").agg(F.collect_set(F.shiftright("tag", 2 * BITS).cast("int")).alias("bands")), "heavy")
         discard(open_rows)
         return heavy
 
@@ -320,7 +341,7 @@ class _Work:
                     tokens, cls = shingles(joined, n), classes.of(joined)
                     for band in of:
                         k = bands.deleted(tokens, band)
-                        out.append((k, np.full(len(k), cls), np.full(len(k), band)))
+                        out.append((k, np.full(len(k), cls), np.full(len(k), _tag(band, 0, len(tokens)))))
                 if out:
                     yield _rows_of(out)
 
@@ -333,44 +354,54 @@ class _Work:
         shared = materialize(rows.repartition("key").sortWithinPartitions("key").mapInArrow(grouped, ROWS), "shared")
         spread = materialize(_costs(self.rooted(shared), costly), "open")
         discard(shared)
-        found = _across(spread.where("not costly"), ("cls",))
-        self.link(found.select(F.col("a_cls").alias("a"), F.col("b_cls").alias("b")).distinct())
+        found = _across(spread.where("not costly"), ("cls", "tag"))
+        self.link(found.where(_fit("a_tag", "b_tag", bands.percent)).select(F.col("a_cls").alias("a"), F.col("b_cls").alias("b")).distinct())
         dear = materialize(self.rooted(spread.where("costly").select("key", "cls")), "costly")
         discard(spread)
         if not dear.isEmpty():
-            self.by_differences(dear)
+            self.by_blocks(dear)
         discard(dear)
 
-    def by_differences(self, dear: DataFrame) -> None:
+    def by_blocks(self, dear: DataFrame) -> None:
         """Links between sets that share a key: (key, cls, component).
 
-        With M the symmetric difference of a set from a hub and v = (100 + percent) |M| -
-        (100 - percent) |set|, two sets link just if 2 (100 + percent) times the size of
-        their M's intersection is at least the sum of their v. That sum is above 0 unless
-        both are in the hub's component."""
-        most = dear.groupBy("cls").agg(F.count(F.lit(1)).alias("n"))
-        hubs = dear.join(most, "cls").groupBy("key").agg(F.max(F.struct("n", "cls"))["cls"].alias("hub"), F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
-        members = materialize(dear.join(hubs, "key").where("hub != cls").select("hub", "cls").distinct(), "members")
-        apart = materialize(self._compared(members.select(F.col("hub").alias("a"), F.col("cls").alias("b")), differences=True), "differences")
-        self.link(apart.where("linked").select("a", "b"), verified=True)
-        discard(members)
+        A set of which too few tokens are in another component goes. The rest meet by the
+        hubs of their keys: a hub's sets outside of its component are dealt in blocks of
+        BLOCK tokens, and all of its sets pass each block."""
+        percent, n = self.bands.percent, self.n
 
-        rows = self.rooted(apart.select(F.col("a").alias("hub"), F.col("b").alias("cls"), "v", F.explode("apart").alias("token")))
-        rows = materialize(rows, "tokens")
-        double = 2 * (100 + self.bands.percent)
-        mixed = rows.groupBy("hub", "token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("hub", "token")
-        least = rows.groupBy("hub").agg(F.min("v").alias("least"))
-        rows = materialize(rows.join(mixed, ["hub", "token"]), "mixed")
-        overlap = rows.groupBy("hub", "cls", "v").agg(F.count(F.lit(1)).alias("n")).join(least, "hub").where(F.col("v") + F.col("least") <= double * F.col("n"))
-        rows = rows.join(overlap.select("hub", "cls", (double * F.col("n") - F.col("v")).alias("reach")), ["hub", "cls"])
-        rows = rows.select(F.xxhash64("hub", "token").alias("key"), "component", "cls", "hub", "v", "reach")
-        found = _across(rows, ("cls", "hub", "v", "reach"), within=True).where("a_hub = b_hub").groupBy("a_hub", "a_cls", "b_cls", "a_v", "b_v").agg(F.count(F.lit(1)).alias("n"))
-        self.link(found.where(F.col("a_v") + F.col("b_v") <= double * F.col("n")).select(F.col("a_cls").alias("a"), F.col("b_cls").alias("b")).distinct())
-        discard(apart)
+        def tokens(batches):
+            for batch in small_batches(batches, 512):
+                found, sizes = shingle_sets([zlib.decompress(w) for w in batch.column(2).to_pylist()], n)
+                lists = pa.LargeListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int64()), pa.array(found.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), lists.cast(pa.list_(pa.int64()))], ["cls", "component", "tokens"])
+
+        most = dear.groupBy("cls", "component").agg(F.count(F.lit(1)).alias("n"))
+        sets = materialize(self.texts.join(most, "cls").select("cls", "component", "words").mapInArrow(tokens, "cls long, component long, tokens array<long>"), "sets")
+        rows = sets.select("cls", "component", F.explode("tokens").alias("token"))
+        mixed = rows.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("token")
+        left = rows.join(mixed, "token").groupBy("cls").agg(F.count(F.lit(1)).alias("common"))
+        left = sets.join(left, "cls").where(F.col("common") * 100 >= F.size("tokens") * percent).drop("common")
+
+        best = dear.join(most.select("cls", "n"), "cls").groupBy("key").agg(F.max(F.struct("n", "cls", "component")).alias("hub"), F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
+        members = dear.join(best, "key").select(F.col("hub.cls").alias("hub"), F.col("hub.component").alias("home"), "cls").distinct().join(left, "cls")
+        members = materialize(members, "members")
+        outside = members.where("component != home")
+        parts = outside.groupBy("hub").agg(F.ceil(F.sum(F.size("tokens")) / BLOCK).cast("long").alias("parts"))
+        index = outside.join(parts, "hub").select("hub", F.pmod(F.xxhash64("cls"), "parts").alias("part"), F.lit(0).alias("side"), "cls", "component", "tokens")
+        probe = members.join(parts, "hub").select("hub", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.lit(1).alias("side"), "cls", "component", "tokens")
+        together = index.unionByName(probe).repartition("hub", "part").sortWithinPartitions("hub", "part", "side")
+        self.link(together.mapInArrow(lambda batches: _passed(batches, percent), "a long, b long"), verified=True)
+        discard(sets)
+        discard(members)
 
     def link(self, pairs: DataFrame, verified: bool = False) -> None:
         """Join the components of the pairs (a, b) that link."""
-        links = pairs if verified else self._compared(pairs).where("linked").select("a", "b")
+        links = materialize(pairs if verified else self._compared(pairs), "links")
+        if links.isEmpty():
+            if self.components is None:
+                self.components = self.spark.createDataFrame([], "cls long, component long")
+            return
         if self.components is None:
             self.components = materialize(connected_components(links).withColumnRenamed("node", "cls"), "components")
             return
@@ -381,8 +412,8 @@ class _Work:
         old = before.join(above, "component", "left").select("cls", F.coalesce("top", "component").alias("component"))
         new = above.toDF("cls", "component").join(before, "cls", "left_anti")
         self.components = materialize(old.unionByName(new), "components")
-        discard(before)
-        discard(above)
+        for done in (before, above, links):
+            discard(done)
 
     def _texts(self, wanted: DataFrame) -> DataFrame:
         """(cls, size, words) of wanted classes, each from the rows of its smallest doc_id."""
@@ -400,17 +431,12 @@ class _Work:
         discard(ids)
         return out
 
-    def _compared(self, pairs: DataFrame, differences: bool = False) -> DataFrame:
-        """Of the pairs (a, b) of classes: whether they link; with differences also v and
-        the tokens of the one or the other. Else pairs that no sizes allow are left out.
+    def _compared(self, pairs: DataFrame) -> DataFrame:
+        """The pairs (a, b) of classes that link.
 
         The words of b are brought to a, whose words are repeated for every PER_TEXT
         comparisons, so that no text's many partners meet in one task."""
         percent, n = self.bands.percent, self.n
-        if not differences:
-            size = lambda side: self.reps.select(F.col("cls").alias(side), F.col("size").alias(f"{side}_size"))
-            fit = F.least("a_size", "b_size") * 100 >= F.greatest("a_size", "b_size") * percent
-            pairs = pairs.join(size("a"), "a").join(size("b"), "b").where(fit).select("a", "b")
         pairs = materialize(pairs, "pairs")
         parts = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / PER_TEXT).cast("long").alias("parts"))
         texts = self.texts.select("cls", "words")
@@ -421,7 +447,7 @@ class _Work:
         def compare(batches):
             mine, tokens = None, None
             for batch in small_batches(batches, 256):
-                out, apart = [], []
+                out = []
                 for a, part, b, words in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                     own = shingles(zlib.decompress(words), n)
                     if b is None:
@@ -430,23 +456,23 @@ class _Work:
                     if mine != (a, part):
                         raise ValueError("words of a pair are missing")
                     both = len(np.intersect1d(tokens, own, assume_unique=True))
-                    off = len(tokens) + len(own) - 2 * both
-                    linked = 100 * both >= percent * (both + off)
-                    if differences or linked:
-                        out.append((a, b, linked, (100 + percent) * off - (100 - percent) * len(own)))
-                        apart.append(np.setxor1d(tokens, own, assume_unique=True) if differences else tokens[:0])
+                    if 100 * both >= percent * (len(tokens) + len(own) - both):
+                        out.append((a, b))
                 if out:
-                    a, b, linked, v = zip(*out, strict=True)
-                    ends = np.cumsum([0, *map(len, apart)])
-                    tokens_apart = pa.LargeListArray.from_arrays(pa.array(ends, pa.int64()), pa.array(np.concatenate(apart).view(np.int64))).cast(pa.list_(pa.int64()))
-                    yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(linked, pa.bool_()), pa.array(v, pa.int64()), tokens_apart], ["a", "b", "linked", "v", "apart"])
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["a", "b"])
 
         together = hubs.unionByName(others).repartition("a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first())
-        return together.mapInArrow(compare, "a long, b long, linked boolean, v long, apart array<long>")
+        return together.mapInArrow(compare, "a long, b long")
 
 
 def _needed(tag: str = "tag"):
-    return F.col(tag).bitwiseAND(2**32 - 1)
+    return F.shiftright(tag, BITS).bitwiseAND((1 << BITS) - 1)
+
+
+def _fit(a_tag: str, b_tag: str, percent: int):
+    """Whether two sets' sizes allow a link."""
+    a, b = (F.col(t).bitwiseAND((1 << BITS) - 1) for t in (a_tag, b_tag))
+    return F.least(a, b) * 100 >= F.greatest(a, b) * percent
 
 
 def _costs(rows: DataFrame, costly: int) -> DataFrame:
@@ -458,40 +484,71 @@ def _costs(rows: DataFrame, costly: int) -> DataFrame:
     return rows.join(groups.select("key", ((pairs > costly * F.col("n")) | (F.col("n") > GATHERED)).alias("costly")), "key")
 
 
-def _across(rows: DataFrame, held: tuple[str, ...], within: bool = False) -> DataFrame:
+def _across(rows: DataFrame, held: tuple[str, ...]) -> DataFrame:
     """Pairs of rows of one key and different components: the held columns of each,
-    as a_ and b_, where a has the smaller cls. With `within` only those of which
-    each one's v is at most the other's reach (the last two held)."""
+    as a_ and b_, where a has the smaller cls (the first held)."""
     names = [f"{side}_{c}" for side in "ab" for c in held]
 
-    def pairs(columns):
-        key, component, cls, *rest = columns
-        start = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
-        size = np.diff(np.append(start, len(key)))
-        top = np.repeat(start + size, size)  # a row meets those behind it, up to here
-        if within:  # by falling reach, so those that reach a row are the first of its group
-            v, reach = rest[-2:]
-            for a, n in zip(start[size > 64].tolist(), size[size > 64].tolist(), strict=True):
-                top[a : a + n] = a + np.searchsorted(-reach[a : a + n], -v[a : a + n], "right")
-        later = np.maximum(top - np.arange(len(key)) - 1, 0)
-        for a, b in _cuts(later, 1 << 20):
-            i = np.repeat(np.arange(a, b), later[a:b])
-            j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(later[a:b]) - later[a:b], later[a:b])
-            good = component[i] != component[j]
-            if within:
-                good &= (v[j] <= reach[i]) & (v[i] <= reach[j])
-            i, j = i[good], j[good]
-            if len(i):
-                i, j = np.where(cls[i] < cls[j], i, j), np.where(cls[i] < cls[j], j, i)
-                yield _rows_of([tuple(c[k] for k in (i, j) for c in (cls, *rest))], names)
-
     def run(batches):
-        for columns in whole_groups(batches):
-            yield from pairs(columns)
+        for key, component, cls, *rest in whole_groups(batches):
+            start = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+            size = np.diff(np.append(start, len(key)))
+            later = np.repeat(start + size, size) - np.arange(len(key)) - 1  # a row meets those behind it
+            for a, b in _cuts(later, 1 << 17):
+                i = np.repeat(np.arange(a, b), later[a:b])
+                j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(later[a:b]) - later[a:b], later[a:b])
+                good = component[i] != component[j]
+                i, j = i[good], j[good]
+                if len(i):
+                    i, j = np.where(cls[i] < cls[j], i, j), np.where(cls[i] < cls[j], j, i)
+                    yield _rows_of([tuple(c[k] for k in (i, j) for c in (cls, *rest))], names)
 
-    order = ["key", F.desc("reach")] if within else ["key"]
     rows = rows.select("key", "component", *(F.col(c).cast("long").alias(c) for c in held))
-    return rows.repartition("key").sortWithinPartitions(*order).mapInArrow(run, ", ".join(f"{c} long" for c in names))
+    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(run, ", ".join(f"{c} long" for c in names))
+
+
+def _passed(batches, percent: int):
+    """Pairs of sets that link, from rows (hub, part, side, cls, component, tokens) in this
+    order: the sets of side 0 of a block, then those of side 1 that pass it."""
+    block, held, index = None, [], None
+    for batch in batches:
+        hub, part, side, cls, component = (np.asarray(batch.column(i)) for i in range(5))
+        flat = batch.column(5)
+        sizes = np.asarray(flat.value_lengths()).astype(np.int64)
+        tokens, ends = np.asarray(flat.flatten()), np.cumsum(sizes)
+        cuts = np.flatnonzero((hub[1:] != hub[:-1]) | (part[1:] != part[:-1]) | (side[1:] != side[:-1])) + 1
+        for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(hub)], strict=True):
+            if a == b:
+                continue
+            own = (tokens[ends[a] - sizes[a] : ends[b - 1]], sizes[a:b], cls[a:b], component[a:b])
+            if block != (hub[a], part[a]):
+                block, held, index = (hub[a], part[a]), [], None
+            if side[a] == 0:
+                held.append(own)
+                continue
+            if index is None:
+                all_tokens, all_sizes, all_cls, all_components = (np.concatenate(c) for c in zip(*held, strict=True)) if held else (np.zeros(0, np.int64),) * 4
+                order = np.argsort(all_tokens, kind="stable")
+                index = all_tokens[order], np.repeat(np.arange(len(all_sizes)), all_sizes)[order], all_sizes, all_cls, all_components
+            yield from _links(own, index, percent)
+
+
+def _links(own, index, percent: int):
+    """Pairs of sets in `own` and in a block's index that link, across components."""
+    tokens, sizes, cls, component = own
+    known, owner, known_sizes, known_cls, known_components = index
+    low = np.searchsorted(known, tokens)
+    hits = np.searchsorted(known, tokens, "right") - low
+    of = np.repeat(np.arange(len(sizes)), sizes)
+    for a, b in _cuts(np.bincount(of, weights=hits, minlength=len(sizes)).astype(np.int64), 1 << 20):
+        at = np.flatnonzero((of >= a) & (of < b) & (hits > 0))
+        n = hits[at]
+        found = np.repeat(low[at] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        pair, both = np.unique(np.repeat(of[at], n) * len(known_sizes) + owner[found], return_counts=True)
+        x, y = pair // max(len(known_sizes), 1), pair % max(len(known_sizes), 1)
+        good = (component[x] != known_components[y]) & (100 * both >= percent * (sizes[x] + known_sizes[y] - both))
+        if good.any():
+            yield _rows_of([(cls[x[good]], known_cls[y[good]])], ("a", "b"))
 
 
 def _cuts(weights: np.ndarray, most: int):
@@ -504,6 +561,38 @@ def _cuts(weights: np.ndarray, most: int):
         a = b
 
 
+def one_of_each(docs: DataFrame, percent: int = PERCENT, n: int = SHINGLE) -> DataFrame:
+    """The rows of docs but for near-duplicates: of the rows whose texts are within
+    reach of each other one stays, that with the smallest doc_id, then class of its
+    text, then hash of all columns; a null doc_id comes last. Rows are judged one by
+    one, also where ids are null or repeat. Texts without words all stay. Columns may
+    have any names; an empty table gives an empty result."""
+    _, roots, classes = linked_classes(docs, percent, n)
+    columns = docs.columns
+    carried = docs.select("doc_id", "text", F.xxhash64(*(F.col(f"`{c}`") for c in columns)).alias("row"), F.struct(*(F.col(f"`{c}`") for c in columns)).alias("carried"))
+
+    def classed(batches):
+        for batch in small_batches(batches, 512):
+            ids = pa.array([classes.of(t) for t in lowered(text_bytes(batch.column(1)))], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), ids, *batch.columns[2:]], ["doc_id", "cls", *batch.schema.names[2:]])
+
+    def rows(table: DataFrame) -> DataFrame:
+        first, *others = table.drop("text").schema.fields
+        return table.mapInArrow(classed, StructType([first, StructField("cls", LongType()), *others]))
+
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "cls", "row")
+    known = roots.select("cls", "component")
+    meta = rows(carried.drop("carried")).join(known, "cls")
+    first = meta.groupBy("component").agg(F.min(order).alias("first"))
+    same = meta.join(first, "component").where(order == F.col("first")).groupBy("component").agg(F.count(F.lit(1)).alias("n"))
+    first = materialize(first.join(same, "component"), "first")
+    info = known.join(first, "component")
+    judged = rows(carried).join(info, "cls", "left").where(F.col("component").isNull() | (order == F.col("first")))
+    if first.where("n > 1").isEmpty():
+        return judged.select("carried.*")
+    return judged.where("n is null or n = 1").select("carried").unionByName(judged.where("n > 1").dropDuplicates(["component"]).select("carried")).select("carried.*")
+
+
 def op5_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_components(table(spark, sf_dir, "documents"))
 

@@ -1,7 +1,9 @@
 """A document quality score.
 
 Statistics of the whole text are standardised and mapped by random Fourier
-features, whose inner products approximate a Gaussian kernel. Every partition
+features, whose inner products approximate a Gaussian kernel; the standardised
+statistics themselves are kept beside them, so the kernel is Gaussian plus linear,
+which extrapolates better from few labels. Every partition
 sums its part of the normal equations; their sum gives ridge weights. Isotonic
 regression on labelled documents kept out of that fit turns scores into
 probabilities.
@@ -17,6 +19,7 @@ from pyspark.sql import functions as F
 
 from .common import discard, materialize, ship, small_batches, table, text_bytes, worker_cache
 from .polyhash import PolyHash
+from .streams import id_set
 
 STATISTICS = [
     "log_bytes", "log_words", "word_bytes", "word_bytes_sd", "upper", "lower", "digit", "space", "newline", "stop", "comma", "bang", "bar", "symbol",
@@ -105,6 +108,21 @@ def text_statistics(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, x array<double>")
 
 
+def labelled_statistics(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """As text_statistics, of the rows that may train: those with a label, outside of
+    the held-out fold, and a few others. The ids go out as a Bloom filter of bounded
+    size, so no text is moved."""
+    known = labels.where("quality is not null").select(F.col("doc_id").cast("long").alias("doc_id")).where(fold(F.col("doc_id")) > 0)
+    wanted = docs.sparkSession.sparkContext.broadcast(id_set(known, "doc_id", known.count()))
+
+    def run(batches):
+        for batch in batches:
+            yield batch.filter(pa.array(wanted.value.holds(np.asarray(batch.column(0)))))
+
+    own = docs.select("doc_id", "text").where(F.col("doc_id").isNotNull() & (fold(F.col("doc_id")) > 0))
+    return text_statistics(own.mapInArrow(run, own.schema))
+
+
 def _lists(x: np.ndarray):
     offsets = np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(x.ravel()))
@@ -198,8 +216,10 @@ def fold(doc_id: Column) -> Column:
 
 def train(statistics: DataFrame, labels: DataFrame) -> Model:
     """Fit on labelled rows of folds 2-4, calibrate on fold 1; no row of fold 0 is
-    read. Rows without a label or id are left out, repeated ones count each. With no
-    labelled row at all, every score is 0.5; with a single class, that class's."""
+    read. Rows without a label or id are left out, repeated ones count each. Where one
+    of both parts has no labelled row, the other serves for both, so small tables are
+    still scored. With no labelled row at all, every score is 0.5; with a single class,
+    that class's."""
     spark, width = statistics.sparkSession, len(STATISTICS)
     ship(spark)
     known = labels.where("quality is not null and doc_id is not null").select("doc_id", F.col("quality").cast("double").alias("y"))
@@ -227,7 +247,6 @@ def train(statistics: DataFrame, labels: DataFrame) -> Model:
     discard(rows)
     used = np.flatnonzero(count)
     model.grid = used * (2 / BINS) - 0.5
-    # one row of either class in all keeps the ends off 0 and 1
     model.calibrated = pool_adjacent(good[used] / count[used], count[used])
     return model
 
@@ -258,9 +277,7 @@ def score_documents(docs: DataFrame, labels: DataFrame, threshold: float = THRES
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs that the classifier doesn't reject, as they are. The rows
     are scored where they are read, so nothing is joined or moved."""
-    x = materialize(text_statistics(docs), "statistics")
-    model = docs.sparkSession.sparkContext.broadcast(train(x, labels))
-    discard(x)
+    model = docs.sparkSession.sparkContext.broadcast(train(labelled_statistics(docs, labels), labels))
     at = docs.columns.index("text")
 
     def run(batches):

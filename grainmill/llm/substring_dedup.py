@@ -9,7 +9,7 @@ the windows around it are extended to the full length and compared by 128-bit
 hashes. The smallest doc_id of equal windows keeps its words, others lose them.
 
 Exact copies of a text are one class, so a large group of copies costs no more
-than its rows. Classes go by 64-bit text hashes.
+than its rows. Classes are told apart by 128 bits.
 """
 
 from __future__ import annotations
@@ -21,8 +21,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, ship, small_batches, table, text_bytes, worker_cache
-from .polyhash import PolyHash, joined_words
+from .classes import Classes, described
+from .common import discard, materialize, ship, small_batches, table, text_bytes, worker_cache
+from .polyhash import PolyHash, canonical, joined_words
 from .streams import id_set, shared_flags
 
 WINDOW = 50
@@ -34,15 +35,6 @@ def _hashers():
     return worker_cache("substring-hash", lambda: (PolyHash(21), PolyHash(22)))
 
 
-def text_class(text: bytes) -> int:
-    return int.from_bytes(hashlib.blake2b(text, digest_size=8).digest(), "little", signed=True)
-
-
-def class_of(words: bytes) -> int:
-    """Texts with the same words are one class."""
-    return text_class(words)
-
-
 def _windows(text: bytes, n: int, at: np.ndarray | None, lanes: int):
     """Hashes of the n-word windows that start at the words `at` (all if None)."""
     joined, start, end = joined_words(text)
@@ -59,7 +51,7 @@ def _cover_places(n: int, period: int, cover: tuple[int, ...]) -> np.ndarray:
     return (np.arange(0, n, period)[:, None] + np.array(sorted(cover))[None, :]).ravel()
 
 
-def anchors(docs: DataFrame, window: int = WINDOW, period: int = PERIOD, cover: tuple[int, ...] = COVER) -> DataFrame:
+def anchors(docs: DataFrame, classes: Classes, window: int = WINDOW, period: int = PERIOD, cover: tuple[int, ...] = COVER) -> DataFrame:
     """(hash, cls, pos) of each text's distinct short windows at cover positions,
     with the first place of each: a text that repeats itself gives no more rows."""
     short = window - period + 1
@@ -68,7 +60,7 @@ def anchors(docs: DataFrame, window: int = WINDOW, period: int = PERIOD, cover:
         for batch in small_batches(batches, 512):
             h, cls, pos = [], [], []
             for text in text_bytes(batch.column(0)):
-                joined = b" ".join(text.split())
+                joined = canonical(text)
                 n = joined.count(b" ") + 1
                 if n >= window and joined:
                     places, (hashes,) = _windows(joined, short, _cover_places(n, period, cover), 1)
@@ -76,7 +68,7 @@ def anchors(docs: DataFrame, window: int = WINDOW, period: int = PERIOD, cover:
                     places = places[first]
                     h.append(hashes)
                     pos.append(places.astype(np.int32))
-                    cls.append(np.full(len(places), class_of(joined)))
+                    cls.append(np.full(len(places), classes.of(joined)))
             if h:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (h, cls, pos)], ["hash", "cls", "pos"])
 
@@ -110,22 +102,20 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, period: int = PERIOD
             if flags.any():
                 yield pa.RecordBatch.from_arrays([pa.array(columns[1][flags]), pa.array(columns[2][flags])], ["cls", "pos"])
 
-    def classes(batches):
-        for batch in small_batches(batches):
-            joined = [b" ".join(t.split()) for t in text_bytes(batch.column(1))]
-            yield pa.RecordBatch.from_arrays([pa.array([class_of(j) for j in joined], pa.int64()), batch.column(0)], ["cls", "doc_id"])
-
-    found = anchors(docs, window, period, cover).repartition("hash").sortWithinPartitions("hash", "cls").mapInArrow(shared, "cls long, pos int")
-    own = docs.select("doc_id", "text").mapInArrow(classes, "cls long, doc_id long")
-    reps = materialize(own.groupBy("cls").agg(F.min("doc_id").alias("rep")), "classes")
+    reps, classes = described(docs, canonical)
+    found = anchors(docs, classes, window, period, cover).repartition("hash").sortWithinPartitions("hash", "cls").mapInArrow(shared, "cls long, pos int")
     places = materialize(reps.join(found.groupBy("cls").agg(F.collect_set("pos").alias("at")), "cls"), "anchors")
     wanted = spark.sparkContext.broadcast(id_set(places, "rep", places.count()))
 
+    def classed(column):
+        joined = [canonical(t) for t in text_bytes(column)]
+        return pa.array([classes.of(j) for j in joined], pa.int64()), pa.array(joined, pa.binary())
+
     def texts(batches):  # those that have shared anchors; a few others may slip in
         for batch in small_batches(batches):
             flags = wanted.value.holds(np.asarray(batch.column(0)))
             part = batch.filter(pa.array(flags))
-            yield pa.RecordBatch.from_arrays([part.column(0), *_classed(part.column(1))], ["rep", "cls", "words"])
+            yield pa.RecordBatch.from_arrays([part.column(0), *classed(part.column(1))], ["rep", "cls", "words"])
 
     short = window - period + 1
 
@@ -155,17 +145,18 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, period: int = PERIOD
     gone = windows.repartition("h1", "h2").sortWithinPartitions("h1", "h2", "doc").mapInArrow(repeated, "rep long, pos int, cls long")
     gone = materialize(gone.groupBy("rep", "cls").agg(F.collect_set("pos").alias("at")), "repeated")
     n_gone = gone.count()
+    discard(places)
     cut = spark.sparkContext.broadcast(id_set(gone, "rep", n_gone))
 
     def rows(batches):
         """Each row's class; its words only where some may have to go."""
         for batch in small_batches(batches):
             flags = cut.value.holds(np.asarray(batch.column(0)))
-            classes, words = _classed(batch.column(2))
+            ids, words = classed(batch.column(2))
             n_words = [w.count(b" ") + 1 if w else 0 for w in words.to_pylist()]
             kept = pa.array([w if f else None for w, f in zip(words.to_pylist(), flags, strict=True)], pa.binary())
             full = pa.array([hashlib.sha256(w).hexdigest() for w in words.to_pylist()], pa.string())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), classes, pa.array(n_words, pa.int64()), kept, full], ["doc_id", "no_id", "cls", "n_words", "words", "full_sha256"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), ids, pa.array(n_words, pa.int64()), kept, full], ["doc_id", "no_id", "cls", "n_words", "words", "full_sha256"])
 
     info = reps.join(gone, ["rep", "cls"], "left")
     judged = docs.mapInArrow(rows, "doc_id long, no_id boolean, cls long, n_words long, words binary, full_sha256 string").join(info, "cls", "left")
@@ -195,11 +186,6 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, period: int = PERIOD
     return out.select(F.when(~F.col("no_id"), F.col("doc_id")).alias("doc_id"), "n_words", "n_removed", "kept_sha256")
 
 
-def _classed(column):
-    joined = [b" ".join(t.split()) for t in text_bytes(column)]
-    return pa.array([class_of(j) for j in joined], pa.int64()), pa.array(joined, pa.binary())
-
-
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_substrings(table(spark, sf_dir, "documents"))
 

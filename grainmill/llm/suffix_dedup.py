@@ -22,11 +22,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, ship, small_batches, table, text_bytes, worker_cache
+from .classes import described, digest_halves
+from .common import discard, materialize, ship, small_batches, table, text_bytes, worker_cache
 from .induced_sort import IN_MEMORY, suffix_blocks, suffixes
 from .polyhash import PolyHash
 from .streams import id_set, shared_flags
-from .substring_dedup import text_class
 
 LENGTH, SEED = 50, 20
 #: Bytes of a part of a shard that is sorted at once, and of one that is sorted in
@@ -72,10 +72,7 @@ def dedup_suffixes(docs: DataFrame, length: int = LENGTH, seed: int = SEED, in_m
     ship(spark)
     docs = docs.select(F.coalesce(F.col("doc_id"), F.lit(2**63 - 1)).alias("doc_id"), F.col("doc_id").isNull().alias("no_id"), "text")
 
-    def described(batches):
-        for batch in small_batches(batches):
-            texts = text_bytes(batch.column(1))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([text_class(t) for t in texts], pa.int64())], ["doc_id", "cls"])
+    reps, classes = described(docs, bytes)
 
     def minimizers(batches):
         for batch in small_batches(batches, 256):
@@ -83,7 +80,7 @@ def dedup_suffixes(docs: DataFrame, length: int = LENGTH, seed: int = SEED, in_m
             for text in text_bytes(batch.column(0)):
                 own = np.unique(segments_of(text, length, seed)[0])
                 h.append(own)
-                cls.append(np.full(len(own), text_class(text)))
+                cls.append(np.full(len(own), classes.of(text)))
             if h:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (h, cls)], ["hash", "cls"])
 
@@ -92,7 +89,6 @@ def dedup_suffixes(docs: DataFrame, length: int = LENGTH, seed: int = SEED, in_m
             if flags.any():
                 yield pa.RecordBatch.from_arrays([pa.array(columns[1][flags]), pa.array(columns[0][flags])], ["cls", "hash"])
 
-    reps = materialize(docs.select("doc_id", "text").mapInArrow(described, "doc_id long, cls long").groupBy("cls").agg(F.min("doc_id").alias("rep")), "classes")
     found = docs.select("text").mapInArrow(minimizers, "hash long, cls long").repartition("hash").sortWithinPartitions("hash", "cls").mapInArrow(shared, "cls long, hash long")
     places = materialize(reps.join(found.groupBy("cls").agg(F.collect_set("hash").alias("hashes")), "cls"), "minimizers")
     wanted = spark.sparkContext.broadcast(id_set(places, "rep", places.count()))
@@ -101,7 +97,7 @@ def dedup_suffixes(docs: DataFrame, length: int = LENGTH, seed: int = SEED, in_m
         for batch in small_batches(batches):
             part = batch.filter(pa.array(wanted.value.holds(np.asarray(batch.column(0)))))
             own = text_bytes(part.column(1))
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([text_class(t) for t in own], pa.int64()), pa.array([zlib.compress(t, 1) for t in own], pa.binary())], ["rep", "cls", "packed"])
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([classes.of(t) for t in own], pa.int64()), pa.array([zlib.compress(t, 1) for t in own], pa.binary())], ["rep", "cls", "packed"])
 
     def cut(batches):
         for batch in small_batches(batches, 64):
@@ -111,7 +107,7 @@ def dedup_suffixes(docs: DataFrame, length: int = LENGTH, seed: int = SEED, in_m
                 h, start, end = segments_of(text, length, seed)
                 for i in np.flatnonzero(np.isin(h, np.array(hashes))).tolist():
                     own = text[start[i] : end[i]]
-                    out.append((h[i], text_class(own), doc, cls, start[i], own))
+                    out.append((h[i], digest_halves(own)[0], doc, cls, start[i], own))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()), strict=True)], ["hash", "digest", "doc", "cls", "start", "bytes"])
 
@@ -124,13 +120,14 @@ def dedup_suffixes(docs: DataFrame, length: int = LENGTH, seed: int = SEED, in_m
     gone = segments.repartition("hash").sortWithinPartitions("hash", "digest", "doc").mapInArrow(sort_shard, "rep long, cls long, start int, stop int")
     gone = materialize(gone.groupBy("rep", "cls").agg(F.collect_set(F.struct("start", "stop")).alias("at")), "repeated")
     touched = spark.sparkContext.broadcast(id_set(gone, "rep", gone.count()))
+    discard(places)
 
     def rows(batches):
         for batch in small_batches(batches):
             flags = touched.value.holds(np.asarray(batch.column(0)))
             own = text_bytes(batch.column(2))
             yield pa.RecordBatch.from_arrays([
-                batch.column(0), batch.column(1), pa.array([text_class(t) for t in own], pa.int64()), pa.array([len(t) for t in own], pa.int64()),
+                batch.column(0), batch.column(1), pa.array([classes.of(t) for t in own], pa.int64()), pa.array([len(t) for t in own], pa.int64()),
                 pa.array([zlib.compress(t, 1) if f else None for t, f in zip(own, flags, strict=True)], pa.binary()), pa.array([hashlib.sha256(t).hexdigest() for t in own], pa.string()),
             ], ["doc_id", "no_id", "cls", "n_bytes", "packed", "full_sha256"])
 

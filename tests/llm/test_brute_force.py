@@ -136,6 +136,87 @@ def test_components(docs, prose, empty, costly):
     assert jaccard.similar_components(empty).collect() == []
 
 
+def linked(texts):
+    """Smallest id within reach of each text, by comparing all pairs."""
+    sets = {}
+    for i, t in texts.items():
+        w = (t or "").encode().lower().split()
+        sets[i] = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+    root = {i: i for i in sets}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    ids = sorted(sets)
+    for n, a in enumerate(ids):
+        for b in ids[n + 1 :]:
+            if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                x, y = sorted((find(a), find(b)))
+                root[y] = x
+    return {i: (len(sets[i]), find(i)) for i in ids}
+
+
+def crowd():
+    """A passage in texts that are not similar, borderline copies of one text that link to
+    some of each other, a chain, short texts, and a hot shingle."""
+    rng = np.random.default_rng(11)
+    words = ["w" + str(i) for i in range(3000)]
+    some = lambda n: list(rng.choice(words, n))
+    passage, base, texts = some(90), some(150), []
+    texts += [some(int(rng.integers(5, 60))) + passage + some(int(rng.integers(5, 40))) for _ in range(60)]
+    for _ in range(80):
+        near = list(base)
+        for at in rng.integers(0, len(near), int(rng.integers(1, 8))):
+            near[at] = str(rng.choice(words))
+        texts.append(near)
+    chain = some(120)
+    for _ in range(25):
+        chain = list(chain)
+        chain[int(rng.integers(0, 120))] = str(rng.choice(words))
+        texts.append(chain)
+    texts += [["a", "b", "c", "d", "e", *some(int(rng.integers(0, 6)))] for _ in range(40)]
+    texts += [["a"] * int(n) for n in rng.integers(1, 30, 20)]
+    order = rng.permutation(len(texts))
+    return {int(i): " ".join(t) for i, t in zip(order, texts, strict=True)}
+
+
+@pytest.mark.parametrize("costly", [jaccard.COSTLY, 0])
+def test_components_of_a_crowd(spark, costly, monkeypatch):
+    """Also with nothing allocated to any content, so that all goes through blocks."""
+    monkeypatch.setattr(jaccard, "BLOCK", 3000)
+    texts = crowd()
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.similar_components(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), costly=costly).collect()}
+    assert got == linked(texts)
+
+
+def test_clashing_classes(spark, docs, prose, monkeypatch):
+    """With ids of six bits, so that all texts clash, results are the same."""
+    from grainmill.llm import classes
+
+    monkeypatch.setattr(classes, "BITS", 6)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.similar_components(docs).collect()}
+    assert got == linked(dict(prose))
+    gone = gone_by_window({i: (t or "").encode().split() for i, t in prose}, 50)
+    assert {r.doc_id: r.n_removed for r in substring_dedup.dedup_substrings(docs).collect()} == {i: int(g.sum()) for i, g in gone.items()}
+
+
+def test_needed_of_large_sets():
+    """Random pairs at the threshold share what is asked for, also with many empty segments."""
+    rng = np.random.default_rng(2)
+    bands = jaccard.Bands(80)
+    for n in (5_000, 200_000, 400_000):
+        common = rng.integers(1, 2**63, n).astype(np.uint64)
+        own = [np.unique(np.concatenate((common, rng.integers(1, 2**63, n // 8 - k).astype(np.uint64)))) for k in (0, 3)]
+        band = max(bands.of(len(x))[0] for x in own)
+        both = len(np.intersect1d(*own))
+        assert 100 * both >= 80 * (len(own[0]) + len(own[1]) - both)
+        (kr, er), (ks, es) = (bands.normal(x, band) for x in own)
+        m = int(bands.m[band])
+        assert len(np.intersect1d(kr, ks)) >= max(bands.needed(len(x), band, m - e) for x, e in zip(own, (er, es), strict=True)) > 0
+
+
 def test_pigeonhole():
     """Similar sets share a key: by contents if either is light, else by deletions."""
     rng = np.random.default_rng(1)
