@@ -6,10 +6,15 @@ kept; all but the last return the columns of docs. In a stage:
 quality         documents that the classifier scores below its threshold go
 line_dedup      lines that many documents share go, n_chars follows
 near_duplicates of each group of near-duplicates the smallest doc_id stays; rows
-                of one doc_id count as one document, documents without an id stay
-                unless they are near one that has an id
+                without an id come last, rows of one doc_id are judged each by its text
 decontamination documents with a benchmark passage go
 packing         what is left becomes pieces of sequences
+
+A null text is an empty one, which the classifier judges, which has one empty line,
+is near nothing and holds no passage; packed it is the end id alone. Null and repeated
+ids are ids like others: rows are judged one by one. Very long texts are taken whole,
+each in one task. Repeated rows: near-duplicates, so one stays if it has words. Columns
+of any name are carried along, up to packing. Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -19,7 +24,7 @@ from pyspark.sql import functions as F
 
 from grainmill.llm.common import materialize, table
 from grainmill.llm.decontaminate import contamination
-from grainmill.llm.jaccard import similar_components
+from grainmill.llm.jaccard import one_of_each
 from grainmill.llm.line_dedup import dedup_lines
 from grainmill.llm.packing import pack
 from grainmill.llm.quality import keep_good
@@ -36,12 +41,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    of = similar_components(docs)
-    kept = of.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    named = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
-    if of.where("doc_id is null and component_id is null").isEmpty():
-        return named
-    return named.unionByName(docs.where("doc_id is null"))
+    return one_of_each(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -65,7 +65,8 @@ def _restored(out: DataFrame, docs: DataFrame, changed: dict) -> DataFrame:
 
 STAGES = [("quality", quality), ("line_dedup", line_dedup), ("near_duplicates", near_duplicates), ("decontamination", decontamination), ("packing", packing)]
 
-#: A classifier can't be expressed in SQL; tests compare with a brute-force version.
+#: A classifier can't be expressed in SQL; tests compare every stage with a brute-force
+#: version on its own input (the classifier's with a plain fit of the same model).
 ORACLE_SQL = None
 
 
