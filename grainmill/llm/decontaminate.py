@@ -84,7 +84,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
     without words has none. An item of fewer words than a window, but not none, is
     one window. Repeated items and rows change nothing for others. Empty tables
     give empty results, or documents without hits. Columns of docs that have one of
-    the added names are replaced.
+    the added names are replaced, all others are kept as they are. Very long texts are
+    scanned whole, each in one task.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -92,14 +93,17 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
     grouped = windows.groupBy("pattern").agg(F.sort_array(F.collect_set("item")).alias("items"))
     size = windows.agg(F.sum(F.length("pattern") + F.length("item"))).first()[0] or 0
     n_slices = max(1, -(-size // slice_chars))
-    out = docs.withColumns({"n_words": F.lit(None).cast("long"), "hits": F.array().cast(HITS), "items": F.array().cast("array<string>")})
+    carried = F.struct(F.lit(0).alias("_"), *(F.col(f"`{c}`") for c in docs.columns)).alias("carried")
+    out = docs.select(carried, "text", F.lit(None).cast("long").alias("n_words"), F.array().cast(HITS).alias("hits"), F.array().cast("array<string>").alias("items"))
     for i in range(n_slices):
         rows = grouped if n_slices == 1 else grouped.where(F.pmod(F.xxhash64("pattern"), F.lit(n_slices)) == i)
         patterns = sorted((r.pattern, r["items"]) for r in rows.collect())  # about slice_chars
         out = _scan(out, spark.sparkContext.broadcast(patterns), uuid.uuid4().hex)
         if n_slices > 1:  # one automaton at a time in a worker's memory
             out = materialize(out, "scanned")
-    return out.withColumns({"n_hit": F.size("hits").cast("long"), "contaminated": F.size("hits") > 0, "spans": F.transform("hits", lambda h: F.struct(h["start"].alias("start"), h["end"].alias("end")))}).drop("hits")
+    spans = F.transform("hits", lambda h: F.struct(h["start"].alias("start"), h["end"].alias("end")))
+    added = {"n_words": F.col("n_words"), "items": F.col("items"), "n_hit": F.size("hits").cast("long"), "contaminated": F.size("hits") > 0, "spans": spans}
+    return out.select(*(F.col(f"carried.`{c}`").alias(c) for c in docs.columns if c not in added), *(c.alias(k) for k, c in added.items()))
 
 
 HITS = "array<struct<word:int,start:int,end:int>>"

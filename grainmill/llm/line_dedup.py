@@ -151,7 +151,8 @@ def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, keep: s
     lines (keep="none"), or all but the first in the smallest doc_id (keep="first").
     A null or empty text is one empty line and stays as it is; empty lines have no
     key. Rows of one doc_id are one document but are all returned. An empty table
-    gives an empty result. Columns of docs named n_lines or n_dropped are replaced.
+    gives an empty result. Very long texts are split whole, each in one task. Columns of
+    docs named n_lines or n_dropped are replaced.
     """
     if keep not in ("none", "first"):
         raise ValueError(keep)

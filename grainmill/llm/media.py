@@ -132,7 +132,8 @@ def padded(text: bytes) -> bytes:
 def to_media(docs: DataFrame, level: int = 1) -> DataFrame:
     """doc_id, n_bytes and media: the text's UTF-8 bytes, zero-padded to a positive
     multiple of 64, as a PNG. A null text is an empty one. Rows are handled one by
-    one: repeated rows give repeated results, an empty table an empty one."""
+    one: repeated rows and null ids give their own results, an empty table an empty
+    one. Very long texts become one image each. Other columns are ignored."""
     ship(docs.sparkSession)
 
     def encode(batches):

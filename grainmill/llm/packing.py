@@ -157,7 +157,8 @@ def pack(docs: DataFrame, tokenizer: str | None = None, ranks: str | None = None
     offset. A null text is an empty one, so it is its end id alone; a very long one
     fills windows of its own and leaves a rest. Repeated rows are packed each on
     its own, in rows that carry the same doc_id. sequence_id is unique, and its
-    upper bits are the task's number. An empty table gives an empty result.
+    upper bits are the task's number. Other columns are ignored. An empty table gives
+    an empty result.
 
     tokenizer is a tokenizers file, ranks a rank file of the same vocabulary and
     pattern (both of the production vocabulary by default); it serves text of

@@ -267,8 +267,9 @@ def score_documents(docs: DataFrame, labels: DataFrame, threshold: float = THRES
     """doc_id, held_out, score and predicted for each row of docs.
 
     A null text is an empty one and is scored like it. Rows of one doc_id are
-    scored each by its text; if labelled, all train. Other columns are never read.
-    An empty table gives an empty result.
+    scored each by its text; if labelled, all train. A null doc_id is in the held-out
+    fold. Very long texts are read whole. Other columns are never read. An empty table
+    gives an empty result.
     """
     x = materialize(text_statistics(docs), "statistics")
     return score(x, train(x, labels), threshold).select("doc_id", (fold(F.col("doc_id")) == 0).alias("held_out"), "score", "predicted")

@@ -64,8 +64,9 @@ def dedup_suffixes(docs: DataFrame, length: int = LENGTH, seed: int = SEED, in_m
     A byte goes when a string of `length` bytes over it also starts in a document of
     smaller doc_id. Texts are UTF-8 bytes, a null text is an empty one; shorter texts
     keep all. Rows of one doc_id never remove each other's bytes. A null doc_id counts
-    as larger than all others, and as one document. An empty table gives an empty
-    result. in_memory bounds the tuples that a sort on disk holds in memory, in_blocks
+    as larger than all others, and as one document. Other columns are ignored. Very
+    long texts are cut into segments whole, each in one task. An empty table gives an
+    empty result. in_memory bounds the tuples that a sort on disk holds in memory, in_blocks
     the bytes of text that are sorted without it.
     """
     spark = docs.sparkSession

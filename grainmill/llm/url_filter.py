@@ -70,8 +70,10 @@ def judge_urls(pages: DataFrame, redirects: DataFrame | None = None, rules: list
 
     redirects: further (a, b) pairs of urls. A null url, or one without '://', has
     an empty host and path, fits no rule and takes the default. A null html has no
-    links. Rows are judged one by one, so repeated rows give repeated results; an
-    empty table gives an empty result; other columns are ignored.
+    links. Rows are judged one by one, so repeated rows and null page_ids give their own
+    results; very long pages are searched whole; an empty table gives an empty result;
+    other columns are ignored. Of two aliases, one allowed by a rule and one blocked,
+    each keeps its own rule's verdict, and the rest are allowed.
     """
     edges = link_edges(pages)
     if redirects is not None:

@@ -39,7 +39,7 @@ def write_archive(pages: DataFrame, path: str, min_revisit_bytes: int = 0, date:
     breaks and other control characters in urls are percent-encoded. Rows of the
     same page_id and payload are both responses when that id is the smallest. A
     null page_id counts as larger than all others. Other columns are ignored; an
-    empty table gives an empty archive. The digest is verified here against
+    empty table gives an empty archive. Very long payloads are stored whole. The digest is verified here against
     length and SHA-1 (all rows of a digest must agree in both) and again on reading.
     """
     html = F.coalesce(F.encode("html", "utf-8"), F.lit("").cast("binary"))
