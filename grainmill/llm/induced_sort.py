@@ -1,301 +1,333 @@
-"""External suffix sorting by recursive induction.
+"""External suffix sorting by recursive induction, in blocks.
 
 Suffixes that start a rise after a fall (left-most S suffixes) are sorted first:
-the substrings between them are ordered by induction and named, and if names
-repeat, the string of names is sorted by recursion. From their order all L
-suffixes are induced in rising and then all S suffixes in falling order. Each
-induction is a priority queue of suffix tuples, which keeps a bounded heap in
-memory and sorted runs on disk; the text and all lists are files that are mapped
-or read in sequence. In the last induction tuples carry the common prefix with
-their neighbour, up to a cap: a predecessor's is one more than the least among
-the suffixes processed since its bucket was last entered.
+the substrings between them are ordered by induction and named by their hashes, and
+the string of names is sorted by recursion. From their order all L suffixes are
+induced in rising and then all S suffixes in falling order. An induction is a
+priority queue of suffix tuples: the range of symbols is cut into windows, what
+enters a window waits there, in order of entry, and goes to a file when memory is
+full. A window of one symbol is taken block by block as it was entered; one of
+several rare symbols is put in order at once, with what it induces within itself.
+In the last induction tuples carry the common prefix with their neighbour, up to a
+cap: a predecessor's is one more than the least among the suffixes processed since
+its bucket was last entered. Text, places, names and orders are files that are
+mapped, and memory holds blocks only.
 """
 
 from __future__ import annotations
 
 import heapq
-import mmap
 import os
-from bisect import bisect_right
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 
-#: Tuples of a queue in memory, and of a run's block.
-IN_MEMORY, BLOCK = 400_000, 8192
+from .polyhash import mix
 
+#: Tuples of a queue in memory, those of a block, and the symbols' occurrences in a window.
+IN_MEMORY, BLOCK, WINDOW = 400_000, 1 << 16, 1 << 12
 
-class DiskQueue:
-    """A priority queue of (key, order, position, common prefix) tuples.
 
-    When the heap is full its larger half goes to a sorted run on disk."""
+class Store:
+    """Rows of several integers by window, in order of entry; in files beyond a bound."""
 
-    def __init__(self, folder: str, in_memory: int = IN_MEMORY):
-        self.folder, self.in_memory = folder, in_memory
-        self.heap: list[tuple] = []
-        self.runs: list[tuple] = []  # heap of (head tuple, number, iterator)
+    def __init__(self, folder: str, name: str, width: int, in_memory: int):
+        self.path, self.width, self.in_memory = os.path.join(folder, f"{name}-{id(self)}"), width, in_memory
+        self.held: dict[int, list[tuple]] = {}
+        self.files: dict[int, int] = {}  # rows of a window's file
         self.n = 0
 
-    def push(self, item: tuple) -> None:
-        heapq.heappush(self.heap, item)
-        if len(self.heap) > self.in_memory:
-            self.heap.sort()
-            keep = self.in_memory // 2
-            self._spill(self.heap[keep:])
-            del self.heap[keep:]
-
-    def _spill(self, items: list[tuple]) -> None:
-        path = os.path.join(self.folder, f"queue-{id(self)}-{self.n}")
-        np.array(items, np.int64).tofile(path)
-        run = _rows(path, 4)
-        heapq.heappush(self.runs, (next(run), self.n, run))
-        self.n += 1
-
-    def __bool__(self) -> bool:
-        return bool(self.heap or self.runs)
-
-    def head(self) -> tuple:
-        if not self.runs or self.heap and self.heap[0] < self.runs[0][0]:
-            return self.heap[0]
-        return self.runs[0][0]
-
-    def pop(self) -> tuple:
-        if not self.runs or self.heap and self.heap[0] < self.runs[0][0]:
-            return heapq.heappop(self.heap)
-        item, number, run = self.runs[0]
-        following = next(run, None)
-        if following is None:
-            heapq.heappop(self.runs)
-        else:
-            heapq.heapreplace(self.runs, (following, number, run))
-        return item
-
-
-def _rows(path: str, width: int) -> Iterator[tuple]:
-    """Rows of a file of int64, which is deleted at the end."""
-    with open(path, "rb") as f:
-        while raw := f.read(8 * width * BLOCK):
-            yield from map(tuple, np.frombuffer(raw, np.int64).reshape(-1, width).tolist())
-    os.unlink(path)
-
-
-def _rows_back(path: str, width: int) -> Iterator[tuple]:
-    """As _rows, from the last row to the first."""
-    size = os.path.getsize(path)
-    with open(path, "rb") as f:
-        while size:
-            n = min(size, 8 * width * BLOCK)
-            size -= n
-            f.seek(size)
-            yield from map(tuple, np.frombuffer(f.read(n), np.int64).reshape(-1, width)[::-1].tolist())
-    os.unlink(path)
-
-
-class _List:
-    """Rows written to a file block by block."""
-
-    def __init__(self, folder: str, name: str):
-        self.path = os.path.join(folder, f"{name}-{id(self)}")
-        self.file, self.held = open(self.path, "wb"), []
-
-    def add(self, row: tuple) -> None:
-        self.held.append(row)
-        if len(self.held) >= BLOCK:
-            self.flush()
-
-    def flush(self) -> None:
-        self.file.write(np.array(self.held, np.int64).tobytes())
-        self.held.clear()
-
-    def close(self) -> str:
-        self.flush()
-        self.file.close()
-        return self.path
-
-
-class Least:
-    """Minimum of a growing sequence over a suffix of it. Values are capped, so
-    the stack of falling minima stays small."""
-
-    def __init__(self):
-        self.at, self.values = [], []
-
-    def add(self, t: int, value: int) -> None:
-        while self.values and self.values[-1] >= value:
-            self.values.pop()
-            self.at.pop()
-        self.values.append(value)
-        self.at.append(t)
-
-    def since(self, t: int) -> int:
-        """The least value after time t."""
-        return self.values[bisect_right(self.at, t)]
-
-
-def _mapped(path: str, kind: str):
-    with open(path, "rb") as f:
-        return memoryview(mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ)).cast(kind)
-
-
-def _common(text, i: int, j: int, cap: int) -> int:
-    n, top = 0, min(cap, len(text) - max(i, j))
-    while n < top and text[i + n] == text[j + n]:
-        n += 1
-    return n
-
-
-def left_most_s(text, block: int = 1 << 20) -> np.ndarray:
-    """Positions of the left-most S suffixes in rising order. The last suffix is L."""
-    a = np.frombuffer(text, np.uint8 if text.format == "B" else np.uint32)
-    n, found = len(a), []
+    def add(self, window: int, columns: tuple) -> None:
+        self.held.setdefault(window, []).append(columns)
+        self.n += len(columns[0])
+        if self.n > self.in_memory:
+            for w, blocks in self.held.items():
+                rows = np.stack([np.concatenate(c) for c in zip(*blocks, strict=True)], axis=1).astype(np.int64)
+                with open(f"{self.path}-{w}", "ab") as f:
+                    f.write(rows.tobytes())
+                self.files[w] = self.files.get(w, 0) + len(rows)
+            self.held, self.n = {}, 0
+
+    def deal(self, windows: np.ndarray, *columns: np.ndarray) -> None:
+        """Add rows, each to its window, in order."""
+        order = np.argsort(windows, kind="stable")
+        windows, columns = windows[order], [c[order] for c in columns]
+        cuts = np.flatnonzero(windows[1:] != windows[:-1]) + 1
+        for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(windows)], strict=True):
+            if b > a:
+                self.add(int(windows[a]), tuple(c[a:b] for c in columns))
+
+    def __contains__(self, window: int) -> bool:
+        return window in self.held or window in self.files
+
+    def take(self, window: int, back: bool = False) -> Iterator[tuple]:
+        """The rows of a window, which leave it, in blocks from the first entered or,
+        each block too, from the last. What enters meanwhile stays."""
+        blocks = self.held.pop(window, [])
+        self.n -= sum(len(b[0]) for b in blocks)
+        if n := self.files.pop(window, 0):
+            os.rename(f"{self.path}-{window}", f"{self.path}-{window}-taken")
+        if back:
+            for block in blocks[::-1]:
+                yield tuple(c[::-1] for c in block)
+        if n:
+            rows = np.memmap(f"{self.path}-{window}-taken", np.int64, "r", shape=(n, self.width))
+            for a in range(0, n, BLOCK):
+                part = rows[a : a + BLOCK] if not back else rows[max(0, n - a - BLOCK) : n - a][::-1]
+                yield tuple(np.array(part[:, i]) for i in range(self.width))
+            del rows
+            os.unlink(f"{self.path}-{window}-taken")
+        if not back and blocks:
+            yield blocks[0] if len(blocks) == 1 else tuple(np.concatenate(c) for c in zip(*blocks, strict=True))
+
+    def whole(self, window: int) -> tuple:
+        blocks = list(self.take(window))
+        return tuple(np.concatenate(c) for c in zip(*blocks, strict=True)) if blocks else (np.zeros(0, np.int64),) * self.width
+
+
+def _array(folder: str, name: str, n: int, kind) -> np.memmap:
+    """A new array in a file; `_drop` removes it."""
+    path = os.path.join(folder, f"{name}-{len(os.listdir(folder))}-{n}")
+    return np.memmap(path, kind, "w+", shape=(max(n, 1),))
+
+
+def _drop(*arrays: np.memmap) -> None:
+    for a in arrays:
+        os.unlink(a.filename)
+
+
+def left_most_s(text: np.ndarray, block: int = 1 << 20) -> Iterator[np.ndarray]:
+    """Positions of the left-most S suffixes in blocks from the right, each rising. The
+    last suffix is L."""
+    n = len(text)
     rising, first_s = False, False  # the type right of the block, and of its first symbol
     for end in range(n, 0, -block):
         start = max(0, end - block)
-        own = a[start:end].astype(np.int64)
-        following = np.append(own[1:], a[end] if end < n else -1)
+        own = np.asarray(text[start:end]).astype(np.int64)
+        following = np.append(own[1:], int(text[end]) if end < n else -1)
         step = np.sign(following - own)
         # equal symbols take the type to their right
         last = np.where(step != 0, np.arange(len(step)), len(step))
         last = np.minimum.accumulate(last[::-1])[::-1]
         types = np.append(step, 1 if rising else -1)[last] > 0
-        if end < n and not types[-1] and first_s:
-            found.append(np.array([end]))
-        found.append(np.flatnonzero(types[1:] & ~types[:-1])[::-1] + start + 1)
+        found = np.flatnonzero(types[1:] & ~types[:-1]) + start + 1
+        yield np.append(found, end) if end < n and not types[-1] and first_s else found
         rising = first_s = bool(types[0])
-    return np.concatenate(found)[::-1] if found else np.zeros(0, np.int64)
 
 
-def _induce(text, seeds: Iterator[tuple], folder: str, cap: int, in_memory: int) -> Iterator[tuple]:
-    """All suffixes in falling order, from left-most S suffixes (position, common
-    prefix with the one before) in rising order: (position, common prefix with the
-    suffix yielded before, whether it is S)."""
-    n = len(text)
-    queue, order = DiskQueue(folder, in_memory), 0
-    out = _List(folder, "l")
-    least, last, t, before = Least(), {}, 0, -1  # the empty suffix comes first
-
-    def enter(i: int, sign: int) -> None:
-        """Put suffix i in its bucket."""
-        nonlocal order
-        c = text[i]
-        shared = 0
-        if cap:
-            if c in last:
-                shared = min(cap, 1 + least.since(last[c]))
-            last[c] = t
-        queue.push((sign * c, order, i, shared))
-        order += 1
-
-    enter(n - 1, 1)
-    seed = next(seeds, None)
-    while queue or seed is not None:
-        if seed is None or queue and queue.head()[0] <= text[seed[0]]:
-            c, _, i, shared = queue.pop()
-            if before < 0 or text[before] != c:
-                shared = 0
-            out.add((i, shared))
-            induces = i > 0 and text[i - 1] >= c
-            is_seed = False
-        else:
-            i, shared = seed
-            if cap and before >= 0 and not is_seed:
-                shared = _common(text, before, i, cap)
-            induces, is_seed = True, True
-            seed = next(seeds, None)
-        t += 1
-        if cap:
-            least.add(t, shared)
-        if induces:
-            enter(i - 1, 1)
-        before = i
-    falling = _rows_back(out.close(), 2)
-    queue, order = DiskQueue(folder, in_memory), 0
-    least, last, t, before, was_s, carried = Least(), {}, 0, -1, True, 0
-    item = next(falling, None)
-    while queue or item is not None:
-        if item is None or queue and -queue.head()[0] >= text[item[0]]:
-            c, _, i, shared = queue.pop()
-            c, s = -c, True
-            if before < 0 or text[before] != c:
-                shared = 0
-            induces = i > 0 and text[i - 1] <= c
+def _places(text: np.ndarray, folder: str) -> np.memmap | None:
+    """All left-most S suffixes in rising order, as a file."""
+    n = sum(len(x) for x in left_most_s(text))
+    if not n:
+        return None
+    out, end = _array(folder, "places", n, np.int64), n
+    for found in left_most_s(text):
+        out[end - len(found) : end] = found
+        end -= len(found)
+    return out
+
+
+class Windows:
+    """Ranges of symbols that come up some WINDOW times, or one symbol alone; of bytes
+    always one alone."""
+
+    def __init__(self, text: np.ndarray):
+        if text.dtype == np.uint8:
+            self.bounds = np.arange(257)
         else:
-            i, below = item
-            c, s = text[i], False
-            shared = carried if not was_s else _common(text, before, i, cap) if cap and before >= 0 else 0
-            carried = below
-            induces = i > 0 and text[i - 1] < c
-            item = next(falling, None)
-        t += 1
-        if cap:
-            least.add(t, shared)
-        yield i, shared, s
-        if induces:
-            enter(i - 1, -1)
-        before, was_s = i, s
-
-
-def suffixes(path: str, kind: str, folder: str, cap: int = 0, in_memory: int = IN_MEMORY) -> Iterator[tuple[int, int]]:
-    """Suffixes of the symbols in a file ('B' bytes or 'I' 32-bit) in falling order,
-    each with the length, up to cap, of its common prefix with the one before."""
-    if not os.path.getsize(path):
-        return
-    text = _mapped(path, kind)
-    places = left_most_s(text)
-    seeds = _List(folder, "seeds")
-    if len(places):
-        ends = np.append(places[1:], len(text) - 1) + 1
-        # sort the substrings by induction from their first symbols, and name them
-        symbols = np.frombuffer(text, np.uint8 if kind == "B" else np.uint32)
-        rough = places[np.argsort(symbols[places], kind="stable")]
-        names = np.zeros(len(places), np.uint32)
-        name, previous = len(places), None
-        is_place = np.zeros(len(text), bool)
-        is_place[places] = True
-        for i, _, s in _induce(text, ((int(p), 0) for p in rough), folder, 0, in_memory):
-            if s and is_place[i]:
-                k = int(np.searchsorted(places, i))
-                own = text[i : int(ends[k])].tobytes()
-                if k == len(places) - 1:
-                    own = None  # it runs to the end of the text: no other is equal
-                if own is None or own != previous:
-                    name -= 1
-                names[k], previous = name, own
-        del is_place
-        if name:  # some names repeat
-            reduced = os.path.join(folder, f"names-{id(names)}")
-            (names - np.uint32(name)).tofile(reduced)
-            order = _List(folder, "order")
-            for k, _ in suffixes(reduced, "I", folder, 0, in_memory):
-                order.add((k,))
-            os.unlink(reduced)
-            ranked = (int(places[k]) for (k,) in _rows_back(order.close(), 1))
+            counts = np.zeros(int(max(text[a : a + BLOCK].max() for a in range(0, len(text), BLOCK))) + 1, np.int64)
+            for a in range(0, len(text), BLOCK):
+                part = np.bincount(text[a : a + BLOCK])
+                counts[: len(part)] += part
+            group = (np.cumsum(counts) - 1) // WINDOW
+            large = counts >= WINDOW
+            cut = np.ones(len(counts), bool)
+            cut[1:] = (group[1:] != group[:-1]) | large[1:] | large[:-1]
+            self.bounds = np.append(np.flatnonzero(cut), len(counts))
+
+    def __len__(self) -> int:
+        return len(self.bounds) - 1
+
+    def of(self, symbols: np.ndarray) -> np.ndarray:
+        return symbols.astype(np.int64) if len(self) == 256 and self.bounds[-1] == 256 else np.searchsorted(self.bounds, symbols, "right") - 1
+
+
+def _pass(text: np.ndarray, windows: Windows, given, sign: int, folder: str, in_memory: int) -> Iterator[tuple]:
+    """An induction from left to right of the symbols (sign 1: the given are left-most S
+    suffixes, L suffixes are induced) or from right to left (-1: the given are L). Yields
+    (window, suffixes in order, which are given). given(window): blocks in their order."""
+    queue = Store(folder, "queue", 1, in_memory)
+
+    def induce(at: np.ndarray, known: np.ndarray, low: int = 0, high: int = 0) -> None:
+        """Enter predecessors, but for those in the window itself, into theirs."""
+        before = at - 1
+        held = before >= 0
+        before, known = before[held], known[held]
+        symbol = text[before].astype(np.int64)
+        step = sign * (symbol - text[before + 1].astype(np.int64))
+        good = (step > 0) | (step == 0) & ~known
+        good &= (symbol < low) | (symbol >= high)
+        queue.deal(windows.of(symbol[good]), before[good])
+
+    if sign > 0:
+        queue.deal(windows.of(text[-1:]), np.array([len(text) - 1]))
+    for w in range(len(windows))[::sign]:
+        low, high = int(windows.bounds[w]), int(windows.bounds[w + 1])
+        if high - low == 1:
+            while w in queue:
+                for (at,) in queue.take(w):
+                    known = np.zeros(len(at), bool)
+                    yield w, at, known
+                    induce(at, known)
+            for (at,) in given(w):
+                known = np.ones(len(at), bool)
+                yield w, at, known
+                induce(at, known)
         else:
-            ranked = (int(p) for p in places[np.argsort(names)])
-        previous = None
-        for i in ranked:
-            seeds.add((i, _common(text, previous, i, cap) if cap and previous is not None else 0))
-            previous = i
-    for i, shared, _ in _induce(text, _rows(seeds.close(), 2), folder, cap, in_memory):
-        yield i, shared
+            seeds = [x for (x,) in given(w)]
+            at, known = _ordered(text, queue.whole(w)[0], np.concatenate([np.zeros(0, np.int64), *seeds]), sign, low, high)
+            if len(at):
+                yield w, at, known
+                induce(at, known, low, high)
+
+
+def _ordered(text, own: np.ndarray, seeds: np.ndarray, sign: int, low: int, high: int) -> tuple[np.ndarray, np.ndarray]:
+    """All suffixes of a window in order: of a symbol first those that entered before,
+    then those that the window induces, then the given. The few induced are entered one
+    by one as their successors' turn comes."""
+    at = np.concatenate((own, seeds)).astype(np.int64)
+    kind = np.repeat([0, 2], [len(own), len(seeds)])
+    number = np.concatenate((np.arange(len(own)), np.arange(len(seeds))))
+    symbol = text[at].astype(np.int64)
+    before = text[np.maximum(at - 1, 0)].astype(np.int64)
+    step = sign * (before - symbol)
+    inner = (at > 0) & ((step > 0) | (step == 0) & (kind == 0)) & (before >= low) & (before < high)
+    if inner.any():
+        heap = list(zip((sign * symbol[inner]).tolist(), kind[inner].tolist(), number[inner].tolist(), at[inner].tolist(), strict=True))
+        heapq.heapify(heap)
+        new = []
+        while heap:
+            *_, i = heapq.heappop(heap)
+            c = int(text[i - 1])
+            new.append((i - 1, c, len(new)))
+            if i > 1 and low <= (b := int(text[i - 2])) < high and sign * (b - c) >= 0:
+                heapq.heappush(heap, (sign * c, 1, len(new) - 1, i - 1))
+        more = np.array(new, np.int64)
+        at, symbol, number = (np.concatenate((x, y)) for x, y in ((at, more[:, 0]), (symbol, more[:, 1]), (number, more[:, 2])))
+        kind = np.concatenate((kind, np.ones(len(more), np.int64)))
+    order = np.lexsort((number, kind, sign * symbol))
+    return at[order], kind[order] == 2
+
+
+def _falling(text: np.ndarray, windows: Windows, seeds: Store, folder: str, in_memory: int) -> Iterator[tuple]:
+    """(suffixes, which are L) in falling order, from left-most S suffixes in their order."""
+    falls = Store(folder, "l", 1, in_memory)
+    for w, at, known in _pass(text, windows, seeds.take, 1, folder, in_memory):
+        if not known.all():
+            falls.add(w, (at[~known],))
+    for _, at, known in _pass(text, windows, lambda w: falls.take(w, back=True), -1, folder, in_memory):
+        yield at, known
+
+
+@cache
+def _powers(n: int, seed: int) -> np.ndarray:
+    powers = np.full(n, np.random.default_rng(seed).integers(2**40, 2**61, dtype=np.uint64) * np.uint64(8) + np.uint64(5))
+    powers[0] = 1
+    return np.cumprod(powers, dtype=np.uint64)
+
+
+def _substring_hashes(text: np.ndarray, places: np.ndarray, folder: str) -> tuple[np.memmap, np.memmap]:
+    """Two hashes of the substring from each place through the next one's first symbol;
+    the last's are of its place, as no other is equal."""
+    out = tuple(_array(folder, f"hashes{lane}", len(places), np.uint64) for lane in (0, 1))
+    a = 0
+    while a < len(places) - 1:
+        b = min(len(places) - 1, a + BLOCK)
+        while b > a + 1 and places[b] - places[a] > 16 * BLOCK:
+            b = (a + b) // 2
+        start, stop = np.asarray(places[a:b]), np.asarray(places[a + 1 : b + 1])
+        own = np.asarray(text[start[0] : stop[-1]]).astype(np.uint64)
+        into = np.arange(len(own)) - np.repeat(start - start[0], stop - start)
+        for lane in (0, 1):
+            value = mix(own * np.uint64(2) + np.uint64(lane * 0x51ED27 + 1))
+            size = 1 << int(into.max() + 1).bit_length()
+            sums = np.add.reduceat(value * _powers(max(size, 1024), 61 + lane)[into], start - start[0])
+            out[lane][a:b] = mix(sums + mix(text[stop].astype(np.uint64) * np.uint64(3) + (stop - start).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
+        a = b
+    for lane in (0, 1):
+        out[lane][-1] = mix(np.array([len(text), lane], np.uint64))[lane]
+    return out
+
+
+def _sorted_places(text: np.ndarray, windows: Windows, places: np.ndarray, folder: str, in_memory: int) -> Iterator[np.ndarray]:
+    """The left-most S suffixes in falling order, as blocks of their numbers."""
+    n = len(places)
+    rough = Store(folder, "rough", 1, in_memory)
+    for a in range(0, n, BLOCK):
+        at = np.asarray(places[a : a + BLOCK])
+        rough.deal(windows.of(text[at]), at)
+    hashes, names = _substring_hashes(text, places, folder), _array(folder, "names", n, np.uint32)
+    name, previous = n, None
+    for at, is_l in _falling(text, windows, rough, folder, in_memory):
+        at = at[~is_l]
+        k = np.minimum(np.searchsorted(places, at), n - 1)
+        k = k[places[k] == at]
+        if len(k):
+            own = [h[k] for h in hashes]
+            new = np.ones(len(k), bool)
+            new[1:] = (own[0][1:] != own[0][:-1]) | (own[1][1:] != own[1][:-1])
+            new[0] = previous != (own[0][0], own[1][0])
+            falls = np.cumsum(new)
+            names[k] = (name - falls).astype(np.uint32)
+            name, previous = name - int(falls[-1]), (own[0][-1], own[1][-1])
+    _drop(*hashes)
+    for a in range(0, n, BLOCK):
+        names[a : a + BLOCK] -= np.uint32(name)
+    if name:  # some names repeat
+        yield from _numbers(np.asarray(names), folder, in_memory)
+    else:
+        order = _array(folder, "order", n, np.int64)
+        for a in range(0, n, BLOCK):
+            order[n - 1 - names[a : a + BLOCK].astype(np.int64)] = np.arange(a, min(a + BLOCK, n))
+        for a in range(0, n, BLOCK):
+            yield np.array(order[a : a + BLOCK])
+        _drop(order)
+    _drop(names)
+
+
+def _numbers(text: np.ndarray, folder: str, in_memory: int) -> Iterator[np.ndarray]:
+    """All suffixes of a string of names in falling order, in blocks."""
+    windows = Windows(text)
+    seeds = _seeds(text, windows, folder, in_memory)
+    for at, _ in _falling(text, windows, seeds, folder, in_memory):
+        yield at
+
+
+def _seeds(text: np.ndarray, windows: Windows, folder: str, in_memory: int) -> Store:
+    """The left-most S suffixes in rising order, by window."""
+    seeds = Store(folder, "seeds", 1, in_memory)
+    places = _places(text, folder)
+    if places is not None:
+        falling = Store(folder, "order", 1, in_memory)
+        for k in _sorted_places(text, windows, places, folder, in_memory):
+            falling.add(0, (np.asarray(places[k]),))
+        for (at,) in falling.take(0, back=True):
+            seeds.deal(windows.of(text[at]), at)
+        _drop(places)
+    return seeds
 
 
 class _Buckets:
-    """A priority queue by first symbol, held as blocks: what enters a bucket comes
-    out in order of entry, each suffix with its common prefix with the one that
-    entered before it."""
+    """A priority queue by first symbol of suffixes with their common prefixes: what
+    enters a bucket comes out in order of entry, each suffix with its common prefix
+    with the one that entered before it."""
 
-    def __init__(self):
-        self.held: list[list[tuple]] = [[] for _ in range(256)]
+    def __init__(self, folder: str, in_memory: int):
+        self.queue = Store(folder, "buckets", 2, in_memory)
         self.least = np.zeros(256, np.uint8)  # since a bucket was last entered
         self.entered = np.zeros(256, bool)
 
-    def take(self, c: int) -> tuple[np.ndarray, np.ndarray]:
-        blocks, self.held[c] = self.held[c], []
-        if len(blocks) == 1:
-            return blocks[0]
-        return np.concatenate([b[0] for b in blocks]), np.concatenate([b[1] for b in blocks])
-
     def process(self, shared: np.ndarray, induces: np.ndarray, at: np.ndarray, symbols: np.ndarray, cap: int) -> None:
         """A block of suffixes was processed, with these common prefixes to the one
         before; those at `induces` put suffix `at` in the bucket of its symbol."""
@@ -317,7 +349,7 @@ class _Buckets:
         self.least[own] = after[rows[ends]]
         self.entered[own] = True
         for c, a, b in zip(own.tolist(), starts.tolist(), (ends + 1).tolist(), strict=True):
-            self.held[c].append((at[a:b], value[a:b]))
+            self.queue.add(c, (at[a:b], value[a:b]))
 
 
 def _range_minima(values: np.ndarray, start: np.ndarray, stop: np.ndarray, wanted: np.ndarray) -> np.ndarray:
@@ -340,75 +372,70 @@ def _range_minima(values: np.ndarray, start: np.ndarray, stop: np.ndarray, wante
         k += 1
 
 
-def suffix_blocks(text: bytes, cap: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """The suffixes of a text that fits in memory, in falling order as far as their
-    first cap (below 255) bytes tell, with the common prefix with the one before.
+def _common(text: np.ndarray, a: np.ndarray, b: np.ndarray, cap: int, block: int = 1 << 14) -> np.ndarray:
+    """Common prefixes, up to cap, of suffixes a and b."""
+    out = np.zeros(len(a), np.uint8)
+    n, span = len(text), np.arange(cap)
+    for i in range(0, len(a), block):
+        x, y = a[i : i + block], b[i : i + block]
+        differ = text[np.minimum(x[:, None] + span, n - 1)] != text[np.minimum(y[:, None] + span, n - 1)]
+        first = np.where(differ.any(axis=1), differ.argmax(axis=1), cap)
+        out[i : i + block] = np.minimum(first, n - np.maximum(x, y))
+    return out
 
-    The same two inductions on blocks of suffixes instead of single ones. Seeds are
-    ordered by comparing them to the cap, where the other form recurses."""
-    n = len(text)
+
+def suffix_blocks(path: str, folder: str, cap: int, in_memory: int = IN_MEMORY) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The suffixes of the bytes in a file in falling order, in blocks, each with the
+    length, up to cap (below 255), of its common prefix with the one before."""
+    n = os.path.getsize(path)
     if not n:
         return
-    t = np.frombuffer(text, np.uint8)
-    places = left_most_s(memoryview(text).cast("B")).astype(np.int32)
-    padded = np.concatenate((t, np.zeros(cap, np.uint8)))
-    windows = np.lib.stride_tricks.sliding_window_view(padded, cap)
-    order = np.argsort(np.ascontiguousarray(windows[places]).view(f"S{cap}").ravel(), kind="stable") if len(places) else places
-    seeds = places[order]
-    seed_shared = np.zeros(len(seeds), np.uint8)
-    for a in range(1, len(seeds), 1 << 15):
-        b = min(a + (1 << 15), len(seeds))
-        keys = windows[seeds[a - 1 : b]]
-        differ = keys[1:] != keys[:-1]
-        seed_shared[a:b] = np.where(differ.any(axis=1), differ.argmax(axis=1), cap)
-    bounds = np.searchsorted(t[seeds], np.arange(257))
-    view = memoryview(text)
-
-    queue = _Buckets()
-    queue.held[t[n - 1]].append((np.array([n - 1], np.int32), np.zeros(1, np.uint8)))
-    queue.entered[t[n - 1]] = True
-    falls: list[list[tuple]] = [[] for _ in range(256)]
+    text = np.asarray(np.memmap(path, np.uint8, "r"))  # mapped still, indexed faster
+    windows = Windows(text)
+    seeds = _seeds(text, windows, folder, in_memory)
+
+    def induce(queue: _Buckets, at: np.ndarray, shared: np.ndarray, sign: int, known: bool) -> None:
+        before = at - 1
+        symbol = text[np.maximum(before, 0)]
+        step = sign * (symbol.astype(np.int16) - text[at])
+        go = np.flatnonzero((at > 0) & ((step > 0) | (step == 0) & (not known)))
+        queue.process(shared, go, before[go], symbol[go], cap)
+
+    def follow(at: np.ndarray, last: int) -> int:
+        return int(_common(text, np.array([last]), at[:1], cap)[0]) if last >= 0 else 0
+
+    buckets, falls = _Buckets(folder, in_memory), Store(folder, "falls", 2, in_memory)
+    buckets.queue.add(int(text[-1]), (np.array([n - 1]), np.zeros(1, np.uint8)))
+    buckets.entered[text[-1]] = True
     for c in range(256):
-        first = True
         last = -1
-        while queue.held[c]:
-            at, shared = queue.take(c)
-            if first:
-                shared = shared.copy()
-                shared[0], first = 0, False
-            falls[c].append((at, shared))
+        while c in buckets.queue:
+            for at, shared in buckets.queue.take(c):
+                shared = shared.astype(np.uint8)
+                if last < 0:
+                    shared[0] = 0
+                falls.add(c, (at, shared))
+                last = int(at[-1])
+                induce(buckets, at, shared, 1, False)
+        for (at,) in seeds.take(c):
+            shared = np.append(np.uint8(follow(at, last)), _common(text, at[:-1], at[1:], cap))
             last = int(at[-1])
-            before = at - 1
-            symbol = t[before]
-            go = np.flatnonzero((at > 0) & (symbol >= c))
-            queue.process(shared, go, before[go], symbol[go], cap)
-        a, b = bounds[c], bounds[c + 1]
-        if a < b:
-            at, shared = seeds[a:b], seed_shared[a:b].copy()
-            shared[0] = _common(view, last, int(at[0]), cap) if last >= 0 else 0
-            before = at - 1
-            queue.process(shared, np.arange(len(at)), before, t[before], cap)
-    queue = _Buckets()
+            induce(buckets, at, shared, 1, True)
+    buckets = _Buckets(folder, in_memory)
     for c in range(255, -1, -1):
         last = -1
-        while queue.held[c]:
-            at, shared = queue.take(c)
-            if last < 0:
-                shared = shared.copy()
-                shared[0] = 0
-            yield at, shared
-            last = int(at[-1])
-            before = at - 1
-            symbol = t[before]
-            go = np.flatnonzero((at > 0) & (symbol <= c))
-            queue.process(shared, go, before[go], symbol[go], cap)
-        if falls[c]:
-            at = np.concatenate([x[0] for x in falls[c]])[::-1]
-            below = np.concatenate([x[1] for x in falls[c]])[::-1]
-            falls[c] = []
-            shared = np.append(np.uint8(_common(view, last, int(at[0]), cap) if last >= 0 else 0), below[:-1]).astype(np.uint8)
+        while c in buckets.queue:
+            for at, shared in buckets.queue.take(c):
+                shared = shared.astype(np.uint8)
+                if last < 0:
+                    shared[0] = 0
+                yield at, shared
+                last = int(at[-1])
+                induce(buckets, at, shared, -1, False)
+        carried = None
+        for at, below in falls.take(c, back=True):
+            below = below.astype(np.uint8)
+            shared = np.append(np.uint8(follow(at, last) if carried is None else carried), below[:-1])
+            carried, last = below[-1], int(at[-1])
             yield at, shared
-            before = at - 1
-            symbol = t[before]
-            go = np.flatnonzero((at > 0) & (symbol < c))
-            queue.process(shared, go, before[go], symbol[go], cap)
+            induce(buckets, at, shared, -1, True)

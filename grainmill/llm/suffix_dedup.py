@@ -3,8 +3,10 @@
 Every 50-byte string is brought to the shard of its minimizer, the least hash
 among its 20-byte strings, so all its occurrences meet in one shard; neighbouring
 strings of one minimizer travel as one segment. Minimizers found in one text
-only are left out, and equal segments are settled by their first owner. What is
-left is a shard's text: external induced sorting gives its suffixes with their
+only are left out, and equal segments are settled by their first owner. So are
+segments that share their minimizer's 15 bytes before it, or behind it, with no
+other: of the 30 bytes that a string has around it, 15 at least are on one side. What
+is left is a shard's text: external induced sorting gives its suffixes with their
 common prefixes, and a run of suffixes that share 50 bytes is one string's
 occurrences, of which the smallest doc_id keeps its bytes.
 """
@@ -15,7 +17,7 @@ import hashlib
 import os
 import tempfile
 import zlib
-from itertools import chain, islice
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -24,26 +26,25 @@ from pyspark.sql import functions as F
 
 from .classes import described, digest_halves
 from .common import discard, materialize, ship, small_batches, table, text_bytes, worker_cache
-from .induced_sort import IN_MEMORY, suffix_blocks, suffixes
+from .induced_sort import IN_MEMORY, suffix_blocks
 from .polyhash import PolyHash
 from .streams import id_set, shared_flags
 
 LENGTH, SEED = 50, 20
-#: Bytes of a part of a shard that is sorted at once, and of one that is sorted in
-#: blocks in memory; a larger one (a single minimizer's) is sorted on disk.
-PART, IN_BLOCKS = 1 << 20, 4 << 20
+#: Bytes of segments after which a part of a shard is sorted, where a minimizer ends.
+PART = 4 << 20
 #: No byte of UTF-8: it ends a segment in a shard's text.
 END = 0xFF
 
 
-def segments_of(text: bytes, length: int = LENGTH, seed: int = SEED) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Minimizer hash, start and end of the segments that cover all strings of
-    `length` bytes; each such string is in one segment, by its content alone."""
+def segments_of(text: bytes, length: int = LENGTH, seed: int = SEED) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Minimizer hash, start, end and the minimizer's place of the segments that cover
+    all strings of `length` bytes; each such string is in one segment, by its content."""
     n = len(text) - seed + 1
     w = length - seed + 1
     if len(text) < length:
         none = np.zeros(0, np.int64)
-        return none, none, none
+        return none, none, none, none
     hasher = worker_cache("suffix-hash", lambda: PolyHash(41))
     starts = np.arange(n)
     low = hasher.ranges(hasher.prefix(np.frombuffer(text, np.uint8)), starts, starts + seed)
@@ -55,10 +56,28 @@ def segments_of(text: bytes, length: int = LENGTH, seed: int = SEED) -> tuple[np
         span += step
     first = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
     end = np.concatenate((first[1:], [len(at)])) + length - 1
-    return low[first].view(np.int64), first, end
-
-
-def dedup_suffixes(docs: DataFrame, length: int = LENGTH, seed: int = SEED, in_memory: int = IN_MEMORY, in_blocks: int = IN_BLOCKS) -> DataFrame:
+    return low[first].view(np.int64), first, end, at[first]
+
+
+def _described_segments(text: bytes, wanted: np.ndarray, length: int, seed: int) -> tuple:
+    """Of the segments with wanted minimizers: hash, digest, start, size, the contexts of
+    their minimizers, and all their bytes in a row. A context that a segment doesn't hold
+    in full is 0."""
+    h, start, end, place = segments_of(text, length, seed)
+    chosen = np.isin(h, wanted)
+    h, start, end, place = h[chosen], start[chosen], end[chosen], place[chosen]
+    data, size = np.frombuffer(text, np.uint8), end - start
+    hasher = worker_cache("segment-hash", lambda: PolyHash(43))
+    prefix = hasher.prefix(data)
+    around = -(-(length - seed) // 2)
+    before, behind = place - around, place + seed + around
+    left = np.where(before >= start, hasher.ranges(prefix, np.maximum(before, 0), place) | np.uint64(1), 0)
+    right = np.where(behind <= end, hasher.ranges(prefix, place + seed, np.minimum(behind, len(data))) | np.uint64(1), 0)
+    at = np.repeat(start - np.cumsum(size) + size, size) + np.arange(size.sum())
+    return h, hasher.ranges(prefix, start, end).view(np.int64), start, size, left.astype(np.uint64).view(np.int64), right.astype(np.uint64).view(np.int64), data[at]
+
+
+def dedup_suffixes(docs: DataFrame, length: int = LENGTH, seed: int = SEED, in_memory: int = IN_MEMORY, part: int = PART) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256: a row per row of docs.
 
     A byte goes when a string of `length` bytes over it also starts in a document of
@@ -66,8 +85,8 @@ def dedup_suffixes(docs: DataFrame, length: int = LENGTH, seed: int = SEED, in_m
     keep all. Rows of one doc_id never remove each other's bytes. A null doc_id counts
     as larger than all others, and as one document. Other columns are ignored. Very
     long texts are cut into segments whole, each in one task. An empty table gives an
-    empty result. in_memory bounds the tuples that a sort on disk holds in memory, in_blocks
-    the bytes of text that are sorted without it.
+    empty result. in_memory bounds the tuples that a queue holds in memory; a part of a
+    shard is some `part` bytes of segments, or one minimizer's, however many these are.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -104,19 +123,19 @@ def dedup_suffixes(docs: DataFrame, length: int = LENGTH, seed: int = SEED, in_m
         for batch in small_batches(batches, 64):
             out = []
             for doc, cls, packed, hashes in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                text = zlib.decompress(packed)
-                h, start, end = segments_of(text, length, seed)
-                for i in np.flatnonzero(np.isin(h, np.array(hashes))).tolist():
-                    own = text[start[i] : end[i]]
-                    out.append((h[i], digest_halves(own)[0], doc, cls, start[i], own))
+                h, digest, start, size, left, right, own = _described_segments(zlib.decompress(packed), np.array(hashes), length, seed)
+                out.append((h, digest, np.full(len(h), doc), np.full(len(h), cls), start.astype(np.int32), left, right, size, own))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()), strict=True)], ["hash", "digest", "doc", "cls", "start", "bytes"])
+                *columns, sizes, own = (np.concatenate(c) for c in zip(*out, strict=True))
+                ends = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)
+                data = pa.BinaryArray.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(own))])
+                yield pa.RecordBatch.from_arrays([*(pa.array(c) for c in columns), data], ["hash", "digest", "doc", "cls", "start", "left", "right", "bytes"])
 
     segments = docs.select("doc_id", "text").mapInArrow(texts, "rep long, cls long, packed binary").join(places, ["rep", "cls"]).select("rep", "cls", "packed", "hashes")
-    segments = segments.mapInArrow(cut, "hash long, digest long, doc long, cls long, start int, bytes binary")
+    segments = segments.mapInArrow(cut, "hash long, digest long, doc long, cls long, start int, left long, right long, bytes binary")
 
     def sort_shard(batches):
-        yield from _repeats(batches, length, in_memory, in_blocks)
+        yield from _repeats(batches, length, in_memory, part)
 
     gone = segments.repartition("hash").sortWithinPartitions("hash", "digest", "doc").mapInArrow(sort_shard, "rep long, cls long, start int, stop int")
     gone = materialize(gone.groupBy("rep", "cls").agg(F.collect_set(F.struct("start", "stop")).alias("at")), "repeated")
@@ -157,24 +176,29 @@ def dedup_suffixes(docs: DataFrame, length: int = LENGTH, seed: int = SEED, in_m
     return out.select(F.when(~F.col("no_id"), F.col("doc_id")).alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
-def _repeats(batches, length: int, in_memory: int, in_blocks: int):
+def _repeats(batches, length: int, in_memory: int, part: int):
     """(doc, class, start, stop) of repeated bytes in a shard, from its segments sorted
     by hash, digest and doc; a doc's texts are told apart by their classes. The shard
     is sorted in parts that end where a hash ends."""
     def batch_of(doc, cls, start, stop):
         return pa.RecordBatch.from_arrays([pa.array(np.asarray(x, kind)) for x, kind in ((doc, np.int64), (cls, np.int64), (start, np.int32), (stop, np.int32))], ["rep", "cls", "start", "stop"])
 
-    def sort_part(size: int):
+    def sort_part():
         """Sort what was written so far and begin anew."""
         for f in files:
             f.flush()
-        if size:
-            rows = np.fromfile(path + ".rows", np.int64).reshape(-1, 5)
+        rows = np.fromfile(path + ".rows", np.int64).reshape(-1, 8)
+        keep = _in_context(rows)
+        if keep.any():
+            number = np.cumsum(keep) - 1
             repeats = np.fromfile(path + ".again", np.int64).reshape(-1, 3)
-            segment, into = _string_groups(path, folder, rows, length, in_memory, size <= in_blocks)
-            for number, cls, start in chain([(segment, rows[segment, 4], rows[segment, 2] + into)], _moved(segment, into, repeats)):
-                if len(number):
-                    yield batch_of(*_spans(rows[number, 1], cls, start, length))
+            repeats = repeats[keep[repeats[:, 0]]]
+            repeats[:, 0] = number[repeats[:, 0]]
+            rows = _written(path, rows[keep])
+            segment, into = _string_groups(path + ".kept", folder, rows, length, in_memory)
+            for k, cls, start in chain([(segment, rows[segment, 4], rows[segment, 2] + into)], _moved(segment, into, repeats)):
+                if len(k):
+                    yield batch_of(*_spans(rows[k, 1], cls, start, length))
         for f in files:
             f.seek(0)
             f.truncate()
@@ -183,34 +207,54 @@ def _repeats(batches, length: int, in_memory: int, in_blocks: int):
         path = os.path.join(folder, "shard")
         files = [open(path + suffix, "wb") for suffix in ("", ".rows", ".again")]  # noqa: SIM115
         text, places, again = files
-        at, n_written, digest_before, owner = 0, 0, (None, None), None
+        at, n_written, before, owner = 0, 0, (None, None), None
         for columns, mixed, _ in shared_flags(batches, 1):
             covered = []
-            for h, d, doc, cls, start, own, flag in zip(*(c.tolist() for c in columns), mixed.tolist(), strict=True):
-                if h != digest_before[0] and at >= PART:
-                    yield from sort_part(at)
+            for h, d, doc, cls, start, left, right, own, flag in zip(*(c.tolist() for c in columns), mixed.tolist(), strict=True):
+                if h != before[0] and at >= part:
+                    yield from sort_part()
                     at, n_written = 0, 0
-                if new := (h, d) != digest_before:
-                    digest_before, owner = (h, d), doc
+                if new := (h, d) != before:
+                    before, owner = (h, d), doc
                 if doc > owner:  # all of it is the owner's as well
                     covered.append((doc, cls, start, start + len(own)))
                 elif flag and new:  # the minimizer has other segments
-                    text.write(own + bytes([END]))
-                    places.write(np.array([at, doc, start, len(own), cls], np.int64).tobytes())
-                    at, n_written = at + len(own) + 1, n_written + 1
+                    text.write(own)
+                    places.write(np.array([at, doc, start, len(own), cls, h, left, right], np.int64).tobytes())
+                    at, n_written = at + len(own), n_written + 1
                 elif flag:  # its text, or another of its doc, repeats the segment
                     again.write(np.array([n_written - 1, cls, start], np.int64).tobytes())
             if covered:
                 yield batch_of(*zip(*covered, strict=True))
-        yield from sort_part(at)
+        yield from sort_part()
         for f in files:
             f.close()
 
 
-def _blocks_of(items, size: int):
-    while part := list(islice(items, size)):
-        positions, shared = zip(*part, strict=True)
-        yield np.array(positions), np.array(shared)
+def _in_context(rows: np.ndarray) -> np.ndarray:
+    """Segments that share a context of their minimizer with another of the same hash."""
+    keep = np.zeros(len(rows), bool)
+    for side in (6, 7):
+        order = np.lexsort((rows[:, side], rows[:, 5]))
+        h, context = rows[order, 5], rows[order, side]
+        same = (h[1:] == h[:-1]) & (context[1:] == context[:-1]) & (context[1:] != 0)
+        keep[order[1:][same]] = keep[order[:-1][same]] = True
+    return keep
+
+
+def _written(path: str, rows: np.ndarray, block: int = 1 << 12) -> np.ndarray:
+    """Write the bytes of these segments, each ended, and return their rows with the
+    places there."""
+    source, rows = np.memmap(path, np.uint8, "r"), rows.copy()
+    with open(path + ".kept", "wb") as f:
+        for a in range(0, len(rows), block):
+            start, size = rows[a : a + block, 0], rows[a : a + block, 3] + 1
+            at = np.repeat(start - np.cumsum(size) + size, size) + np.arange(size.sum())
+            own = source[np.minimum(at, len(source) - 1)]
+            own[np.cumsum(size) - 1] = END
+            f.write(own.tobytes())
+    rows[:, 0] = np.cumsum(rows[:, 3] + 1) - rows[:, 3] - 1
+    return rows
 
 
 def _moved(segment: np.ndarray, into: np.ndarray, repeats: np.ndarray, block: int = 1 << 16):
@@ -234,7 +278,7 @@ def _spans(doc: np.ndarray, cls: np.ndarray, start: np.ndarray, length: int):
     return doc[cuts], cls[cuts], start[cuts], start[last] + length
 
 
-def _string_groups(path: str, folder: str, rows: np.ndarray, length: int, in_memory: int, small: bool, block: int = 1 << 16):
+def _string_groups(path: str, folder: str, rows: np.ndarray, length: int, in_memory: int):
     """Segment and place in it, in order, of the occurrences of shared strings whose
     doc isn't the smallest."""
     offsets = rows[:, 0]
@@ -253,11 +297,7 @@ def _string_groups(path: str, folder: str, rows: np.ndarray, length: int, in_mem
             out_segment.append(k[gone])
             out_into.append(into[gone])
 
-    if small:
-        with open(path, "rb") as f:
-            blocks = suffix_blocks(f.read(), length)
-    else:
-        blocks = _blocks_of(suffixes(path, "B", folder, length, in_memory), block)
+    blocks = suffix_blocks(path, folder, length, in_memory)
     where, group, number = [], [], 0
     for positions, shared in blocks:
         own = number + np.cumsum(shared < length)  # a fall below the length begins a group

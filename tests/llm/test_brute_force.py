@@ -43,18 +43,17 @@ def test_substrings(docs, prose, empty):
         substring_dedup.dedup_substrings(docs, cover=(1, 2))
 
 
-@pytest.mark.parametrize("in_memory,in_blocks", [(50, 0), (400_000, 0), (400_000, 4 << 20)])
-def test_suffixes(docs, prose, empty, in_memory, in_blocks):
+@pytest.mark.parametrize("in_memory,part", [(50, 1), (2000, 1 << 30), (400_000, 4 << 20)])
+def test_suffixes(docs, prose, empty, in_memory, part):
     texts = {i: (t or "").encode() for i, t in prose}
     gone = gone_by_window(texts, 50)
     spans = {i: int((g & ~np.append(False, g[:-1])).sum()) if len(g) else 0 for i, g in gone.items()}
-    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.dedup_suffixes(docs, in_memory=in_memory, in_blocks=in_blocks).collect()}
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.dedup_suffixes(docs, in_memory=in_memory, part=part).collect()}
     assert got == {i: (len(t), int(gone[i].sum()), spans[i], sha(bytes(np.frombuffer(t, np.uint8)[~gone[i]]))) for i, t in texts.items()}
     assert suffix_dedup.dedup_suffixes(empty).collect() == []
 
 
-@pytest.mark.parametrize("in_blocks", [0, 4 << 20])
-def test_suffixes_before_a_repeat(spark, in_blocks):
+def test_suffixes_before_a_repeat(spark):
     """P1 R P2 R, where a smaller document has the end of P1 with the start of R: the second R stays."""
     rng = np.random.default_rng(7)
     some = lambda n: bytes(rng.integers(97, 123, n, dtype=np.uint8))
@@ -65,7 +64,7 @@ def test_suffixes_before_a_repeat(spark, in_blocks):
     gone = gone_by_window(texts, 50)
     assert all(70 <= gone[100 + i].sum() < 80 for i in range(60))
     table = spark.createDataFrame([(i, t.decode()) for i, t in texts.items()], "doc_id long, text string")
-    got = {r.doc_id: (r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.dedup_suffixes(table, in_blocks=in_blocks).collect()}
+    got = {r.doc_id: (r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.dedup_suffixes(table).collect()}
     assert got == {i: (int(gone[i].sum()), int(gone[i].any()), sha(bytes(np.frombuffer(t, np.uint8)[~gone[i]]))) for i, t in texts.items()}
 
 
@@ -104,11 +103,10 @@ def test_substrings_odd_ids(spark):
     assert sorted(map(repr, want)) == sorted(repr((r.doc_id, r.n_words, r.n_removed, r.kept_sha256)) for r in got)
 
 
-@pytest.mark.parametrize("in_blocks", [0, 4 << 20])
-def test_suffixes_odd_ids(spark, in_blocks):
+def test_suffixes_odd_ids(spark):
     rows = [(i, (t or "").encode()) for i, t in odd_ids()]
     want = [(i, len(t), int(g.sum()), sha(bytes(np.frombuffer(t, np.uint8)[~g]))) for (i, t), g in zip(rows, gone_by_row(rows, 50), strict=True)]
-    got = suffix_dedup.dedup_suffixes(spark.createDataFrame(odd_ids(), "doc_id long, text string"), in_blocks=in_blocks).collect()
+    got = suffix_dedup.dedup_suffixes(spark.createDataFrame(odd_ids(), "doc_id long, text string")).collect()
     assert sorted(map(repr, want)) == sorted(repr((r.doc_id, r.n_bytes, r.n_removed, r.kept_sha256)) for r in got)
 
 

@@ -14,29 +14,32 @@ from pyspark.sql import functions as F
 from grainmill.llm import induced_sort, packing, quality, streams
 
 
-@settings(max_examples=150, deadline=None)
-@given(st.binary(min_size=1, max_size=60) | st.text("ab", min_size=1, max_size=60).map(str.encode), st.sampled_from([3, 17, 10**6]))
-def test_induced_sort(text, in_memory):
-    with tempfile.TemporaryDirectory() as folder:
+@settings(max_examples=60, deadline=None)
+@given(st.binary(min_size=1, max_size=60) | st.text("ab", min_size=1, max_size=60).map(str.encode), st.sampled_from([(3, 2, 1), (17, 5, 4), (10**6, 1 << 16, 1 << 12)]))
+def test_induced_sort(text, bounds):
+    """The exact order and common prefixes, with queues, blocks and windows of a few rows too."""
+    in_memory, block, window = bounds
+    with tempfile.TemporaryDirectory() as folder, pytest.MonkeyPatch.context() as patch:
+        patch.setattr(induced_sort, "BLOCK", block)
+        patch.setattr(induced_sort, "WINDOW", window)
         path = os.path.join(folder, "t")
         with open(path, "wb") as f:
             f.write(text)
-        got = list(induced_sort.suffixes(path, "B", folder, 6, in_memory))
+        got = [(int(i), int(n)) for at, shared in induced_sort.suffix_blocks(path, folder, 6, in_memory) for i, n in zip(at, shared, strict=True)]
         assert os.listdir(folder) == ["t"]
     order = sorted(range(len(text)), key=lambda i: text[i:], reverse=True)
     shared = [0] + [next((n for n in range(6) if text[a + n : a + n + 1] != text[b + n : b + n + 1] or not text[a + n : a + n + 1]), 6) for a, b in zip(order, order[1:], strict=False)]
     assert got == list(zip(order, shared, strict=True))
 
 
-@settings(max_examples=200, deadline=None)
-@given(st.binary(min_size=1, max_size=60) | st.text("ab", min_size=1, max_size=60).map(str.encode), st.sampled_from([2, 5, 20]))
-def test_suffix_blocks(text, cap):
-    text = text.replace(b"\0", b"\1").replace(b"\xff", b"\1") + b"\xff"
-    got = [(int(i), int(n)) for at, shared in induced_sort.suffix_blocks(text, cap) for i, n in zip(at, shared, strict=True)]
-    assert sorted(i for i, _ in got) == list(range(len(text)))
-    for (i, _), (j, n) in zip(got, got[1:], strict=False):
-        a, b = text[i : i + cap], text[j : j + cap]
-        assert a >= b and n == len(os.path.commonprefix([a, b]))
+def test_induced_sort_beyond_memory(tmp_path):
+    """A text of some hundred times what a queue may hold, with long repeats."""
+    rng = random.Random(4)
+    line = bytes(rng.choices(b"abcdef", k=3000))
+    text = b"".join(line[a : a + rng.randint(1, 400)] for a in (rng.randrange(3000) for _ in range(400)))
+    (tmp_path / "t").write_bytes(text)
+    got = [int(i) for at, _ in induced_sort.suffix_blocks(str(tmp_path / "t"), str(tmp_path), 50, 500) for i in at]
+    assert got == sorted(range(len(text)), key=lambda i: text[i:], reverse=True) and [p.name for p in tmp_path.iterdir()] == ["t"]
 
 
 def test_shared_flags():
