@@ -162,11 +162,11 @@ def throughput_eta(spark, d):
     return table(spark, d, "orders").select(step.alias("step"), *(F.round(c, 4).alias(k) for k, c in Q.throughput(sequences, 64, F.lit(2.5), 8, F.lit(60000) - step).items()))
 
 
-@R.add("SELECT o_orderkey AS step, tag, round(CASE tag WHEN 'loss' THEN o_totalprice::DOUBLE / 1e5 WHEN 'lr' THEN 3e-4 / (o_orderkey + 1) ELSE o_totalprice::DOUBLE * 2 END, 9)::DOUBLE AS value FROM orders, (SELECT unnest(['loss', 'lr', 'tokens_per_s']) AS tag)")
+@R.add("SELECT o_orderkey AS step, tag, round(CASE tag WHEN 'loss' THEN o_totalprice::DOUBLE / 1e5 WHEN 'lr' THEN (o_orderkey % 100) / 1000.0::DOUBLE ELSE o_totalprice::DOUBLE * 2 END, 9)::DOUBLE AS value FROM orders, (SELECT unnest(['loss', 'lr', 'tokens_per_s']) AS tag)")
 def metrics_long(spark, d):
     """Metrics of each step as (step, tag, value) rows appended to a table, and back."""
     path = scratch(spark, "metrics")
-    wide = table(spark, d, "orders").select(F.col("o_orderkey").alias("step"), (F.col("o_totalprice").cast("double") / 1e5).alias("loss"), (F.lit(3e-4) / (F.col("o_orderkey") + 1)).alias("lr"), (F.col("o_totalprice").cast("double") * 2).alias("tokens_per_s"))
+    wide = table(spark, d, "orders").select(F.col("o_orderkey").alias("step"), (F.col("o_totalprice").cast("double") / 1e5).alias("loss"), (F.col("o_orderkey") % 100 / F.lit(1000.0)).alias("lr"), (F.col("o_totalprice").cast("double") * 2).alias("tokens_per_s"))
     for part in (wide.where("step % 2 = 0"), wide.where("step % 2 = 1")):
         E.long_metrics(part, "step").write.mode("append").parquet(path)
     return spark.read.schema("step long, tag string, value double").parquet(path).select("step", "tag", F.round("value", 9).alias("value"))
