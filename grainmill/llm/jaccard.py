@@ -144,21 +144,28 @@ class Bands:
         own = np.searchsorted(first, full, "right") - 1
         return _key(_NORMAL, bands[own], full - first[own], total[full]), np.bincount(own, minlength=len(sizes))
 
+    def differing(self, size: int, band: int) -> int:
+        """Tokens by which a set may differ from any that it links to."""
+        partner = min(int(self.limits[band]), size * 100 // self.percent)
+        return (size + partner) * (100 - self.percent) // (100 + self.percent)
+
     def needed(self, size: int, band: int, filled: int) -> int:
         """Non-empty segments that a set shares with any that it links to: those that
-        remain when each token by which the larger partner may differ spoils one."""
-        partner = min(int(self.limits[band]), size * 100 // self.percent)
-        return filled - (size + partner) * (100 - self.percent) // (100 + self.percent)
+        remain when each token by which the two may differ spoils one."""
+        return filled - self.differing(size, band)
 
     def deleted(self, tokens: np.ndarray, band: int) -> np.ndarray:
-        """Keys of non-empty contents and of those less one token; with too few of
-        these for the pigeonhole, also of each token."""
-        h, _, m = segments(int(self.limits[band]), self.percent)
-        of, size, total = contents(tokens, band, m)
-        full = np.flatnonzero(size)
-        less = size[of] >= 2
+        """Keys of contents and of those less one token, of the first segments that can
+        take more differences than there may be: of two sets, the one that ends first
+        has a segment there that both have keys for. With too few tokens for that, of
+        all segments and of each token."""
+        of, size, total = contents(tokens, band, int(self.m[band]))
+        reach = np.cumsum(np.minimum(size, 2))
+        last = int(np.searchsorted(reach, self.differing(len(tokens), band) + 1))
+        full, inside = np.flatnonzero(size[: last + 1]), of <= last
+        less = inside & (size[of] >= 2)
         keys = [_key(_DELETED, band, full, total[full]), _key(_DELETED, band, of[less], total[of[less]] - mix(tokens[less] + np.uint64(0xA5A5A5A5)))]
-        if np.minimum(size, 2).sum() < h + 1:
+        if last == len(size):
             keys.append(_key(_TOKEN, band, np.zeros(len(tokens), np.int64), mix(tokens)))
         return np.unique(np.concatenate(keys))
 
@@ -330,18 +337,41 @@ class _Work:
         return heavy
 
     def by_deletions(self, heavy: DataFrame, costly: int) -> None:
-        """Links between heavy sets."""
-        bands, classes, n = self.bands, self.classes, self.n
+        """Links between heavy sets.
+
+        A set goes if too few of its tokens are in heavy sets of other components, by a
+        Bloom filter of bounded size. The rest is dealt out evenly, as few texts may hold
+        most of the work."""
+        bands, n = self.bands, self.n
+
+        def tokens(batches):
+            for batch in small_batches(batches, 512):
+                found, sizes = shingle_sets([zlib.decompress(w) for w in batch.column(0).to_pylist()], n)
+                lists = pa.LargeListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int64()), pa.array(found.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([*batch.columns[1:], lists.cast(pa.list_(pa.int64()))], ["cls", "component", "bands", "tokens"])
+
+        rows = self.rooted(self.texts.select("cls", "words").join(heavy, "cls")).select("words", "cls", "component", "bands")
+        sets = materialize(rows.repartition("cls").mapInArrow(tokens, "cls long, component long, bands array<int>, tokens array<long>"), "sets")
+        each = sets.repartition("cls").select("component", F.explode("tokens").alias("token"))
+        mixed = each.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("token")
+        mixed = materialize(mixed, "mixed")
+        common = self.spark.sparkContext.broadcast(id_set(mixed, "token", mixed.count()))
+
+        def kept(batches):
+            for batch in small_batches(batches, 512):
+                held, sizes = _lists(batch.column(3))
+                ends = np.concatenate(([0], np.cumsum(sizes)))
+                known = np.concatenate(([0], np.cumsum(common.value.holds(held))))
+                yield batch.filter(pa.array((known[ends[1:]] - known[ends[:-1]]) * 100 >= bands.percent * sizes))
 
         def deleted(batches):
             for batch in small_batches(batches, 128):
-                out = []
-                for words, of in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                    joined = zlib.decompress(words)
-                    tokens, cls = shingles(joined, n), classes.of(joined)
+                held, sizes = _lists(batch.column(3))
+                ends, out = np.cumsum(sizes), []
+                for cls, end, size, of in zip(batch.column(0).to_pylist(), ends.tolist(), sizes.tolist(), batch.column(2).to_pylist(), strict=True):
                     for band in of:
-                        k = bands.deleted(tokens, band)
-                        out.append((k, np.full(len(k), cls), np.full(len(k), _tag(band, 0, len(tokens)))))
+                        k = bands.deleted(held[end - size : end].view(np.uint64), band)
+                        out.append((k, np.full(len(k), cls), np.full(len(k), _tag(band, 0, size))))
                 if out:
                     yield _rows_of(out)
 
@@ -350,49 +380,34 @@ class _Work:
                 if flags.any():
                     yield _rows_of([tuple(c[flags] for c in columns)])
 
-        rows = self.texts.join(heavy, "cls").select("words", "bands").mapInArrow(deleted, ROWS)
-        shared = materialize(rows.repartition("key").sortWithinPartitions("key").mapInArrow(grouped, ROWS), "shared")
+        left = materialize(sets.mapInArrow(kept, sets.schema), "left")
+        keys = left.repartition("cls").mapInArrow(deleted, ROWS)
+        shared = materialize(keys.repartition("key").sortWithinPartitions("key").mapInArrow(grouped, ROWS), "shared")
         spread = materialize(_costs(self.rooted(shared), costly), "open")
-        discard(shared)
         found = _across(spread.where("not costly"), ("cls", "tag"))
         self.link(found.where(_fit("a_tag", "b_tag", bands.percent)).select(F.col("a_cls").alias("a"), F.col("b_cls").alias("b")).distinct())
         dear = materialize(self.rooted(spread.where("costly").select("key", "cls")), "costly")
-        discard(spread)
         if not dear.isEmpty():
-            self.by_blocks(dear)
-        discard(dear)
-
-    def by_blocks(self, dear: DataFrame) -> None:
-        """Links between sets that share a key: (key, cls, component).
+            self.by_blocks(dear, left.select("cls", "tokens"))
+        for done in (sets, mixed, left, shared, spread, dear):
+            discard(done)
 
-        A set of which too few tokens are in another component goes. The rest meet by the
-        hubs of their keys: a hub's sets outside of its component are dealt in blocks of
-        BLOCK tokens, and all of its sets pass each block."""
-        percent, n = self.bands.percent, self.n
+    def by_blocks(self, dear: DataFrame, sets: DataFrame) -> None:
+        """Links between sets (cls, tokens) that share a key: (key, cls, component).
 
-        def tokens(batches):
-            for batch in small_batches(batches, 512):
-                found, sizes = shingle_sets([zlib.decompress(w) for w in batch.column(2).to_pylist()], n)
-                lists = pa.LargeListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int64()), pa.array(found.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), lists.cast(pa.list_(pa.int64()))], ["cls", "component", "tokens"])
-
-        most = dear.groupBy("cls", "component").agg(F.count(F.lit(1)).alias("n"))
-        sets = materialize(self.texts.join(most, "cls").select("cls", "component", "words").mapInArrow(tokens, "cls long, component long, tokens array<long>"), "sets")
-        rows = sets.select("cls", "component", F.explode("tokens").alias("token"))
-        mixed = rows.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("token")
-        left = rows.join(mixed, "token").groupBy("cls").agg(F.count(F.lit(1)).alias("common"))
-        left = sets.join(left, "cls").where(F.col("common") * 100 >= F.size("tokens") * percent).drop("common")
-
-        best = dear.join(most.select("cls", "n"), "cls").groupBy("key").agg(F.max(F.struct("n", "cls", "component")).alias("hub"), F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
-        members = dear.join(best, "key").select(F.col("hub.cls").alias("hub"), F.col("hub.component").alias("home"), "cls").distinct().join(left, "cls")
-        members = materialize(members, "members")
+        They meet by the hubs of their keys: a hub's sets outside of its component are
+        dealt in blocks of BLOCK tokens, and all of its sets pass each block."""
+        percent = self.bands.percent
+        most = dear.groupBy("cls").agg(F.count(F.lit(1)).alias("n"))
+        best = dear.join(most, "cls").groupBy("key").agg(F.max(F.struct("n", "cls", "component")).alias("hub"), F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
+        members = dear.join(best, "key").select(F.col("hub.cls").alias("hub"), F.col("hub.component").alias("home"), "cls", "component").distinct()
+        members = materialize(members.join(sets, "cls"), "members")
         outside = members.where("component != home")
         parts = outside.groupBy("hub").agg(F.ceil(F.sum(F.size("tokens")) / BLOCK).cast("long").alias("parts"))
         index = outside.join(parts, "hub").select("hub", F.pmod(F.xxhash64("cls"), "parts").alias("part"), F.lit(0).alias("side"), "cls", "component", "tokens")
         probe = members.join(parts, "hub").select("hub", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.lit(1).alias("side"), "cls", "component", "tokens")
         together = index.unionByName(probe).repartition("hub", "part").sortWithinPartitions("hub", "part", "side")
         self.link(together.mapInArrow(lambda batches: _passed(batches, percent), "a long, b long"), verified=True)
-        discard(sets)
         discard(members)
 
     def link(self, pairs: DataFrame, verified: bool = False) -> None:
@@ -465,6 +480,11 @@ class _Work:
         return together.mapInArrow(compare, "a long, b long")
 
 
+def _lists(column) -> tuple[np.ndarray, np.ndarray]:
+    """All values of a list column in a row, and how many each row has."""
+    return np.asarray(column.flatten()), np.asarray(column.value_lengths()).astype(np.int64)
+
+
 def _needed(tag: str = "tag"):
     return F.shiftright(tag, BITS).bitwiseAND((1 << BITS) - 1)
 
@@ -513,9 +533,8 @@ def _passed(batches, percent: int):
     block, held, index = None, [], None
     for batch in batches:
         hub, part, side, cls, component = (np.asarray(batch.column(i)) for i in range(5))
-        flat = batch.column(5)
-        sizes = np.asarray(flat.value_lengths()).astype(np.int64)
-        tokens, ends = np.asarray(flat.flatten()), np.cumsum(sizes)
+        tokens, sizes = _lists(batch.column(5))
+        ends = np.cumsum(sizes)
         cuts = np.flatnonzero((hub[1:] != hub[:-1]) | (part[1:] != part[:-1]) | (side[1:] != side[:-1])) + 1
         for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(hub)], strict=True):
             if a == b:
