@@ -28,7 +28,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
@@ -398,8 +398,8 @@ class _Work:
         They meet by the hubs of their keys: a hub's sets outside of its component are
         dealt in blocks of BLOCK tokens, and all of its sets pass each block."""
         percent = self.bands.percent
-        most = dear.groupBy("cls").agg(F.count(F.lit(1)).alias("n"))
-        best = dear.join(most, "cls").groupBy("key").agg(F.max(F.struct("n", "cls", "component")).alias("hub"), F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
+        counted = dear.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("cls")))  # a set's own keys
+        best = counted.groupBy("key").agg(F.max(F.struct("n", "cls", "component")).alias("hub"), F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
         members = dear.join(best, "key").select(F.col("hub.cls").alias("hub"), F.col("hub.component").alias("home"), "cls", "component").distinct()
         members = materialize(members.join(sets, "cls"), "members")
         outside = members.where("component != home")
