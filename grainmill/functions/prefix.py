@@ -23,9 +23,9 @@ def running_sum(df: DataFrame, key: str, value: Column, out: str, within: list[s
     nulls, are summed each on their own. Carry no wide columns through it: sum over
     keys and sizes and join the result."""
     groups = within or []
-    ends = df.agg(F.struct(F.min(key).cast("double").alias("low"), F.max(key).cast("double").alias("high")).alias("ends")).scalar()
-    width = F.greatest(F.floor((ends["high"] - ends["low"]) / blocks) + 1, F.lit(1.0))
-    block = F.coalesce(F.floor((F.col(key).cast("double") - ends["low"]) / width), F.lit(-1)).cast("long")
+    low, high = df.agg(F.min(key).cast("double"), F.max(key).cast("double")).first()
+    low, width = low or 0.0, float(max(((high or 0.0) - (low or 0.0)) // blocks + 1, 1))
+    block = F.coalesce(F.floor((F.col(key).cast("double") - low) / width), F.lit(-1)).cast("long")
     staged = df.withColumns({"_block": block, "_value": F.coalesce(value.cast("long"), F.lit(0))}).repartition(*groups, "_block")
     before = Window.partitionBy(*groups, "_block").orderBy(F.col(key).asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
     local = staged.withColumn("_local", F.coalesce(F.sum("_value").over(before), F.lit(0)))

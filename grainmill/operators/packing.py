@@ -24,7 +24,7 @@ def sample_index(docs: DataFrame, length: int, extra: int = 1) -> DataFrame:
     Each document yields the sample ids that start in it, so no range join is
     needed; with extra=0 a start on a boundary counts to the document before."""
     ranged = spans(docs.select("doc_id", "text")).where("n_tokens > 0")
-    total = ranged.agg(F.sum("n_tokens")).scalar()
+    total = docs.agg(F.sum(char_count(F.col("text")))).scalar()
     shift = 0 if extra else 1
     first = F.greatest(ceil_div(F.col("start") + shift, length), F.lit(0))
     first = F.when((F.col("start") == 0), F.lit(0)).otherwise(first).cast("long")
@@ -83,7 +83,7 @@ def fixed_chunks(docs: DataFrame, length: int) -> DataFrame:
 def _cut(docs: DataFrame, length: int, overlap: int) -> DataFrame:
     """Pieces of all whole chunks of all documents."""
     ranged = spans(docs.select("doc_id", "text"))
-    whole = floor_div(ranged.agg(F.sum("n_tokens")).scalar() - overlap, length)
+    whole = floor_div(docs.agg(F.sum(char_count(F.col("text")))).scalar() - overlap, length)
     return pieces(docs.select("doc_id", "text").join(ranged.withColumn("n_chunks", whole), "doc_id"), length, overlap, "n_chunks", [])
 
 
