@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, jaccard, line_dedup, media, packing, quality, substring_dedup, suffix_dedup, url_filter, warc
+from . import decontaminate, filter_audit, jaccard, licenses, line_dedup, media, packing, periodic, quality, substring_dedup, suffix_dedup, url_filter, warc
 
 
 def queries() -> dict:
@@ -17,6 +17,9 @@ def queries() -> dict:
         "op8_media": media.op8_media,
         "op9_packing": packing.op9_packing,
         "op10_line_dedup": line_dedup.op10_line_dedup,
+        "op11_filter_audit": filter_audit.op11_filter_audit,
+        "op12_licenses": licenses.op12_licenses,
+        "op13_periodic_runs": periodic.op13_periodic_runs,
     }
 
 
@@ -27,4 +30,7 @@ def oracle_sql() -> dict[str, str]:
         "op5_jaccard": jaccard.OP5_SQL,
         "op6_substring_dedup": substring_dedup.OP6_SQL,
         "op10_line_dedup": line_dedup.OP10_SQL,
+        "op11_filter_audit": filter_audit.OP11_SQL,
+        "op12_licenses": licenses.OP12_SQL,
+        "op13_periodic_runs": periodic.OP13_SQL,
     }
