@@ -5,7 +5,9 @@ counts by document give its words and distinct words. The other conditions are f
 the row, joined with that. A document then is a set of failed filters; the documents of
 a part that pass each of the 32 sets of filters are counted in as many columns, and
 every order's steps, and the Shapley shares, are differences of these counts. All in
-DataFrame functions; what is shuffled are words and counts, no texts.
+DataFrame functions. Each text moves once, to where its words are counted, as the words
+with their document would be three times as much; all else that moves are a few numbers
+a document.
 """
 
 from __future__ import annotations
@@ -23,16 +25,34 @@ FILTERS = "ABCDE"
 ALL = (1 << len(FILTERS)) - 1
 #: A word of no text; counted once a row, so that rows which repeat are told.
 ROW = " "
+#: Parts of the rows of one doc_id and text; texts told by a broadcast table at most.
+SALTS, MANY = 32, 10_000
 
 
 def word_totals(docs: DataFrame) -> DataFrame:
     """(doc_id, h, words, distinct_words) for each doc_id and hash of a text in docs
-    (doc_id, h, text)."""
+    (doc_id, h, text). Texts are dealt by document once, so that both aggregations of
+    their words run where they are; rows that repeat are dealt in SALTS parts."""
+    dealt = docs.withColumn("s", F.monotonically_increasing_id() % SALTS).repartition("doc_id", "h", "s")
     parts = F.concat(F.split("text", r"[ \t\n\x0B\f\r]+"), F.array(F.lit(ROW)))
-    words = docs.select("doc_id", "h", F.explode(parts).alias("word")).where("word != ''")
-    counts = words.groupBy("doc_id", "h", "word").agg(F.count("*").alias("n"))
-    held = counts.groupBy("doc_id", "h").agg(F.sum("n").alias("n"), F.count("*").alias("m"), F.sum(F.when(F.col("word") == ROW, F.col("n"))).alias("rows"))
-    return held.select("doc_id", "h", F.expr("n div rows - 1").alias("words"), (F.col("m") - 1).alias("distinct_words"))
+    words = dealt.select("doc_id", "h", "s", F.explode(parts).alias("word")).where("word != ''")
+    counts = words.groupBy("doc_id", "h", "s", "word").agg(F.count("*").alias("n"))
+    held = counts.groupBy("doc_id", "h", "s").agg(F.sum("n").alias("n"), F.count("*").alias("m"), F.sum(F.when(F.col("word") == ROW, F.col("n"))).alias("rows"))
+    return held.groupBy("doc_id", "h").agg(F.max(F.expr("n div rows - 1")).alias("words"), F.max(F.col("m") - 1).alias("distinct_words"))
+
+
+def _first_ids(flags: DataFrame) -> DataFrame:
+    """flags with the smallest doc_id of each row's text. Texts that make up more than
+    one in MANY of all rows, so at most MANY, are looked up in a broadcast table; only
+    the others' rows meet by text."""
+    first = flags.groupBy("digest").agg(F.min("doc_id").alias("first"), F.count("*").alias("n"))
+    n = flags.agg(F.count("*")).scalar()
+    often = F.broadcast(first.where(F.col("n") > n / MANY).select(F.col("digest").alias("often"), F.col("first").alias("often_first")))
+    told = flags.join(often, F.col("digest") == F.col("often"), "left")
+    key = F.when(F.col("often").isNotNull(), F.concat_ws("/", "digest", F.xxhash64("doc_id", "h"))).otherwise(F.col("digest"))
+    seldom = first.where(F.col("n") <= n / MANY).select(F.col("digest").alias("seldom"), "first")
+    joined = told.withColumn("key", key).join(seldom, F.col("key") == F.col("seldom"), "left")
+    return joined.withColumn("first", F.coalesce("often_first", "first")).drop("often", "often_first", "key", "seldom")
 
 
 def failed_filters(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -44,13 +64,12 @@ def failed_filters(docs: DataFrame, labels: DataFrame) -> DataFrame:
         (100 * F.length(F.regexp_replace("text", "[^A-Z]+", "")) > 3 * F.length("text")).alias("C"),
         F.col("text").rlike("[#$%&*|]").alias("D"),
     )
-    first = flags.groupBy("digest").agg(F.min("doc_id").alias("first")).toDF("text_digest", "first")
     totals = word_totals(own.select("doc_id", "h", "text")).toDF("word_doc", "word_h", "words", "distinct_words")
-    marks = labels.groupBy(F.col("doc_id").cast("long").alias("label_doc")).agg(F.max((F.col("quality") == 1).cast("int")).alias("good"), F.max((F.col("toxic") == 1).cast("int")).alias("toxic"))
+    marks = labels.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("label_doc")).agg(F.max((F.col("quality") == 1).cast("int")).alias("good"), F.max((F.col("toxic") == 1).cast("int")).alias("toxic"))
+    labelled = (F.coalesce("doc_id", "h") == F.col("label_doc")) & (F.col("doc_id").isNull() == F.col("unknown"))  # rows without an id are spread
     rows = (
-        flags.join(totals, F.col("doc_id").eqNullSafe(F.col("word_doc")) & (F.col("h") == F.col("word_h")), "left")
-        .join(marks, F.col("doc_id") == F.col("label_doc"), "left")
-        .join(first, F.col("digest") == F.col("text_digest"), "left")
+        _first_ids(flags).join(totals, F.col("doc_id").eqNullSafe(F.col("word_doc")) & (F.col("h") == F.col("word_h")), "left")
+        .join(marks.withColumn("unknown", F.lit(False)), labelled, "left")
     )
     words, distinct = F.coalesce("words", F.lit(0)), F.coalesce("distinct_words", F.lit(0))
     copies = F.col("first").isNotNull() & F.coalesce(F.col("doc_id") > F.col("first"), F.lit(True))
@@ -102,7 +121,8 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP11_SQL = r"""
 WITH d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text FROM documents),
-w AS (SELECT doc_id, part, text, regexp_extract_all(text, '[^ 	-]+') AS w, min(doc_id) OVER (PARTITION BY text) AS first FROM d),
+w AS (SELECT doc_id, part, text, regexp_extract_all(text, '[^ 	-
+]+') AS w, min(doc_id) OVER (PARTITION BY text) AS first FROM d),
 m AS (SELECT part, coalesce(quality, 0) = 1 AS good, coalesce(toxic, 0) = 1 AS toxic,
     {'A': len(w) < 200, 'B': 100 * len(list_distinct(w)) < 50 * len(w), 'C': 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 3 * length(text),
      'D': regexp_matches(text, '[#$%&*|]'), 'E': w.doc_id > first} AS f
