@@ -62,13 +62,20 @@ class Run:
             raise ValueError("stages are sorted, start at 1, and have distinct steps and names")
 
 
-def from_dict(kind: type, values: dict):
-    """A dataclass from nested dictionaries; keys it doesn't have are errors."""
+def from_dict(kind: type, values: dict, overrides: dict[type, type] | None = None):
+    """A dataclass from nested dictionaries; keys it doesn't have are errors. overrides:
+    classes to take in place of others, which they must extend."""
+    overrides = overrides or {}
+    for base, own in overrides.items():
+        if not issubclass(own, base):
+            raise ValueError(f"{own.__name__} doesn't extend {base.__name__}")
+    of = lambda base, v: from_dict(overrides.get(base, base), v, overrides)
+    kind = overrides.get(kind, kind)
     known = {f.name: f for f in dataclasses.fields(kind)}
     if extra := set(values) - set(known):
         raise ValueError(f"{kind.__name__}: unknown {sorted(extra)}")
-    nested = {"stages": lambda v: [from_dict(DataStage, x) for x in v], "batching": lambda v: from_dict(Batching, v)}
-    return kind(**{k: nested[k](v) if k in nested and kind is Run else v for k, v in values.items()})
+    nested = {"stages": lambda v: [of(DataStage, x) for x in v], "batching": lambda v: of(Batching, v)}
+    return kind(**{k: nested[k](v) if k in nested and issubclass(kind, Run) else v for k, v in values.items()})
 
 
 def cache_key(**parameters) -> str:

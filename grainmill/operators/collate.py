@@ -36,6 +36,49 @@ def left_pad_positions(ids: str, pad: int) -> Column:
     return F.transform(F.sequence(F.lit(0).cast("long"), (n - 1).cast("long")), lambda i: F.greatest(i - pads, F.lit(0)))
 
 
+#: Functions from samples to batches' columns, by name.
+COLLATORS: dict = {}
+
+
+def collator(name: str):
+    """Register a function (samples, **settings) -> DataFrame as a collator."""
+    def keep(f):
+        if name in COLLATORS:
+            raise ValueError(f"there is a collator {name}")
+        COLLATORS[name] = f
+        return f
+
+    return keep
+
+
+def collate(samples: DataFrame, name: str, **settings) -> DataFrame:
+    """samples through the collator of that name; an unknown one is an error."""
+    if name not in COLLATORS:
+        raise ValueError(f"unknown collator {name}; there are {sorted(COLLATORS)}")
+    return COLLATORS[name](samples, **settings)
+
+
+@collator("causal")
+def causal(samples: DataFrame, length: int) -> DataFrame:
+    """samples (ids of length + 1, ...) with input_ids, label_ids and label_mask, all true."""
+    return samples.withColumns(shifted("ids", length) | {"label_mask": F.array_repeat(F.lit(True), length)})
+
+
+@collator("documents")
+def documents(samples: DataFrame, length: int) -> DataFrame:
+    """As causal, with positions (pos, one a token) that restart with each document, and
+    a mask without each document's first label."""
+    return causal(samples, length).withColumns({"position_ids": F.slice("pos", 1, length), "label_mask": boundary_mask("pos", length)})
+
+
+@collator("domains")
+def domains(samples: DataFrame, length: int, names: DataFrame) -> DataFrame:
+    """As causal, with the number of each sample's domain (names: domain, domain_idx; a
+    row a domain); an unknown or null domain has -1."""
+    known = names.select(F.col("domain").alias("_d"), "domain_idx")
+    return causal(samples, length).join(known, F.col("domain") == F.col("_d"), "left").drop("_d").withColumn("domain_idx", F.coalesce("domain_idx", F.lit(-1)))
+
+
 def sft(pairs: DataFrame, length: int, eos: int = 0, batch: str = "batch_id") -> DataFrame:
     """pairs (prompt, completion as id arrays) to input_ids, position_ids, label_mask
     of prompt + completion + end, cut to length + 1 and padded on the right to the

@@ -10,11 +10,12 @@ from ..functions.tokens import ceil_div, char_count, floor_div, fraction_of, shu
 
 
 def spans(docs: DataFrame, count=None, key: str = "doc_id", within: list[str] | None = None) -> DataFrame:
-    """(key, within, n_tokens, start, stop): each document's half-open token range in
-    their concatenation. Texts stay behind: only keys and sizes are moved."""
+    """(key, within, n_tokens, start, stop, total): each document's half-open token range
+    in their concatenation, and its length. Texts are sized once and stay behind: only
+    keys and sizes are moved."""
     n = char_count(F.col("text")) if count is None else count
     sized = docs.select(key, *(within or []), n.alias("n_tokens"))
-    return running_sum(sized, key, F.col("n_tokens"), "start", within=within).withColumn("stop", F.col("start") + F.col("n_tokens"))
+    return running_sum(sized, key, F.col("n_tokens"), "start", within=within, total="total").withColumn("stop", F.col("start") + F.col("n_tokens"))
 
 
 def sample_index(docs: DataFrame, length: int, extra: int = 1) -> DataFrame:
@@ -24,11 +25,10 @@ def sample_index(docs: DataFrame, length: int, extra: int = 1) -> DataFrame:
     Each document yields the sample ids that start in it, so no range join is
     needed; with extra=0 a start on a boundary counts to the document before."""
     ranged = spans(docs.select("doc_id", "text")).where("n_tokens > 0")
-    total = docs.agg(F.sum(char_count(F.col("text")))).scalar()
     shift = 0 if extra else 1
     first = F.greatest(ceil_div(F.col("start") + shift, length), F.lit(0))
     first = F.when((F.col("start") == 0), F.lit(0)).otherwise(first).cast("long")
-    last = F.least(floor_div(F.col("stop") - 1 + shift, length), floor_div(total - extra, length))
+    last = F.least(floor_div(F.col("stop") - 1 + shift, length), floor_div(F.col("total") - extra, length))
     held = ranged.withColumns({"first": first, "last": last}).where("first <= last")
     ids = held.select("doc_id", "start", F.explode(F.sequence("first", "last")).alias("sample_id"))
     return ids.select("sample_id", "doc_id", (F.col("sample_id") * length - F.col("start")).alias("doc_offset"))
@@ -64,15 +64,18 @@ def clm_chunks(docs: DataFrame, length: int, batch: int, drop_last_chunk: bool =
 
     drop_last_chunk keeps the count of a pass that stops one chunk early."""
     batched = docs.select("doc_id", "text").withColumn("batch_id", floor_div(F.col("doc_id"), batch))
-    counts = chunk_counts(docs, length, batch, drop_last_chunk)
-    ranged = spans(batched, within=["batch_id"]).join(counts.select("batch_id", "n_chunks"), "batch_id")
+    ranged = spans(batched, within=["batch_id"]).withColumn("n_chunks", _n_chunks(F.col("total"), length, drop_last_chunk))
     cut = pieces(docs.select("doc_id", "text").join(ranged, "doc_id"), length, 1, "n_chunks", ["batch_id"])
     return joined(cut, ["batch_id", "chunk_id"])
 
 
+def _n_chunks(tokens, length: int, drop_last_chunk: bool):
+    return F.greatest(floor_div(tokens - 1, length) - int(drop_last_chunk), F.lit(0)).cast("long")
+
+
 def chunk_counts(docs: DataFrame, length: int, batch: int, drop_last_chunk: bool = True) -> DataFrame:
     per = docs.groupBy(floor_div(F.col("doc_id"), batch).alias("batch_id")).agg(F.sum(char_count(F.col("text"))).alias("n_tokens"))
-    return per.withColumn("n_chunks", F.greatest(floor_div(F.col("n_tokens") - 1, length) - int(drop_last_chunk), F.lit(0)).cast("long"))
+    return per.withColumn("n_chunks", _n_chunks(F.col("n_tokens"), length, drop_last_chunk))
 
 
 def fixed_chunks(docs: DataFrame, length: int) -> DataFrame:
@@ -82,9 +85,8 @@ def fixed_chunks(docs: DataFrame, length: int) -> DataFrame:
 
 def _cut(docs: DataFrame, length: int, overlap: int) -> DataFrame:
     """Pieces of all whole chunks of all documents."""
-    ranged = spans(docs.select("doc_id", "text"))
-    whole = floor_div(docs.agg(F.sum(char_count(F.col("text")))).scalar() - overlap, length)
-    return pieces(docs.select("doc_id", "text").join(ranged.withColumn("n_chunks", whole), "doc_id"), length, overlap, "n_chunks", [])
+    ranged = spans(docs.select("doc_id", "text")).withColumn("n_chunks", floor_div(F.col("total") - overlap, length))
+    return pieces(docs.select("doc_id", "text").join(ranged, "doc_id"), length, overlap, "n_chunks", [])
 
 
 def samples(docs: DataFrame, length: int, extra: int = 1) -> DataFrame:

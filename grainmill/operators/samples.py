@@ -3,10 +3,10 @@ sets of samples tiled over epochs, mixtures of sources."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.prefix import position, running_sum
+from ..functions.prefix import position, running_sum, same
 from ..functions.tokens import char_count, floor_div, shuffle_key
 from .blend import blend, shuffled_position
 from .packing import joined, pieces
@@ -17,10 +17,14 @@ def epochs_for(tokens: int, n_samples: int, length: int, extra: int = 1) -> int:
     return max(1, -(-(n_samples * length + extra) // tokens))
 
 
+#: Fixed value: of the last epoch at least this share is needed for it to go with the others.
+LAST_EPOCH = 0.80
+
+
 def last_epoch_apart(tokens: int, epochs: int, n_samples: int, length: int, extra: int = 1) -> bool:
-    """Whether the last epoch is shuffled on its own: less than 80 % of it is needed."""
+    """Whether the last epoch is shuffled on its own: less than LAST_EPOCH of it is needed."""
     before = ((epochs - 1) * tokens - extra) // length
-    return epochs > 1 and n_samples - before < int(0.80 * ((tokens - extra) // length))
+    return epochs > 1 and n_samples - before < int(LAST_EPOCH * ((tokens - extra) // length))
 
 
 def document_order(docs: DataFrame, epochs: int, apart: bool, seed: str) -> DataFrame:
@@ -37,17 +41,21 @@ def shuffled_samples(docs: DataFrame, n_samples: int, length: int, seed: str, dr
     """(pos, sample_id, tokens, n_pad): as many epochs of shuffled documents as
     n_samples need, cut into samples of length + extra tokens (those of the last epoch
     too), in a shuffled order; the last sample may be short by n_pad tokens unless it is
-    dropped. docs: doc_id (unique) and text, whose characters are the tokens."""
-    sizes = docs.select("doc_id", char_count(F.col("text")).alias("n_tokens"))
-    tokens = sizes.agg(F.sum("n_tokens")).first()[0]
+    dropped. docs: doc_id (unique; one may be null) and text, whose characters are the
+    tokens; a null text has none. Without any token there is no sample."""
+    sizes = docs.select("doc_id", F.coalesce(char_count(F.col("text")), F.lit(0)).alias("n_tokens"))
+    n, tokens = sizes.agg(F.count(F.lit(1)), F.coalesce(F.sum("n_tokens"), F.lit(0))).first()
+    if not tokens:
+        return docs.limit(0).select(F.lit(0).cast("long").alias("pos"), F.lit(0).cast("long").alias("sample_id"), F.lit("").alias("tokens"), F.lit(0).cast("long").alias("n_pad"))
     epochs = epochs_for(tokens, n_samples, length, extra)
     apart = last_epoch_apart(tokens, epochs, n_samples, length, extra)
     total = epochs * tokens - extra
     count = total // length if drop_last else -(-total // length)
     before = ((epochs - 1) * tokens - extra) // length if apart else count
-    ordered = document_order(docs, epochs, apart, f"{seed}-docs").join(sizes, "doc_id")
-    ranged = running_sum(ordered, "pos", F.col("n_tokens"), "start").withColumn("limit", F.lit(count).cast("long"))
-    cut = joined(pieces(docs.select("doc_id", "text").join(ranged, "doc_id"), length, extra, "limit", []), ["chunk_id"])
+    ordered = document_order(docs, epochs, apart, f"{seed}-docs").withColumnRenamed("doc_id", "_d").join(sizes, same({"_d": "doc_id"})).drop("_d")
+    ranged = running_sum(ordered, "pos", F.col("n_tokens"), "start", dense=n * epochs).withColumn("limit", F.lit(count).cast("long"))
+    texts = docs.select(F.col("doc_id").alias("_d"), "text")
+    cut = joined(pieces(texts.join(ranged, same({"_d": "doc_id"})).drop("_d"), length, extra, "limit", []), ["chunk_id"])
     part = cut.withColumnRenamed("chunk_id", "sample_id").withColumn("late", F.col("sample_id") >= before)
     order = shuffled_position(part.select("sample_id", "late"), shuffle_key(F.col("sample_id"), f"{seed}-samples"), "p", ["late"])
     order = order.select("sample_id", (F.col("p") + F.when(F.col("late"), before).otherwise(0)).cast("long").alias("pos"))
@@ -81,19 +89,23 @@ def mixture(docs: DataFrame, fractions: dict[str, float], splits: list[str], see
 
 
 def concatenated(docs: DataFrame, part: str, key: str = "doc_id") -> DataFrame:
-    """docs with global_id: the parts, in the order of their names, in a row."""
+    """docs with global_id: the parts, in the order of their names, in a row; rows
+    without a part come first, of each part those without a key."""
+    earlier = Window.partitionBy(F.lit(0)).orderBy(F.col(part).asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)  # a row per part
     sizes = docs.groupBy(part).agg(F.count(F.lit(1)).alias("_n"))
-    earlier = sizes.select(F.col(part).alias("_p"), F.col("_n").alias("_before"))  # a row per part
-    offsets = sizes.join(F.broadcast(earlier), F.col("_p") < F.col(part), "left").groupBy(part).agg(F.coalesce(F.sum("_before"), F.lit(0)).alias("_offset"))
-    return position(docs, key, "_k", within=[part]).join(offsets, part).withColumn("global_id", F.col("_k") + F.col("_offset")).drop("_k", "_offset")
+    offsets = sizes.select(F.col(part).alias("_p"), F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_offset"))
+    numbered = position(docs, key, "_k", within=[part]).join(offsets, same({part: "_p"}))
+    return numbered.withColumn("global_id", F.col("_k") + F.col("_offset")).drop("_k", "_offset", "_p")
 
 
 def looked_up(dataset: DataFrame, lists: DataFrame, value: str) -> DataFrame:
-    """lists (list_id, ids: array of global_id) with the values at those ids, in order."""
-    each = lists.select("list_id", F.posexplode("ids").alias("_i", "global_id"))
-    found = each.join(dataset.select("global_id", value), "global_id")
-    in_order = F.transform(F.array_sort(F.collect_list(F.struct("_i", value))), lambda s: s[value])
-    return found.groupBy("list_id").agg(in_order.alias(f"{value}s"))
+    """lists (list_id, ids: array of global_id) with the values at those ids, in order: as
+    many as there are ids, null at one that isn't there. Lists without ids have none;
+    lists of one list_id are taken as one."""
+    each = lists.select("list_id", F.posexplode_outer("ids").alias("_i", "global_id"))
+    found = each.join(dataset.select("global_id", value), "global_id", "left")
+    pairs = F.array_sort(F.collect_list(F.when(F.col("_i").isNotNull(), F.struct("_i", value))))
+    return found.groupBy("list_id").agg(F.transform(pairs, lambda s: s[value]).alias(f"{value}s"))
 
 
 def split_samples(docs: DataFrame, length: int, extra: int = 1) -> DataFrame:

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import blending, composed, files, measure, text, training
+from . import blending, built, composed, files, measure, text, training
 
-MODULES = [text, blending, training, measure, files, composed]
+MODULES = [text, blending, training, measure, files, composed, built]
 
 
 def queries() -> dict:

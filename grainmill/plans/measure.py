@@ -52,7 +52,7 @@ def stats_grouping_sets(spark, d):
 @R.add("""WITH n AS (SELECT vec_id, list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE)) AS s, list_max(list_transform(embedding, lambda x: abs(x::DOUBLE))) AS m FROM embeddings WHERE vec_id % 10 <> 1)
 SELECT round(sqrt(sum(s)), 5)::DOUBLE AS norm, round(max(m), 5)::DOUBLE AS largest, round(least(1.0, 1.0 / (sqrt(sum(s)) + 1e-6)), 6)::DOUBLE AS coefficient FROM n""")
 def grad_norm_clip(spark, d):
-    """Norm over all parameters, tied ones (every eleventh to its neighbour) once."""
+    """Norm over all parameters, tied ones (every tenth to its neighbour) once."""
     e = table(spark, d, "embeddings").withColumn("tie", F.when(F.col("vec_id") % 10 == 1, F.col("vec_id") - 1).otherwise(F.col("vec_id")))
     once = e.where("tie = vec_id").select(F.explode("embedding").alias("x")).select(F.col("x").cast("double").alias("x"))
     total = A.norm(F.col("x"))

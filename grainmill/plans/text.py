@@ -177,6 +177,12 @@ def fim_psm(spark, d):
     return P.fim(table(spark, d, "documents"), psm=True)
 
 
+@R.add(f"WITH {_CUTS} SELECT doc_id, CASE WHEN hit AND NOT starts_with(text, 'A') THEN '<P>' || substr(text, 1, lo) || '<S>' || substr(text, hi + 1) || '<M>' || substr(text, lo + 1, hi - lo) ELSE text END AS text FROM p")
+def fim_skip_prefix(spark, d):
+    """Documents that begin with an A stay as they are."""
+    return P.fim(table(spark, d, "documents"), psm=True, skip_prefix="A")
+
+
 @R.add(f"WITH {_CUTS} SELECT doc_id, CASE WHEN hit THEN '<P><S>' || substr(text, hi + 1) || '<M>' || substr(text, 1, lo) || substr(text, lo + 1, hi - lo) ELSE text END AS text FROM p")
 def fim_spm(spark, d):
     return P.fim(table(spark, d, "documents"), psm=False)
@@ -210,12 +216,12 @@ def _sentences(spark, d):
     return table(spark, d, "documents").select("doc_id", sizes.alias("sizes"), F.pmod("doc_id", F.lit(13)).alias("title"))
 
 
-def _blocks_sql(target: str) -> str:
+def _blocks_sql(target: str, least: int = 2, remain: str = "n - i - 1 > 1") -> str:
     """Blocks by recursion over a document's sentences; target may use doc_id."""
-    ends = f"(f.tokens + sizes[i + 1] >= {target} AND n - i - 1 > 1 AND k + 1 >= 2) OR i = n - 1"
+    ends = f"(f.tokens + sizes[i + 1] >= {target} AND {remain} AND k + 1 >= {least}) OR i = n - 1"
     return rf"""WITH RECURSIVE q AS (SELECT doc_id, list_filter(string_split_regex(text, '\.'), lambda s: trim(s, chr(32)) <> '') AS s FROM documents),
 z AS (SELECT doc_id, list_transform(s, lambda x: len(string_split_regex(trim(x, chr(32)), '\s+'))) AS sizes FROM q),
-g AS (SELECT doc_id, sizes, len(sizes) AS n FROM z WHERE len(sizes) >= 2 AND list_max(sizes) <= 512),
+g AS (SELECT doc_id, sizes, len(sizes) AS n FROM z WHERE len(sizes) >= {least} AND list_max(sizes) <= 512),
 f(doc_id, i, start, k, tokens, block_id, closed, c_start, c_tokens) AS (
   SELECT doc_id, 0, 0, 0, 0::BIGINT, 0, false, 0, 0::BIGINT FROM g
   UNION ALL
@@ -235,6 +241,12 @@ def sentence_blocks_title(spark, d):
     return P.sentence_blocks(_sentences(spark, d), 64 - F.col("title"), 2, end_at_least=True)
 
 
+@R.add(_blocks_sql("(64 - f.doc_id % 13)", 3, "n - i - 1 >= 3") + " SELECT * FROM b")
+def sentence_blocks_title_three(spark, d):
+    """Blocks of three sentences at least, after which three at least remain."""
+    return P.sentence_blocks(_sentences(spark, d), 64 - F.col("title"), 3, end_at_least=True)
+
+
 _SHORT = "(CASE WHEN ('0x' || substr(md5('short-' || f.doc_id), 1, 7))::BIGINT % 10 = 0 THEN 2 + ('0x' || substr(md5('length-' || f.doc_id), 1, 7))::BIGINT % 63 ELSE 64 END)"
 
 

@@ -10,6 +10,7 @@ from .token_files import TokenFileSource
 
 def register(spark: SparkSession) -> None:
     ship(spark)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(TokenFileSource)
     spark.dataSource.register(IndexedSource)
 

@@ -1,24 +1,37 @@
 """Flat token files (*.ds): tokens of 2 or 4 bytes without a header, document ends
 in a .index file beside it, 'tokenizer|size' in the first line of a .metadata file.
 
-Read as fixed samples of sequence_length + 1 tokens, partitioned by byte ranges
-that begin on samples; written with one file per task.
+Read as fixed samples of sequence_length + 1 tokens, partitioned by byte ranges that
+begin on samples and streamed in pieces; written in two phases (sources/commits.py),
+one or several files a task. As a stream, the samples are read over and over: a position
+is an epoch, a file and a sample, and a restart goes on where the checkpoint says.
 
 Options: path, sequence_length (read), token_size (2 or 4), pattern, max_tokens and
 skip_tokens (a running budget over the files in order), file_seed (the files in the
-order of numpy's generator of that seed), with_folder (names relative to path),
-partition_tokens; written: eos, max_file_tokens (a task begins another file there).
+order of numpy's generator of that seed), with_folder (names relative to path), listing
+(a table of path and size, as sources/listing.py keeps it, in place of a walk),
+positions (columns pos and epoch as well), partition_tokens; written: eos,
+max_file_tokens (a task begins another file there); streamed: samples_per_batch,
+max_samples (where the stream ends; unlimited without), progress (a folder in which the
+source notes how far it has promised samples, before it does; the checkpoint's will do).
 """
 
 from __future__ import annotations
 
+import json
+from bisect import bisect_right
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
+from pyarrow import fs
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, DataSourceStreamReader, InputPartition
 
-from .files import listed, read_range, store
+from .commits import Commit
+from .files import listed, range_reader, read_range, relative, store
+
+#: Tokens read and handed on at once.
+PIECE = 1 << 18
 
 
 @dataclass
@@ -27,12 +40,8 @@ class Range(InputPartition):
     first_sample: int
     start: int
     samples: int
-
-
-@dataclass
-class Written(WriterCommitMessage):
-    paths: list[str]
-    tokens: int
+    pos: int = 0
+    epoch: int = 0
 
 
 class TokenFileSource(DataSource):
@@ -41,13 +50,21 @@ class TokenFileSource(DataSource):
         return "ds"
 
     def schema(self):
-        return "file string, sample_idx long, input_ids array<long>"
+        more = ", pos long, epoch long" if _flag(self.options, "positions") else ""
+        return "file string, sample_idx long, input_ids array<long>" + more
 
     def reader(self, schema):
         return TokenFileReader(self.options)
 
+    def streamReader(self, schema):
+        return TokenStreamReader(self.options)
+
     def writer(self, schema, overwrite):
-        return TokenFileWriter(self.options)
+        return TokenFileWriter(self.options, overwrite)
+
+
+def _flag(options, name: str) -> bool:
+    return options.get(name, "false").lower() == "true"
 
 
 def token_type(size: int) -> np.dtype:
@@ -56,14 +73,16 @@ def token_type(size: int) -> np.dtype:
     return np.dtype(f"<u{size}")
 
 
-class TokenFileReader(DataSourceReader):
+class Samples:
+    """The samples of a folder's files in order, and how ranges of them are read."""
+
     def __init__(self, options):
         self.path = options["path"]
         self.length = int(options.get("sequence_length", 1024)) + 1
         self.dtype = token_type(int(options.get("token_size", self._stated_size(options))))
-        self.pattern = options.get("pattern")
+        self.pattern, self.listing = options.get("pattern"), options.get("listing")
         self.budget, self.skip = int(options.get("max_tokens", 2**62)), int(options.get("skip_tokens", 0))
-        self.seed, self.with_folder = options.get("file_seed"), options.get("with_folder", "false").lower() == "true"
+        self.seed, self.with_folder, self.positions = options.get("file_seed"), _flag(options, "with_folder"), _flag(options, "positions")
         self.block = max(1, int(options.get("partition_tokens", 4_000_000)) // self.length)
 
     @staticmethod
@@ -79,40 +98,122 @@ class TokenFileReader(DataSourceReader):
             raise ValueError(f"files of different tokenizers: {sorted(lines)}")
         return int(lines.pop().rpartition(b"|")[2])
 
-    def partitions(self):
-        out, before, left = [], self.skip, self.budget
-        files = listed(self.path, ".ds", self.pattern)
+    def files(self) -> list[tuple[str, int, int]]:
+        """(path, first token, samples) of each file under skip and budget."""
+        if self.listing:
+            from .listing import read_listing
+
+            files = read_listing(self.listing, self.path, ".ds", self.pattern)
+        else:
+            files = listed(self.path, ".ds", self.pattern)
         if self.seed is not None:
             files = [files[i] for i in np.random.default_rng(int(self.seed)).permutation(len(files))]
+        out, before, left = [], self.skip, self.budget
         for path, size in files:
             tokens = size // self.dtype.itemsize
             skipped = min(before, tokens)
             before -= skipped
             taken = min(tokens - skipped, left)
             left -= taken
-            n = taken // self.length
-            for first in range(0, n, self.block):
-                out.append(Range(path, first, skipped + first * self.length, min(self.block, n - first)))
+            out.append((path, skipped, taken // self.length))
+        return out
+
+    def parts(self, file: tuple[str, int, int], first: int, stop: int, pos: int, epoch: int) -> list[Range]:
+        """Samples [first, stop) of a file as ranges; pos is that of its first sample."""
+        path, skipped, _ = file
+        return [Range(path, i, skipped + i * self.length, min(self.block, stop - i), pos + i, epoch) for i in range(first, stop, self.block)]
+
+    def read(self, part: Range):
+        filesystem, root = store(self.path)
+        name = relative(part.path, root) if self.with_folder else part.path.rsplit("/", 1)[-1]
+        size, step = self.dtype.itemsize, max(1, PIECE // self.length)
+        get = range_reader(filesystem, part.path)
+        for at in range(0, part.samples, step):
+            n = min(step, part.samples - at)
+            ids = np.frombuffer(get((part.start + at * self.length) * size, n * self.length * size), self.dtype).astype(np.int64)
+            offsets = pa.array(np.arange(n + 1, dtype=np.int32) * self.length)
+            first = part.first_sample + at
+            columns = {"file": pa.array([name] * n), "sample_idx": pa.array(np.arange(first, first + n)), "input_ids": pa.ListArray.from_arrays(offsets, pa.array(ids))}
+            if self.positions:
+                columns |= {"pos": pa.array(np.arange(part.pos + at, part.pos + at + n)), "epoch": pa.array(np.full(n, part.epoch))}
+            yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
+
+
+class TokenFileReader(DataSourceReader):
+    def __init__(self, options):
+        self.samples = Samples(options)
+
+    def partitions(self):
+        out, before = [], 0
+        for file in self.samples.files():
+            out += self.samples.parts(file, 0, file[2], before, 0)
+            before += file[2]
         return out or [Range("", 0, 0, 0)]
 
     def read(self, part):
-        if not part.samples:
-            return
-        filesystem, root = store(self.path)
-        name = part.path[len(root) :].lstrip("/") if self.with_folder else part.path.rsplit("/", 1)[-1]
-        size = self.dtype.itemsize
-        raw = read_range(filesystem, part.path, part.start * size, part.samples * self.length * size)
-        ids = np.frombuffer(raw, self.dtype).astype(np.int64)
-        offsets = pa.array(np.arange(part.samples + 1, dtype=np.int32) * self.length)
-        numbers = pa.array(np.arange(part.first_sample, part.first_sample + part.samples))
-        yield pa.RecordBatch.from_arrays([pa.array([name] * part.samples), numbers, pa.ListArray.from_arrays(offsets, pa.array(ids))], ["file", "sample_idx", "input_ids"])
+        return self.samples.read(part) if part.samples else iter(())
+
+
+class TokenStreamReader(DataSourceStreamReader):
+    """Offsets are (epoch, file, sample), the next sample to read. The engine asks for
+    the latest offset without saying where it is, also after a restart; so each offset is
+    noted in the progress folder before it is given, and the next lies beyond it. What
+    was promised but not processed is in the checkpoint's range of the next batch."""
+
+    def __init__(self, options):
+        self.samples = Samples(options)
+        self.files = [f for f in self.samples.files() if f[2]]
+        if not self.files:
+            raise ValueError("no whole sample to read")
+        self.first = [0]
+        for f in self.files:
+            self.first.append(self.first[-1] + f[2])
+        self.step = int(options.get("samples_per_batch", 1000))
+        self.most = int(options.get("max_samples", 2**62))
+        self.progress = options["progress"]
+
+    def _offset(self, pos: int) -> dict:
+        epoch, at = divmod(pos, self.first[-1])
+        file = bisect_right(self.first, at) - 1
+        return {"epoch": epoch, "file": file, "sample": at - self.first[file]}
+
+    def _pos(self, offset: dict) -> int:
+        return offset["epoch"] * self.first[-1] + self.first[offset["file"]] + offset["sample"]
+
+    def initialOffset(self):
+        return self._offset(0)
+
+    def latestOffset(self):
+        filesystem, root = store(self.progress)
+        filesystem.create_dir(root, recursive=True)
+        note = f"{root.rstrip('/')}/promised.json"
+        noted = filesystem.get_file_info(note).type == fs.FileType.File
+        pos = min(self.most, (self._pos(json.loads(read_range(filesystem, note, 0, 1 << 16))) if noted else 0) + self.step)
+        with filesystem.open_output_stream(note + ".part") as f:
+            f.write(json.dumps(self._offset(pos)).encode())
+        filesystem.move(note + ".part", note)
+        return self._offset(pos)
+
+    def partitions(self, start, end):
+        out, at, stop, total = [], self._pos(start), self._pos(end), self.first[-1]
+        while at < stop:
+            epoch, inside = divmod(at, total)
+            file = bisect_right(self.first, inside) - 1
+            n = min(stop - at, self.first[file + 1] - inside)
+            first = inside - self.first[file]
+            out += self.samples.parts(self.files[file], first, first + n, epoch * total + self.first[file], epoch)
+            at += n
+        return out
+
+    def read(self, part):
+        return self.samples.read(part)
 
 
 class TokenFileWriter(DataSourceArrowWriter):
     """Rows with an input_ids array, a document each."""
 
-    def __init__(self, options):
-        self.path = options["path"]
+    def __init__(self, options, overwrite=False):
+        self.to = Commit(options["path"], overwrite)
         self.dtype = token_type(int(options.get("token_size", 2)))
         self.tokenizer = options.get("tokenizer", "none")
         eos = options.get("eos")
@@ -120,15 +221,11 @@ class TokenFileWriter(DataSourceArrowWriter):
         self.most = int(options.get("max_file_tokens", 10**9))
 
     def write(self, iterator):
-        from pyspark import TaskContext
-
-        filesystem, root = store(self.path)
-        filesystem.create_dir(root, recursive=True)
-        task = TaskContext.get()
+        filesystem, folder, name = self.to.attempt()
         rows = self._documents(iterator)
-        tokens, paths, total = next(rows, None), [], 0
+        tokens, paths = next(rows, None), []
         while tokens is not None or not paths:
-            target = f"{root}/{task.partitionId():05d}-{task.taskAttemptId()}-{len(paths):04d}.ds"
+            target = f"{folder}/{name}-{len(paths) // 3:04d}.ds"
             ends, n = [], 0
             with filesystem.open_output_stream(target) as f:
                 while tokens is not None and (not n or n + len(tokens) <= self.most):
@@ -140,9 +237,8 @@ class TokenFileWriter(DataSourceArrowWriter):
                 f.write(np.array(ends, "<u8").tobytes())
             with filesystem.open_output_stream(target + ".metadata") as f:
                 f.write(f"{self.tokenizer}|{self.dtype.itemsize}\n{n}\n".encode())
-            paths.append(target)
-            total += n
-        return Written(paths, total)
+            paths += [target, target + ".index", target + ".metadata"]
+        return self.to.written(paths)
 
     def _documents(self, iterator):
         for batch in iterator:
@@ -153,10 +249,7 @@ class TokenFileWriter(DataSourceArrowWriter):
                 yield tokens.astype(self.dtype)
 
     def commit(self, messages):
-        pass
+        self.to.publish(messages)
 
     def abort(self, messages):
-        filesystem, _ = store(self.path)
-        for path in (p for m in messages if m is not None for p in m.paths):
-            for suffix in ("", ".index", ".metadata"):
-                filesystem.delete_file(path + suffix)
+        self.to.cancel()

@@ -1,4 +1,4 @@
-"""Tokens per source as documents stream in."""
+"""Tokens per source as documents stream in, and what stages have consumed."""
 
 from __future__ import annotations
 
@@ -35,6 +35,55 @@ def endless(spark: SparkSession, samples: int, per_second: int) -> DataFrame:
     return rate.select(F.floor(F.col("value") / samples).alias("epoch"), (F.col("value") % samples).alias("sample_id"))
 
 
+def token_stream(spark: SparkSession, path: str, progress: str, **options) -> DataFrame:
+    """(file, sample_idx, input_ids, pos, epoch): the samples of a folder of token files
+    over and over, some of them a batch; see sources/token_files.py."""
+    from ..sources import register
+
+    register(spark)
+    return spark.readStream.format("ds").options(progress=progress, positions="true", **options).load(path)
+
+
+def appended(stream: DataFrame, path: str, checkpoint: str) -> None:
+    """All that there is to read now, written to a table; each batch once, also after a
+    restart."""
+    stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
+def record_consumption(stream: DataFrame, state: str, checkpoint: str) -> None:
+    """Add what the stream (folder, n) has to read now to the totals kept below state.
+
+    Every batch writes a version of the totals, a row a folder, from the version before
+    its own; a batch that runs again writes the same version again. So totals count each
+    row once, whenever the query stopped."""
+    def merged(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        own = batch.select("folder", "n")
+        before = [v for v in _versions(spark, state) if v < number]
+        if before:
+            own = own.unionByName(spark.read.parquet(_version(state, max(before))))
+        own.groupBy("folder").agg(F.sum("n").alias("n")).write.mode("overwrite").parquet(_version(state, number))
+
+    stream.writeStream.foreachBatch(merged).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
+def consumed(spark: SparkSession, state: str) -> DataFrame:
+    """(folder, n): the totals of the latest whole version; none before the first."""
+    found = _versions(spark, state)
+    return spark.read.schema("folder string, n long").parquet(_version(state, max(found))) if found else spark.createDataFrame([], "folder string, n long")
+
+
+def _version(state: str, number: int) -> str:
+    return f"{state.rstrip('/')}/v{number:09d}"
+
+
+def _versions(spark: SparkSession, state: str) -> list[int]:
+    """Versions that were written to their end."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{state.rstrip('/')}/v*/_SUCCESS")
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path) or []
+    return [int(str(x.getPath().getParent().getName())[1:]) for x in found]
+
+
 def drained(stream: DataFrame, checkpoint: str, mode: str = "complete") -> DataFrame:
     """All that there is to read now, as a table in memory (for small results)."""
     import uuid
