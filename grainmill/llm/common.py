@@ -74,6 +74,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def quoted(name: str) -> str:
+    """A column's name as F.col takes it, whatever characters it has."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def filtered(docs: DataFrame, keep) -> DataFrame:
+    """The rows of docs for whose texts keep(texts as bytes) is true, in place. Columns
+    may have any names, as they travel in one."""
+    names = docs.columns
+    at = names.index("text")
+    row = docs.select(F.struct(*(F.col(quoted(c)) for c in names)).alias("row"))
+
+    def run(batches):
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        for batch in small_batches(batches, 64):
+            yield batch.filter(pa.array(keep(text_bytes(pc.struct_field(batch.column(0), [at])))))
+
+    return row.mapInArrow(run, row.schema).select(*(F.col("row").getField(c).alias(c) for c in names))
+
+
 def worker_cache(key: str, make):
     """A value kept for the life of a Python worker."""
     store = sys.modules.setdefault("_grainmill_worker_cache", type(sys)("_grainmill_worker_cache")).__dict__

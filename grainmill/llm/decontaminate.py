@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, ship, small_batches, table, worker_latest
+from .common import materialize, quoted, ship, small_batches, table, worker_latest
 
 WINDOW = 10
 #: Characters of patterns in one automaton; some 100 bytes of memory each at most.
@@ -93,7 +93,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
     grouped = windows.groupBy("pattern").agg(F.sort_array(F.collect_set("item")).alias("items"))
     size = windows.agg(F.sum(F.length("pattern") + F.length("item"))).first()[0] or 0
     n_slices = max(1, -(-size // slice_chars))
-    carried = F.struct(F.lit(0).alias("_"), *(F.col(f"`{c}`") for c in docs.columns)).alias("carried")
+    carried = F.struct(F.lit(0).alias("_"), *(F.col(quoted(c)) for c in docs.columns)).alias("carried")
     out = docs.select(carried, "text", F.lit(None).cast("long").alias("n_words"), F.array().cast(HITS).alias("hits"), F.array().cast("array<string>").alias("items"))
     for i in range(n_slices):
         rows = grouped if n_slices == 1 else grouped.where(F.pmod(F.xxhash64("pattern"), F.lit(n_slices)) == i)
@@ -103,7 +103,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
             out = materialize(out, "scanned")
     spans = F.transform("hits", lambda h: F.struct(h["start"].alias("start"), h["end"].alias("end")))
     added = {"n_words": F.col("n_words"), "items": F.col("items"), "n_hit": F.size("hits").cast("long"), "contaminated": F.size("hits") > 0, "spans": spans}
-    return out.select(*(F.col(f"carried.`{c}`").alias(c) for c in docs.columns if c not in added), *(c.alias(k) for k, c in added.items()))
+    return out.select(*(F.col("carried").getField(c).alias(c) for c in docs.columns if c not in added), *(c.alias(k) for k, c in added.items()))
 
 
 HITS = "array<struct<word:int,start:int,end:int>>"

@@ -33,10 +33,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from .classes import Classes
-from .common import discard, materialize, ship, small_batches, table, text_bytes, worker_cache
+from .common import discard, filtered, materialize, quoted, ship, small_batches, table, text_bytes, worker_cache
 from .components import connected_components
 from .polyhash import PolyHash, canonical, mix, word_ends
-from .streams import id_set, mixed_flags, whole_groups
+from .streams import IdSet, id_set, mixed_flags, whole_groups
 
 SHINGLE, PERCENT = 5, 80
 #: Pairs a row that a group of equal contents may give before it is costly, and the
@@ -585,31 +585,43 @@ def one_of_each(docs: DataFrame, percent: int = PERCENT, n: int = SHINGLE) -> Da
     reach of each other one stays, that with the smallest doc_id, then class of its
     text, then hash of all columns; a null doc_id comes last. Rows are judged one by
     one, also where ids are null or repeat. Texts without words all stay. Columns may
-    have any names; an empty table gives an empty result."""
+    have any names; an empty table gives an empty result.
+
+    Rows without another near them are told by a filter of bounded size and stay where
+    they are; only the others are moved with their texts, to meet what was decided."""
     _, roots, classes = linked_classes(docs, percent, n)
     columns = docs.columns
-    carried = docs.select("doc_id", "text", F.xxhash64(*(F.col(f"`{c}`") for c in columns)).alias("row"), F.struct(*(F.col(f"`{c}`") for c in columns)).alias("carried"))
+    carried = docs.select("doc_id", "text", F.xxhash64(*(F.col(quoted(c)) for c in columns)).alias("row"), F.struct(*(F.col(quoted(c)) for c in columns)).alias("carried"))
+
+    def own_classes(texts: list[bytes]) -> np.ndarray:
+        return np.array([classes.of(t) for t in lowered(texts)], np.int64)
 
-    def classed(batches):
-        for batch in small_batches(batches, 512):
-            ids = pa.array([classes.of(t) for t in lowered(text_bytes(batch.column(1)))], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), ids, *batch.columns[2:]], ["doc_id", "cls", *batch.schema.names[2:]])
+    def rows(table: DataFrame, among: IdSet | None = None) -> DataFrame:
+        """doc_id, cls and what else the table has; only rows of classes among these, if given."""
+        def classed(batches):
+            for batch in small_batches(batches, 512):
+                ids = own_classes(text_bytes(batch.column(1)))
+                out = pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids), *batch.columns[2:]], ["doc_id", "cls", *batch.schema.names[2:]])
+                yield out if among is None else out.filter(pa.array(among.holds(ids)))
 
-    def rows(table: DataFrame) -> DataFrame:
         first, *others = table.drop("text").schema.fields
         return table.mapInArrow(classed, StructType([first, StructField("cls", LongType()), *others]))
 
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "cls", "row")
     known = roots.select("cls", "component")
-    meta = rows(carried.drop("carried")).join(known, "cls")
-    first = meta.groupBy("component").agg(F.min(order).alias("first"))
+    meta = materialize(rows(carried.drop("carried")).join(known, "cls"), "meta")
+    first = meta.groupBy("component").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("members")).where("members > 1")
     same = meta.join(first, "component").where(order == F.col("first")).groupBy("component").agg(F.count(F.lit(1)).alias("n"))
     first = materialize(first.join(same, "component"), "first")
-    info = known.join(first, "component")
-    judged = rows(carried).join(info, "cls", "left").where(F.col("component").isNull() | (order == F.col("first")))
-    if first.where("n > 1").isEmpty():
-        return judged.select("carried.*")
-    return judged.where("n is null or n = 1").select("carried").unionByName(judged.where("n > 1").dropDuplicates(["component"]).select("carried")).select("carried.*")
+    info = materialize(known.join(first.select("component", "first", "n"), "component"), "info")
+    discard(meta)
+    wanted = docs.sparkSession.sparkContext.broadcast(id_set(info, "cls", info.count()))
+    in_place = filtered(docs, lambda texts: ~wanted.value.holds(own_classes(texts)))  # rows that have no other near them
+    judged = rows(carried, wanted.value).join(info, "cls", "left").where(F.col("component").isNull() | (order == F.col("first")))
+    if not first.where("n > 1").isEmpty():
+        once = judged.where("n > 1").dropDuplicates(["component"]).select("carried")
+        judged = judged.where("n is null or n = 1").select("carried").unionByName(once)
+    return in_place.unionByName(judged.select(*(F.col("carried").getField(c).alias(c) for c in columns)))
 
 
 def op5_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

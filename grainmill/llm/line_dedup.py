@@ -20,8 +20,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import SPACE, materialize, ship, small_batches, table, text_bytes
+from .common import SPACE, materialize, quoted, ship, small_batches, table, text_bytes
 
 #: log2 of the bits of a shard of a filter, and the bounds of a whole filter's.
 SHARD_BITS, LEAST_BITS, MOST_BITS = 20, 22, 29
@@ -152,40 +153,48 @@ def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, keep: s
     A null or empty text is one empty line and stays as it is; empty lines have no
     key. Rows of one doc_id are one document but are all returned. An empty table
     gives an empty result. Very long texts are split whole, each in one task. Columns of
-    docs named n_lines or n_dropped are replaced.
+    docs named n_lines or n_dropped are replaced; others, of any names, are carried.
+    Up to broadcast_keys confirmed keys are sent to all tasks, more are joined.
     """
     if keep not in ("none", "first"):
         raise ValueError(keep)
-    spark = docs.sparkSession
     docs = docs.drop("n_lines", "n_dropped")
-    bad = materialize(repeated_lines(docs, min_docs, min_chars), "lines")
+    names = docs.columns
+    rest = F.struct(F.lit(0).alias("_"), *(F.col(quoted(c)) for c in names if c not in ("doc_id", "text")))
+    inner = docs.select(F.col("doc_id"), "text", rest.alias("rest"))  # so that no name clashes
+    bad = materialize(repeated_lines(inner, min_docs, min_chars), "lines")
     if bad.count() <= broadcast_keys:
-        return _drop(docs, bad, None, min_chars, keep)
-    row = [F.col("doc_id"), F.md5("text").alias("row_md5")]
+        out = _drop(inner, bad, min_chars, keep)
+    else:
+        out = _drop(_with_keys(inner, bad, min_chars), None, min_chars, keep)
+    held = {"doc_id": F.col("doc_id"), "text": F.col("text")}
+    return out.select(*(held.get(c, F.col("rest").getField(c)).alias(c) for c in names), "n_lines", "n_dropped")
+
 
+def _with_keys(docs: DataFrame, bad: DataFrame, min_chars: int) -> DataFrame:
+    """docs (doc_id, text, rest) with the confirmed keys of each row's lines, by a join."""
     def keys(batches):
         for batch in small_batches(batches):
             digests, rows = _distinct(batch.column(2), min_chars)
             at = pa.array(rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(digests[:, 0]), pa.array(digests[:, 1])], ["doc_id", "row_md5", "k1", "k2"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(digests[:, 0]), pa.array(digests[:, 1])], ["d", "m", "k1", "k2"])
 
-    held = docs.select(*row, "text").mapInArrow(keys, f"doc_id long, row_md5 string, {ROWS}").join(bad, ["k1", "k2"])
-    of_row = held.groupBy("doc_id", "row_md5").agg(F.collect_set(F.struct("k1", "k2", "first_doc")).alias("keys"))
-    of_row = of_row.toDF("d", "m", "bad_keys")
-    joined = docs.join(of_row, docs.doc_id.eqNullSafe(of_row.d) & F.md5(docs.text).eqNullSafe(of_row.m), "left").drop("d", "m")
-    return _drop(joined, None, "bad_keys", min_chars, keep)
+    row = [F.col("doc_id").cast("long").alias("d"), F.md5("text").alias("m")]
+    held = docs.select(*row, "text").mapInArrow(keys, f"d long, m string, {ROWS}").join(bad, ["k1", "k2"])
+    of_row = held.groupBy("d", "m").agg(F.collect_set(F.struct("k1", "k2", "first_doc")).alias("bad_keys"))
+    return docs.join(of_row, docs.doc_id.eqNullSafe(of_row.d) & F.md5(docs.text).eqNullSafe(of_row.m), "left").select("doc_id", "text", "rest", "bad_keys")
 
 
-def _drop(docs: DataFrame, bad: DataFrame | None, column: str | None, min_chars: int, keep: str) -> DataFrame:
+def _drop(docs: DataFrame, bad: DataFrame | None, min_chars: int, keep: str) -> DataFrame:
+    """docs (doc_id, text, rest and, without a table of bad keys, bad_keys) with their
+    lines dropped and counted."""
     spark = docs.sparkSession
-    kept_columns = [c for c in docs.columns if c != column]
-    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept_columns) + ", n_lines long, n_dropped long"
+    schema = T.StructType([docs.schema["doc_id"], T.StructField("text", T.StringType()), docs.schema["rest"], T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
     lookup = None
     if bad is not None:
         rows = bad.toArrow()
         pairs = np.stack([rows.column("k1").to_numpy(), rows.column("k2").to_numpy()], axis=1).astype("<i8")
         lookup = spark.sparkContext.broadcast((pairs.tobytes(), rows.column("first_doc").to_pylist()))
-    text_at, id_at = kept_columns.index("text"), kept_columns.index("doc_id")
 
     def run(batches):
         known = None
@@ -194,8 +203,8 @@ def _drop(docs: DataFrame, bad: DataFrame | None, column: str | None, min_chars:
             known = {raw[16 * i : 16 * i + 16]: f for i, f in enumerate(firsts)}
         for batch in small_batches(batches):
             texts, n_lines, n_dropped = [], [], []
-            own = batch.column(len(kept_columns)).to_pylist() if column else [None] * batch.num_rows
-            for doc, text, valid, of_row in zip(batch.column(id_at).to_pylist(), text_bytes(batch.column(text_at)), batch.column(text_at).is_valid().to_pylist(), own, strict=True):
+            own = batch.column(3).to_pylist() if known is None else [None] * batch.num_rows
+            for doc, text, valid, of_row in zip(batch.column(0).to_pylist(), text_bytes(batch.column(1)), batch.column(1).is_valid().to_pylist(), own, strict=True):
                 bad_keys = known
                 if bad_keys is None:
                     bad_keys = {np.array([k["k1"], k["k2"]], "<i8").tobytes(): k["first_doc"] for k in of_row or ()}
@@ -208,11 +217,11 @@ def _drop(docs: DataFrame, bad: DataFrame | None, column: str | None, min_chars:
                 texts.append(b"\n".join(kept) if valid else None)
                 n_lines.append(len(lines))
                 n_dropped.append(len(lines) - len(kept))
-            columns = [batch.column(i) if i != text_at else pa.array(texts, pa.binary()).cast(pa.string()) for i in range(len(kept_columns))]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64())], [*kept_columns, "n_lines", "n_dropped"])
+            columns = [batch.column(0), pa.array(texts, pa.binary()).cast(pa.string()), batch.column(2), pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text", "rest", "n_lines", "n_dropped"])
 
     ship(spark)
-    return docs.select(*kept_columns, *([column] if column else [])).mapInArrow(run, schema)
+    return docs.mapInArrow(run, schema)
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

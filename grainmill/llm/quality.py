@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import discard, materialize, ship, small_batches, table, text_bytes, worker_cache
+from .common import discard, filtered, materialize, ship, small_batches, table, text_bytes, worker_cache
 from .polyhash import PolyHash
 from .streams import id_set
 
@@ -96,11 +96,15 @@ def _distinct(doc: np.ndarray, h: np.ndarray, n: int) -> tuple[np.ndarray, np.nd
     return np.bincount(d[first], minlength=n).astype(float), top
 
 
-def text_statistics(docs: DataFrame) -> DataFrame:
-    """doc_id and its statistics as an array, a row per row of docs."""
+def text_statistics(docs: DataFrame, among=None) -> DataFrame:
+    """doc_id and its statistics as an array, a row per row of docs, or of those whose
+    doc_id a broadcast set of ids holds. Both in one pass: passes in a row would keep a
+    Python worker each, with its memory, on every core."""
     ship(docs.sparkSession)
 
     def run(batches):
+        if among is not None:
+            batches = (batch.filter(pa.array(among.value.holds(np.asarray(batch.column(0))))) for batch in batches)
         for batch in small_batches(batches, 64):
             x = statistics(text_bytes(batch.column(1)))
             yield pa.RecordBatch.from_arrays([batch.column(0), _lists(x)], ["doc_id", "x"])
@@ -114,13 +118,7 @@ def labelled_statistics(docs: DataFrame, labels: DataFrame) -> DataFrame:
     size, so no text is moved."""
     known = labels.where("quality is not null").select(F.col("doc_id").cast("long").alias("doc_id")).where(fold(F.col("doc_id")) > 0)
     wanted = docs.sparkSession.sparkContext.broadcast(id_set(known, "doc_id", known.count()))
-
-    def run(batches):
-        for batch in batches:
-            yield batch.filter(pa.array(wanted.value.holds(np.asarray(batch.column(0)))))
-
-    own = docs.select("doc_id", "text").where(F.col("doc_id").isNotNull() & (fold(F.col("doc_id")) > 0))
-    return text_statistics(own.mapInArrow(run, own.schema))
+    return text_statistics(docs.where(F.col("doc_id").isNotNull() & (fold(F.col("doc_id")) > 0)), wanted)
 
 
 def _lists(x: np.ndarray):
@@ -279,14 +277,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD)
     """The rows of docs that the classifier doesn't reject, as they are. The rows
     are scored where they are read, so nothing is joined or moved."""
     model = docs.sparkSession.sparkContext.broadcast(train(labelled_statistics(docs, labels), labels))
-    at = docs.columns.index("text")
-
-    def run(batches):
-        for batch in small_batches(batches, 64):
-            good = model.value(statistics(text_bytes(batch.column(at)))) >= threshold
-            yield batch.filter(pa.array(good))
-
-    return docs.mapInArrow(run, docs.schema)
+    return filtered(docs, lambda texts: model.value(statistics(texts)) >= threshold)
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

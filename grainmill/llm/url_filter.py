@@ -39,30 +39,70 @@ def rule_for(host: Column, path: Column, rules: list[tuple[str, str, str]] = RUL
 
 
 def node(url: Column) -> Column:
-    """Urls that differ only in the fragment are one node."""
-    return F.substring_index(url, "#", 1)
+    """What urls of one page have in common: scheme and host in ASCII lower case, a path
+    without dot segments, the query; no fragment. Null without '://'."""
+    whole = F.substring_index(url, "#", 1)
+    scheme = ascii_lower(F.substring_index(whole, "://", 1))
+    tail = F.substring(whole, F.length(scheme) + 4, F.length(whole))
+    site, path = ascii_lower(F.regexp_extract(tail, r"^[^/?]*", 0)), F.regexp_extract(tail, r"^[^/?]*([^?]*)", 1)
+    query = F.regexp_extract(tail, r"(?s)\?.*", 0)
+    return F.when(F.instr(whole, "://") > 0, F.concat(scheme, F.lit("://"), site, without_dots(path), query))
+
+
+def without_dots(path: Column) -> Column:
+    """An absolute path with its segments '.' and '..' resolved."""
+    parts = F.split(path, "/")
+    none = F.array().cast("array<string>")
+    up = lambda held: F.slice(held, F.lit(1), F.greatest(F.size(held) - 1, F.lit(0)))
+    kept = F.aggregate(F.slice(parts, F.lit(2), F.size(parts)), none, lambda held, x: F.when(x == "..", up(held)).when(x == ".", held).otherwise(F.concat(held, F.array(x))))
+    folder = F.element_at(parts, -1).isin(".", "..") & (F.size(kept) > 0)
+    return F.when(F.contains(path, F.lit("/.")), F.concat(F.lit("/"), F.array_join(kept, "/"), F.when(folder, "/").otherwise(""))).otherwise(path)
+
+
+#: The characters that attributes name most.
+ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&nbsp;", "\u00a0"), ("&amp;", "&")]
+
+
+def unescaped(value: Column) -> Column:
+    """Numeric entities and the ENTITIES as the characters they stand for."""
+    parts = F.split(value, "&#")
+    code = lambda p: F.coalesce(F.conv(F.nullif(F.regexp_extract(p, "^[xX]([0-9a-fA-F]{1,6});", 1), F.lit("")), 16, 10), F.nullif(F.regexp_extract(p, "^([0-9]{1,7});", 1), F.lit(""))).cast("long")
+    letter = lambda n: F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")
+    fine = lambda n: (n > 0) & (n < 0xD800) | (n > 0xDFFF) & (n < 0x110000)
+    each = F.transform(F.slice(parts, F.lit(2), F.size(parts)), lambda p: F.when(fine(code(p)), F.concat(letter(code(p)), F.regexp_replace(p, "^[^;]*;", ""))).otherwise(F.concat(F.lit("&#"), p)))
+    numbered = F.when(F.contains(value, F.lit("&#")), F.concat(F.get(parts, F.lit(0)), F.array_join(each, ""))).otherwise(value)
+    return reduce(lambda text, x: F.replace(text, F.lit(x[0]), F.lit(x[1])), ENTITIES, numbered)
+
+
+def resolved(base: Column, to: Column) -> Column:
+    """The url that a link on the page at base means; null where it is no web address
+    (as mailto: or javascript:)."""
+    scheme = F.substring_index(base, "://", 1)
+    rest = F.substring(base, F.length(scheme) + 4, F.length(base))
+    site, path = F.concat(scheme, F.lit("://"), F.regexp_extract(rest, r"^[^/?#]*", 0)), F.regexp_extract(rest, r"^[^/?#]*([^?#]*)", 1)
+    return (
+        F.when(to.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), to)
+        .when(to.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), F.lit(None).cast("string"))
+        .when(to.startswith("//"), F.concat(scheme, F.lit(":"), to))
+        .when(to.startswith("/"), F.concat(site, to))
+        .when(to.startswith("?"), F.concat(site, path, to))
+        .when(to.startswith("#"), base)
+        .otherwise(F.concat(site, F.when(path == "", "/").otherwise(F.regexp_extract(path, "^.*/", 0)), to))
+    )
 
 
 def link_edges(pages: DataFrame) -> DataFrame:
-    """(a, b) for each page and its canonical link or its meta refresh target."""
+    """(a, b) for each page and its canonical link or its meta refresh target, as nodes;
+    entities are read, and references resolved against the page's url."""
     tags = lambda name: F.regexp_extract_all("html", F.lit(rf"(?is)<{name}\b[^>]*>"), F.lit(0))
-    value = lambda tag, name: F.regexp_extract(tag, rf"(?is){name}\s*=\s*[\"']?\s*([^\"'>\s]+)", 1)
+    value = lambda tag, name: F.regexp_extract(tag, rf"(?is)[\s\"'/]{name}\s*=\s*[\"']?\s*([^\"'>\s]+)", 1)
     canonical = F.when(F.col("html").rlike(r"(?i)\bcanonical\b"), F.transform(
         F.filter(tags("link"), lambda t: t.rlike(r"(?is)rel\s*=\s*[\"']?[^\"'>]*\bcanonical\b")), lambda t: value(t, "href")))
     refresh = F.when(F.col("html").rlike(r"(?i)http-equiv\s*=\s*[\"']?refresh"), F.transform(
         F.filter(tags("meta"), lambda t: t.rlike(r"(?is)http-equiv\s*=\s*[\"']?refresh")), lambda t: F.regexp_extract(t, r"(?is)url\s*=\s*[\"']?\s*([^\"'>\s]+)", 1)))
     none = F.array().cast("array<string>")
     found = pages.where(F.col("url").contains("://")).select("url", F.explode(F.concat(F.coalesce(canonical, none), F.coalesce(refresh, none))).alias("to")).where("to != ''")
-    scheme = F.substring_index("url", "://", 1)
-    site = F.concat(scheme, F.lit("://"), F.regexp_extract(F.expr("substring(url, instr(url, '://') + 3)"), r"^[^/?#]*", 0))
-    to = F.col("to")
-    full = (
-        F.when(to.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), to)
-        .when(to.startswith("//"), F.concat(scheme, F.lit(":"), to))
-        .when(to.startswith("/"), F.concat(site, to))
-        .otherwise(F.concat(F.regexp_replace(F.regexp_extract("url", r"^[^?#]*", 0), r"(?<=[^:/]/)[^/]*$", ""), to))
-    )
-    return found.select(node(F.col("url")).alias("a"), node(full).alias("b"))
+    return found.select(node(F.col("url")).alias("a"), node(resolved(F.col("url"), unescaped(F.col("to")))).alias("b")).where("b IS NOT NULL")
 
 
 def judge_urls(pages: DataFrame, redirects: DataFrame | None = None, rules: list[tuple[str, str, str]] = RULES, default: str = "allow") -> DataFrame:
@@ -72,7 +112,9 @@ def judge_urls(pages: DataFrame, redirects: DataFrame | None = None, rules: list
     an empty host and path, fits no rule and takes the default. A null html has no
     links. Rows are judged one by one, so repeated rows and null page_ids give their own
     results; very long pages are searched whole; an empty table gives an empty result;
-    other columns are ignored. Of two aliases, one allowed by a rule and one blocked,
+    other columns are ignored. Urls of one node (see `node`) are aliases of one another:
+    they differ in the case of scheme or host, in dot segments or in the fragment. Of two
+    aliases, one allowed by a rule and one blocked,
     each keeps its own rule's verdict, and the rest are allowed.
     """
     edges = link_edges(pages)

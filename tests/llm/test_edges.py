@@ -5,6 +5,8 @@ import hashlib
 import random
 import zlib
 from collections import defaultdict
+from html import escape as html_escape
+from urllib.parse import urljoin, urlsplit
 
 import numpy as np
 import pytest
@@ -162,6 +164,71 @@ def test_redirect_graphs(spark):
     assert got == want and sum(v[3] == "block" and v[2] is None for v in want.values()) > 100
 
 
+def plain_node(url):
+    """Scheme and host in lower case, dots resolved, no fragment."""
+    parts = urlsplit(url)
+    path = urlsplit(urljoin(f"http://h{parts.path}", parts.path)).path if parts.path else ""
+    return f"{parts.scheme}://{parts.netloc.lower()}{path}" + (f"?{parts.query}" if parts.query else "")
+
+
+def test_links_as_pages_write_them(spark):
+    """Entities, letter case, dot segments and all kinds of references in random graphs."""
+    rng = random.Random(8)
+    hosts = ["a.net", "x.org", "b.io", "C.io", "d.IO", "example.com"]
+    paths = ["", "/", "/de/", "/fr/1", "/a/b/c", "/a/b/", "/q?x=1&y=2", "/q?x=1", "/a/./b/../c", "/de/../fr/2", "/.."]
+    refs = ["../z", "../../de/1", "./1", "?x=1&y=2", "?y=3", "/de/", "//b.io/q?x=1", "2", "1#top", "#f", "HTTP://A.net/de/", "https://d.io/a/b/../c", "mailto:a@b.io", "javascript:void(0)", "..", ".", "/fr/1#z", "a/../b", "//X.org"]
+    written = [lambda t: t, lambda t: html_escape(t, quote=True), lambda t: t.replace("/", "&#x2F;").replace("&y", "&#38;y"), lambda t: t.replace("&", "&amp;").replace(".", "&#46;")]
+    pages = []
+    for i in range(400):
+        url = f"{rng.choice(['http', 'HTTP', 'https'])}://{rng.choice(hosts)}{rng.choice(paths)}{rng.choice(['', '', '#f'])}"
+        pages.append((i, url, rng.choice(refs) if rng.random() < 0.4 else None))
+    tag = lambda t: f'<meta http-equiv="refresh" content="0; url={t}">' if rng.random() < 0.3 else f'<link data-href="/no" rel="canonical" href="{t}">'
+    table = spark.createDataFrame([(i, u, tag(rng.choice(written)(to)) if to else "<p>") for i, u, to in pages], "page_id long, url string, html string")
+    edges = sorted((r.a, r.b) for r in url_filter.link_edges(table).collect())
+    web = [(u, urljoin(u, to)) for _, u, to in pages if to and not to.startswith(("mailto", "java"))]
+    assert edges == sorted((plain_node(a), plain_node(b)) for a, b in web)
+    plain = judged([(i, plain_node(u), plain_node(urljoin(u, to)) if to and not to.startswith(("mailto", "java")) else None) for i, u, to in pages], url_filter.RULES)
+    got = {r.page_id: r for r in url_filter.judge_urls(table).collect()}
+    for i, u, _ in pages:
+        rule = judged([(i, u, None)], url_filter.RULES)[i][2]
+        assert got[i].rule == rule and got[i].verdict == (judged([(i, u, None)], url_filter.RULES)[i][3] if rule else alias_verdict(plain, pages, i))
+    assert sum(got[i].verdict == "block" and got[i].rule is None for i in got) > 10
+    plan = url_filter.judge_urls(table)._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan
+
+
+def alias_verdict(plain, pages, i):
+    """Of a page without a rule of its own: blocked if it has a blocked alias and none allowed."""
+    near = defaultdict(set)
+    for _, u, to in pages:
+        if to and not to.startswith(("mailto", "java")):
+            a, b = plain_node(u), plain_node(urljoin(u, to))
+            if a != b:
+                near[a].add(b)
+                near[b].add(a)
+    start = plain_node(pages[i][1])
+    seen, todo = {start}, [start]
+    while todo:
+        for x in near[todo.pop()] - seen:
+            seen.add(x)
+            todo.append(x)
+    if not near[start]:
+        return "allow"
+    kinds = {judged([(0, x, None)], url_filter.RULES)[0][3] if judged([(0, x, None)], url_filter.RULES)[0][2] else None for x in seen}
+    return "block" if "block" in kinds and "allow" not in kinds else "allow"
+
+
+def test_url_rows_one_by_one(spark):
+    """Repeated rows, null page_ids, very long pages, and rules of one length."""
+    page = "<p>" + "x" * 3_000_000 + '<link rel="canonical" href="http://bad.net/">'
+    rows = [(None, "http://p.io/1", page), (None, "http://p.io/1", page), (1, "http://p.io/2", None), (1, "http://p.io/2", None), (2, "http://ab.io/xy", "")]
+    table = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = sorted((r.page_id or 0, r.rule or "", r.verdict) for r in url_filter.judge_urls(table).collect())
+    assert got == [(0, "", "block"), (0, "", "block"), (1, "", "allow"), (1, "", "allow"), (2, "", "allow")]
+    equal = [("block", "ab.io", "/x"), ("allow", "b.io", "/xy"), ("allow", "ab.io", "/x"), ("block", "io", "/")]
+    assert {r.page_id: (r.rule, r.verdict) for r in url_filter.judge_urls(table, rules=equal).collect()}[2] == ("ab.io/x", "allow")
+
+
 def test_classifier_against_a_plain_fit(spark, sf):
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
     known = {r.doc_id: r.quality for r in labels.collect()}
@@ -187,6 +254,31 @@ def test_classifier_against_a_plain_fit(spark, sf):
         assert got[i][0] == (fold(i) == 0) and abs(got[i][1] - want) < 1e-4 and got[i][2] == int(got[i][1] >= 0.3)
 
 
+HOSTILE = ["my col", "a.b", "x`y", "d", "m", "bad_keys", "rest", "carried", "row", "cls", "hits", "n_lines"]
+
+
+@pytest.mark.parametrize("broadcast_keys", [0, 1 << 20])
+def test_lines_beside_columns_of_any_name(spark, broadcast_keys):
+    rows = [(None if i == 3 else i, f"Same line\nown {i}\n same LINE " if i < 12 else None, *(f"{c}{i}" for c in HOSTILE)) for i in range(14)]
+    docs = spark.createDataFrame(rows, ["doc_id", "text", *HOSTILE])
+    out = line_dedup.dedup_lines(docs, broadcast_keys=broadcast_keys)
+    assert out.columns == ["doc_id", "text", *HOSTILE[:-1], "n_lines", "n_dropped"] and out.schema["doc_id"] == docs.schema["doc_id"]
+    got = sorted((tuple(r) for r in out.collect()), key=repr)
+    assert got == sorted(((r[0], r[1].split("\n")[1], *r[2:-1], 3, 2) if r[1] else (r[0], None, *r[2:-1], 1, 0) for r in rows), key=repr)
+
+
+def test_stages_carry_columns_of_any_name(spark, sf):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    base = spark.read.parquet(f"{sf}/documents.parquet").limit(60)
+    docs = base.select("*", *(F.concat(F.lit(c), F.col("doc_id")).alias(c) for c in HOSTILE))
+    for name, stage in pipeline.STAGES[:-1]:
+        out = stage(spark, docs, sf)
+        assert out.columns == docs.columns and out.dtypes == docs.dtypes, name
+        for r in out.collect():
+            assert all(r[c] == f"{c}{r.doc_id}" for c in HOSTILE), name
+    assert pipeline.STAGES[-1][1](spark, docs, sf).count() > 0
+
+
 def test_pipeline_of_odd_rows(spark, sf, odd):
     """Every stage on its own input against a plain version."""
     pipeline = pytest.importorskip("corpus_pipeline")
