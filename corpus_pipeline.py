@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from grainmill.llm.common import materialize, table
+from grainmill.llm.common import materialize, quoted, table
 from grainmill.llm.decontaminate import contamination
 from grainmill.llm.jaccard import one_of_each
 from grainmill.llm.line_dedup import dedup_lines
@@ -54,13 +54,13 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def _carried(docs: DataFrame) -> DataFrame:
     """The id, the text, and all else in one column, so that no name clashes."""
-    rest = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
+    rest = [F.col(quoted(c)) for c in docs.columns if c not in ("doc_id", "text")]
     return docs.select("doc_id", "text", F.struct(F.lit(0).alias("_"), *rest).alias("carried"))
 
 
 def _restored(out: DataFrame, docs: DataFrame, changed: dict) -> DataFrame:
     own = {"doc_id": F.col("doc_id"), "text": F.col("text")} | changed
-    return out.select(*(own.get(c, F.col(f"carried.`{c}`")).alias(c) for c in docs.columns))
+    return out.select(*(own.get(c, F.col("carried").getField(c)).alias(c) for c in docs.columns))
 
 
 STAGES = [("quality", quality), ("line_dedup", line_dedup), ("near_duplicates", near_duplicates), ("decontamination", decontamination), ("packing", packing)]
