@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, table
+from .common import ascii_lower, materialize, table
 from .components import connected_components
 
 #: (host, path) rules and what they do; fixed values of the production query.
@@ -38,15 +38,21 @@ def rule_for(host: Column, path: Column, rules: list[tuple[str, str, str]] = RUL
     return pick(lambda r: r[1] + r[2]), pick(lambda r: r[0])
 
 
-def node(url: Column) -> Column:
-    """What urls of one page have in common: scheme and host in ASCII lower case, a path
-    without dot segments, the query; no fragment. Null without '://'."""
-    whole = F.substring_index(url, "#", 1)
-    scheme = ascii_lower(F.substring_index(whole, "://", 1))
-    tail = F.substring(whole, F.length(scheme) + 4, F.length(whole))
-    site, path = ascii_lower(F.regexp_extract(tail, r"^[^/?]*", 0)), F.regexp_extract(tail, r"^[^/?]*([^?]*)", 1)
-    query = F.regexp_extract(tail, r"(?s)\?.*", 0)
-    return F.when(F.instr(whole, "://") > 0, F.concat(scheme, F.lit("://"), site, without_dots(path), query))
+def with_node(df: DataFrame, url: str, out: str) -> DataFrame:
+    """df with what the urls of one page have in common: scheme and host in ASCII lower
+    case, a path without dot segments, the query; no fragment. Null without '://'. In
+    steps of a column each, so that no part is worked out twice."""
+    column = lambda name: F.col(f"_node_{name}")
+    steps = [
+        {"url": F.when(F.instr(F.col(url), "://") > 0, F.substring_index(F.col(url), "#", 1))},
+        {"scheme": ascii_lower(F.substring_index(column("url"), "://", 1))},
+        {"rest": F.substring(column("url"), F.length(column("scheme")) + 4, F.length(column("url")))},
+        {"site": ascii_lower(F.regexp_extract(column("rest"), r"^[^/?]*", 0)), "path": F.regexp_extract(column("rest"), r"^[^/?]*([^?]*)", 1), "query": F.regexp_extract(column("rest"), r"(?s)\?.*", 0)},
+    ]
+    for step in steps:
+        df = df.withColumns({f"_node_{k}": v for k, v in step.items()})
+    whole = F.concat(column("scheme"), F.lit("://"), column("site"), without_dots(column("path")), column("query"))
+    return df.withColumn(out, whole).drop(*(f"_node_{k}" for step in steps for k in step))
 
 
 def without_dots(path: Column) -> Column:
@@ -69,7 +75,8 @@ def unescaped(value: Column) -> Column:
     code = lambda p: F.coalesce(F.conv(F.nullif(F.regexp_extract(p, "^[xX]([0-9a-fA-F]{1,6});", 1), F.lit("")), 16, 10), F.nullif(F.regexp_extract(p, "^([0-9]{1,7});", 1), F.lit(""))).cast("long")
     letter = lambda n: F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")
     fine = lambda n: (n > 0) & (n < 0xD800) | (n > 0xDFFF) & (n < 0x110000)
-    each = F.transform(F.slice(parts, F.lit(2), F.size(parts)), lambda p: F.when(fine(code(p)), F.concat(letter(code(p)), F.regexp_replace(p, "^[^;]*;", ""))).otherwise(F.concat(F.lit("&#"), p)))
+    coded = F.transform(F.slice(parts, F.lit(2), F.size(parts)), lambda p: F.struct(code(p).alias("n"), p.alias("p")))
+    each = F.transform(coded, lambda x: F.when(fine(x["n"]), F.concat(letter(x["n"]), F.regexp_replace(x["p"], "^[^;]*;", ""))).otherwise(F.concat(F.lit("&#"), x["p"])))
     numbered = F.when(F.contains(value, F.lit("&#")), F.concat(F.get(parts, F.lit(0)), F.array_join(each, ""))).otherwise(value)
     return reduce(lambda text, x: F.replace(text, F.lit(x[0]), F.lit(x[1])), ENTITIES, numbered)
 
@@ -102,7 +109,16 @@ def link_edges(pages: DataFrame) -> DataFrame:
         F.filter(tags("meta"), lambda t: t.rlike(r"(?is)http-equiv\s*=\s*[\"']?refresh")), lambda t: F.regexp_extract(t, r"(?is)url\s*=\s*[\"']?\s*([^\"'>\s]+)", 1)))
     none = F.array().cast("array<string>")
     found = pages.where(F.col("url").contains("://")).select("url", F.explode(F.concat(F.coalesce(canonical, none), F.coalesce(refresh, none))).alias("to")).where("to != ''")
-    return found.select(node(F.col("url")).alias("a"), node(resolved(F.col("url"), unescaped(F.col("to")))).alias("b")).where("b IS NOT NULL")
+    found = found.withColumn("to", unescaped(F.col("to"))).withColumn("to", resolved(F.col("url"), F.col("to")))
+    return _edges(found, "url", "to")
+
+
+def _edges(links: DataFrame, a: str, b: str) -> DataFrame:
+    """Links between urls as edges (a, b) between nodes. They are written once as they
+    are: filters on nodes would be pushed down to the urls, with all of a node's steps in
+    each place."""
+    both = with_node(with_node(links, a, "_a"), b, "_b").select(F.col("_a").alias("a"), F.col("_b").alias("b"))
+    return materialize(both, "links").where("a IS NOT NULL AND b IS NOT NULL")
 
 
 def judge_urls(pages: DataFrame, redirects: DataFrame | None = None, rules: list[tuple[str, str, str]] = RULES, default: str = "allow") -> DataFrame:
@@ -112,14 +128,14 @@ def judge_urls(pages: DataFrame, redirects: DataFrame | None = None, rules: list
     an empty host and path, fits no rule and takes the default. A null html has no
     links. Rows are judged one by one, so repeated rows and null page_ids give their own
     results; very long pages are searched whole; an empty table gives an empty result;
-    other columns are ignored. Urls of one node (see `node`) are aliases of one another:
+    other columns are ignored. Urls of one node (see `with_node`) are aliases of one another:
     they differ in the case of scheme or host, in dot segments or in the fragment. Of two
     aliases, one allowed by a rule and one blocked,
     each keeps its own rule's verdict, and the rest are allowed.
     """
     edges = link_edges(pages)
     if redirects is not None:
-        edges = edges.unionByName(redirects.select(node(F.col("a")).alias("a"), node(F.col("b")).alias("b")))
+        edges = edges.unionByName(_edges(redirects.select("a", "b"), "a", "b"))
     members = connected_components(edges)
     host, path = host_and_path(F.col("node"))
     votes = members.withColumn("vote", rule_for(host, path, rules)[1])
@@ -127,7 +143,7 @@ def judge_urls(pages: DataFrame, redirects: DataFrame | None = None, rules: list
         "blocked and not coalesce(allowed, false)")
     aliases = members.join(blocked, "component", "left_semi").select("node").distinct().withColumn("alias_blocked", F.lit(True))
     host, path = host_and_path(F.col("url"))
-    judged = pages.select("page_id", host.alias("host"), path.alias("path"), node(F.col("url")).alias("node"))
+    judged = with_node(pages.select("page_id", "url", host.alias("host"), path.alias("path")), "url", "node")
     rule, verdict = rule_for(F.col("host"), F.col("path"), rules)
     return judged.withColumns({"rule": rule, "decided": verdict}).join(aliases, "node", "left").select(
         "page_id", "host", "path", "rule", F.coalesce("decided", F.when(F.col("alias_blocked"), "block"), F.lit(default)).alias("verdict"))
