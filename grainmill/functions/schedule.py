@@ -41,7 +41,7 @@ def padded_vocab(vocab: Column, divisible_by: int, ranks: int) -> Column:
 
 
 def human_format(x: Column, base: float = 1000.0) -> Column:
-    """Three significant digits and a unit: 1234 as 1.23K."""
+    """Three significant digits and a unit: 1234 as 1.23K. The unit letters."""
     x = x.cast("double")
     size = F.floor(F.log10(F.greatest(F.abs(x), F.lit(1e-300))) + 1e-12)
     unit = F.pow(F.lit(10.0), 2 - size)
@@ -56,7 +56,7 @@ def human_format(x: Column, base: float = 1000.0) -> Column:
 
 
 def size_format(n: Column) -> Column:
-    """Bytes in the largest unit of 1024, two decimals."""
+    """Bytes in the largest unit of 1024, two decimals. The units' names."""
     out, unit = None, ["B", "KB", "MB", "GB", "TB"]
     for i in reversed(range(len(unit))):
         text = F.format_string("%.2f" + unit[i], F.round(n / F.lit(1024.0**i), 2))
@@ -90,6 +90,7 @@ def fp8_scale(amax: Column, scale: Column, most: float, margin: float = 0.0) ->
 
 
 def activations(x: Column) -> dict[str, Column]:
+    """The constants of the published definitions."""
     sigmoid = lambda v: 1 / (1 + F.exp(-v))
     gelu_tanh = 0.5 * x * (1 + F.tanh(math.sqrt(2 / math.pi) * (x + 0.044715 * x * x * x)))
     return {

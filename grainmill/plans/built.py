@@ -8,13 +8,14 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.prefix import position, running_sum
-from ..functions.tokens import char_count, char_ids
+from ..functions.tokens import char_count, char_ids, shuffle_key
 from ..operators import blend as B
 from ..operators import collate as C
 from ..operators import evals as E
+from ..operators import packing as P
 from ..operators.build import built_splits as build
 from ..operators.intervals import interval_join
-from ..sources import indexed, listing, manifest, register
+from ..sources import csv_log, files, indexed, listing, manifest, register
 from ..streaming import consumption as S
 from .base import Registry, scratch, table
 from .text import _SPANS
@@ -39,6 +40,48 @@ def mmidx_requests(spark, d):
     return indexed.requested(spark, path, some.unionByName(rest)).select("doc_id", "seq_id", F.md5(F.array_join("tokens", ",")).alias("part_md5"))
 
 
+@R.add("SELECT part, count(*) AS n_documents, sum(len(string_split(text, chr(10))))::BIGINT AS n_sequences, sum(list_sum(list_transform(string_split(text, chr(10)), lambda x: length(x))))::BIGINT AS n_tokens FROM (SELECT text, lang = 'en' AS part FROM documents) GROUP BY part")
+def mmidx_merged(spark, d):
+    """English and all other documents' lines as indexed data, merged into one folder,
+    whose documents keep their sequences."""
+    register(spark)
+    path = scratch(spark, "mmidx")
+    docs = table(spark, d, "documents").select((F.col("lang") == "en").alias("part"), F.transform(F.split("text", "\n"), lambda x: char_ids(x)).alias("sequences"))
+    for part in (True, False):
+        docs.where(F.col("part") == part).select("sequences").write.format("mmidx").mode("append").save(f"{path}/{part}")
+    indexed.merge_indexed(spark, [f"{path}/True", f"{path}/False"], f"{path}/both")
+    rows = spark.read.format("mmidx").load(f"{path}/both").select("file", "doc_id", "size")
+    first = len(files.listed(f"{path}/True", ".idx"))  # copies are numbered in order
+    per = rows.groupBy((F.substring("file", 1, 5).cast("int") < first).alias("part"), "file", "doc_id").agg(F.count("*").alias("n"), F.sum("size").alias("size"))
+    return per.groupBy("part").agg(F.count("*").alias("n_documents"), F.sum("n").alias("n_sequences"), F.sum("size").alias("n_tokens"))
+
+
+@R.add("SELECT lang, n, run FROM (SELECT lang, count(*) AS n FROM documents GROUP BY lang), (SELECT unnest([1, 2, 3]) AS run)")
+def bench_csv_log(spark, d):
+    """Results of three runs appended to one CSV file under its lock."""
+    path = scratch(spark, "log") + "/bench.csv"
+    per = table(spark, d, "documents").groupBy("lang").agg(F.count("*").alias("n"))
+    for run in (1, 2, 3):
+        csv_log.append_csv(per.withColumn("run", F.lit(run)), path)
+    return csv_log.read_csv(spark, path, "lang string, n long, run int")
+
+
+@R.add("WITH n AS (SELECT count(*) AS n FROM documents), o AS (SELECT doc_id, row_number() OVER (ORDER BY md5('tiles-' || doc_id)) - 1 AS slot FROM documents) SELECT pos, pos // n AS epoch, doc_id FROM (SELECT n, unnest(range(0, n * 5 // 2)) AS pos FROM n) JOIN o ON pos % n = slot")
+def epoch_tiling_whole(spark, d):
+    """Two and a half epochs of all documents in one shuffled order."""
+    order = B.shuffled_position(table(spark, d, "documents").select("doc_id"), shuffle_key(F.col("doc_id"), "tiles"), "slot")
+    return P.wrapped(order, "slot", 2.5).select("pos", "epoch", "doc_id")
+
+
+@R.add("WITH c AS (SELECT source, sum(n_chars)::BIGINT AS consumed FROM documents WHERE doc_id % 2 = 0 GROUP BY source), f AS (SELECT DISTINCT source || '/' || lang AS name, source FROM documents) SELECT 's3://data/' || name AS folder, coalesce(consumed, 0) AS consumed FROM f LEFT JOIN c USING (source)")
+def consumption_by_folder(spark, d):
+    """Every source's tokens so far given to all folders below it; none is 0."""
+    docs = table(spark, d, "documents")
+    consumed = docs.where("doc_id % 2 = 0").groupBy("source").agg(F.sum("n_chars").alias("consumed"))
+    folders = docs.select("source", F.concat(F.lit("s3://data/"), "source", F.lit("/"), "lang").alias("folder")).distinct()
+    return folders.join(consumed, "source", "left").select("folder", F.coalesce("consumed", F.lit(0)).alias("consumed"))
+
+
 _WALK = """l AS (SELECT list(source ORDER BY source) AS names, list(w ORDER BY source) AS w, sum(w) AS p, max(n) AS n FROM s),
 g(i, c, ds) AS (SELECT 0::BIGINT, list_transform(w, lambda x: 0::HUGEINT), -1 FROM l
 UNION ALL SELECT i + 1, list_transform(c, lambda x, j: x + (j = best)::HUGEINT), (best - 1)::INT
@@ -195,8 +238,6 @@ SELECT sample_id, md5(array_to_string(ids[1:{N}], ',')) AS input_md5, md5(array_
 def domain_collated(spark, d):
     """Inputs, labels and masks of all samples with the number of the domain of the
     document in which each starts, through a registered collator."""
-    from ..operators import packing as P
-
     docs = table(spark, d, "documents")
     names = docs.select(F.col("lang").alias("domain")).distinct().withColumn("domain_idx", (F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("domain")) - 1).cast("long"))  # a row per domain
     starts = P.sample_index(docs, N).join(docs.select("doc_id", F.col("lang").alias("domain")), "doc_id").select("sample_id", "domain")

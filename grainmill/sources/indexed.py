@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual
 
-from .commits import Commit
+from .commits import Commit, Written
 from .files import listed, range_reader, ranges, read_range, store
 
 #: Bytes of an index before its arrays; sequences and bytes between two requests that
@@ -258,6 +258,36 @@ def requested(spark: SparkSession, path: str, requests: DataFrame) -> DataFrame:
     return dealt.mapInArrow(run, schema)
 
 
+def merge_indexed(spark: SparkSession, sources: list[str], target: str) -> None:
+    """Copy the files of several folders, data and indexes, into one, in tasks, and publish
+    them together. Files keep their order: that of the folders, then of their names. The
+    types of all must agree. The driver holds a name a file."""
+    from . import ship
+
+    ship(spark)
+    files = [(i, s, path) for i, s in enumerate(sources) for path, _ in listed(s, ".idx")]
+    to = Commit(target)
+
+    def run(batches):
+        filesystem, folder, name = to.attempt()
+        for batch in batches:
+            for k, source, path in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                own, _ = store(source)
+                code = parse_index(read_range(own, path, 0, own.get_file_info(path).size)).code
+                paths = [f"{folder}/{k:05d}-{path.rsplit('/', 1)[-1][:-4]}{end}" for end in (".bin", ".idx")]
+                for end, into in zip((".bin", ".idx"), paths, strict=True):
+                    with own.open_input_stream(path[:-4] + end) as f, filesystem.open_output_stream(into) as out:
+                        while part := f.read(MOST_BYTES):
+                            out.write(part)
+                yield pa.RecordBatch.from_arrays([pa.array([code]), pa.array([to.written(paths).files])], ["code", "files"])
+
+    rows = spark.createDataFrame(files, "k int, source string, path string").repartition(max(1, len(files)), "k").mapInArrow(run, "code long, files array<string>").collect()
+    if len({r.code for r in rows}) > 1:
+        to.cancel()
+        raise ValueError("different types")
+    to.publish([Written(list(r.files)) for r in rows])
+
+
 class IndexedWriter(DataSourceArrowWriter):
     """Each row ends a document."""
 

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from grainmill import config
 from grainmill.functions import prefix, tokens
 from grainmill.operators import blend, build, collate, evals, intervals, packing, samples
-from grainmill.sources import commits, files, indexed, listing, manifest, register
+from grainmill.sources import commits, csv_log, files, indexed, listing, manifest, register
 from grainmill.streaming import consumption
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
@@ -129,6 +129,74 @@ def test_requests(spark, tmp_path):
     assert indexed.requested(spark, path, spark.createDataFrame([], "seq_id long, offset long, length long")).collect() == []
 
 
+def test_stated_sizes(spark, tmp_path):
+    register(spark)
+    rows = spark.createDataFrame([([70_000, 1],)], "input_ids array<long>")
+    save = lambda path, **o: rows.write.format("ds").options(**o).mode("append").save(f"{tmp_path}/{path}")
+    save("a/x", token_size=4, tokenizer="t")
+    assert ids(spark, f"{tmp_path}/a") == [1, 70_000]  # by the metadata beside the files
+    with pytest.raises(Exception, match="out of range"):
+        save("b", token_size=2)
+    save("a/y", token_size=4, tokenizer="other")
+    with pytest.raises(Exception, match="different tokenizers"):
+        ids(spark, f"{tmp_path}/a")
+    with pytest.raises(Exception, match="token_size 3"):
+        save("c", token_size=3)
+
+
+def test_pieces_of_a_long_file(spark, tmp_path, monkeypatch):
+    """Ranges are streamed in pieces, wherever samples begin."""
+    from grainmill.sources import token_files
+
+    register(spark)
+    spark.createDataFrame([(list(range(1000)),)], "input_ids array<long>").coalesce(1).write.format("ds").mode("append").save(str(tmp_path))
+    monkeypatch.setattr(token_files, "PIECE", 64)
+    reader = token_files.TokenFileReader({"path": str(tmp_path), "sequence_length": "6", "skip_tokens": "5", "positions": "true", "partition_tokens": "300"})
+    parts = reader.partitions()
+    batches = [b for p in parts for b in reader.read(p)]
+    assert len(parts) > 1 and len(batches) > 10
+    rows = [r for b in batches for r in b.to_pylist()]
+    assert [r["input_ids"] for r in rows] == [list(range(a, a + 7)) for a in range(5, 995, 7)][: len(rows)] and len(rows) == 995 // 7
+    assert [r["pos"] for r in rows] == [r["sample_idx"] for r in rows] == list(range(len(rows)))
+
+
+def test_merged_folders(spark, tmp_path):
+    register(spark)
+    a, b, both, other = (str(tmp_path / x) for x in ("a", "b", "both", "other"))
+    put = lambda path, rows, **o: spark.createDataFrame([(r,) for r in rows], "sequences array<array<long>>").coalesce(1).write.format("mmidx").options(**o).mode("append").save(path)
+    put(a, [[[1, 2], [3]], []])
+    put(b, [[[4]]])
+    put(b, [[[5, 6, 7]]])
+    put(other, [[[1]]], vocab_size=10)
+    indexed.merge_indexed(spark, [a, b], both)
+    rows = spark.read.format("mmidx").load(both).collect()
+    assert sorted((r.file[:5], r.tokens) for r in rows) == [("00000", [1, 2]), ("00000", [3]), ("00001", [4]), ("00001", [5, 6, 7])]
+    with pytest.raises(ValueError):
+        indexed.merge_indexed(spark, [a, other], str(tmp_path / "no"))
+    with pytest.raises(FileNotFoundError):
+        files.listed(str(tmp_path / "no"), ".idx")
+
+
+def test_a_log_of_many_runs(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    path = f"file://{tmp_path}/log.csv"
+    rows = lambda i: spark.createDataFrame([(i, f'a "quoted", {i}'), (i, None)], "run int, note string")
+    with ThreadPoolExecutor(4) as pool:
+        list(pool.map(lambda i: csv_log.append_csv(rows(i), path), range(8)))
+    got = csv_log.read_csv(spark, path, "run int, note string")
+    assert sorted((r.run, r.note or "") for r in got.collect()) == sorted([(i, f'a "quoted", {i}') for i in range(8)] + [(i, "") for i in range(8)])
+    with open(f"{tmp_path}/log.csv") as f:
+        assert f.read().count("run,note") == 1
+    with pytest.raises(ValueError):
+        csv_log.append_csv(spark.range(1), path)
+    open(f"{tmp_path}/log.csv.lock", "w").close()
+    with pytest.raises(csv_log.Locked):
+        csv_log.append_csv(rows(9), path, wait=0.3)
+    csv_log.append_csv(rows(9), path, wait=0.3, stale=0.0)
+    assert not os.path.exists(f"{tmp_path}/log.csv.lock")
+
+
 def test_filters_are_pushed(spark, tmp_path):
     from pyspark.sql.datasource import EqualTo, GreaterThanOrEqual, LessThan
 

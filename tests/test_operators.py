@@ -9,6 +9,9 @@ from grainmill.operators import blend, collate, packing, select, shard
 from grainmill.sources import indexed
 
 
+# Fixed values in the tests below: worked examples whose answers are given.
+
+
 def test_greedy_example():
     weights = blend.integer_weights([0.1, 0.5, 0.3, 0.1])
     assert weights == [1, 5, 3, 1]
