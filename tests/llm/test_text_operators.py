@@ -1,6 +1,7 @@
 """Filter audit, license notices and periodic runs against plain versions, on odd rows."""
 
 import itertools
+import math
 import os
 import random
 import re
@@ -14,7 +15,7 @@ import pytest
 from pyspark.sql import functions as F
 from test_brute_force import sha
 
-from grainmill.llm import filter_audit, licenses, periodic, queries
+from grainmill.llm import filter_audit, licenses, periodic, quality, queries
 
 sys.path.insert(0, os.path.join(os.path.dirname(__file__), ".."))
 from test_queries import rows as sorted_rows  # noqa: E402
@@ -241,3 +242,41 @@ def test_digests_of_no_runs(spark, tmp_path):
     got = {r.doc_id: r for r in periodic.op13_periodic_runs(spark, str(tmp_path)).collect()}
     assert got[5].runs_sha256 == got[6].runs_sha256 == got[6].collapsed_sha256 == sha(b"") and got[5].collapsed_sha256 == sha(b"no run")
     assert got[5].start is None and got[5].n_runs == 0
+
+
+# --- the classifier's statistics
+
+
+def plain_statistics(t: bytes) -> dict:
+    """Every statistic of a text from its definition."""
+    def kind(b):
+        for name, values in (("upper", range(65, 91)), ("lower", range(97, 123)), ("digit", range(48, 58)), ("space", b" \t\r\x0b\x0c"), ("newline", b"\n"), ("stop", b".?"), ("comma", b",;:'\"-()"), ("bang", b"!"), ("bar", b"|")):
+            if b in values:
+                return name
+        return "beyond_ascii" if b > 127 else "control" if b < 32 or b == 127 else "symbol"
+
+    n, words = len(t), t.split()
+    if not n:
+        return dict.fromkeys(quality.STATISTICS, 0.0)
+    kinds = Counter(map(kind, t))
+    share = {k: kinds[k] / n for k in ("upper", "lower", "digit", "space", "newline", "stop", "comma", "bang", "bar", "symbol", "beyond_ascii", "control")}
+    lengths, m, pairs = [len(w) for w in words], max(len(words), 1), list(itertools.pairwise(words))
+    mean = sum(lengths) / m
+    variety = lambda x: math.log(len(set(x))) / math.log(len(x)) if len(x) > 1 else 1.0
+    return share | {
+        "log_bytes": math.log1p(n), "log_words": math.log1p(len(words)), "word_bytes": min(mean, 50), "word_bytes_sd": math.sqrt(min(max(sum(x * x for x in lengths) / m - mean**2, 0), 2500)),
+        "entropy": -sum(p * math.log(p) for p in share.values() if p), "distinct_words": variety(words), "distinct_pairs": variety(pairs),
+        "top_word": max(Counter(words).values(), default=0) / m, "same_as_before": sum(a == b for a, b in pairs) / m, "symbol_words": sum("symbol" in map(kind, w) for w in words) / m,
+        "capital_words": sum(len(w) > 1 and kind(w[0]) == kind(w[1]) == "upper" for w in words) / m, "bare_bars": sum(w == b"|" for w in words) / m, "line_bytes": math.log1p(n / (t.count(b"\n") + 1)),
+    }
+
+
+def test_statistics():
+    rng = random.Random(15)
+    parts = ["the", "THE", "Ab", "é中", "x#", "|", "a|b", "!", "12", "\x00", "\x7f", ".", "(a)", "ZZ", "word" * 30]
+    texts = ["", " ", "\n", "A", "AA", "| |", *(rng.choice(["", " "]) + "".join(rng.choice(parts) + rng.choice([" ", "\n", "\t", "  ", "\r\n"]) for _ in range(rng.choice([1, 2, 5, 60]))) for _ in range(150))]
+    got = quality.statistics([t.encode() for t in texts])
+    for t, row in zip(texts, got, strict=True):
+        want = plain_statistics(t.encode())
+        for name, value in zip(quality.STATISTICS, row.tolist(), strict=True):
+            assert abs(value - want[name]) < 1e-6, (t, name, value, want[name])
