@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from grainmill.llm.common import materialize, quoted, table
+from grainmill.llm.common import discard, materialize, quoted, table
 from grainmill.llm.decontaminate import contamination
 from grainmill.llm.jaccard import one_of_each
 from grainmill.llm.line_dedup import dedup_lines
@@ -73,5 +73,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), name)
+        kept = materialize(stage(spark, docs, sf_dir), name)
+        discard(docs)  # what the stage before had written
+        docs = kept
     return STAGES[-1][1](spark, docs, sf_dir)
