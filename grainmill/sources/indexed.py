@@ -281,7 +281,7 @@ def merge_indexed(spark: SparkSession, sources: list[str], target: str) -> None:
                             out.write(part)
                 yield pa.RecordBatch.from_arrays([pa.array([code]), pa.array([to.written(paths).files])], ["code", "files"])
 
-    rows = spark.createDataFrame(files, "k int, source string, path string").repartition(max(1, len(files)), "k").mapInArrow(run, "code long, files array<string>").collect()
+    rows = spark.createDataFrame(files, "k int, source string, path string").repartition(max(1, len(files)), "path").mapInArrow(run, "code long, files array<string>").collect()
     if len({r.code for r in rows}) > 1:
         to.cancel()
         raise ValueError("different types")
