@@ -10,15 +10,15 @@ def _div(a: Column, b) -> Column:
     return F.floor(a / b).cast("long")
 
 
-def strided(df: DataFrame, pos: str, ranks: int, n: int, drop_last: bool = True) -> DataFrame:
+def strided(df: DataFrame, pos: str, ranks: int, n: int, drop_last: bool = True, fill_last: bool = True, keep: tuple[str, ...] = ()) -> DataFrame:
     """Rank r gets positions r, r + ranks, ...; the tail is dropped, or filled by
-    starting over so that all ranks get as many."""
+    starting over so that all ranks get as many, or left as it is. keep: other columns."""
     even = df.where(F.col(pos) < n - n % ranks) if drop_last else df
-    out = even.select(F.pmod(F.col(pos), F.lit(ranks)).cast("long").alias("rank"), _div(F.col(pos), ranks).alias("ordinal"), F.col(pos).alias("pos"))
+    out = even.select(F.pmod(F.col(pos), F.lit(ranks)).cast("long").alias("rank"), _div(F.col(pos), ranks).alias("ordinal"), F.col(pos).alias("pos"), *keep)
     fill = -n % ranks
-    if drop_last or not fill:
+    if drop_last or not fill_last or not fill:
         return out
-    again = df.where(F.col(pos) < fill).select(((F.col(pos) + n) % ranks).alias("rank"), _div(F.col(pos) + n, ranks).alias("ordinal"), F.col(pos).alias("pos"))
+    again = df.where(F.col(pos) < fill).select(((F.col(pos) + n) % ranks).alias("rank"), _div(F.col(pos) + n, ranks).alias("ordinal"), F.col(pos).alias("pos"), *keep)
     return out.unionByName(again)
 
 

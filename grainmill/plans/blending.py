@@ -387,9 +387,9 @@ def except_keys(spark, d):
 
 @R.add(f"SELECT count(*) AS shared FROM (SELECT doc_id FROM {_POS} WHERE pos % 4 = 1 INTERSECT SELECT doc_id FROM {_POS} WHERE pos % 4 = 2)")
 def intersect_ranks(spark, d):
-    """Two ranks share no sample."""
-    rows = H.strided(*_order(spark, d, 4), drop_last=False)
-    return rows.where("rank = 1").select("pos").intersect(rows.where("rank = 2").select("pos")).agg(F.count("*").alias("shared"))
+    """Two ranks share no sample; a tail that doesn't fill all ranks stays as it is."""
+    rows = H.strided(*_order(spark, d, 4), drop_last=False, fill_last=False, keep=("doc_id",))
+    return rows.where("rank = 1").select("doc_id").intersect(rows.where("rank = 2").select("doc_id")).agg(F.count("*").alias("shared"))
 
 
 @R.add("SELECT d.doc_id, d.lang FROM documents d WHERE EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id AND l.quality = 1)")
