@@ -288,5 +288,5 @@ def stream_hourly_events(spark, d):
     from ..streaming import consumption as C
 
     schema = table(spark, d, "events").schema
-    stream = C.document_stream(spark, d, schema, glob="events.parquet")
+    stream = C.table_stream(spark, d, "events", schema)
     return C.drained(C.hourly_events(stream, "3650 days"), scratch(spark, "stream"))

@@ -10,6 +10,12 @@ from ..functions.tokens import word_count
 
 def document_stream(spark: SparkSession, folder: str, schema, glob: str | None = None, files_per_trigger: int = 1) -> DataFrame:
     """A replay of a folder's parquet files, a few at a time; offsets are kept by
+def table_stream(spark: SparkSession, sf_dir: str, name: str, schema) -> DataFrame:
+    """A replay of a table, whether it is one file or a folder of them. A pattern is given
+    for the name, as the engine takes a plain path for a folder."""
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{sf_dir}/{name}.parque[t]")
+
+
     the query's checkpoint, so a restart goes on where it stopped."""
     reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger)
     if glob:
