@@ -5,6 +5,9 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
 
 from .commits import logical, visible
@@ -40,6 +43,13 @@ def read_range(filesystem: fs.FileSystem, path: str, start: int, size: int) -> b
         return f.read_at(size, start)
 
 
+def list_values(column: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """All values of a list column in a row, and the bounds of its rows in them; a null
+    row has none. No value becomes a Python object."""
+    sizes = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    return column.flatten(), np.concatenate(([0], np.cumsum(sizes)))
+
+
 def ranges(spans: list[tuple[int, int]], gap: int, most: int) -> Iterator[tuple[int, int, list[int]]]:
     """Spans (start, stop) joined to larger ones where at most `gap` lies between and the
     result is no longer than `most`: (start, stop, numbers of the spans in it), in order."""

@@ -24,11 +24,12 @@ from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual
 
 from .commits import Commit, Written
-from .files import listed, range_reader, ranges, read_range, store
+from .files import list_values, listed, range_reader, ranges, read_range, store
 
 #: Bytes of an index before its arrays; sequences and bytes between two requests that
-#: are read along with them; bytes read at once.
-HEADER, GAP_SEQUENCES, GAP_BYTES, MOST_BYTES = 34, 1024, 1 << 16, 1 << 23
+#: are read along with them; bytes read at once; tokens written or handed on at once
+#: (more only where one sequence has more).
+HEADER, GAP_SEQUENCES, GAP_BYTES, MOST_BYTES, PIECE = 34, 1024, 1 << 16, 1 << 23, 1 << 20
 
 #: Fixed values of the format: its mark, and the type of each code.
 MARK = b"MMIDIDX\x00\x00"
@@ -58,7 +59,7 @@ def parse_index(raw: bytes) -> Index:
     return Index(code, sizes, pointers, np.frombuffer(raw, "<i8", n_docs, at + 12 * n))
 
 
-def build_index(code: int, sizes: list[int], documents: list[int]) -> bytes:
+def build_index(code: int, sizes: list[int] | np.ndarray, documents: list[int] | np.ndarray) -> bytes:
     sizes = np.array(sizes, "<i4")
     pointers = np.concatenate(([0], np.cumsum(sizes.astype(np.int64))[:-1])) * np.dtype(CODES[code]).itemsize if len(sizes) else np.zeros(0, np.int64)
     return MARK + struct.pack("<QBQQ", 1, code, len(sizes), len(documents)) + sizes.tobytes() + pointers.astype("<i8").tobytes() + np.array(documents, "<i8").tobytes()
@@ -200,15 +201,19 @@ class IndexedReader(DataSourceReader):
             return
         filesystem, _ = store(self.path)
         index, data = IndexFile(range_reader(filesystem, part.path)), range_reader(filesystem, part.path[:-4] + ".bin")
-        name, step = part.path.rsplit("/", 1)[-1], 4096
+        name, first = part.path.rsplit("/", 1)[-1], part.first
         docs = index.documents(part.first, part.stop)
-        for first in range(part.first, part.stop, step):
-            stop = min(first + step, part.stop)
+        taken = np.clip(index.sizes(part.first, part.stop).astype(np.int64) - max(self.offset, 0), 0, max(self.length, 0))
+        before = np.concatenate(([0], np.cumsum(taken)))
+        while first < part.stop:
+            fits = part.first + int(np.searchsorted(before, before[first - part.first] + PIECE, "right")) - 1
+            stop = min(max(fits, first + 1), first + 4096, part.stop)
             tokens = slices(index, data, [(i, self.offset, self.length) for i in range(first, stop)])
             offsets = pa.array(np.concatenate(([0], np.cumsum([len(t) for t in tokens]))).astype(np.int32))
             lists = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(tokens)))
             own = docs[first - part.first : stop - part.first].astype(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array([name] * (stop - first)), pa.array(np.arange(first, stop)), pa.array(own), pa.array(index.sizes(first, stop)), pa.array(index.pointers(first, stop)), lists], ["file", "seq_id", "doc_id", "size", "pointer", "tokens"])
+            first = stop
 
 
 def requested(spark: SparkSession, path: str, requests: DataFrame) -> DataFrame:
@@ -299,17 +304,24 @@ class IndexedWriter(DataSourceArrowWriter):
     def write(self, iterator):
         filesystem, folder, name = self.to.attempt()
         stem = f"{folder}/{name}"
-        sizes, documents = [], [0]
+        sizes, documents, n = [np.zeros(0, np.int64)], [np.zeros(1, np.int64)], 0
         with filesystem.open_output_stream(stem + ".bin") as f:
             for batch in iterator:
-                several = "sequences" in batch.schema.names
-                for row in batch.column(batch.schema.get_field_index("sequences" if several else "tokens")).to_pylist():
-                    for ids in (row or []) if several else [row]:
-                        f.write(np.array(ids or [], np.int64).astype(CODES[self.code]).tobytes())
-                        sizes.append(len(ids or []))
-                    documents.append(len(sizes))
+                rows = batch.column(batch.schema.get_field_index("sequences" if "sequences" in batch.schema.names else "tokens"))
+                if "sequences" in batch.schema.names:
+                    rows, ends = list_values(rows)
+                else:
+                    ends = np.arange(len(rows) + 1)
+                tokens, bounds = list_values(rows)
+                if tokens.null_count:
+                    raise TypeError("a null token")
+                for at in range(0, len(tokens), PIECE):
+                    f.write(tokens[at : at + PIECE].to_numpy(zero_copy_only=False).astype(CODES[self.code]).tobytes())
+                sizes.append(np.diff(bounds))
+                documents.append(ends[1:] + n)
+                n += len(rows)
         with filesystem.open_output_stream(stem + ".idx") as f:
-            f.write(build_index(self.code, sizes, documents))
+            f.write(build_index(self.code, np.concatenate(sizes), np.concatenate(documents)))
         return self.to.written([stem + ".bin", stem + ".idx"])
 
     def commit(self, messages):
