@@ -223,14 +223,15 @@ def topp_draw(spark, d):
 k AS (SELECT *, least(greatest(1000 - start, 0), n) AS skipped FROM r), b AS (SELECT *, greatest(least(n - skipped, 1000000 - greatest(start - 1000, 0)), 0) AS taken FROM k), i AS (SELECT file, t, skipped, unnest(range(0, (taken // {N + 1})::BIGINT)) AS sample_idx FROM b)
 SELECT file, sample_idx, md5(array_to_string(list_transform(string_split(substr(t, (skipped + sample_idx * {N + 1} + 1)::INT, {N + 1}), ''), lambda c: unicode(c)), ',')) AS ids_md5 FROM i""")
 def ds_folder_budget(spark, d):
-    """Samples from a folder of token files under a skip and a budget of tokens."""
+    """Samples from a folder of folders of token files under a skip and a budget of tokens;
+    each is written by many tasks in ranges of documents, and read as one file."""
     register(spark)
     path = scratch(spark, "ds")
     for k in range(4):
-        part = table(spark, d, "documents").where(F.col("doc_id") % 4 == k).coalesce(1).sortWithinPartitions("doc_id")
+        part = table(spark, d, "documents").where(F.col("doc_id") % 4 == k).repartitionByRange("doc_id").sortWithinPartitions("doc_id")
         part.select(char_ids(F.col("text")).alias("input_ids")).write.format("ds").option("token_size", 4).mode("append").save(f"{path}/{k}")
-    read = spark.read.format("ds").option("sequence_length", N).option("skip_tokens", 1000).option("max_tokens", 1_000_000).option("with_folder", True).load(path)
-    return read.select(F.element_at(F.split("file", "/"), 1).cast("long").alias("file"), "sample_idx", F.md5(F.array_join("input_ids", ",")).alias("ids_md5"))
+    read = spark.read.format("ds").option("sequence_length", N).option("skip_tokens", 1000).option("max_tokens", 1_000_000).option("with_folder", True).option("join_folders", True).load(path)
+    return read.select(F.col("file").cast("long"), "sample_idx", F.md5(F.array_join("input_ids", ",")).alias("ids_md5"))
 
 
 @R.add("WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents) SELECT len(l)::BIGINT AS n_sequences, count(*) AS n_documents, sum(list_sum(list_transform(l, lambda x: length(x))))::BIGINT AS n_tokens FROM l GROUP BY 1")

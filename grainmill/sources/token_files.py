@@ -7,7 +7,9 @@ one or several files a task. As a stream, the samples are read over and over: a
 is an epoch, a file and a sample, and a restart goes on where the checkpoint says.
 
 Options: path, sequence_length (read), token_size (2 or 4), pattern, max_tokens and
-skip_tokens (a running budget over the files in order), file_seed (the files in the
+skip_tokens (a running budget over the files in order), join_folders (the files of each
+folder, of one write, are one in the order of their names: samples go on from each into
+the next), keep_rest (the last sample of a file may be short), file_seed (the files in the
 order of numpy's generator of that seed), with_folder (names relative to path), listing
 (a table of path and size, as sources/listing.py keeps it, in place of a walk),
 positions (columns pos and epoch as well), partition_tokens; written: eos,
@@ -19,8 +21,8 @@ source notes how far it has promised samples, before it does; the checkpoint's w
 from __future__ import annotations
 
 import json
-from bisect import bisect_right
-from dataclasses import dataclass
+from bisect import bisect_left, bisect_right
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +30,7 @@ from pyarrow import fs
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, DataSourceStreamReader, InputPartition
 
 from .commits import Commit
-from .files import listed, range_reader, read_range, relative, store
+from .files import list_values, listed, range_reader, read_range, relative, store
 
 #: Tokens read and handed on at once.
 PIECE = 1 << 18
@@ -42,6 +44,9 @@ class Range(InputPartition):
     samples: int
     pos: int = 0
     epoch: int = 0
+    tokens: int = 0
+    #: (path, first token, stop) of the files that hold these tokens, counted in their row
+    held: list = field(default_factory=list)
 
 
 class TokenFileSource(DataSource):
@@ -83,6 +88,7 @@ class Samples:
         self.pattern, self.listing = options.get("pattern"), options.get("listing")
         self.budget, self.skip = int(options.get("max_tokens", 2**62)), int(options.get("skip_tokens", 0))
         self.seed, self.with_folder, self.positions = options.get("file_seed"), _flag(options, "with_folder"), _flag(options, "positions")
+        self.join, self.rest = _flag(options, "join_folders"), _flag(options, "keep_rest")
         self.block = max(1, int(options.get("partition_tokens", 4_000_000)) // self.length)
 
     @staticmethod
@@ -98,46 +104,74 @@ class Samples:
             raise ValueError(f"files of different tokenizers: {sorted(lines)}")
         return int(lines.pop().rpartition(b"|")[2])
 
-    def files(self) -> list[tuple[str, int, int]]:
-        """(path, first token, samples) of each file under skip and budget."""
+    def files(self) -> list[tuple[str, int, int, int, list]]:
+        """(path, first token, samples, tokens of these, files in a row that hold them) of
+        each file, or each folder whose files are joined, under skip and budget."""
         if self.listing:
             from .listing import read_listing
 
             files = read_listing(self.listing, self.path, ".ds", self.pattern)
         else:
             files = listed(self.path, ".ds", self.pattern)
+        _, root = store(self.path)
+        groups: dict[str, list[tuple[str, int, int]]] = {}
+        for path, size in files:
+            name = path
+            if self.join:
+                name = f"{root.rstrip('/')}/{relative(path, root)}".rpartition("/")[0]
+            row = groups.setdefault(name, [])
+            start = row[-1][2] if row else 0
+            row.append((path, start, start + size // self.dtype.itemsize))
+        rows = list(groups.items())
         if self.seed is not None:
-            files = [files[i] for i in np.random.default_rng(int(self.seed)).permutation(len(files))]
+            rows = [rows[i] for i in np.random.default_rng(int(self.seed)).permutation(len(rows))]
         out, before, left = [], self.skip, self.budget
-        for path, size in files:
-            tokens = size // self.dtype.itemsize
+        for path, held in rows:
+            tokens = held[-1][2]
             skipped = min(before, tokens)
             before -= skipped
             taken = min(tokens - skipped, left)
             left -= taken
-            out.append((path, skipped, taken // self.length))
+            samples = -(-taken // self.length) if self.rest else taken // self.length
+            out.append((path, skipped, samples, min(taken, samples * self.length), held))
         return out
 
-    def parts(self, file: tuple[str, int, int], first: int, stop: int, pos: int, epoch: int) -> list[Range]:
+    def parts(self, file: tuple[str, int, int, int, list], first: int, stop: int, pos: int, epoch: int) -> list[Range]:
         """Samples [first, stop) of a file as ranges; pos is that of its first sample."""
-        path, skipped, _ = file
-        return [Range(path, i, skipped + i * self.length, min(self.block, stop - i), pos + i, epoch) for i in range(first, stop, self.block)]
+        path, skipped, _, tokens, held = file
+        out = []
+        for i in range(first, stop, self.block):
+            n = min(self.block, stop - i)
+            start, end = skipped + i * self.length, skipped + min((i + n) * self.length, tokens)
+            here = bisect_right(held, start, key=lambda h: h[2])
+            own = held[here : bisect_left(held, end, lo=here, key=lambda h: h[1])]
+            out.append(Range(path, i, start, n, pos + i, epoch, end - start, own))
+        return out
 
     def read(self, part: Range):
         filesystem, root = store(self.path)
         name = relative(part.path, root) if self.with_folder else part.path.rsplit("/", 1)[-1]
-        size, step = self.dtype.itemsize, max(1, PIECE // self.length)
-        get = range_reader(filesystem, part.path)
+        step, held = max(1, PIECE // self.length), [(range_reader(filesystem, path), start, stop) for path, start, stop in part.held]
         for at in range(0, part.samples, step):
             n = min(step, part.samples - at)
-            ids = np.frombuffer(get((part.start + at * self.length) * size, n * self.length * size), self.dtype).astype(np.int64)
-            offsets = pa.array(np.arange(n + 1, dtype=np.int32) * self.length)
+            tokens = min(n * self.length, part.tokens - at * self.length)
+            ids = self._tokens(held, part.start + at * self.length, tokens)
+            offsets = pa.array(np.minimum(np.arange(n + 1) * self.length, tokens).astype(np.int32))
             first = part.first_sample + at
-            columns = {"file": pa.array([name] * n), "sample_idx": pa.array(np.arange(first, first + n)), "input_ids": pa.ListArray.from_arrays(offsets, pa.array(ids))}
+            columns = {"file": pa.repeat(pa.scalar(name), n), "sample_idx": pa.array(np.arange(first, first + n)), "input_ids": pa.ListArray.from_arrays(offsets, pa.array(ids))}
             if self.positions:
                 columns |= {"pos": pa.array(np.arange(part.pos + at, part.pos + at + n)), "epoch": pa.array(np.full(n, part.epoch))}
             yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
+    def _tokens(self, held: list, start: int, n: int) -> np.ndarray:
+        """Tokens [start, start + n) of files in a row."""
+        size, found = self.dtype.itemsize, []
+        for get, first, stop in held:
+            low, high = max(start, first), min(start + n, stop)
+            if low < high:
+                found.append(np.frombuffer(get((low - first) * size, (high - low) * size), self.dtype))
+        return (found[0] if len(found) == 1 else np.concatenate(found)).astype(np.int64)
+
 
 class TokenFileReader(DataSourceReader):
     def __init__(self, options):
@@ -241,12 +275,19 @@ class TokenFileWriter(DataSourceArrowWriter):
         return self.to.written(paths)
 
     def _documents(self, iterator):
+        end = self._stored(np.array(self.eos, np.int64))
         for batch in iterator:
-            for ids in batch.column(batch.schema.get_field_index("input_ids")).to_pylist():
-                tokens = np.array([*(ids or []), *self.eos], np.int64)
-                if len(tokens) and (tokens.min() < 0 or tokens.max() > np.iinfo(self.dtype).max):
-                    raise ValueError("token id out of range")
-                yield tokens.astype(self.dtype)
+            ids, bounds = list_values(batch.column(batch.schema.get_field_index("input_ids")))
+            if ids.null_count:
+                raise TypeError("a null token")
+            stored = self._stored(ids.to_numpy(zero_copy_only=False))
+            for a, b in zip(bounds[:-1], bounds[1:], strict=True):
+                yield np.concatenate((stored[a:b], end)) if len(end) else stored[a:b]
+
+    def _stored(self, ids: np.ndarray) -> np.ndarray:
+        if len(ids) and (ids.min() < 0 or ids.max() > np.iinfo(self.dtype).max):
+            raise ValueError("token id out of range")
+        return ids.astype(self.dtype)
 
     def commit(self, messages):
         self.to.publish(messages)
