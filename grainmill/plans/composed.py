@@ -277,9 +277,9 @@ def sample_index_cached(spark, d):
 @R.add()
 def tokenize_bpe(spark, d):
     """Subword ids of every text: how many, and their sum."""
-    from ..functions.subwords import bpe_ids
+    from ..functions.subwords import with_bpe_ids
 
-    docs = table(spark, d, "documents").select("doc_id", bpe_ids(spark)("text").alias("ids"))
+    docs = with_bpe_ids(table(spark, d, "documents").select("doc_id", "text"))
     return docs.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.aggregate("ids", F.lit(0).cast("long"), lambda a, x: a + x).alias("id_sum"))
 
 
