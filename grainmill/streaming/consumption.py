@@ -2,20 +2,22 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.tokens import word_count
 
 
-def document_stream(spark: SparkSession, folder: str, schema, glob: str | None = None, files_per_trigger: int = 1) -> DataFrame:
-    """A replay of a folder's parquet files, a few at a time; offsets are kept by
 def table_stream(spark: SparkSession, sf_dir: str, name: str, schema) -> DataFrame:
     """A replay of a table, whether it is one file or a folder of them. A pattern is given
     for the name, as the engine takes a plain path for a folder."""
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{sf_dir}/{name}.parque[t]")
 
 
+def document_stream(spark: SparkSession, folder: str, schema, glob: str | None = None, files_per_trigger: int = 1) -> DataFrame:
+    """A replay of a folder's parquet files, a few at a time; offsets are kept by
     the query's checkpoint, so a restart goes on where it stopped."""
     reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger)
     if glob:
@@ -56,6 +58,16 @@ def appended(stream: DataFrame, path: str, checkpoint: str) -> None:
     stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
+def summed(stream: DataFrame, sums: Callable[[DataFrame], DataFrame], path: str, checkpoint: str) -> None:
+    """All that there is to read now, each batch as sums gives it in a folder of its own
+    below path. So the stream itself is never kept, and a batch that runs again, also
+    after a restart, writes the same folder again."""
+    def kept(batch: DataFrame, number: int) -> None:
+        sums(batch).write.mode("overwrite").parquet(f"{path.rstrip('/')}/batch={number}")
+
+    stream.writeStream.foreachBatch(kept).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
 def record_consumption(stream: DataFrame, state: str, checkpoint: str) -> None:
     """Add what the stream (folder, n) has to read now to the totals kept below state.
 
