@@ -233,11 +233,26 @@ def _rows_of(parts: list[tuple], names=("key", "cls", "tag")):
     return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*parts, strict=True)], list(names))
 
 
+#: Keys that a task packs at once, about as many as are told apart at once; packed rows
+#: for each partition, so that these are about even.
+PACKED, BUCKETS = 1 << 20, 16
+#: A packed row: some keys of a bucket, the lower KEY bytes of each; their sets' ids,
+#: of SET bytes each; notes, as whole integers.
+PACKS, KEY, SET = "bucket long, keys binary, sets binary, notes binary", 4, 6
+
+
 def _shared(docs: DataFrame, classes: Classes, bands: Bands, n: int) -> DataFrame:
     """Keys of all sets in their bands that two sets or more have, with notes of all rows
-    and classes. A tag holds the band and how many contents a set needs to share."""
+    and classes. A tag holds the band and how many contents a set needs to share.
+
+    Keys are moved in rows of many, in KEY and SET bytes a key however many partitions
+    there are. A key is its bucket and the lower bytes; two that agree in these by chance
+    let more pairs through."""
+    buckets = BUCKETS * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
     def keys(batches):
         seen: dict[int, int] = {}
+        held, n_held = [], 0
         for batch in small_batches(batches, 128):
             texts = lowered(text_bytes(batch.column(1)))
             both = [classes.both(t) for t in texts]
@@ -250,23 +265,97 @@ def _shared(docs: DataFrame, classes: Classes, bands: Bands, n: int) -> DataFram
             size[new] = sizes
             ids = batch.column(0)
             nothing = np.asarray(ids.is_null())
-            out = [(np.asarray(ids.fill_null(0)), cls, -1 - (3 * (2 * size + nothing) + _ROW))]
-            out.append((np.array([both[i][1] for i in new], np.int64), cls[new], np.full(len(new), -1 - _CHECK)))
-            out += _set_rows(bands, cls[new], tokens, sizes)
-            yield _rows_of(out)
-
-    def grouped(batches):
-        for columns, flags in mixed_flags(batches, 1):
-            flags |= columns[2] < 0
-            if flags.any():
-                key, cls, tag = (c[flags] for c in columns)
-                order = np.lexsort((cls, key))  # copies of a text come from several tasks
-                key, cls, tag = key[order], cls[order], tag[order]
-                once = np.concatenate(([True], (key[1:] != key[:-1]) | (cls[1:] != cls[:-1]))) | (tag < 0)
-                yield _rows_of([(key[once], cls[once], tag[once])])
-
-    rows = docs.mapInArrow(keys, ROWS).repartition("key").sortWithinPartitions("key")
-    return materialize(rows.mapInArrow(grouped, ROWS), "shared")
+            notes = [(np.asarray(ids.fill_null(0)), cls, -1 - (3 * (2 * size + nothing) + _ROW))]
+            notes.append((np.array([both[i][1] for i in new], np.int64), cls[new], np.full(len(new), -1 - _CHECK)))
+            if rows := _set_rows(bands, cls[new], tokens, sizes):
+                notes.append(rows[1])
+                held.append(rows[0])
+                n_held += len(rows[0][0])
+            if len(cls):
+                yield _noted(int(cls[0]) % buckets, np.stack([np.concatenate(c) for c in zip(*notes, strict=True)]))
+            if n_held >= PACKED:
+                yield _packed(held, buckets)
+                held, n_held = [], 0
+        if held:
+            yield _packed(held, buckets)
+
+    packed = docs.mapInArrow(keys, PACKS).repartition("bucket").sortWithinPartitions("bucket")
+    return materialize(packed.mapInArrow(_mixed, ROWS), "shared")
+
+
+def _packs(buckets, keys, sets, notes) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(buckets, pa.int64()), *(x if isinstance(x, pa.Array) else pa.array(x, pa.binary()) for x in (keys, sets, notes))], ["bucket", "keys", "sets", "notes"])
+
+
+def _noted(bucket: int, notes: np.ndarray) -> pa.RecordBatch:
+    return _packs([bucket], [b""], [b""], [notes.astype(np.int64).tobytes()])
+
+
+def _packed(held: list[tuple], buckets: int) -> pa.RecordBatch:
+    """Rows of keys and sets' ids, one for each bucket that has any."""
+    keys, sets = (np.concatenate(c).view(np.uint64) for c in zip(*held, strict=True))
+    bucket = ((keys >> np.uint64(8 * KEY)) % np.uint64(buckets)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    bucket = bucket[order]
+    cuts = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))
+    ends = np.append(cuts, len(bucket))
+
+    def column(values: np.ndarray, width: int):
+        own = np.ascontiguousarray(values[order].view(np.uint8).reshape(-1, 8)[:, :width])
+        return pa.BinaryArray.from_buffers(pa.binary(), len(cuts), [None, pa.py_buffer((ends * width).astype(np.int32)), pa.py_buffer(own)])
+
+    return _packs(bucket[cuts], column(keys, KEY), column(sets, SET), [b""] * len(cuts))
+
+
+def _unpacked(packs: list[bytes], width: int) -> np.ndarray:
+    raw = np.frombuffer(b"".join(packs), np.uint8).reshape(-1, width)
+    out = np.zeros((len(raw), 8), np.uint8)
+    out[:, :width] = raw
+    return out.view(np.int64).ravel()
+
+
+def _mixed(batches, most: int = PACKED):
+    """From packed rows in order of their buckets, the notes and, of keys that two sets
+    or more have, (key, set, 0). Of a bucket of more than `most` keys those are held that
+    one set has had so far, and those known to be shared; the rest goes on."""
+    def told(bucket, key, own, known):
+        """Rows of shared keys; (key, set) of the other keys, and the keys known to be shared."""
+        order = np.lexsort((own, key))
+        key, own = key[order], own[order]
+        once = np.concatenate(([True], (key[1:] != key[:-1]) | (own[1:] != own[:-1])))  # copies of a text come from several tasks
+        key, own = key[once], own[once]
+        start = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+        size = np.diff(np.append(start, len(key)))
+        many = (size > 1) | np.isin(key[start], known)
+        flags = np.repeat(many, size)
+        rows = _rows_of([(key[flags] | bucket << 8 * KEY, own[flags], np.zeros(flags.sum(), np.int64))])
+        return rows, (key[~flags], own[~flags]), np.union1d(known, key[start][many])
+
+    none = np.zeros(0, np.int64)
+    at, keys, sets, n, left, known = None, [], [], 0, (none, none), none
+
+    def bucket_of():
+        return told(at, np.concatenate((left[0], _unpacked(keys, KEY))), np.concatenate((left[1], _unpacked(sets, SET))), known)
+
+    for batch in small_batches(batches, 256):
+        for bucket, key, own, notes in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if notes:
+                yield _rows_of([tuple(np.frombuffer(notes, np.int64).reshape(3, -1))])
+            if not key:
+                continue
+            if bucket != at or n >= max(most, 2 * len(left[0])):
+                if keys:
+                    rows, left, known = bucket_of()
+                    if rows.num_rows:
+                        yield rows
+                if bucket != at:
+                    left, known = (none, none), none
+                at, keys, sets, n = bucket, [], [], 0
+            keys.append(key)
+            sets.append(own)
+            n += len(key) // KEY
+    if keys and (rows := bucket_of()[0]).num_rows:
+        yield rows
 
 
 #: A tag: band, contents that a set needs to share, size of the set; the last two have
@@ -280,7 +369,7 @@ def _tag(band, needed, size):
 
 
 def _set_rows(bands: Bands, cls: np.ndarray, tokens: np.ndarray, sizes: np.ndarray) -> list[tuple]:
-    """(key, set, 0) of sets in a row, in each of their bands, and a note of each set."""
+    """(key, set) of sets in a row, in each of their bands, and a note of each set."""
     ends = np.cumsum(sizes)
     of = [(i, band) for i, size in enumerate(sizes.tolist()) if size for band in bands.of(size)]
     if not of:
@@ -290,8 +379,9 @@ def _set_rows(bands: Bands, cls: np.ndarray, tokens: np.ndarray, sizes: np.ndarr
     keys, filled = bands.normal_sets(again, sizes[which], band)
     needed = np.array([bands.needed(s, b, f) for s, b, f in zip(sizes[which].tolist(), band.tolist(), filled.tolist(), strict=True)])
     tag = _tag(band, np.maximum(needed, 0), sizes[which])
-    ids = mix(cls[which].view(np.uint64) + np.uint64(0x9E3779B97F4A7C15) * (band + 1).astype(np.uint64)).view(np.int64)
-    return [(keys, np.repeat(ids, filled), np.zeros(len(keys), np.int64)), (ids, cls[which], -1 - (3 * tag + _SET))]
+    ids = mix(cls[which].view(np.uint64) + np.uint64(0x9E3779B97F4A7C15) * (band + 1).astype(np.uint64))
+    ids = (ids >> np.uint64(64 - 8 * SET)).view(np.int64)
+    return [(keys, np.repeat(ids, filled)), (ids, cls[which], -1 - (3 * tag + _SET))]
 
 
 class _Work:
@@ -324,10 +414,13 @@ class _Work:
         self.link(pairs.select(F.col("hub").alias("a"), F.col("cls").alias("b")).distinct())
         discard(likely)
 
-        spread = _costs(self.rooted(grouped.select("key", "cls", "tag")), costly)
+        rooted = materialize(self.rooted(grouped.select("key", "cls", "tag")), "rooted")
+        discard(grouped)
+        spread = materialize(_costs(rooted, costly), "spread")
+        discard(rooted)
         enough = spread.groupBy("cls", "tag").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("costly").cast("int")).alias("lost")).where(F.col("n") >= _needed())
         open_rows = materialize(spread.join(enough, ["cls", "tag"]).select("key", "component", "cls", "tag", "costly", "lost"), "open")
-        discard(grouped)
+        discard(spread)
         found = _across(open_rows.where("not costly"), ("cls", "tag", "lost")).groupBy("a_cls", "b_cls", "a_tag", "b_tag", "a_lost", "b_lost").agg(F.count(F.lit(1)).alias("n"))
         enough = F.greatest(_needed("a_tag") - F.col("a_lost"), _needed("b_tag") - F.col("b_lost"))
         self.link(found.where((F.col("n") >= enough) & _fit("a_tag", "b_tag", self.bands.percent)).select(F.col("a_cls").alias("a"), F.col("b_cls").alias("b")).distinct())
@@ -454,10 +547,9 @@ class _Work:
         percent, n = self.bands.percent, self.n
         pairs = materialize(pairs, "pairs")
         parts = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / PER_TEXT).cast("long").alias("parts"))
-        texts = self.texts.select("cls", "words")
-        hubs = texts.join(parts.withColumnRenamed("a", "cls"), "cls").select(F.col("cls").alias("a"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.lit(None).cast("long").alias("b"), "words")
-        dealt = pairs.join(parts, "a").select("a", F.pmod(F.xxhash64("b"), "parts").alias("part"), "b")
-        others = dealt.join(texts.withColumnRenamed("cls", "b"), "b").select("a", "part", "b", "words")
+        hubs = parts.select(F.col("a").alias("cls"), "a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.lit(None).cast("long").alias("b"))
+        others = pairs.join(parts, "a").select(F.col("b").alias("cls"), "a", F.pmod(F.xxhash64("b"), "parts").alias("part"), "b")
+        asked = hubs.unionByName(others).join(self.texts.select("cls", "words"), "cls").select("a", "part", "b", "words")
 
         def compare(batches):
             mine, tokens = None, None
@@ -476,7 +568,7 @@ class _Work:
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["a", "b"])
 
-        together = hubs.unionByName(others).repartition("a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first())
+        together = asked.repartition("a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first())
         return together.mapInArrow(compare, "a long, b long")
 
 

@@ -1,5 +1,6 @@
 """Pieces that the operators are made of, the classifier and the pipeline."""
 
+import collections
 import os
 import random
 import tempfile
@@ -124,3 +125,25 @@ def test_pipeline(spark, sf):
     changed = stages["line_dedup"](spark, docs, sf).collect()
     assert {r.doc_id: r.text for r in changed} == texts and all(r.n_lines == "mine" and r["items"] == 7 and r.n_chars == len(r.text) for r in changed)
     assert pipeline.run(spark, sf).count() > 0
+
+
+def test_keys_are_packed_whatever_the_partitions():
+    """Round 3, op5: first keys took 13 to 15 bytes each, more the more partitions."""
+    from grainmill.llm import jaccard
+
+    rng = np.random.default_rng(5)
+    keys = rng.integers(0, 2**63, 200_000, dtype=np.uint64)
+    keys[::7] = keys[3]  # one key that very many sets have
+    keys[1::11] = keys[::11][: len(keys[1::11])]
+    sets = np.repeat(rng.integers(0, 2**48, 2_000), 100)
+    for partitions in (12, 51, 211):
+        buckets = jaccard.BUCKETS * partitions
+        parts = [jaccard._packed([(keys[i::2], sets[i::2])], buckets) for i in range(2)]
+        assert all(sum(c.nbytes for c in p.columns[1:3]) < 11 * 100_000 for p in parts)
+        rows = pa.Table.from_batches([*parts, jaccard._noted(3, np.array([[7], [8], [-1]]))]).sort_by("bucket")
+        pairs = {(int(k >> np.uint64(32)) % buckets << 32 | int(k) & 0xFFFFFFFF, s) for k, s in zip(keys, sets.tolist(), strict=True)}
+        owners = collections.Counter(k for k, _ in pairs)
+        want = {(k, s, 0) for k, s in pairs if owners[k] > 1} | {(7, 8, -1)}
+        for most in (1 << 21, 50):  # of a bucket at once, and some keys at a time
+            got = [r for b in jaccard._mixed(rows.to_batches(max_chunksize=100), most) for r in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+            assert set(got) == want
