@@ -48,15 +48,16 @@ def segments_of(text: bytes, length: int = LENGTH, seed: int = SEED) -> tuple[np
     hasher = worker_cache("suffix-hash", lambda: PolyHash(41))
     starts = np.arange(n)
     low = hasher.ranges(hasher.prefix(np.frombuffer(text, np.uint8)), starts, starts + seed)
-    at, span = starts, 1
+    least, into, span = low, np.zeros(n, np.min_scalar_type(w)), 1
     while span < w:  # least hash and its first place in windows of growing span
         step = min(span, w - span)
-        take = low[step:] < low[:-step]
-        low, at = np.where(take, low[step:], low[:-step]), np.where(take, at[step:], at[:-step])
+        into = np.where(least[step:] < least[:-step], into[step:] + into.dtype.type(step), into[:-step])
+        least = np.minimum(least[step:], least[:-step])
         span += step
+    at = starts[: len(into)] + into
     first = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
     end = np.concatenate((first[1:], [len(at)])) + length - 1
-    return low[first].view(np.int64), first, end, at[first]
+    return least[first].view(np.int64), first, end, at[first]
 
 
 def _described_segments(text: bytes, wanted: np.ndarray, length: int, seed: int) -> tuple:
@@ -64,7 +65,8 @@ def _described_segments(text: bytes, wanted: np.ndarray, length: int, seed: int)
     their minimizers, and all their bytes in a row. A context that a segment doesn't hold
     in full is 0."""
     h, start, end, place = segments_of(text, length, seed)
-    chosen = np.isin(h, wanted)
+    wanted = np.sort(wanted)
+    chosen = wanted[np.minimum(np.searchsorted(wanted, h), len(wanted) - 1)] == h
     h, start, end, place = h[chosen], start[chosen], end[chosen], place[chosen]
     data, size = np.frombuffer(text, np.uint8), end - start
     hasher = worker_cache("segment-hash", lambda: PolyHash(43))
@@ -157,13 +159,13 @@ def dedup_suffixes(docs: DataFrame, length: int = LENGTH, seed: int = SEED, in_m
     def finish(batches):
         for batch in small_batches(batches, 512):
             out = []
-            for doc, n, packed, sha, rep, at in zip(*(batch.column(i).to_pylist() for i in (0, 2, 3, 4, 5, 6)), strict=True):
+            for doc, n, packed, sha, rep, start, stop in zip(*(batch.column(i).to_pylist() for i in (0, 2, 3, 4, 5, 6, 7)), strict=True):
                 if doc > rep and n >= length:  # a copy of a smaller document
                     out.append((n, 1, hashlib.sha256(b"").hexdigest()))
-                elif doc == rep and at:
+                elif doc == rep and start:
                     depth = np.zeros(n + 1, np.int32)
-                    np.add.at(depth, [x["start"] for x in at], 1)
-                    np.add.at(depth, [x["stop"] for x in at], -1)
+                    np.add.at(depth, start, 1)
+                    np.add.at(depth, stop, -1)
                     keep = np.cumsum(depth[:-1]) == 0
                     kept = np.frombuffer(zlib.decompress(packed), np.uint8)[keep]
                     out.append((int(n - keep.sum()), int((~keep & np.append(True, keep[:-1])).sum()), hashlib.sha256(kept.tobytes()).hexdigest()))
@@ -172,7 +174,7 @@ def dedup_suffixes(docs: DataFrame, length: int = LENGTH, seed: int = SEED, in_m
             columns = list(zip(*out, strict=True)) or [[]] * 3
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), *(pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.string()), strict=True))], ["doc_id", "no_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    out = judged.select("doc_id", "no_id", "n_bytes", "packed", "full_sha256", "rep", "at").mapInArrow(finish, "doc_id long, no_id boolean, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    out = judged.select("doc_id", "no_id", "n_bytes", "packed", "full_sha256", "rep", "at.start", "at.stop").mapInArrow(finish, "doc_id long, no_id boolean, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
     return out.select(F.when(~F.col("no_id"), F.col("doc_id")).alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
@@ -207,25 +209,33 @@ def _repeats(batches, length: int, in_memory: int, part: int):
         path = os.path.join(folder, "shard")
         files = [open(path + suffix, "wb") for suffix in ("", ".rows", ".again")]  # noqa: SIM115
         text, places, again = files
-        at, n_written, before, owner = 0, 0, (None, None), None
+        at, n_written, last, part = 0, 0, None, max(part, 1)
         for columns, mixed, _ in shared_flags(batches, 1):
-            covered = []
-            for h, d, doc, cls, start, left, right, own, flag in zip(*(c.tolist() for c in columns), mixed.tolist(), strict=True):
-                if h != before[0] and at >= part:
-                    yield from sort_part()
-                    at, n_written = 0, 0
-                if new := (h, d) != before:
-                    before, owner = (h, d), doc
-                if doc > owner:  # all of it is the owner's as well
-                    covered.append((doc, cls, start, start + len(own)))
-                elif flag and new:  # the minimizer has other segments
-                    text.write(own)
-                    places.write(np.array([at, doc, start, len(own), cls, h, left, right], np.int64).tobytes())
-                    at, n_written = at + len(own), n_written + 1
-                elif flag:  # its text, or another of its doc, repeats the segment
-                    again.write(np.array([n_written - 1, cls, start], np.int64).tobytes())
-            if covered:
-                yield batch_of(*zip(*covered, strict=True))
+            h, digest, doc, cls, start, left, right, own = columns
+            size = np.fromiter(map(len, own), np.int64, len(own))
+            ends = np.concatenate(([last is None or h[0] != last[0]], h[1:] != h[:-1]))  # another hash begins
+            new = ends | np.concatenate(([last is None or digest[0] != last[1]], digest[1:] != digest[:-1]))
+            first = np.maximum.accumulate(np.where(new, np.arange(len(h)), -1))
+            owner = np.where(first < 0, last[2] if last else 0, doc[first])
+            last = h[-1], digest[-1], owner[-1]
+            if (covered := doc > owner).any():  # all of it is the owner's as well
+                yield batch_of(doc[covered], cls[covered], start[covered], (start + size)[covered])
+            written = mixed & new  # the minimizer has other segments
+            repeated = mixed & ~new & ~covered  # its text, or another of its doc, repeats the segment
+            total, number = (np.concatenate(([0], np.cumsum(x))) for x in (size * written, written))
+            a = 0
+            while True:
+                full = np.flatnonzero(ends[a:] & (at + total[a:-1] - total[a] >= part))
+                b = a + int(full[0]) if len(full) else len(h)
+                k, again_k = a + np.flatnonzero(written[a:b]), a + np.flatnonzero(repeated[a:b])
+                text.write(b"".join(own[k].tolist()))
+                places.write(np.stack([at + total[k] - total[a], doc[k], start[k], size[k], cls[k], h[k], left[k], right[k]], axis=1).astype(np.int64).tobytes())
+                again.write(np.stack([n_written + number[again_k] - number[a] - 1, cls[again_k], start[again_k]], axis=1).astype(np.int64).tobytes())
+                if not len(full):
+                    break
+                yield from sort_part()
+                at, n_written, a = 0, 0, b
+            at, n_written = at + int(total[b] - total[a]), n_written + int(number[b] - number[a])
         yield from sort_part()
         for f in files:
             f.close()

@@ -147,3 +147,36 @@ def test_keys_are_packed_whatever_the_partitions():
         for most in (1 << 21, 50):  # of a bucket at once, and some keys at a time
             got = [r for b in jaccard._mixed(rows.to_batches(max_chunksize=100), most) for r in zip(*(c.to_pylist() for c in b.columns), strict=True)]
             assert set(got) == want
+
+
+def test_shards_of_repeats_are_sorted_in_batches_and_parts():
+    """Round 3, op7: a shard's segments were told apart row by row; minimizers and spans
+    took objects and whole places. Any batches and parts give what one batch gives."""
+    from grainmill.llm import suffix_dedup
+
+    rng = random.Random(9)
+    base = ["".join(rng.choices("abc ", k=300)).encode() for _ in range(6)]
+    texts = [b[rng.randrange(40) : 300 - rng.randrange(40)] + rng.choice(base)[:120] for b in base for _ in range(4)]
+    rows = []
+    for doc, text in enumerate(texts):
+        h, start, end, place = suffix_dedup.segments_of(text)
+        found = suffix_dedup._described_segments(text, h, 50, 20)
+        ends = np.cumsum(found[3])
+        rows += [(int(found[0][i]), int(found[1][i]), doc, doc + 100, int(found[2][i]), int(found[4][i]), int(found[5][i]), found[6][ends[i] - found[3][i] : ends[i]].tobytes()) for i in range(len(h))]
+        low = [suffix_dedup.PolyHash(41)]
+        low = low[0].ranges(low[0].prefix(np.frombuffer(text, np.uint8)), np.arange(len(text) - 19), np.arange(20, len(text) + 1))
+        assert [int(np.argmin(low[i : i + 31])) + i for i in start] == place.tolist()
+    rows.sort(key=lambda r: r[:3])
+    names = ["hash", "digest", "doc", "cls", "start", "left", "right", "bytes"]
+    kinds = [pa.int64()] * 4 + [pa.int32(), pa.int64(), pa.int64(), pa.binary()]
+    table = pa.Table.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+    strings = {}
+    for doc, text in enumerate(texts):
+        for i in range(len(text) - 49):
+            strings.setdefault(text[i : i + 50], []).append((doc, i))
+    want = {(doc, j) for places in strings.values() for doc, i in places if doc > places[0][0] for j in range(i, i + 50)}
+    for size in (1, 7, 10_000):
+        for part in (0, 100, 4 << 20):
+            spans = [r for b in suffix_dedup._repeats(table.to_batches(max_chunksize=size), 50, 400_000, part) for r in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+            assert {(doc, j) for doc, cls, start, stop in spans for j in range(start, stop)} == want
+            assert all(cls == doc + 100 for doc, cls, _, _ in spans)
