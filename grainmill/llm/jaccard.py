@@ -28,6 +28,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
@@ -36,7 +37,7 @@ from .classes import Classes
 from .common import discard, filtered, materialize, quoted, ship, small_batches, table, text_bytes, worker_cache
 from .components import connected_components
 from .polyhash import PolyHash, canonical, mix, word_ends
-from .streams import IdSet, id_set, mixed_flags, whole_groups
+from .streams import id_set, mixed_flags, whole_groups
 
 SHINGLE, PERCENT = 5, 80
 #: Pairs a row that a group of equal contents may give before it is costly, and the
@@ -683,25 +684,30 @@ def one_of_each(docs: DataFrame, percent: int = PERCENT, n: int = SHINGLE) -> Da
     they are; only the others are moved with their texts, to meet what was decided."""
     _, roots, classes = linked_classes(docs, percent, n)
     columns = docs.columns
-    carried = docs.select("doc_id", "text", F.xxhash64(*(F.col(quoted(c)) for c in columns)).alias("row"), F.struct(*(F.col(quoted(c)) for c in columns)).alias("carried"))
+    row = F.xxhash64(*(F.col(quoted(c)) for c in columns)).alias("row")
+    carried = docs.select(row, F.struct(*(F.col(quoted(c)) for c in columns)).alias("carried"))
+    at = {c: columns.index(c) for c in ("doc_id", "text")}
 
     def own_classes(texts: list[bytes]) -> np.ndarray:
         return np.array([classes.of(t) for t in lowered(texts)], np.int64)
 
-    def rows(table: DataFrame, among: IdSet | None = None) -> DataFrame:
-        """doc_id, cls and what else the table has; only rows of classes among these, if given."""
-        def classed(batches):
-            for batch in small_batches(batches, 512):
-                ids = own_classes(text_bytes(batch.column(1)))
-                out = pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids), *batch.columns[2:]], ["doc_id", "cls", *batch.schema.names[2:]])
-                yield out if among is None else out.filter(pa.array(among.holds(ids)))
+    def told(batches):
+        """doc_id, cls and row of all rows."""
+        for batch in small_batches(batches, 512):
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own_classes(text_bytes(batch.column(1)))), batch.column(2)], ["doc_id", "cls", "row"])
 
-        first, *others = table.drop("text").schema.fields
-        return table.mapInArrow(classed, StructType([first, StructField("cls", LongType()), *others]))
+    def moved(batches):
+        """Rows of wanted classes; their text is held once, in what is carried."""
+        for batch in small_batches(batches, 64):
+            whole = batch.column(1)
+            ids = own_classes(text_bytes(pc.struct_field(whole, [at["text"]])))
+            out = pa.RecordBatch.from_arrays([pc.struct_field(whole, [at["doc_id"]]), pa.array(ids), *batch.columns], ["doc_id", "cls", "row", "carried"])
+            yield out.filter(pa.array(wanted.value.holds(ids)))
 
+    own = StructType([docs.schema["doc_id"], StructField("cls", LongType()), StructField("row", LongType())])
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "cls", "row")
     known = roots.select("cls", "component")
-    meta = materialize(rows(carried.drop("carried")).join(known, "cls"), "meta")
+    meta = materialize(docs.select("doc_id", "text", row).mapInArrow(told, own).join(known, "cls"), "meta")
     first = meta.groupBy("component").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("members")).where("members > 1")
     same = meta.join(first, "component").where(order == F.col("first")).groupBy("component").agg(F.count(F.lit(1)).alias("n"))
     first = materialize(first.join(same, "component"), "first")
@@ -709,7 +715,7 @@ def one_of_each(docs: DataFrame, percent: int = PERCENT, n: int = SHINGLE) -> Da
     discard(meta)
     wanted = docs.sparkSession.sparkContext.broadcast(id_set(info, "cls", info.count()))
     in_place = filtered(docs, lambda texts: ~wanted.value.holds(own_classes(texts)))  # rows that have no other near them
-    judged = rows(carried, wanted.value).join(info, "cls", "left").where(F.col("component").isNull() | (order == F.col("first")))
+    judged = carried.mapInArrow(moved, StructType([*own, carried.schema["carried"]])).join(info, "cls", "left").where(F.col("component").isNull() | (order == F.col("first")))
     if not first.where("n > 1").isEmpty():
         once = judged.where("n > 1").dropDuplicates(["component"]).select("carried")
         judged = judged.where("n is null or n = 1").select("carried").unionByName(once)

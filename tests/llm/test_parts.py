@@ -12,7 +12,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from grainmill.llm import induced_sort, packing, quality, streams
+from grainmill.llm import common, induced_sort, jaccard, packing, quality, streams
 
 
 @settings(max_examples=60, deadline=None)
@@ -180,3 +180,30 @@ def test_shards_of_repeats_are_sorted_in_batches_and_parts():
             spans = [r for b in suffix_dedup._repeats(table.to_batches(max_chunksize=size), 50, 400_000, part) for r in zip(*(c.to_pylist() for c in b.columns), strict=True)]
             assert {(doc, j) for doc, cls, start, stop in spans for j in range(start, stop)} == want
             assert all(cls == doc + 100 for doc, cls, _, _ in spans)
+
+
+def test_batches_are_bounded_by_bytes(spark):
+    """Batches of long texts, up to 64 MB each, took an executor's memory; who sets a bound keeps it."""
+    spark.conf.unset(common.BATCH_SETTING)
+    common.ship(spark)
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows]), pa.array([batch.nbytes])], ["n", "size"])
+
+    texts = spark.range(30).selectExpr("repeat('x', 1000000) AS text").coalesce(1)
+    got = texts.mapInArrow(sizes, "n long, size long").collect()
+    assert sum(r.n for r in got) == 30 and max(r.size for r in got) <= common.BATCH + 1_100_000
+    try:
+        spark.conf.set(common.BATCH_SETTING, "1234567")
+        common.ship(spark)
+        assert spark.conf.get(common.BATCH_SETTING).startswith("1234567")
+    finally:
+        spark.conf.unset(common.BATCH_SETTING)
+
+
+def test_near_duplicates_carry_their_texts_once(spark, docs):
+    """Rows that may have another near them went to Python with two copies of their text."""
+    plan = jaccard.one_of_each(docs)._jdf.queryExecution().analyzed().toString()
+    inputs = [line for line in plan.splitlines() if "Project" in line and "AS carried#" in line and "xxhash64" in line]
+    assert inputs and not any("[doc_id#" in line or ", text#" in line.split("xxhash64")[0] for line in inputs)
