@@ -134,7 +134,7 @@ class Windows:
 
     def __init__(self, text: np.ndarray):
         if text.dtype == np.uint8:
-            self.bounds = np.arange(257)
+            self.bounds, self.numbers = np.arange(257), None
         else:
             counts = np.zeros(int(max(text[a : a + BLOCK].max() for a in range(0, len(text), BLOCK))) + 1, np.int64)
             for a in range(0, len(text), BLOCK):
@@ -145,12 +145,13 @@ class Windows:
             cut = np.ones(len(counts), bool)
             cut[1:] = (group[1:] != group[:-1]) | large[1:] | large[:-1]
             self.bounds = np.append(np.flatnonzero(cut), len(counts))
+            self.numbers = (np.cumsum(cut) - 1).astype(np.int32)
 
     def __len__(self) -> int:
         return len(self.bounds) - 1
 
     def of(self, symbols: np.ndarray) -> np.ndarray:
-        return symbols.astype(np.int64) if len(self) == 256 and self.bounds[-1] == 256 else np.searchsorted(self.bounds, symbols, "right") - 1
+        return symbols.astype(np.int64) if self.numbers is None else self.numbers[symbols]
 
 
 def _pass(text: np.ndarray, windows: Windows, given, sign: int, folder: str, in_memory: int) -> Iterator[tuple]:

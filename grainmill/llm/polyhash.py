@@ -57,6 +57,10 @@ class PolyHash:
         """Hashes of [start, end)."""
         return mix((prefix[end] - prefix[start]) * self.down[start])
 
+    def windows(self, prefix: np.ndarray, size: int) -> np.ndarray:
+        """Hashes of all ranges of a size, as ranges() has them."""
+        return mix((prefix[size:] - prefix[:-size]) * self.down[: len(prefix) - size])
+
 
 def words_of(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The text as bytes, and where its white-space separated words start and end.

@@ -4,11 +4,10 @@ Every 50-byte string is brought to the shard of its minimizer, the least hash
 among its 20-byte strings, so all its occurrences meet in one shard; neighbouring
 strings of one minimizer travel as one segment. Minimizers found in one text
 only are left out, and equal segments are settled by their first owner. So are
-segments that share their minimizer's 15 bytes before it, or behind it, with no
-other: of the 30 bytes that a string has around it, 15 at least are on one side. What
-is left is a shard's text: external induced sorting gives its suffixes with their
-common prefixes, and a run of suffixes that share 50 bytes is one string's
-occurrences, of which the smallest doc_id keeps its bytes.
+segments that share with no other document 46 bytes around their minimizer, or, where a
+string ends with it, all. What is left is a shard's text: external induced sorting gives
+its suffixes with their common prefixes, and a run of suffixes that share 50 bytes is one
+string's occurrences, of which the smallest doc_id keeps its bytes.
 """
 
 from __future__ import annotations
@@ -40,43 +39,72 @@ END = 0xFF
 def segments_of(text: bytes, length: int = LENGTH, seed: int = SEED) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Minimizer hash, start, end and the minimizer's place of the segments that cover
     all strings of `length` bytes; each such string is in one segment, by its content."""
-    n = len(text) - seed + 1
-    w = length - seed + 1
-    if len(text) < length:
+    return segments_in([text], length, seed)[:4]
+
+
+def segments_in(texts: list[bytes], length: int = LENGTH, seed: int = SEED) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """segments_of() texts in a row, at places in the whole row; and the number of the
+    text of each."""
+    sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+    n, w = int(sizes.sum()) - seed + 1, length - seed + 1
+    if n < w:
         none = np.zeros(0, np.int64)
-        return none, none, none, none
+        return none, none, none, none, none
     hasher = worker_cache("suffix-hash", lambda: PolyHash(41))
-    starts = np.arange(n)
-    low = hasher.ranges(hasher.prefix(np.frombuffer(text, np.uint8)), starts, starts + seed)
+    low = hasher.windows(hasher.prefix(np.frombuffer(b"".join(texts), np.uint8)), seed)
     least, into, span = low, np.zeros(n, np.min_scalar_type(w)), 1
     while span < w:  # least hash and its first place in windows of growing span
         step = min(span, w - span)
-        into = np.where(least[step:] < least[:-step], into[step:] + into.dtype.type(step), into[:-step])
+        later = least[step:] < least[:-step]
+        into = np.where(later, into[step:] + into.dtype.type(step), into[:-step])
         least = np.minimum(least[step:], least[:-step])
         span += step
-    at = starts[: len(into)] + into
-    first = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
-    end = np.concatenate((first[1:], [len(at)])) + length - 1
-    return least[first].view(np.int64), first, end, at[first]
+    at = np.arange(len(into)) + into
+    new = np.concatenate(([True], at[1:] != at[:-1]))
+    ends = np.cumsum(sizes)
+    begins = ends - sizes
+    within = np.zeros(n + length + 1, np.int8)  # strings that cross the end of a text are none
+    long = sizes >= length
+    np.add.at(within, begins[long], 1)
+    np.add.at(within, ends[long] - length + 1, -1)
+    whole = np.cumsum(within[: len(at)], dtype=np.int8) > 0
+    new[begins[long]] = True
+    first = np.flatnonzero(new & whole)
+    of = np.searchsorted(ends, first, "right")
+    end = np.minimum(np.append(first[1:], n + length), ends[of] - length + 1) + length - 1
+    return least[first].view(np.int64), first, end, at[first], of
 
 
 def _described_segments(text: bytes, wanted: np.ndarray, length: int, seed: int) -> tuple:
-    """Of the segments with wanted minimizers: hash, digest, start, size, the contexts of
-    their minimizers, and all their bytes in a row. A context that a segment doesn't hold
-    in full is 0."""
-    h, start, end, place = segments_of(text, length, seed)
+    """_described_in() of one text."""
+    return _described_in([text], wanted, length, seed)
+
+
+def _blocks(texts: list[bytes], most: int = 1 << 16):
+    """Ranges of texts of some `most` bytes each."""
+    a, held = 0, 0
+    for b, text in enumerate(texts):
+        if held and held + len(text) > most:
+            yield a, b
+            a, held = b, 0
+        held += len(text)
+    if a < len(texts):
+        yield a, len(texts)
+
+
+def _described_in(texts: list[bytes], wanted: np.ndarray, length: int, seed: int) -> tuple:
+    """Of the segments of texts with wanted minimizers: hash, digest, start, size, the place
+    of the minimizer in the segment, the text's number, and all their bytes in a row."""
+    h, start, end, place, of = segments_in(texts, length, seed)
     wanted = np.sort(wanted)
     chosen = wanted[np.minimum(np.searchsorted(wanted, h), len(wanted) - 1)] == h
-    h, start, end, place = h[chosen], start[chosen], end[chosen], place[chosen]
-    data, size = np.frombuffer(text, np.uint8), end - start
+    h, start, end, place, of = h[chosen], start[chosen], end[chosen], place[chosen], of[chosen]
+    data, size = np.frombuffer(b"".join(texts), np.uint8), end - start
     hasher = worker_cache("segment-hash", lambda: PolyHash(43))
-    prefix = hasher.prefix(data)
-    around = -(-(length - seed) // 2)
-    before, behind = place - around, place + seed + around
-    left = np.where(before >= start, hasher.ranges(prefix, np.maximum(before, 0), place) | np.uint64(1), 0)
-    right = np.where(behind <= end, hasher.ranges(prefix, place + seed, np.minimum(behind, len(data))) | np.uint64(1), 0)
+    digest = hasher.ranges(hasher.prefix(data), start, end).view(np.int64)
+    sizes = np.fromiter(map(len, texts), np.int64, len(texts))
     at = np.repeat(start - np.cumsum(size) + size, size) + np.arange(size.sum())
-    return h, hasher.ranges(prefix, start, end).view(np.int64), start, size, left.astype(np.uint64).view(np.int64), right.astype(np.uint64).view(np.int64), data[at]
+    return h, digest, start - (np.cumsum(sizes) - sizes)[of], size, place - start, of, data[at]
 
 
 def dedup_suffixes(docs: DataFrame, length: int = LENGTH, seed: int = SEED, in_memory: int = IN_MEMORY, part: int = PART) -> DataFrame:
@@ -98,11 +126,14 @@ def dedup_suffixes(docs: DataFrame, length: int = LENGTH, seed: int = SEED, in_m
 
     def minimizers(batches):
         for batch in small_batches(batches, 256):
-            h, cls = [], []
-            for text in text_bytes(batch.column(0)):
-                own = np.unique(segments_of(text, length, seed)[0])
-                h.append(own)
-                cls.append(np.full(len(own), classes.of(text)))
+            own, h, cls = text_bytes(batch.column(0)), [], []
+            for a, b in _blocks(own):
+                found, *_, of = segments_in(own[a:b], length, seed)
+                order = np.lexsort((found, of))
+                found, of = found[order], of[order]
+                once = np.concatenate(([True], (found[1:] != found[:-1]) | (of[1:] != of[:-1])))[: len(found)]
+                h.append(found[once])
+                cls.append(np.array([classes.of(t) for t in own[a:b]], np.int64)[of[once]])
             if h:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (h, cls)], ["hash", "cls"])
 
@@ -123,21 +154,24 @@ def dedup_suffixes(docs: DataFrame, length: int = LENGTH, seed: int = SEED, in_m
 
     def cut(batches):
         for batch in small_batches(batches, 64):
+            doc, cls = (np.asarray(c) for c in batch.columns[:2])
+            own, hashes = [zlib.decompress(x) for x in batch.column(2).to_pylist()], batch.column(3)
             out = []
-            for doc, cls, packed, hashes in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                h, digest, start, size, left, right, own = _described_segments(zlib.decompress(packed), np.array(hashes), length, seed)
-                out.append((h, digest, np.full(len(h), doc), np.full(len(h), cls), start.astype(np.int32), left, right, size, own))
+            for a, b in _blocks(own):
+                # a minimizer that is shared is wanted of each text that has it
+                h, digest, start, size, into, of, data = _described_in(own[a:b], np.asarray(hashes.slice(a, b - a).flatten()), length, seed)
+                out.append((h, digest, doc[a:b][of], cls[a:b][of], start.astype(np.int32), into.astype(np.int16), size, data))
             if out:
                 *columns, sizes, own = (np.concatenate(c) for c in zip(*out, strict=True))
                 ends = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)
                 data = pa.BinaryArray.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(own))])
-                yield pa.RecordBatch.from_arrays([*(pa.array(c) for c in columns), data], ["hash", "digest", "doc", "cls", "start", "left", "right", "bytes"])
+                yield pa.RecordBatch.from_arrays([*(pa.array(c) for c in columns), data], ["hash", "digest", "doc", "cls", "start", "into", "bytes"])
 
     segments = docs.select("doc_id", "text").mapInArrow(texts, "rep long, cls long, packed binary").join(places, ["rep", "cls"]).select("rep", "cls", "packed", "hashes")
-    segments = segments.mapInArrow(cut, "hash long, digest long, doc long, cls long, start int, left long, right long, bytes binary")
+    segments = segments.mapInArrow(cut, "hash long, digest long, doc long, cls long, start int, into short, bytes binary")
 
     def sort_shard(batches):
-        yield from _repeats(batches, length, in_memory, part)
+        yield from _repeats(batches, length, in_memory, part, seed)
 
     gone = segments.repartition("hash").sortWithinPartitions("hash", "digest", "doc").mapInArrow(sort_shard, "rep long, cls long, start int, stop int")
     gone = materialize(gone.groupBy("rep", "cls").agg(F.collect_set(F.struct("start", "stop")).alias("at")), "repeated")
@@ -178,7 +212,7 @@ def dedup_suffixes(docs: DataFrame, length: int = LENGTH, seed: int = SEED, in_m
     return out.select(F.when(~F.col("no_id"), F.col("doc_id")).alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
-def _repeats(batches, length: int, in_memory: int, part: int):
+def _repeats(batches, length: int, in_memory: int, part: int, seed: int = SEED):
     """(doc, class, start, stop) of repeated bytes in a shard, from its segments sorted
     by hash, digest and doc; a doc's texts are told apart by their classes. The shard
     is sorted in parts that end where a hash ends."""
@@ -189,8 +223,8 @@ def _repeats(batches, length: int, in_memory: int, part: int):
         """Sort what was written so far and begin anew."""
         for f in files:
             f.flush()
-        rows = np.fromfile(path + ".rows", np.int64).reshape(-1, 8)
-        keep = _in_context(rows)
+        rows = np.fromfile(path + ".rows", np.int64).reshape(-1, 7)
+        keep = _in_context(path, rows, length, seed)
         if keep.any():
             number = np.cumsum(keep) - 1
             repeats = np.fromfile(path + ".again", np.int64).reshape(-1, 3)
@@ -211,7 +245,7 @@ def _repeats(batches, length: int, in_memory: int, part: int):
         text, places, again = files
         at, n_written, last, part = 0, 0, None, max(part, 1)
         for columns, mixed, _ in shared_flags(batches, 1):
-            h, digest, doc, cls, start, left, right, own = columns
+            h, digest, doc, cls, start, into, *_, own = columns
             size = np.fromiter(map(len, own), np.int64, len(own))
             ends = np.concatenate(([last is None or h[0] != last[0]], h[1:] != h[:-1]))  # another hash begins
             new = ends | np.concatenate(([last is None or digest[0] != last[1]], digest[1:] != digest[:-1]))
@@ -229,7 +263,7 @@ def _repeats(batches, length: int, in_memory: int, part: int):
                 b = a + int(full[0]) if len(full) else len(h)
                 k, again_k = a + np.flatnonzero(written[a:b]), a + np.flatnonzero(repeated[a:b])
                 text.write(b"".join(own[k].tolist()))
-                places.write(np.stack([at + total[k] - total[a], doc[k], start[k], size[k], cls[k], h[k], left[k], right[k]], axis=1).astype(np.int64).tobytes())
+                places.write(np.stack([at + total[k] - total[a], doc[k], start[k], size[k], cls[k], h[k], into[k]], axis=1).astype(np.int64).tobytes())
                 again.write(np.stack([n_written + number[again_k] - number[a] - 1, cls[again_k], start[again_k]], axis=1).astype(np.int64).tobytes())
                 if not len(full):
                     break
@@ -241,14 +275,35 @@ def _repeats(batches, length: int, in_memory: int, part: int):
             f.close()
 
 
-def _in_context(rows: np.ndarray) -> np.ndarray:
-    """Segments that share a context of their minimizer with another of the same hash."""
-    keep = np.zeros(len(rows), bool)
-    for side in (6, 7):
-        order = np.lexsort((rows[:, side], rows[:, 5]))
-        h, context = rows[order, 5], rows[order, side]
-        same = (h[1:] == h[:-1]) & (context[1:] == context[:-1]) & (context[1:] != 0)
-        keep[order[1:][same]] = keep[order[:-1][same]] = True
+#: Bytes by which a context is shorter than a string. A string lies around its minimizer
+#: in one of the ways that are this far apart, and holds a context whole in that way.
+STEP = 5
+
+
+def _in_context(path: str, rows: np.ndarray, length: int, seed: int, block: int = 1 << 12) -> np.ndarray:
+    """Segments that share a context of their minimizer, which is in it, with one in another
+    document, as all do that share a string. The segments' bytes are in the file."""
+    keep, span = np.zeros(len(rows), bool), length - seed
+    if not len(rows) or not rows[:, 3].any():
+        return keep
+    source, hasher = np.memmap(path, np.uint8, "r"), worker_cache("segment-hash", lambda: PolyHash(43))
+    ways = [(a, min(a + STEP - 1, span)) for a in range(0, span + 1, STEP)]
+    found = np.zeros((len(ways), len(rows)), np.uint64)
+    for i in range(0, len(rows), block):
+        at, size, into = (rows[i : i + block, c] for c in (0, 3, 6))
+        prefix = hasher.prefix(np.array(source[at[0] : at[-1] + size[-1]]))
+        place = at - at[0] + into
+        for k, (near, far) in enumerate(ways):  # strings with `near` to `far` bytes before the minimizer
+            held = np.flatnonzero((into >= near) & (into + seed + span - far <= size))
+            found[k, i + held] = hasher.ranges(prefix, place[held] - near, place[held] + seed + span - far) | np.uint64(1)
+    for own in found:
+        which = np.flatnonzero(own)
+        order = which[np.argsort(own[which])]
+        new = np.concatenate(([True], own[order[1:]] != own[order[:-1]]))[: len(order)]
+        cuts, doc = np.flatnonzero(new), rows[order, 1]
+        if len(cuts):
+            mixed = np.minimum.reduceat(doc, cuts) != np.maximum.reduceat(doc, cuts)
+            keep[order[mixed[np.cumsum(new) - 1]]] = True
     return keep
 
 

@@ -207,3 +207,40 @@ def test_near_duplicates_carry_their_texts_once(spark, docs):
     plan = jaccard.one_of_each(docs)._jdf.queryExecution().analyzed().toString()
     inputs = [line for line in plan.splitlines() if "Project" in line and "AS carried#" in line and "xxhash64" in line]
     assert inputs and not any("[doc_id#" in line or ", text#" in line.split("xxhash64")[0] for line in inputs)
+
+
+def test_segments_of_texts_in_a_row_are_those_of_each():
+    """Round 3, op7: texts were cut one by one, and segments sorted that share 35 bytes."""
+    from grainmill.llm import suffix_dedup
+
+    rng = random.Random(4)
+    texts = [b"", b"x" * 49, b"x" * 50, b"x" * 200, *("".join(rng.choices("ab c", k=rng.choice([10, 60, 500]))).encode() for _ in range(20)), b"", b"y"]
+    *got, of = (c.tolist() for c in suffix_dedup.segments_in(texts))
+    want = []
+    for k, text in enumerate(texts):
+        begin = sum(map(len, texts[:k]))
+        want += [(h, a + begin, b + begin, at + begin, k) for h, a, b, at in zip(*(c.tolist() for c in suffix_dedup.segments_of(text)), strict=True)]
+    assert list(zip(*got, of, strict=True)) == want
+    for k, text in enumerate(texts):
+        hit = [p for h, a, b, at, i in want if i == k for p in range(a, b - 49)]
+        begin = sum(map(len, texts[:k]))
+        assert hit == list(range(begin, begin + len(text) - 49))
+    assert [(a, b) for a, b in suffix_dedup._blocks(texts, 100)][-1][1] == len(texts)
+
+
+def test_segments_that_share_too_few_bytes_are_not_sorted(tmp_path):
+    """Of a string the bytes before and behind its minimizer vary, one document's own don't count."""
+    from grainmill.llm import suffix_dedup
+
+    rng = random.Random(5)
+    text = bytes(rng.choices(range(97, 123), k=80))
+    for before in range(31):
+        for shared, docs, kept in ((50, (1, 2), True), (40, (1, 2), False), (50, (1, 1), False)):
+            low, high = 30 - before, 30 - before + shared  # the minimizer stands at 30
+            other = bytes(c if low <= i < high else 65 + i % 26 for i, c in enumerate(text))
+            if not (low <= 30 and 50 <= high):
+                continue
+            path = tmp_path / "shard"
+            path.write_bytes(text + other)
+            rows = np.array([[80 * i, doc, 0, 80, 7, 1, 30] for i, doc in enumerate(docs)])
+            assert suffix_dedup._in_context(str(path), rows, 50, 20).tolist() == [kept] * 2
